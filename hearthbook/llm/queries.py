@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hearthbook.llm import language_id, toxicity
 from hearthbook.llm.near_dedup import near_duplicates
+from hearthbook.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +21,34 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def _fold(of: int, held: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == held, F.lit(False))
+
+
+def op8_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.where(~_fold(4, 2)), labels.where(~_fold(4, 2)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~_fold(5, 0)))
+    called = language_id.predict(docs.select("doc_id", "text"), model)
+    return called.select("doc_id", _fold(5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as vocabulary:
+        return pack(_table(spark, sf_dir, "documents"), vocabulary.read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op8_nnpu_toxicity": op8_nnpu_toxicity,
+    "op9_ecoc_language_id": op9_ecoc_language_id,
+    "op10_dp_packing": op10_dp_packing,
 }
 ORACLES: dict[str, str] = {}
