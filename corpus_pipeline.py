@@ -1,14 +1,30 @@
-"""Documents through the corpus operators, one written table after another."""
+"""Documents through five corpus operators, one written table after another.
+
+Toxic documents go, one document of each near-duplicate group stays, repeated
+passages are cut, sources are mixed to their weights, and the mix is packed.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthbook.llm import mixing, packing, toxicity
 from hearthbook.llm._store import Scratch
 from hearthbook.llm.near_dedup import near_duplicates
+from hearthbook.llm.span_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on all labels, scores below 0.3."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +33,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand in an earlier one; those with nothing left go."""
+    cut = remove_repeats(docs.select(*COLUMNS)).where(r"n_removed = 0 or text rlike '[^ \\t-\\r]'")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix, a row per copy of which half or more is taken, in the order of virtual finish times."""
+    return mixing.mix(docs.select(*COLUMNS)).where("2 * copy_words >= size").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as vocabulary:
+        return packing.pack(docs, vocabulary.read())
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("span_dedup", span_dedup), ("mixing", mix_sources), ("packing", pack)]
+#: Trained models, sampled pivots and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -8,9 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthbook.llm import language_id, toxicity
+from hearthbook.llm import language_id, mpeg_audio, permutation_index, toxicity, warc
+from hearthbook.llm._store import Scratch
+from hearthbook.llm.mixing import decide
 from hearthbook.llm.near_dedup import near_duplicates
 from hearthbook.llm.packing import pack
+from hearthbook.llm.span_dedup import remove_repeats
+from hearthbook.llm.url_filter import judge
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +27,44 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_mpeg_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = Scratch(spark, "audio").keep("media", mpeg_audio.store(_table(spark, sf_dir, "documents")))
+    found = mpeg_audio.inspect(media).withColumn("feature", mpeg_audio.feature())
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frame_offsets")
+
+
+def op4_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = Scratch(spark, "warc").path("archives")
+    warc.write_archives(pages, path)
+    page = lambda c: F.expr(f"cast(nullif(regexp_extract({c}, 'page:(.*)>$', 1), '') as {pages.schema['page_id'].dataType.simpleString()})")
+    again = F.col("record_type") == "revisit"
+    full = F.regexp_extract("http", r"(?m)^Content-Length: (\d+)", 1).cast("long")
+    return warc.read_archives(spark, path).select(
+        page("record_id").alias("page_id"),
+        F.when(again, full).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(again, F.col("digest")).otherwise(warc.base32_sha1(F.col("payload"))).alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
+def op6_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = permutation_index.usable(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return permutation_index.search(vectors, vectors.where("id % 20 = 0"))
+
+
 def _fold(of: int, held: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == held, F.lit(False))
 
@@ -47,6 +91,12 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_sentence_span_dedup": op2_sentence_span_dedup,
+    "op3_mpeg_audio_media": op3_mpeg_audio_media,
+    "op4_fair_queue_mixing": op4_fair_queue_mixing,
+    "op5_warc_revisits": op5_warc_revisits,
+    "op6_redirect_url_filter": op6_redirect_url_filter,
+    "op7_permutation_index": op7_permutation_index,
     "op8_nnpu_toxicity": op8_nnpu_toxicity,
     "op9_ecoc_language_id": op9_ecoc_language_id,
     "op10_dp_packing": op10_dp_packing,
