@@ -17,11 +17,14 @@ REFUND_WORDS = r"\b(REFUND|RETURN|REVERSAL|CREDIT ADJ)\b"
 CASH_WORDS = r"\b(ATM|CASH WITHDRAWAL|WITHDRAWAL)\b"
 
 
-@F.pandas_udf("string")
-def _compatible(text: pd.Series) -> pd.Series:
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def _compatible(text: Column) -> Column:
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

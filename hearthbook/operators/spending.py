@@ -56,7 +56,7 @@ def coverage(accounts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def month_spine(spark: SparkSession, first: str, last: str) -> DataFrame:
     """All months from first to last, yyyy-MM."""
-    return spark.sql("select date_format(explode(sequence(cast(:a as date), cast(:b as date), interval 1 month)), 'yyyy-MM') as month", {"a": first + "-01", "b": last + "-01"})
+    return spark.sql("select date_format(d, 'yyyy-MM') as month from (select explode(sequence(cast(:a as date), cast(:b as date), interval 1 month)) as d)", {"a": first + "-01", "b": last + "-01"})
 
 
 def series(rows: DataFrame, currencies: DataFrame, first: str, last: str) -> DataFrame:

@@ -72,7 +72,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey"""),
     "entries": ((), """
         select event_id as source_row, user_id as account_id, cast(ts as date) as posted_date, event_type || ' ' || cast(user_id as string) as description_raw,
-               cast(value as int) * case when event_type = 'purchase' then -1 else 1 end as amount_minor, 'USD' as currency, cast(event_id % 2 as int) as source
+               cast(floor(value) as int) * case when event_type = 'purchase' then -1 else 1 end as amount_minor, 'USD' as currency, cast(event_id % 2 as int) as source
         from events"""),
     "files": ((), """
         select d.doc_id, d.source, source || '/' || cast(d.doc_id as string) || case d.doc_id % 4 when 0 then '.PDF' when 1 then '.jpg' when 2 then '.csv' else '' end as relative_path, d.lang, d.n_chars,

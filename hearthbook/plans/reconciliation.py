@@ -1 +1,190 @@
+"""Registered queries of matching, identity and merging."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hearthbook.operators import merge as M
+from hearthbook.operators import reconcile as R
+from hearthbook.plans.registry import query
+
+TOKENS = "list_filter(string_split(trim(regexp_replace(regexp_replace({c}, '#\\s*\\d+|\\b\\d+\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda t: length(t) > 2)"
+MEET = "len(list_intersect(" + TOKENS.format(c="{a}") + ", " + TOKENS.format(c="{b}") + ")) > 0"
+LAG = "(p.posted_date - r.purchase_date)"
+NAMED = MEET.format(a="r.merchant", b="p.description_raw")
+PAIRS = f"""select r.receipt_id, p.posting_id, p.currency, p.amount_minor, 60 + case when {LAG} = 0 then 20 when {LAG} <= 2 then 10 else 0 end + case when {NAMED} then 20 else 0 end as score,
+  'amount' || case when {LAG} = 0 then '+same_day' when {LAG} <= 2 then '+date' else '' end || case when {NAMED} then '+merchant' else '' end as method
+from receipts r join postings p on p.currency = r.currency and p.amount_minor = -r.total_minor and p.posted_date between r.purchase_date and r.purchase_date + 5
+where r.review_status <> 'rejected' and p.review_status <> 'rejected'"""
+
+
+@query("jn_receipt_candidates", PAIRS, "receipts", "postings")
+def jn_receipt_candidates(ledger):
+    return R.receipt_candidates(ledger.receipts, ledger.postings)
+
+
+@query("jn_receipt_match")
+def jn_receipt_match(ledger):
+    return R.link_receipts(ledger.receipts, ledger.postings)
+
+
+@query("jn_match_candidates", f"select receipt_id, count(*) as candidates, max(score) as best from ({PAIRS}) s group by 1", "receipts", "postings")
+def jn_match_candidates(ledger):
+    return R.receipt_candidates(ledger.receipts, ledger.postings).groupBy("receipt_id").agg(F.count("*").alias("candidates"), F.max("score").alias("best"))
+
+
+@query("jn_transfer_candidates", """
+select o.posting_id as out_id, i.posting_id as in_id, i.currency, i.amount_minor, 70 + case when o.posted_date = i.posted_date then 10 else 0 end + case when o.transaction_type in ('transfer', 'payment') and i.transaction_type in ('transfer', 'payment') then 20 else 0 end as score,
+  o.transaction_type in ('transfer', 'payment') as says_so
+from postings o join postings i on i.currency = o.currency and i.amount_minor = -o.amount_minor and i.account_id <> o.account_id and abs(o.posted_date - i.posted_date) <= 5
+join accounts a on a.account_id = i.account_id
+where o.amount_minor < 0 and o.review_status <> 'rejected' and i.review_status <> 'rejected' and o.transaction_type in ('transfer', 'payment', 'purchase', 'withdrawal')
+  and (o.transaction_type in ('transfer', 'payment') or i.transaction_type in ('transfer', 'payment') or a.account_type = 'credit_card')""", "postings", "accounts")
+def jn_transfer_candidates(ledger):
+    return R.transfer_candidates(ledger.postings, ledger.accounts)
+
+
+@query("jn_transfer_match")
+def jn_transfer_match(ledger):
+    return R.link_transfers(ledger.postings, ledger.accounts)
+
+
+REFUNDS = f"""
+select credit_id, purchase_id, case when exact then 90 else 70 end as score, case when exact then 'merchant+exact_amount' else 'merchant+partial_amount' end as method, case when n_exact = 1 or n = 1 then 'link' else 'open' end as status from (
+  select c.transaction_id as credit_id, p.transaction_id as purchase_id, -p.amount_minor = c.amount_minor as exact,
+    sum(case when -p.amount_minor = c.amount_minor then 1 else 0 end) over (partition by c.transaction_id) as n_exact, count(*) over (partition by c.transaction_id) as n
+  from transactions c join transactions p on p.account_id = c.account_id and p.currency = c.currency and -p.amount_minor >= c.amount_minor and p.posted_date between c.posted_date - 120 and c.posted_date
+  where c.amount_minor > 0 and c.transaction_type = 'refund' and c.review_status <> 'rejected' and p.amount_minor < 0 and p.transaction_type = 'purchase' and p.review_status <> 'rejected'
+    and {MEET.format(a="c.description_raw", b="p.description_raw")}) s
+where case when n_exact = 1 then exact else true end"""
+
+
+@query("jn_refund_match", REFUNDS, "transactions")
+def jn_refund_match(ledger):
+    return R.link_refunds(ledger.transactions)
+
+
+@query("get_refunds", f"""
+select c.transaction_id as credit_id, c.amount_minor, r.purchase_id, r.score from transactions c left join (select * from ({REFUNDS}) x where status = 'link') r on r.credit_id = c.transaction_id
+where c.amount_minor > 0 and c.transaction_type = 'refund' and c.review_status <> 'rejected'""", "transactions")
+def get_refunds(ledger):
+    credits = ledger.transactions.where("amount_minor > 0 and transaction_type = 'refund' and review_status <> 'rejected'").select(F.col("transaction_id").alias("credit_id"), "amount_minor")
+    links = R.link_refunds(ledger.transactions).where("status = 'link'").select("credit_id", "purchase_id", "score")
+    return credits.join(links, "credit_id", "left")
+
+
+KEYED = """select *, array_to_string(string_split(trim(regexp_replace(regexp_replace(description_raw, '#\\s*\\d+|\\b\\d+\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:3], ' ') as merchant_key from transactions
+where review_status <> 'rejected' and (origin <> 'extraction' or review_status = 'verified') and amount_minor < 0 and transaction_type in ('purchase', 'fee')"""
+
+
+@query("win_gap", f"select transaction_id, posted_date - lag(posted_date) over (partition by account_id, merchant_key order by posted_date, transaction_id) as gap from ({KEYED}) s", "transactions")
+def win_gap(ledger):
+    from pyspark.sql import Window as W
+
+    from hearthbook.functions import predicates as P
+    from hearthbook.functions.text import first_words, normalize_name
+
+    rows = ledger.transactions.where(P.countable() & (F.col("amount_minor") < 0) & F.col("transaction_type").isin("purchase", "fee"))
+    rows = rows.withColumn("merchant_key", first_words(normalize_name(F.col("description_raw"), ascii_only=True)))
+    before = F.lag("posted_date").over(W.partitionBy("account_id", "merchant_key").orderBy("posted_date", "transaction_id"))
+    return rows.select("transaction_id", F.datediff("posted_date", before).cast("bigint").alias("gap"))
+
+
+RECURRING = """select account_id, merchant_key, currency, frequency, -amount_minor as expected_minor, payments, next_due_date from (
+  select *, case frequency when 'weekly' then last + 7 when 'monthly' then cast(last + interval 1 month as date) when 'quarterly' then cast(last + interval 3 month as date) else cast(last + interval 12 month as date) end as next_due_date,
+    row_number() over (partition by account_id, merchant_key, currency, frequency order by begun desc, begun_id desc, amount_minor) as k from (
+    select *, case when least_gap >= 6 and most_gap <= 8 then 'weekly' when least_gap >= 26 and most_gap <= 35 then 'monthly' when least_gap >= 85 and most_gap <= 95 then 'quarterly' when least_gap >= 360 and most_gap <= 370 then 'annual' end as frequency from (
+      select account_id, merchant_key, amount_minor, currency, count(*) as payments, min(gap) as least_gap, max(gap) as most_gap, min(posted_date) as begun, arg_min(transaction_id, (posted_date, transaction_id)) as begun_id, max(posted_date) as last from (
+        select *, posted_date - lag(posted_date) over (partition by account_id, merchant_key, amount_minor, currency order by posted_date, transaction_id) as gap from ({source}) s) g
+      group by 1, 2, 3, 4) t where payments >= 3) u where frequency is not null) v where k = 1"""
+#: One amount, quarters for dates and fifty accounts, so that equal payments recur at all.
+COARSE_SQL = KEYED.replace("select *,", "select * replace (cast(-1000 as bigint) as amount_minor, account_id % 50 as account_id, cast(date_trunc('quarter', posted_date) as date) as posted_date),")
+
+
+@query("win_recurring", RECURRING.replace("{source}", COARSE_SQL), "transactions")
+def win_recurring(ledger):
+    rows = ledger.transactions.where("amount_minor < 0")
+    return R.recurring(rows.withColumns({"amount_minor": F.lit(-1000).cast("bigint"), "account_id": F.col("account_id") % 50, "posted_date": F.trunc("posted_date", "quarter")}))
+
+
+@query("get_recurring_obligations", f"select frequency, currency, count(*) as obligations, cast(sum(expected_minor) as bigint) as expected from ({RECURRING.replace('{source}', COARSE_SQL)}) r group by 1, 2", "transactions")
+def get_recurring_obligations(ledger):
+    return win_recurring(ledger).groupBy("frequency", "currency").agg(F.count("*").alias("obligations"), F.sum("expected_minor").cast("bigint").alias("expected"))
+
+
+PAYMENTS = f"""select bill_id, min(posting_id) as payment_id from bills r join postings p on p.currency = r.currency and p.amount_minor = -r.amount_due_minor and p.posted_date between r.issue_date and r.due_date + 7
+where p.review_status <> 'rejected' and {MEET.format(a="r.provider", b="p.description_raw")} group by 1 having count(*) = 1"""
+
+
+@query("jn_bill_payment", PAYMENTS, "bills", "postings")
+def jn_bill_payment(ledger):
+    return R.bill_payments(ledger.bills, ledger.postings)
+
+
+@query("get_upcoming_bills", f"""
+select bill_id, due_date, amount_due_minor, currency, payment_state, payment_source, payment_id from (
+  select b.*, case when payment_status = 'unknown' then m.payment_id end as payment_id, case when payment_status in ('paid', 'unpaid') then 'user' when m.payment_id is not null then 'matched' end as payment_source,
+    case when payment_status = 'paid' then 'paid' when payment_status = 'unpaid' then case when due_date >= date '1998-06-30' then 'due' else 'past_due_unpaid' end
+      when m.payment_id is not null then 'payment_found' when due_date >= date '1998-06-30' then 'due' else 'past_due_no_payment_found' end as payment_state
+  from bills b left join ({PAYMENTS}) m on m.bill_id = b.bill_id where review_status <> 'rejected' and due_date <= date '1998-06-30' + 30) s
+where due_date >= date '1998-06-30' or payment_state not in ('paid', 'payment_found')""", "bills", "postings")
+def get_upcoming_bills(ledger):
+    return R.upcoming_bills(ledger.bills, ledger.postings, "1998-06-30", 30)
+
+
+@query("agg_unmatched")
+def agg_unmatched(ledger):
+    return R.unmatched_receipts(ledger.receipts, R.link_receipts(ledger.receipts, ledger.postings))
+
+
+# identity and merging -------------------------------------------------------
+
+PRINTS = """select source, source_row, sha256('v1|' || cast(account_id as varchar) || '|' || cast(posted_date as varchar) || '|' || cast(amount_minor as varchar) || '|' || currency || '|' || cast(row_number() over (partition by source, account_id, posted_date, amount_minor, currency order by source_row) - 1 as varchar)) as fingerprint,
+  account_id, amount_minor from entries"""
+
+
+@query("win_fingerprint", PRINTS, "entries")
+def win_fingerprint(ledger):
+    return M.fingerprints(ledger.entries).select("source", "source_row", "fingerprint", "account_id", "amount_minor")
+
+
+@query("snk_insert_ignore", f"select source_row, case when exists (select 1 from ({PRINTS}) o where o.source = 0 and o.account_id = n.account_id and o.fingerprint = n.fingerprint) then 'duplicate' else 'inserted' end as outcome from ({PRINTS}) n where n.source = 1", "entries")
+def snk_insert_ignore(ledger):
+    marked = M.fingerprints(ledger.entries)
+    return M.insert_ignore(marked.where("source = 0"), marked.where("source = 1"), ["account_id", "fingerprint"]).select("source_row", "outcome")
+
+
+@query("snk_upsert", "select account_id, amount_minor, source_row from (select *, row_number() over (partition by account_id order by source desc, source_row desc) as k from entries) s where k = 1", "entries")
+def snk_upsert(ledger):
+    old, new = (ledger.entries.where(f"source = {k}").withColumn("seq", F.col("source_row")) for k in (0, 1))
+    return M.upsert(old, new, ["account_id"], "seq").select("account_id", "amount_minor", "source_row")
+
+
+@query("snk_upsert_guarded", """
+select coalesce(o.account_id, n.account_id) as account_id, case when o.account_id is null then n.amount_minor when o.amount_minor % 3 = 0 then o.amount_minor when n.account_id is null then o.amount_minor else n.amount_minor end as amount_minor from
+(select account_id, max(amount_minor) as amount_minor from entries where source = 0 group by 1) o full outer join (select account_id, max(amount_minor) as amount_minor from entries where source = 1 group by 1) n on n.account_id = o.account_id""", "entries")
+def snk_upsert_guarded(ledger):
+    old, new = (ledger.entries.where(f"source = {k}").groupBy("account_id").agg(F.max("amount_minor").alias("amount_minor")) for k in (0, 1))
+    return M.upsert_guarded(old, new, ["account_id"], F.col("old.amount_minor") % 3 == 0)
+
+
+@query("snk_version", """
+select account_id, source_row, case when k = 1 then 'new' when amount_minor = before then 'unchanged' when seen_before then 'recovered_version' else 'new_version' end as status from (
+  select *, row_number() over w as k, lag(amount_minor) over w as before, row_number() over (partition by account_id, amount_minor order by source_row) > 1 as seen_before from entries window w as (partition by account_id order by source_row)) s""", "entries")
+def snk_version(ledger):
+    return M.versions(ledger.entries, ["account_id"], "amount_minor", "source_row").select("account_id", "source_row", "status")
+
+
+@query("op_merchant", "select canonical_name, min(p_partkey) as merchant_id from (select p_partkey, trim(regexp_replace(upper(p_name), '\\s+', ' ', 'g')) as canonical_name from part) s group by 1")
+def op_merchant(ledger):
+    from hearthbook.functions.text import normalize_name
+
+    return ledger.table("part").groupBy(normalize_name(F.col("p_name"), ascii_only=True).alias("canonical_name")).agg(F.min("p_partkey").alias("merchant_id"))
+
+
+@query("snk_corrections", """
+select account_id, max(case when field = 'a' then value end) as a, max(case when field = 'b' then value end) as b from (
+  select account_id, case when source_row % 3 = 0 then 'a' else 'b' end as field, description_raw || cast(source_row as varchar) as value, row_number() over (partition by account_id, source_row % 3 = 0 order by source_row desc) as k from entries) s where k = 1 group by 1""", "entries")
+def snk_corrections(ledger):
+    changes = ledger.entries.select("account_id", F.when(F.col("source_row") % 3 == 0, "a").otherwise("b").alias("field"), F.concat("description_raw", F.col("source_row").cast("string")).alias("value"), "source_row")
+    return M.latest_corrections(changes, ["account_id"], "field", "value", "source_row", ["a", "b"])
