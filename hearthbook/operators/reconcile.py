@@ -44,31 +44,62 @@ def receipt_candidates(receipts: DataFrame, postings: DataFrame, rejected: DataF
     return pairs.select("receipt_id", "posting_id", "currency", "amount_minor", score.alias("score"), method.alias("method"))
 
 
-def _pick(group: pd.DataFrame) -> pd.DataFrame:
-    """Receipts in id order; a taken posting is no candidate any more.  Status link, or open where several stay plausible."""
-    taken, out = set(), []
-    for receipt, pairs in group.sort_values(["receipt_id", "posting_id"]).groupby("receipt_id", sort=True):
-        left = pairs[~pairs["posting_id"].isin(taken)].sort_values(["score", "posting_id"], ascending=[False, True])
-        if left.empty:
-            continue
-        best = left.iloc[0]
-        if len(left) == 1 or (best["score"] >= SURE and best["score"] - left.iloc[1]["score"] >= LEAD):
-            taken.add(best["posting_id"])
-            out.append((receipt, best["posting_id"], best["score"], best["method"], "link"))
-        else:
-            out += [(receipt, p, s, m, "open") for p, s, m in zip(left["posting_id"], left["score"], left["method"], strict=True)]
-    return pd.DataFrame(out, columns=["receipt_id", "posting_id", "score", "method", "status"])
+def _in_turn(pairs: DataFrame, left: str, right: str, decide, schema: str) -> DataFrame:
+    """Resolves candidates one left row after another, in id order inside each currency and amount.
+
+    decide (a left row's remaining candidates) gives (chosen candidate or None,
+    candidates that stay open); a chosen right row is gone for later left rows.
+    Rows stream through in sorted order, so a task holds one left row's
+    candidates and the ids taken in its current group.
+    """
+    columns = pairs.columns
+
+    def run(batches):
+        group, current, taken, held, out = None, None, set(), [], []
+
+        def close():
+            free = [c for c in held if c[right] not in taken]
+            chosen, still_open = decide(free) if free else (None, [])
+            if chosen:
+                taken.add(chosen[right])
+                out.append({**chosen, "status": "link"})
+            out.extend({**c, "status": "open"} for c in still_open)
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                key = (row["currency"], row["amount_minor"])
+                if held and (key != group or row[left] != current):
+                    close()
+                    held = []
+                if key != group:
+                    group, taken = key, set()
+                current = row[left]
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out)[[*columns, "status"]]
+                out = []
+        if held:
+            close()
+        if out:
+            yield pd.DataFrame(out)[[*columns, "status"]]
+
+    dealt = pairs.repartition("currency", "amount_minor").sortWithinPartitions("currency", "amount_minor", left, right)
+    return dealt.mapInPandas(run, schema)
+
+
+def _best_receipt(free: list[dict]):
+    """The only candidate, or the best if it is sure and clearly ahead; else all stay open."""
+    ranked = sorted(free, key=lambda c: (-c["score"], c["posting_id"]))
+    if len(ranked) == 1 or (ranked[0]["score"] >= SURE and ranked[0]["score"] - ranked[1]["score"] >= LEAD):
+        return ranked[0], []
+    return None, ranked
 
 
 def link_receipts(receipts: DataFrame, postings: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """(receipt_id, posting_id, score, method, status): links, and the candidates of receipts that stay open."""
     pairs = receipt_candidates(receipts, postings, rejected)
-    # a receipt whose candidates are all alone needs no order: only contested groups go to Python
-    mine = F.count("*").over(W.partitionBy("currency", "amount_minor"))
-    sized = pairs.withColumn("pairs", mine)
-    alone = sized.where("pairs = 1").select("receipt_id", "posting_id", F.col("score").cast("long").alias("score"), "method", F.lit("link").alias("status"))
-    rest = sized.where("pairs > 1").groupBy("currency", "amount_minor").applyInPandas(lambda g: _pick(g), "receipt_id long, posting_id long, score long, method string, status string")
-    return alone.unionByName(rest)
+    kinds = "receipt_id long, posting_id long, currency string, amount_minor long, score int, method string, status string"
+    return _in_turn(pairs, "receipt_id", "posting_id", _best_receipt, kinds).drop("currency", "amount_minor")
 
 
 def transfer_candidates(rows: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -84,21 +115,17 @@ def transfer_candidates(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     return pairs.select("out_id", "in_id", "currency", "amount_minor", score.alias("score"), moving("out_type").alias("says_so"))
 
 
-def _pair(group: pd.DataFrame) -> pd.DataFrame:
-    taken, out = set(), []
-    for source, pairs in group.sort_values(["out_id", "in_id"]).groupby("out_id", sort=True):
-        left = pairs[~pairs["in_id"].isin(taken)]
-        if len(left) == 1:
-            taken.add(left.iloc[0]["in_id"])
-            out.append((source, left.iloc[0]["in_id"], left.iloc[0]["score"], "link"))
-        elif len(left) > 1 and left.iloc[0]["says_so"]:
-            out += [(source, i, s, "open") for i, s in zip(left["in_id"], left["score"], strict=True)]
-    return pd.DataFrame(out, columns=["out_id", "in_id", "score", "status"])
+def _only_transfer(free: list[dict]):
+    """The only candidate; several stay open if the outflow itself says that it moves money."""
+    if len(free) == 1:
+        return free[0], []
+    return None, free if free[0]["says_so"] else []
 
 
 def link_transfers(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """(out_id, in_id, score, status)."""
-    return transfer_candidates(rows, accounts).groupBy("currency", "amount_minor").applyInPandas(lambda g: _pair(g), "out_id long, in_id long, score long, status string")
+    kinds = "out_id long, in_id long, currency string, amount_minor long, score int, says_so boolean, status string"
+    return _in_turn(transfer_candidates(rows, accounts), "out_id", "in_id", _only_transfer, kinds).select("out_id", "in_id", "score", "status")
 
 
 def link_refunds(rows: DataFrame, id_column: str = "transaction_id") -> DataFrame:
