@@ -44,34 +44,21 @@ def display_text(minor: Column, currency: Column) -> Column:
 
 def to_minor(text: Column, currency: Column) -> Column:
     """Struct (minor, error) of a printed amount such as "-1,234.50", "(45.10)", "45.10-" or "25.00 USD"."""
+    # one pattern, so that each part is one extraction from the text and nothing is computed twice
+    marks = "".join(SYMBOLS)
+    pattern = rf"^(\(?)\s*([+-]?)\s*([{marks}]?)\s*([+-]?)\s*({NUMBER})\s*((?:[A-Za-z]{{3}})?)\s*(-?)\s*(\)?)$"
+    part = lambda k: F.regexp_extract(F.trim(text), pattern, k)
     places = decimals(currency)
-    steps = F.trim(text)
-    boxed = steps.rlike(r"^\(.*\)$")
-    inner = F.trim(F.regexp_replace(steps, r"^\((.*)\)$", "$1"))
-    trailing = inner.rlike(r"-$")
-    inner = F.trim(F.regexp_replace(inner, r"-$", ""))
-    sign_one = F.regexp_extract(inner, r"^([+-])", 1)
-    inner = F.trim(F.regexp_replace(inner, r"^[+-]", ""))
-    code = F.upper(F.regexp_extract(inner, r"([A-Za-z]{3})$", 1))
-    inner = F.trim(F.regexp_replace(inner, r"[A-Za-z]{3}$", ""))
-    wrong_code = (code != "") & (code != currency)
-    symbol = F.regexp_extract(inner, "^([" + "".join(SYMBOLS) + "])", 1)
-    wrong_symbol = F.lit(False)
-    for mark, allowed in SYMBOLS.items():
-        wrong_symbol = F.when(symbol == mark, ~currency.isin(*allowed)).otherwise(wrong_symbol)
-    inner = F.trim(F.regexp_replace(inner, "^[" + "".join(SYMBOLS) + "]", ""))
-    sign_two = F.regexp_extract(inner, r"^([+-])", 1)
-    inner = F.trim(F.regexp_replace(inner, r"^[+-]", ""))
-    valid = inner.rlike(f"^(?:{NUMBER})$")
-    number = F.regexp_replace(inner, ",", "")
-    value = F.when(valid, F.concat(F.when(F.startswith(number, F.lit(".")), F.lit("0")).otherwise(F.lit("")), number))
-    whole, part = F.substring_index(value, ".", 1), F.when(F.contains(value, F.lit(".")), F.substring_index(value, ".", -1)).otherwise(F.lit(""))
-    fits = F.rtrim(part, F.lit("0"))
-    too_fine = F.length(fits) > places
-    minor = F.concat(whole, F.rpad(F.when(too_fine, F.lit("")).otherwise(fits), places, "0")).try_cast("bigint")
-    negatives = boxed.cast("int") + trailing.cast("int") + (sign_one == "-").cast("int") + (sign_two == "-").cast("int")
+    opened, closed, symbol, code = part(1), part(8), part(3), F.upper(part(6))
+    allowed = F.create_map(*(F.lit(x) for mark, codes in SYMBOLS.items() for x in (mark, ",".join(codes))))
+    wrong_symbol = (symbol != "") & ~F.contains(F.try_element_at(allowed, symbol), currency)
+    number = F.replace(part(5), F.lit(","), F.lit(""))
+    whole = F.substring_index(number, ".", 1)
+    fine = F.rtrim(F.regexp_extract(part(5), r"\.(\d+)$", 1), F.lit("0"))
+    minor = F.concat(F.when(whole == "", "0").otherwise(whole), F.rpad(fine, places, "0")).try_cast("bigint")
+    negatives = F.length(opened) + (part(2) == "-").cast("int") + (part(4) == "-").cast("int") + F.length(part(7))
     error = (
-        F.when(places.isNull(), "currency").when(text.isNull(), "missing").when(wrong_code, "other currency").when(wrong_symbol, "other symbol")
-        .when(~valid, "not a number").when(too_fine, "precision").when(minor.isNull(), "too large")
+        F.when(places.isNull(), "currency").when(text.isNull(), "missing").when((number == "") | (F.length(opened) != F.length(closed)), "not a number")
+        .when((code != "") & (code != currency), "other currency").when(wrong_symbol, "other symbol").when(F.length(fine) > places, "precision").when(minor.isNull(), "too large")
     )
     return F.struct(F.when(error.isNull(), F.when(negatives % 2 == 1, -minor).otherwise(minor)).alias("minor"), error.alias("error"))
