@@ -115,23 +115,25 @@ def _likely(threshold: float, miss: float):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact test on two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _equal_enough(percent: int):
     def run(batches):
         for batch in batches:
-            kept = []
-            for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    kept.append(k)
+            sets = ([np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column(c)] for c in ("set_a", "set_b"))
+            kept = [k for k, (x, y) in enumerate(zip(*sets, strict=True)) if _linked(x, y, percent)]
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = 21, rows: int = 6, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = 21, rows: int = 6, miss: float = 1e-5) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
@@ -160,110 +162,137 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
 
 
 def _links(spark: SparkSession, docs, classes, scratch, width, percent, lower, bands, rows, miss) -> DataFrame:
-    bucketed = classes.select("key", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")).alias("bucket"))
+    bucketed = classes.select("key", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")).alias("band", "bucket"))
     buckets = bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1")
-    member = scratch.keep("member", bucketed.join(buckets, "bucket").select("bucket", "size", "pivot", "key"))
+    member = scratch.keep("member", bucketed.join(buckets, "bucket").select("bucket", "band", "size", "pivot", "key"))
     # full sets of the classes that share a bucket with another
     needed = classes.join(member.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
     text = docs.select("doc_id", "text").where("text is not null")
     sets = scratch.keep("sets", needed.join(text, needed["doc_id"].eqNullSafe(text["doc_id"])).select("key", "text").mapInArrow(_sets_of(width, lower), "key binary, members binary").dropDuplicates(["key"]))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, b) distinct -> those that pass the posterior test and the exact one."""
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs (a, b) distinct -> those that pass the posterior test."""
         left = classes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         right = classes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         sized = pairs.join(right, "b").join(left, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        likely = scratch.keep(f"{name}-likely", sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100, miss), "a binary, b binary"))
-        full = likely.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        return scratch.keep(f"{name}-likely", sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100, miss), "a binary, b binary"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of likely pairs that pass the exact test on full sets."""
+        full = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
         return scratch.keep(name, full.select("a", "b", "set_a", "set_b").mapInArrow(_equal_enough(percent), "a binary, b binary"))
 
     star = member.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    first = verified(star, "star")
+    first = verified(likely(star, "star"), "star")
     roots = components(first, scratch, "star-cc")
     # what a bucket of three or more still holds apart
-    apart = member.where("size > 2").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    mixed = apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    mixed = scratch.keep("mixed", apart.join(mixed, "bucket", "left_semi"))
+    apart = member.where("size > 2").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
+    several = apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    mixed = scratch.keep("mixed", apart.join(several, "bucket", "left_semi"))
     sized = _private(sets, mixed.select("key").distinct(), scratch)
     # a second star around each bucket's most central class: the one with the smallest share of members of its own
     central = mixed.join(sized.select("key", (F.col("private") / F.col("n")).alias("share")), "key")
     middle = central.groupBy("bucket").agg(F.min(F.struct("share", "key", "root")).alias("m")).select("bucket", F.col("m.key").alias("a"), F.col("m.root").alias("root_a"))
     inner = mixed.join(middle, "bucket").where("root <> root_a").select("a", F.col("key").alias("b")).distinct()
-    first = first.unionAll(verified(inner, "inner"))
+    first = first.unionAll(verified(likely(inner, "inner"), "inner"))
     roots = components(first, scratch, "inner-cc")
-    regrouped = mixed.select("bucket", "key").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    mixed = regrouped.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    open_keys = scratch.keep("apart", regrouped.join(mixed, "bucket", "left_semi").select("key", "root").distinct())
-    done = star.unionAll(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _rare_pairs(sets, open_keys, sized, scratch, percent).join(done, ["a", "b"], "left_anti")
-    return first.unionAll(verified(rest, "rest"))
+    regrouped = mixed.select("bucket", "band", "key").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
+    return first.unionAll(scratch.keep("rest", _across(regrouped, classes, sets, sized, scratch, percent, rows, miss)))
+
+
+def _members(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = np.frombuffer(batch.column("members")[k].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_pydict({"member": one, "key": pa.repeat(batch.column("key")[k], len(one))})
 
 
 def _private(sets: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, n, private): sizes, and how many members no other set of ``keys`` has; the table "counts" keeps each member's count."""
+    """(key, n, private): sizes, and how many members no other set of ``keys`` has."""
     held = sets.join(keys, "key", "left_semi")
-    each = held.mapInArrow(_members, "shingle long, key binary")
-    counts = scratch.keep("counts", each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("key").alias("key")))
-    private = counts.where("df = 1").groupBy("key").agg(F.count("*").alias("private"))
+    each = held.mapInArrow(_members, "member long, key binary")
+    single = each.groupBy("member").agg(F.count("*").alias("df"), F.min("key").alias("key")).where("df = 1")
+    private = single.groupBy("key").agg(F.count("*").alias("private"))
     return scratch.keep("private", held.select("key", (F.octet_length("members") / 8).cast("long").alias("n")).join(private, "key", "left").na.fill(0, ["private"]))
 
 
-def _members(batches):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            one = np.frombuffer(batch.column("members")[k].as_buffer(), np.int64)
-            rest = {c: pa.repeat(batch.column(c)[k], len(one)) for c in batch.schema.names if c != "members"}
-            yield pa.RecordBatch.from_pydict({"shingle": one, **rest})
+#: Classes of a bucket that one block compares with the bucket's outsiders.
+BLOCK = 512
 
 
-def _prefixes(percent: int):
-    """Rows that a set posts: as the smaller partner under its own size class, as the larger one under each class of smaller sizes.
+def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, sized: DataFrame, scratch: Scratch, percent: int, rows: int, miss: float) -> DataFrame:
+    """Links (a < b) between different components of one bucket.
 
-    Sorted from rare to common, two sets with the wanted overlap share a member
-    among the first n - overlap + 1 of each; the private members come first.
+    A class whose private members alone exceed what the threshold lets it miss has
+    no partner and leaves at once.  The classes outside a bucket's largest component
+    are compared with the whole bucket, block by block inside a task: by signature
+    and posterior, then on the full sets; only links leave it.  A pair is compared
+    in the first band that it shares.
     """
-    step = np.log(1.02)
-
-    def needed(n: int, other: int) -> int:
-        return -(-percent * (n + other) // (100 + percent))
+    alive = scratch.keep("apart", mixed.join(sized.where(f"100 * (n - private) >= {percent} * n"), "key"))
+    tally = alive.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    main = tally.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    main = main.select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    full = alive.join(main, "bucket").join(classes.select("key", "sig").join(sets, "key"), "key")
+    full = full.withColumn("outside", F.col("root") != F.col("main"))
+    columns = ["bucket", "block", "asks", "band", "key", "root", "n", "private", "outside", "sig", "members"]
+    asked = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*columns)
+    asking = full.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*columns)
+    blocks = asked.unionAll(asking).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
+    return blocks.mapInArrow(_compared(percent, rows, miss), "a binary, b binary")
+
+
+def _compared(percent: int, rows: int, miss: float):
+    least = least_matches(percent / 100, miss)
+
+    def block(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
+        column = {c: table.column(c).to_numpy() for c in ("asks", "n", "private", "outside")}
+        key, root = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("key", "root"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, PERMUTATIONS)
+        band = table.column("band")[0].as_py()
+        bands = sig[:, : (PERMUTATIONS // rows) * rows].reshape(len(sig), -1, rows)
+        members = [np.frombuffer(m.as_buffer(), np.uint64) for c in table.column("members").chunks for m in c]
+        ys = np.flatnonzero(~column["asks"])
+        a, b = [], []
+        for x in np.flatnonzero(column["asks"]):
+            y = ys[root[ys] != root[x]]
+            y = y[~column["outside"][y] | (key[y] < key[x])]
+            n, most = column["n"][y] + column["n"][x], np.minimum(column["n"][y] - column["private"][y], column["n"][x] - column["private"][x])
+            y = y[(100 * most >= percent * (n - most)) & (100 * np.minimum(column["n"][y], column["n"][x]) >= percent * np.maximum(column["n"][y], column["n"][x]))]
+            if band:
+                y = y[~(bands[y, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
+            matches = np.zeros(len(y), dtype=np.int64)
+            for k, enough in enumerate(least):
+                matches += (sig[y, k * BATCH : (k + 1) * BATCH] == sig[x, k * BATCH : (k + 1) * BATCH]).sum(axis=1)
+                y, matches = y[matches >= enough], matches[matches >= enough]
+            y = [k for k in y if _linked(members[x], members[k], percent)]
+            a += [min(key[x], key[k]) for k in y]
+            b += [max(key[x], key[k]) for k in y]
+        return a, b
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                n, own = r["n"], int(np.log(r["n"]) / step)
-                rare = [m["shingle"] for m in sorted(r["shared"], key=lambda m: (m["df"], m["shingle"]))]
-                roles = [(own, False, n)]
-                roles += [(c, True, max(1, int(np.exp(c * step)) - 1)) for c in range(int(np.log(max(1, percent * n / 100)) / step) - 1, own + 1)]
-                for size_class, larger, other in roles:
-                    for shingle in rare[: max(0, n - needed(n, min(other, n)) + 1 - r["private"])]:
-                        out.append((shingle, size_class, larger, r["key"], r["root"], n, r["private"]))
-            names = ["shingle", "size_class", "larger", "key", "root", "n", "private"]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-    return run
-
-
-def _rare_pairs(sets: DataFrame, keys: DataFrame, sized: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components that can still reach the threshold.
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column("bucket").to_numpy(), batch.column("block").to_numpy().astype(np.int64)])
+            if held and (place[:, 0] != last).any():
+                yield out(*block(pa.Table.from_batches(held)))
+                held = []
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            a, b = [], []
+            for start, stop in zip(edges[:-2], edges[1:-1], strict=True):
+                more = block(pa.Table.from_batches([*held, batch.slice(start, stop - start)]))
+                held = []
+                a, b = a + more[0], b + more[1]
+            held.append(batch.slice(edges[-2]))
+            last = place[:, -1]
+            yield out(a, b)
+        if held:
+            yield out(*block(pa.Table.from_batches(held)))
+
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    A set whose private members alone exceed what the threshold lets it miss has
-    no partner and leaves at once.  The others meet over their rarest shared
-    members and size classes; inside such a meeting only members outside its
-    largest component are compared, so a large group whose links are known costs
-    nothing.
-    """
-    counts = keys.sparkSession.read.parquet(scratch.path("counts"))
-    alive = keys.join(sized, "key").where(f"100 * (n - private) >= {percent} * n").join(sets, "key").select("key", "root", "members", "n", "private")
-    shared = alive.mapInArrow(_members, "shingle long, key binary, root binary, n long, private long").join(counts.where("df > 1").select("shingle", "df"), "shingle")
-    rare = shared.groupBy("key", "root", "n", "private").agg(F.collect_list(F.struct("shingle", "df")).alias("shared"))
-    posted = scratch.keep("posted", rare.mapInArrow(_prefixes(percent), "shingle long, size_class long, larger boolean, key binary, root binary, n long, private long"))
-    at = ["shingle", "size_class"]
-    tally = posted.groupBy(*at, "root").agg(F.count("*").alias("c"))
-    main = tally.groupBy(*at).agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select(*at, F.col("top.root").alias("main"))
-    meeting = posted.join(main, at)
-    few = meeting.where("root <> main").select(*at, F.col("larger").alias("larger_x"), F.col("key").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("private").alias("private_x"))
-    most = "least(n - private, n_x - private_x)"
-    pairs = few.join(meeting, at).where(f"larger <> larger_x and root <> root_x and if(larger, n >= n_x, n <= n_x) and 100 * {most} >= {percent} * (n + n_x - {most})")
-    return pairs.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
+    return run
