@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthbook.llm import language_id, mpeg_audio, permutation_index, toxicity, warc
+from hearthbook.llm import language_id, mpeg_audio, oracles, permutation_index, toxicity, warc
 from hearthbook.llm._store import Scratch
 from hearthbook.llm.mixing import decide
 from hearthbook.llm.near_dedup import near_duplicates
@@ -101,4 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ecoc_language_id": op9_ecoc_language_id,
     "op10_dp_packing": op10_dp_packing,
 }
-ORACLES: dict[str, str] = {}
+#: The others have none: trained models, token ids, audio frames and an approximate index are not SQL, and substring spans hash runs of sentences; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op4_fair_queue_mixing": oracles.MIXING,
+    "op5_warc_revisits": oracles.REVISITS,
+    "op6_redirect_url_filter": oracles.url_filter(URL_RULES),
+}
