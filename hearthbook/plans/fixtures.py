@@ -49,6 +49,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                case o_orderkey % 10 when 1 then 'transfer' when 2 then 'payment' else 'purchase' end as transaction_type,
                case when o_orderkey % 8 = 0 then 'rejected' else 'proposed' end as review_status
         from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"""),
+    "receipt_links": ((), """
+        select o_orderkey * 2 + k as link_id, o_orderkey as receipt_id, o_orderkey + k as posting_id, 60 + cast(o_orderkey % 5 as int) * 10 as score, 'amount+merchant' as match_method,
+               case (o_orderkey + k) % 7 when 0 then 'rejected' when 1 then 'verified' else 'proposed' end as review_status
+        from orders cross join (select 0 as k union all select 1) steps where o_orderkey % 3 = 0 and o_orderkey % 4 <> 1"""),
     "bills": ((), f"""
         select o_orderkey as bill_id, upper(n_name) as provider, cast(o_orderdate as date) as issue_date, cast(o_orderdate as date) + 30 as due_date, {_CURRENCY} as currency,
                {_BUCKET} as amount_due_minor, case o_orderkey % 4 when 1 then 'paid' when 2 then 'unpaid' else 'unknown' end as payment_status,
