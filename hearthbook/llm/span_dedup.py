@@ -5,7 +5,7 @@ every sentence the shortest run of at least ``sentences`` sentences and
 ``words`` words is hashed, once forwards from it and once backwards; so every
 sentence of a repeated passage that long is covered by a run that lies inside
 the passage.  A single sentence of ``alone`` words or more is a run too.  Runs
-are compared as sequences of lower-cased words (two 64-bit hashes).  The first
+are compared as sequences of lower-cased words (96 bits of two hashes).  The first
 occurrence of a run, by doc_id and position, stays; sentences that any later
 occurrence covers are removed.
 """
@@ -86,7 +86,7 @@ def _spans(sentences: int, words: int, alone: int):
                 of, first, stop, h1, h2 = runs(*_text.utf8(batch.column("text")), sentences, words, alone)
                 of = pa.array(of)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(of), batch.column("print").take(of), pa.array(first), pa.array(stop), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    batch.column("doc_id").take(of), batch.column("print").take(of), pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                 ], ["doc_id", "print", "start", "stop", "h1", "h2"])
     return run
 
@@ -128,8 +128,8 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 30, alone:
     kept = docs.drop("n_sentences", "n_removed", "print", "covered")
     names = kept.columns
     kind = kept.schema["doc_id"].dataType.simpleString()
-    marked = kept.withColumn("print", F.xxhash64("text"))
-    spans = marked.select("doc_id", "print", "text").mapInArrow(_spans(sentences, words, alone), f"doc_id {kind}, print long, start long, stop long, h1 long, h2 long")
+    marked = kept.withColumn("print", F.hash("text"))
+    spans = marked.select("doc_id", "print", "text").mapInArrow(_spans(sentences, words, alone), f"doc_id {kind}, print int, start int, stop int, h1 long, h2 int")
     place = F.struct("doc_id", "print", "start")
     first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "first")
     later = spans.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
