@@ -116,7 +116,7 @@ def _removed(names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 30, alone: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 24, alone: int = 40) -> DataFrame:
     """docs (doc_id, text, ...) with repeated passages cut from text, plus n_sentences and n_removed.
 
     Every row comes back once, in no order.  Null and empty texts have no

@@ -120,11 +120,11 @@ def test_span_removal_matches_brute_force(spark):
         out = set()
         for i in range(len(parts)):
             for j in range(i + 1, len(parts) + 1):
-                if j - i >= 2 and sum(len(p.split()) for p in parts[i:j]) >= 30:
+                if j - i >= 2 and sum(len(p.split()) for p in parts[i:j]) >= 24:
                     out.add((i, j))
                     break
             for k in range(i, -1, -1):
-                if i + 1 - k >= 2 and sum(len(p.split()) for p in parts[k : i + 1]) >= 30:
+                if i + 1 - k >= 2 and sum(len(p.split()) for p in parts[k : i + 1]) >= 24:
                     out.add((k, i + 1))
                     break
         return out
