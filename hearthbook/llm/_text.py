@@ -56,12 +56,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def passes(batch: pa.RecordBatch, column: str, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most so many bytes of text, one row at least."""
+def passes(batch: pa.RecordBatch, column: str, most: int = PASS_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes of text and rows, one row at least."""
     _, at = utf8(batch.column(column))
     row = 0
     while row < batch.num_rows:
-        stop = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        stop = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1))
         yield batch.slice(row, stop - row)
         row = stop
 

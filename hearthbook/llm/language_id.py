@@ -76,7 +76,7 @@ def shares(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sampled(batches):
     for whole in batches:
-        for batch in _text.passes(whole, "text"):
+        for batch in _text.passes(whole, "text", rows=512):
             rows = shares(*_text.utf8(batch.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "shares"])
 
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: dict, gap: float = 0.1) -> DataFrame:
     def run(batches):
         m = shared.value
         for whole in batches:
-            for batch in _text.passes(whole, "text"):
+            for batch in _text.passes(whole, "text", rows=512):
                 rows = batch.num_rows
                 letter = np.array(batch.column("has_letter").to_pylist(), dtype=bool)
                 if m["names"]:
