@@ -1,6 +1,7 @@
 import random
 import re
 
+from hearthbook.llm import near_dedup
 from hearthbook.llm.near_dedup import least_matches, near_duplicates
 
 
@@ -57,8 +58,9 @@ def corpus(seed):
     return [(k, rows[i]) for k, i in enumerate(order)]
 
 
-def test_components_match_brute_force(spark):
-    for seed, width, percent in ((1, 3, 85), (2, 5, 80)):
+def test_components_match_brute_force(spark, monkeypatch):
+    for seed, width, percent, block in ((1, 3, 85, 512), (2, 5, 80, 4)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         rows = corpus(seed)
         found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found)
