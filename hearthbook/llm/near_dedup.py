@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthbook.llm import _text
@@ -144,14 +144,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     with the smallest id are kept); a null doc_id never names a component unless all
     its members are null.  Other columns of docs are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.select("doc_id", "text").mapInArrow(_signed(width, lower), f"doc_id {kind}, n_shingles long, key binary, sig binary")
     signed = scratch.keep("signed", signed)
     classes = scratch.keep("classes", signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    links = _links(spark, docs, classes, scratch, width, percent, lower, bands, rows, miss)
-    roots = components(links, scratch, "all")
+    roots = components(_links(docs, classes, scratch, width, percent, lower, bands, rows, miss), scratch, "all")
     plain = signed.select("doc_id", "n_shingles", "key")
     named = classes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -161,9 +159,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(spark: SparkSession, docs, classes, scratch, width, percent, lower, bands, rows, miss) -> DataFrame:
+def _links(docs, classes, scratch, width, percent, lower, bands, rows, miss) -> DataFrame:
+    """(a, b) whose components are those of all links: known components as links to their roots, and the last links found."""
     bucketed = classes.select("key", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")).alias("band", "bucket"))
-    buckets = bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1")
+    # written, so that both sides of the next join are plain shuffles and adaptive execution can split a crowded bucket
+    buckets = scratch.keep("buckets", bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1"))
     member = scratch.keep("member", bucketed.join(buckets, "bucket").select("bucket", "band", "size", "pivot", "key"))
     # full sets of the classes that share a bucket with another
     needed = classes.join(member.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
@@ -194,10 +194,10 @@ def _links(spark: SparkSession, docs, classes, scratch, width, percent, lower, b
     central = mixed.join(sized.select("key", (F.col("private") / F.col("n")).alias("share")), "key")
     middle = central.groupBy("bucket").agg(F.min(F.struct("share", "key", "root")).alias("m")).select("bucket", F.col("m.key").alias("a"), F.col("m.root").alias("root_a"))
     inner = mixed.join(middle, "bucket").where("root <> root_a").select("a", F.col("key").alias("b")).distinct()
-    first = first.unionAll(verified(likely(inner, "inner"), "inner"))
-    roots = components(first, scratch, "inner-cc")
+    rooted = lambda known: known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(rooted(roots).unionAll(verified(likely(inner, "inner"), "inner")), scratch, "inner-cc")
     regrouped = mixed.select("bucket", "band", "key").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
-    return first.unionAll(scratch.keep("rest", _across(regrouped, classes, sets, sized, scratch, percent, rows, miss)))
+    return rooted(roots).unionAll(scratch.keep("rest", _across(regrouped, classes, sets, sized, scratch, percent, rows, miss)))
 
 
 def _members(batches):
@@ -216,7 +216,7 @@ def _private(sets: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep("private", held.select("key", (F.octet_length("members") / 8).cast("long").alias("n")).join(private, "key", "left").na.fill(0, ["private"]))
 
 
-#: Classes of a bucket that one block compares with the bucket's outsiders.
+#: Most classes, about, on either side of a block: those of a bucket, and the outsiders they are compared with.
 BLOCK = 512
 
 
@@ -232,12 +232,16 @@ def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, sized: DataFr
     alive = scratch.keep("apart", mixed.join(sized.where(f"100 * (n - private) >= {percent} * n"), "key"))
     tally = alive.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     main = tally.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("roots")).where("roots > 1")
-    main = main.select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("bucket", F.col("top.root").alias("main"), blocks_of(F.col("size")).alias("rows"), blocks_of(F.col("size") - F.col("top.c")).alias("columns"))
     full = alive.join(main, "bucket").join(classes.select("key", "sig").join(sets, "key"), "key")
     full = full.withColumn("outside", F.col("root") != F.col("main"))
     columns = ["bucket", "block", "asks", "band", "key", "root", "n", "private", "outside", "sig", "members"]
-    asked = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*columns)
-    asking = full.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*columns)
+    # a grid of blocks: each of a bucket's row blocks meets each column block of its outsiders
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    asked = full.withColumn("column", every("columns")).withColumn("block", dealt("rows") * F.col("columns") + F.col("column")).withColumn("asks", F.lit(False)).select(*columns)
+    asking = full.where("outside").withColumn("row", every("rows")).withColumn("block", F.col("row") * F.col("columns") + dealt("columns")).withColumn("asks", F.lit(True)).select(*columns)
     blocks = asked.unionAll(asking).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
     return blocks.mapInArrow(_compared(percent, rows, miss), "a binary, b binary")
 
