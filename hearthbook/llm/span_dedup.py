@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from hearthbook.llm import _text
+from hearthbook.llm._store import Scratch
 
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
@@ -132,6 +133,8 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 24, alone:
     spans = marked.select("doc_id", "print", "text").mapInArrow(_spans(sentences, words, alone), f"doc_id {kind}, print int, start int, stop int, h1 long, h2 int")
     place = F.struct("doc_id", "print", "start")
     first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "first")
+    # written, so that both sides of the next join are plain shuffles and adaptive execution can split a passage that many texts hold
+    first = Scratch(docs.sparkSession, "spans").keep("first", first)
     later = spans.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = later.select("doc_id", "print", "start", "stop").distinct().groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
     covered = covered.select(F.col("doc_id").alias("in_doc"), F.col("print").alias("in_print"), "covered")
