@@ -1,10 +1,11 @@
 """WARC archives without repeated payloads, written and read as Spark text with WARC's own separators.
 
 Records are UTF-8 rows whose row separator is the CRLF CRLF that ends a record,
-so Spark's text writer lays down valid WARC/1.1 files in any store and its
-reader splits them at ``CRLF CRLF WARC/1.1 CRLF``.  Payloads that hold those
-bytes themselves go to archives of their own, which are parsed by
-Content-Length.
+so Spark's text writer lays down valid WARC/1.1 files in any store.  Its reader
+splits them at ``WARC/1.1 CRLF WARC-Type: ``, and blocks are cut by
+Content-Length.  No start of that separator is the end of a record, so a read
+buffer that ends anywhere misses none.  Records that hold it a second time go to
+archives of their own, which are parsed by Content-Length.
 
 Only headers are shuffled by payload digest: per digest the record with the
 largest id stays a response, the others become revisits of it.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-END, MARK = "\r\n\r\n", "\r\n\r\nWARC/1.1\r\n"
+END, MARK = "\r\n\r\n", "WARC/1.1\r\nWARC-Type: "
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARTS = ("plain", "nested")
@@ -62,8 +63,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
     record = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        _header("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
+        F.lit(MARK), F.when(again, F.lit("revisit\r\n")).otherwise(F.lit("response\r\n")),
         _header("WARC-Record-ID", name(F.col("id"))),
         _header("WARC-Date", F.lit(date)),
         _header("WARC-Target-URI", F.col("target")),
@@ -73,7 +73,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         _header("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"), block,
     )
-    nested = ~again & F.contains("payload", F.lit(MARK[:-2]))
+    nested = F.contains(block, F.lit(MARK))
     written = full.select(record.alias("value"), F.when(nested, F.lit(PARTS[1])).otherwise(F.lit(PARTS[0])).alias("part"))
     written.write.mode("overwrite").partitionBy("part").option("lineSep", END).option("compression", compression).text(path)
 
@@ -103,8 +103,8 @@ def _parsed(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, target, digest, refers_to, http, payload) of the archives that write_archives left."""
-    text = spark.read.schema("value string, part string").option("lineSep", MARK).text(path).where(F.col("part") == PARTS[0]).select("value")
-    whole = F.when(F.startswith("value", F.lit("WARC/1.1\r\n")), F.expr("substring(value, 11)")).otherwise(F.col("value"))
+    text = spark.read.schema("value string, part string").option("lineSep", MARK).text(path).where(F.col("part") == PARTS[0]).where("value <> ''").select("value")  # nothing stands before a file's first record
+    whole = F.concat(F.lit("WARC-Type: "), "value")
     head = F.substring_index("value", END, 1)
     size = F.regexp_extract("head", r"(?m)^Content-Length: (\d+)", 1).cast("int")
     plain = text.select(whole.alias("value")).withColumn("head", head)

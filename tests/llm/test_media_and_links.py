@@ -70,6 +70,21 @@ def test_archives_resolve_revisits(spark, tmp_path):
     assert sizes.where("refers_to is not null").count() == 0
 
 
+def test_many_short_revisits_come_back_whole(spark, tmp_path):
+    pages = spark.range(200000).selectExpr("id as page_id", "concat('http://a/', repeat('x', cast(id % 97 as int))) as url", "case when id % 3 = 0 then concat(id, '\\r\\n') else 'same' end as html")
+    for packed in ("gzip", "none"):
+        warc.write_archives(pages, f"{tmp_path}/{packed}", compression=packed)
+        found = warc.read_archives(spark, f"{tmp_path}/{packed}").selectExpr("count(*) as n", "count(distinct record_id) as ids", "count_if(record_type = 'revisit') as revisits", "count_if(record_type = 'response' and digest = '') as torn").first()
+        assert tuple(found) == (200000, 200000, 133332, 0)
+
+
+def test_a_payload_that_holds_the_separator_comes_back_whole(spark, tmp_path):
+    texts = [warc.MARK, f"x{warc.MARK}y\r\n\r\n", warc.MARK[:-1], f"{warc.MARK[:10]}{warc.MARK}", f"a\r\n\r\n{warc.MARK[:10]}b", "WARC/1.1\r\n"]
+    warc.write_archives(spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "page_id long, url string, html string"), f"{tmp_path}/held")
+    rows = {int(r.record_id[:-1].rpartition(":")[2]): bytes(r.payload).decode() for r in warc.read_archives(spark, f"{tmp_path}/held").collect()}
+    assert rows == dict(enumerate(texts))
+
+
 def test_components_match_union_find(spark):
     draw = random.Random(2)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, None), (7, 7)] + [(5000, 5000 + k) for k in range(1, 200)]
