@@ -140,6 +140,25 @@ def test_span_removal_matches_brute_force(spark):
     assert got == {k: len(lost.get(k, ())) for k, _ in rows}
 
 
+def test_passages_of_51_words_lose_words_wherever_they_are_cut(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    own = lambda: " ".join(word() for _ in range(20))
+    rows = []
+    for n, lengths in enumerate([(51,), (25, 26), (25, 35), (30, 25), (20, 20, 20), (13, 13, 25), (39, 12), (10, 41), (70,)]):
+        passage = " ".join(" ".join(word() for _ in range(k)) + "." for k in lengths)[:-1]
+        rows += [(10 * n + k, f"{own()} {passage} {own()}. {own()}.") for k in range(3)]
+    rows += [(900 + k, " ".join(word() for _ in range(200))) for k in range(3)]
+    texts = dict(rows)
+    for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        before, after = texts[r.doc_id].split(), (r.text or "").split()
+        if r.doc_id % 10 == 0 or r.doc_id >= 900:
+            assert r.text == texts[r.doc_id] and r.n_removed == 0
+        else:
+            assert r.n_removed > 0 and len(before) - len(after) >= 24
+            assert before[:20] == after[:20] and before[-40:] == after[-40:]
+
+
 def words(count):
     return " ".join(["w"] * count)
 
