@@ -42,17 +42,20 @@ class ChunkTokenizer:
 
     The byte-level pre-tokeniser always ends a token before a space that follows
     visible ASCII or is followed by it, so a text's ids are its chunks' ids in turn.
+    Texts that hold an added token's content are encoded whole by the tokenizer.
     """
 
     MOST = 1_000_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of byte-level BPE
-    PROBE = "It's  a probe:\n\n naïve 12345 — 日本語\t<|endoftext|> they'll "
+    PROBE = "It's  a probe:\n\n naïve 12345 — 日本語\t<|end of text|> they'll "
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if t.content]
+        self.all_whole = self.tokenizer.normalizer is not None and any(t.normalized for t in added)  # their contents may stand in texts in another form
         self.fast = self._fast(json.loads(vocabulary))
         ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
@@ -96,8 +99,39 @@ class ChunkTokenizer:
         cut[at[:-1][at[1:] > at[:-1]]] = True
         return np.flatnonzero(cut)
 
+    def _whole(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+        """Indices of the texts that hold an added token's content."""
+        if self.all_whole:
+            return list(range(len(at) - 1))
+        held, found = data.tobytes(), set()
+        for content in self.added:
+            place = held.find(content)
+            while place >= 0:
+                k = int(np.searchsorted(at, place, "right")) - 1
+                inside = place + len(content) <= at[k + 1]
+                found |= {k} if inside else set()
+                place = held.find(content, int(at[k + 1]) if inside else place + 1)
+        return sorted(found)
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts in a byte buffer."""
+        whole = self._whole(data, at)
+        if not whole:
+            return self._chunked(data, at)
+        ids = self.tokenizer.encode_batch([data[at[k] : at[k + 1]].tobytes().decode() for k in whole], add_special_tokens=False)
+        parts, sizes, after = [], [], 0
+        for k, encoded in zip([*whole, len(at) - 1], [*ids, None], strict=True):
+            some, bounds = self._chunked(data[at[after] : at[k]], at[after : k + 1] - at[after])
+            parts.append(some)
+            sizes.append(np.diff(bounds))
+            if encoded is not None:
+                parts.append(np.array(encoded.ids, np.uint32))
+                sizes.append(np.array([len(encoded.ids)], np.int64))
+            after = k + 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+    def _chunked(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         starts = self._cuts(data, at)

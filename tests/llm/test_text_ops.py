@@ -30,6 +30,19 @@ def test_chunked_ids_are_the_tokenizers_ids(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [w.ids for w in want]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "a", "b.", "日", "\n"]), max_size=8).map("".join)), min_size=1, max_size=6))
+def test_added_tokens_are_the_unchanged_tokenizers(texts):
+    ids, at = FAST.encode(*table(texts))
+    want = Tokenizer.from_buffer(VOCABULARY).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [w.ids for w in want]
+
+
+def test_a_text_with_an_added_token_is_packed_by_its_named_ids(spark):
+    row = packing.pack(spark.createDataFrame([(1, "one<|endoftext|> two")], "doc_id long, text string"), VOCABULARY).first()
+    assert row.doc_tokens == len(Tokenizer.from_buffer(VOCABULARY).encode("one<|endoftext|> two", add_special_tokens=False).ids) + 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aB \té", max_size=20), min_size=1, max_size=5), st.integers(1, 4))
 def test_shingles_match_words(texts, width):
