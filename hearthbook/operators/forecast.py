@@ -113,14 +113,10 @@ def yearly(projected: DataFrame) -> DataFrame:
 
 
 def loan_schedule(loans: DataFrame, months: int) -> DataFrame:
-    """loans (loan_id, balance, rate_bp, payment) -> loan_id, month, interest, balance: an integer recurrence as a recursive query."""
+    """loans (loan_id, balance, rate_bp, payment) -> loan_id, month, interest, balance: an integer recurrence, folded inside each loan's row."""
     due = "((x - pmod(x, 120000)) div 120000 + case when 2 * pmod(x, 120000) > 120000 then 1 when 2 * pmod(x, 120000) = 120000 and pmod((x - pmod(x, 120000)) div 120000, 2) = 1 then 1 else 0 end)"
-    interest = due.replace("x", "(balance * rate_bp)")
-    return loans.sparkSession.sql(
-        f"""with recursive plan(loan_id, month, interest, balance, rate_bp, payment) as (
-              select loan_id, 0, cast(0 as bigint), balance, rate_bp, payment from {{loans}}
-              union all
-              select loan_id, month + 1, cast({interest} as bigint), cast(balance + {interest} - least(payment, balance + {interest}) as bigint), rate_bp, payment from plan where month < {months} and balance > 0)
-            select loan_id, month, interest, balance from plan where month > 0""",
-        loans=loans,
-    )
+    interest = due.replace("x", "(owed * rate_bp)")
+    plan = f"""aggregate(sequence(0, {max(0, months)}), array(named_struct('month', 0, 'interest', cast(0 as bigint), 'balance', cast(balance as bigint))),
+        (plan, m) -> if(m > 0 and element_at(plan, -1).balance > 0, concat(plan, transform(array(element_at(plan, -1).balance), owed ->
+            named_struct('month', m, 'interest', cast({interest} as bigint), 'balance', cast(owed + {interest} - least(payment, owed + {interest}) as bigint)))), plan))"""
+    return loans.select("loan_id", F.inline(F.expr(plan))).where("month > 0")

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from hearthbook.operators import forecast
 from hearthbook.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,3 +17,11 @@ def test_every_customer_is_projected(spark, name):
     customers = {r.c_custkey for r in spark.read.parquet(f"{FOLDER}/customer.parquet").select("c_custkey").collect()}
     rows = registry.QUERIES[name](spark, FOLDER).groupBy("scenario_id").count().collect()
     assert {r.scenario_id for r in rows} == customers and {r["count"] for r in rows} == {36 if name == "forecast_project" else 3}
+
+
+def test_loan_schedules_pass_a_million_rows_and_a_hundred_months(spark):
+    loans = spark.range(45000).selectExpr("id as loan_id", "1000000L + id as balance", "300L as rate_bp", "1000L as payment")
+    assert forecast.loan_schedule(loans, 24).count() == 45000 * 24
+    rows = forecast.loan_schedule(loans.limit(1), 150).orderBy("month").collect()
+    assert [r.month for r in rows] == list(range(1, 151)) and rows[0].interest == 250000 // 100 and rows[0].balance == 1000000 + 2500 - 1000
+    assert forecast.loan_schedule(loans.limit(1), 0).count() == 0
