@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -123,29 +124,63 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.judge(frame.limit(0), RULES).count() == 0
 
 
-def test_nearest_neighbours(spark):
+def nearest(spark, rows, kind="float", every=20):
+    usable = permutation_index.usable(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, vector int"), "vec_id", "embedding")
+    got = {}
+    for r in permutation_index.search(usable, usable.where(f"id % {every} = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return usable, got
+
+
+@pytest.mark.parametrize(("block", "clusters"), [(4096, 0), (150, 0), (150, 12)])
+def test_nearest_neighbours(spark, monkeypatch, block, clusters):
+    """Against brute force over all vectors, in one block and in many, with and without structure."""
+    monkeypatch.setattr(permutation_index, "BLOCK", block)
+    monkeypatch.setattr(permutation_index, "LEAST", 60)
+    monkeypatch.setattr(permutation_index, "FEWEST_PIVOTS", 32)
+    monkeypatch.setattr(permutation_index, "LENGTH", 16)
     draw = np.random.default_rng(3)
     vectors = draw.normal(size=(1500, 16)).astype(np.float32)
+    if clusters:
+        vectors = (0.2 * vectors + draw.normal(size=(clusters, 16))[draw.integers(0, clusters, size=1500)]).astype(np.float32)
     vectors[500:700] = vectors[500]  # one very common vector
     rows = [(k, v.tolist(), 1) for k, v in enumerate(vectors)] + [(5000, None, 1), (5020, [0.0] * 16, 1), (5040, [float("nan")] * 16, 1), (5060, [None] * 16, 1), (5080, [1.0], 1)]
-    usable = permutation_index.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector int"), "vec_id", "embedding")
+    usable, got = nearest(spark, rows)
     assert usable.count() == 1501
-    got = {}
-    for r in permutation_index.search(usable, usable.where("id % 20 = 0")).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     wide, hits = vectors.astype(np.float64), 0
     for q in range(0, 1500, 20):
-        scores = wide @ wide[q]
+        scores = (wide * wide[q]).sum(axis=1)  # equal vectors get equal scores
         scores[q] = -np.inf
         want = np.lexsort((np.arange(1500), -scores))[:20].tolist()
         assert len(got[q]) == 20 and all(abs(s - wide[v] @ wide[q]) < 1e-9 for v, s in got[q])
         hits += len(set(want) & {v for v, _ in got[q]})
         if 500 <= q < 700:
-            assert [v for v, _ in got[q]] == want
+            same = [v for v in range(500, 700) if v != q][:20]
+            assert want != same or [v for v, _ in got[q]] == same
     assert hits >= 0.9 * 20 * 75 and set(got) == set(range(0, 1500, 20))
-    few = permutation_index.usable(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    assert [(r.vec_id, r["rank"]) for r in permutation_index.search(few, few.where("id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
-    assert permutation_index.search(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_a_query_skips_blocks_of_other_clusters(spark, monkeypatch):
+    monkeypatch.setattr(permutation_index, "FEWEST_PIVOTS", 32)
+    draw = np.random.default_rng(5)
+    vectors = np.repeat(np.eye(16), 200, axis=0) + 0.05 * draw.normal(size=(3200, 16))
+    usable = permutation_index.usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    pivots = vectors[::100]
+    probe, enough = permutation_index.calibrate(usable, usable.where("id % 20 = 0"), pivots, 16, 20, 0.96)
+    assert probe <= 8 and enough > 0
+
+
+def test_doubles_repeated_and_null_ids_and_few_vectors(spark):
+    rows = [(0, [1.0, 0.1]), (0, [0.5, 0.5]), (1, [1e300, 1.0]), (2, [1e-60, 0.0]), (3, [0.5, 0.5]), (None, [0.5, 0.5]), (4, [0.5, float("inf")])]
+    _, got = nearest(spark, [(*r, 1) for r in rows], "double")
+    # both rows of id 0 are queries, each with five candidates, the other of them included
+    assert set(got) == {0} and sorted(v if v is not None else -1 for v, _ in got[0]) == sorted([0, 1, 2, 3, -1] * 2)
+    assert sum(v == 0 and abs(s - 0.55) < 1e-15 for v, s in got[0]) == 2
+    _, one = nearest(spark, [(0, [1.0, 0.1], 1), *((*r, 1) for r in rows[2:])], "double")
+    assert one[0] == [(1, 1e300 + 0.1), (3, 0.55), (None, 0.55), (2, 1e-60)]
+    _, few = nearest(spark, [(0, [1.0, 0.0], 1), (2, [0.5, 0.5], 1), (1, [0.5, 0.5], 1)])
+    assert few == {0: [(1, 0.5), (2, 0.5)]}
+    assert nearest(spark, [])[1] == {}
 
 
 def test_base32(spark):
