@@ -14,8 +14,10 @@
    dropped once P(similarity >= threshold) falls below ``miss``.
 4. Survivors are verified exactly on the full shingle sets.
 
-With 21 bands of 6 rows a pair at similarity 0.85 shares no band with
-probability 5e-5; a false drop by the posterior has at most ``miss`` per batch.
+Bands are chosen by the threshold: as many rows each as let a pair that just
+reaches it share no band with probability ``UNSEEN`` at most (at 0.85 21 bands of
+6 rows, at 0.8 25 of 5, both 5e-5).  A false drop by the posterior has at most
+``miss`` per batch.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from hearthbook.llm import _text
 from hearthbook.llm._graph import components
 from hearthbook.llm._store import Scratch
 
-PERMUTATIONS, BATCH = 128, 16
+PERMUTATIONS, BATCH, UNSEEN = 128, 16, 5e-5
 _A = (_text.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _text.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).astype(np.uint32)[:, None]
 
@@ -63,6 +65,14 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
     return np.array(out)
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): the most rows a band by which a pair at the threshold is missed with probability UNSEEN at most."""
+    for rows in range(PERMUTATIONS, 1, -1):
+        if (1 - threshold**rows) ** (PERMUTATIONS // rows) <= UNSEEN:
+            return PERMUTATIONS // rows, rows
+    return PERMUTATIONS, 1
+
+
 def _sets(batch: pa.RecordBatch, width: int, lower: bool):
     data, at = _text.utf8(batch.column("text"))
     hashed, of = _text.shingles(_text.LOWER[data] if lower else data, at, width)
@@ -77,15 +87,16 @@ def _signed(width: int, lower: bool):
                 parts = [sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"),
+                    batch.column("print"),
                     pa.array(np.diff(at)),
                     pa.array([set_key(p) if len(p) else None for p in parts], pa.binary()),
                     pa.array([signature(p).tobytes() if len(p) else None for p in parts], pa.binary()),
-                ], ["doc_id", "n_shingles", "key", "sig"])
+                ], ["doc_id", "print", "n_shingles", "key", "sig"])
     return run
 
 
 def _sets_of(width: int, lower: bool):
-    """(key, text) -> (key, members); a row whose text has another key (a repeated doc_id) is left out."""
+    """(key, text) -> (key, members); a row whose text has another key is left out."""
     def run(batches):
         for whole in batches:
             for batch in _text.passes(whole, "text"):
@@ -133,7 +144,7 @@ def _equal_enough(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = 21, rows: int = 6, miss: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, miss: float = 1e-5) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
@@ -146,10 +157,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     """
     scratch = Scratch(docs.sparkSession, "near")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = docs.select("doc_id", "text").mapInArrow(_signed(width, lower), f"doc_id {kind}, n_shingles long, key binary, sig binary")
+    signed = docs.select("doc_id", _print(), "text").mapInArrow(_signed(width, lower), f"doc_id {kind}, print long, n_shingles long, key binary, sig binary")
     signed = scratch.keep("signed", signed)
-    classes = scratch.keep("classes", signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    roots = components(_links(docs, classes, scratch, width, percent, lower, bands, rows, miss), scratch, "all")
+    each = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "print")).alias("place"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.keep("classes", each)
+    roots = components(_links(docs, classes, scratch, width, percent, lower, miss), scratch, "all")
     plain = signed.select("doc_id", "n_shingles", "key")
     named = classes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -159,16 +171,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs, classes, scratch, width, percent, lower, bands, rows, miss) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """The docs (doc_id, text, ...) that stay: one row of each component, that with the smallest doc_id.
+
+    Of rows that share the smallest doc_id one stays; a null doc_id stays only where
+    all of its component are null.  Null and wordless texts all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "one")
+    row = "row" + "_" * max((len(c) for c in docs.columns), default=0)  # no column's name
+    # written, so that the numbers stay when executors are lost
+    kept = scratch.keep("docs", docs.withColumn(row, F.monotonically_increasing_id()))
+    # rows are told apart by their number, and a component's smallest name starts with its smallest doc_id
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(row).alias("row"))
+    stay = near_duplicates(kept.select(name.alias("doc_id"), "text"), width, percent, lower).where("kept").select(F.col("doc_id.row").alias(row))
+    return kept.join(stay, row, "left_semi").select(*docs.columns)
+
+
+def _print():
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64("text").alias("print")
+
+
+def _links(docs, classes, scratch, width, percent, lower, miss) -> DataFrame:
     """(a, b) whose components are those of all links: known components as links to their roots, and the last links found."""
+    bands, rows = banding(percent / 100)
     bucketed = classes.select("key", F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")).alias("band", "bucket"))
     # written, so that both sides of the next join are plain shuffles and adaptive execution can split a crowded bucket
     buckets = scratch.keep("buckets", bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1"))
     member = scratch.keep("member", bucketed.join(buckets, "bucket").select("bucket", "band", "size", "pivot", "key"))
     # full sets of the classes that share a bucket with another
-    needed = classes.join(member.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
-    text = docs.select("doc_id", "text").where("text is not null")
-    sets = scratch.keep("sets", needed.join(text, needed["doc_id"].eqNullSafe(text["doc_id"])).select("key", "text").mapInArrow(_sets_of(width, lower), "key binary, members binary").dropDuplicates(["key"]))
+    needed = scratch.keep("needed", classes.join(member.select("key").distinct(), "key", "left_semi").select("key", F.col("place.doc_id").alias("of_doc"), F.col("place.print").alias("of_print")))
+    text = docs.select("doc_id", _print(), "text").where("text is not null")
+    same = (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
+    sets = scratch.keep("sets", text.join(needed, same).select("key", "text").mapInArrow(_sets_of(width, lower), "key binary, members binary").dropDuplicates(["key"]))
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) distinct -> those that pass the posterior test."""
@@ -187,12 +222,13 @@ def _links(docs, classes, scratch, width, percent, lower, bands, rows, miss) ->
     roots = components(first, scratch, "star-cc")
     # what a bucket of three or more still holds apart
     apart = member.where("size > 2").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
-    several = apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    # aggregates by bucket are written, like the buckets above, before they are joined
+    several = scratch.keep("several", apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket"))
     mixed = scratch.keep("mixed", apart.join(several, "bucket", "left_semi"))
     sized = _private(sets, mixed.select("key").distinct(), scratch)
     # a second star around each bucket's most central class: the one with the smallest share of members of its own
     central = mixed.join(sized.select("key", (F.col("private") / F.col("n")).alias("share")), "key")
-    middle = central.groupBy("bucket").agg(F.min(F.struct("share", "key", "root")).alias("m")).select("bucket", F.col("m.key").alias("a"), F.col("m.root").alias("root_a"))
+    middle = scratch.keep("middle", central.groupBy("bucket").agg(F.min(F.struct("share", "key", "root")).alias("m")).select("bucket", F.col("m.key").alias("a"), F.col("m.root").alias("root_a")))
     inner = mixed.join(middle, "bucket").where("root <> root_a").select("a", F.col("key").alias("b")).distinct()
     rooted = lambda known: known.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(rooted(roots).unionAll(verified(likely(inner, "inner"), "inner")), scratch, "inner-cc")
@@ -233,7 +269,7 @@ def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, sized: DataFr
     tally = alive.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     main = tally.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("roots")).where("roots > 1")
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.select("bucket", F.col("top.root").alias("main"), blocks_of(F.col("size")).alias("rows"), blocks_of(F.col("size") - F.col("top.c")).alias("columns"))
+    main = scratch.keep("main", main.select("bucket", F.col("top.root").alias("main"), blocks_of(F.col("size")).alias("rows"), blocks_of(F.col("size") - F.col("top.c")).alias("columns")))
     full = alive.join(main, "bucket").join(classes.select("key", "sig").join(sets, "key"), "key")
     full = full.withColumn("outside", F.col("root") != F.col("main"))
     columns = ["bucket", "block", "asks", "band", "key", "root", "n", "private", "outside", "sig", "members"]

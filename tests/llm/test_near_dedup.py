@@ -2,7 +2,7 @@ import random
 import re
 
 from hearthbook.llm import near_dedup
-from hearthbook.llm.near_dedup import least_matches, near_duplicates
+from hearthbook.llm.near_dedup import banding, least_matches, near_duplicates, one_of_each
 
 
 def shingles(text, width):
@@ -75,6 +75,30 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert got == [(-1, -1, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (8, 8, True), (9, 8, False)]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also where doc_ids repeat, within a group and across groups, or are null."""
+    a, b, c = "a b c d e f g", "q w e r t y u", "z x c v b n m"
+    rows = [(5, b, 0), (5, a, 1), (3, a, 2), (3, a, 3), (None, c, 4), (None, c, 5), (None, a, 6), (None, None, 7), (7, "", 8), (7, "", 9)]
+    found = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row int"))
+    got = sorted(((r.doc_id, r.text, r.row) for r in found.collect()), key=lambda r: r[2])
+    assert found.columns == ["doc_id", "text", "row"]
+    assert len(got) == 6 and got[0] == (5, b, 0) and got[1] in [(3, a, 2), (3, a, 3)] and got[2] in [(None, c, 4), (None, c, 5)] and got[3:] == [(None, None, 7), (7, "", 8), (7, "", 9)]
+    assert one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_texts_without_an_id(spark):
+    rows = [(None, " ".join(f"{k}w{i}" for i in range(8))) for k in range(40)] * 3
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 120 and all(r.kept and r.component_id is None for r in got)
+
+
+def test_bands_by_threshold():
+    assert banding(0.85) == (21, 6) and banding(0.8) == (25, 5)
+    for threshold in (0.5, 0.7, 0.9, 0.99):
+        bands, rows = banding(threshold)
+        assert bands * rows <= 128 and (1 - threshold**rows) ** bands <= 5e-5 or rows == 1
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
