@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthbook.llm import mixing, packing, toxicity
 from hearthbook.llm._store import Scratch
-from hearthbook.llm.near_dedup import near_duplicates
+from hearthbook.llm.near_dedup import one_of_each
 from hearthbook.llm.span_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    return one_of_each(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
