@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from hearthbook.llm import _text, language_id, mixing, packing, toxicity
+from hearthbook.llm._store import Scratch
 from hearthbook.llm.span_dedup import remove_repeats
 
 VOCABULARY = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
@@ -204,14 +205,43 @@ def test_mix_meets_targets_and_repeats(spark):
 
 
 def test_mix_is_in_order_of_finish_times(spark):
-    frame = spark.createDataFrame([(k, words(5 + k % 7), f"s{k % 3}") for k in range(100)], "doc_id long, text string, source string")
+    frame = spark.createDataFrame([(k, words(5 + k % 7), f"s{k % 3}", k, k) for k in range(100)], "doc_id long, text string, source string, size int, mix_pass int")
     rows = mixing.mix(frame).collect()
-    assert [r.virtual_finish for r in rows] == sorted(r.virtual_finish for r in rows) and max(r.virtual_finish for r in rows) <= 1.0
-    assert abs(sum(r.copy_words for r in rows) - 1.5 * sum(5 + k % 7 for k in range(100))) <= 3
+    assert [r.mix_finish for r in rows] == sorted(r.mix_finish for r in rows) and max(r.mix_finish for r in rows) <= 1.0
+    assert abs(sum(r.mix_words for r in rows) - 1.5 * sum(5 + k % 7 for k in range(100))) <= 3
+    assert all(r.size == r.doc_id and r.mix_size == 5 + r.doc_id % 7 for r in rows) and rows[0].__fields__ == [*frame.columns[:-1], "mix_size", "mix_pass", "mix_words", "mix_finish"]
+    taken = {}
+    for r in rows:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.mix_words
+    assert taken == {r.doc_id: r.taken for r in mixing.decide(frame).collect() if r.taken}
     assert mixing.decide(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert [r.taken for r in mixing.decide(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()] == [0]
 
 
+def test_a_mix_of_rows_without_ids_many_sources_and_clashing_names(spark):
+    rows = [(None if k % 2 else k, words(1 + k % 5), f"s{k % 40:02}", 0, 0, "x", 0.0) for k in range(400)]
+    names = ["doc_id", "text", "source", "ahead", "range", "row", "virtual_finish"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, ahead int, range int, row string, virtual_finish double")
+    decided, mixed = mixing.decide(frame).collect(), mixing.mix(frame)
+    assert len(decided) == 400 and all(0 <= r.taken <= 2 * r["size"] for r in decided) and mixed.columns[:7] == names
+    targets = {r.source: r.target for r in decided}
+    for source, target in targets.items():
+        assert abs(sum(r.taken for r in decided if r.source == source) - target) < 1
+    assert sum(r.taken for r in decided) == sum(r.mix_words for r in mixed.collect())
+
+
+def test_the_decision_sorts_by_range(spark):
+    frame = spark.createDataFrame([(k, words(3), "s") for k in range(20)], "doc_id long, text string, source string")
+    seen = []
+    keep = Scratch.keep
+    try:
+        Scratch.keep = lambda self, name, table: (seen.append((name, table._jdf.queryExecution().executedPlan().toString())), keep(self, name, table))[1]
+        mixing.decide(frame)
+    finally:
+        Scratch.keep = keep
+    assert "rangepartitioning(virtual_finish" in dict(seen)["queued"]
+
+
 def test_toxicity_finds_planted_words_in_unseen_texts(spark):
     draw = random.Random(7)
     vocabulary = ["".join(draw.choice("abcdeiou") for _ in range(6)) for _ in range(400)]
