@@ -40,7 +40,7 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, a row per copy of which half or more is taken, in the order of virtual finish times."""
-    return mixing.mix(docs.select(*COLUMNS)).where("2 * copy_words >= size").select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS)).where("2 * mix_words >= mix_size").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
