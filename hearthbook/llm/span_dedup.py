@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hearthbook.llm import _text
 from hearthbook.llm._store import Scratch
@@ -161,19 +161,24 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 24, alone:
     sentence and stay as they are.  Rows alike in doc_id and text are one
     document: they keep and lose the same sentences.  A null doc_id sorts first.
     Texts of any length are handled whole.  Columns named n_sentences and
-    n_removed are replaced; others are kept.
+    n_removed are replaced; others are kept, whatever their names.
     """
-    kept = docs.drop("n_sentences", "n_removed", "print", "covered")
-    names = kept.columns
+    scratch = Scratch(docs.sparkSession, "spans")
+    kept = docs.drop("n_sentences", "n_removed")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    marked = kept.withColumn("print", F.hash("text"))
-    spans = marked.select("doc_id", "print", "text").mapInArrow(_spans(sentences, words, alone, passage), f"doc_id {kind}, print int, start int, stop int, h1 long, h2 int")
+    # inside, columns stand under their places, so that no name clashes
+    names = [{"doc_id": "doc_id", "text": "text"}.get(c, f"c{k}") for k, c in enumerate(kept.columns)]
+    marked = kept.toDF(*names).withColumn("print", F.xxhash64("text"))
+    runs_of = _spans(sentences, words, alone, passage)
+    spans = scratch.keep("runs", marked.select("doc_id", "print", "text").mapInArrow(runs_of, f"doc_id {kind}, print long, start int, stop int, h1 long, h2 int"))
     place = F.struct("doc_id", "print", "start")
     first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "first")
     # written, so that both sides of the next join are plain shuffles and adaptive execution can split a passage that many texts hold
-    first = Scratch(docs.sparkSession, "spans").keep("first", first)
+    first = scratch.keep("first", first)
     later = spans.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = later.select("doc_id", "print", "start", "stop").distinct().groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
     covered = covered.select(F.col("doc_id").alias("in_doc"), F.col("print").alias("in_print"), "covered")
     joined = marked.join(covered, (F.col("print") == F.col("in_print")) & F.col("doc_id").eqNullSafe(F.col("in_doc")), "left").select(*names, "covered")
-    return joined.mapInArrow(_removed(names), StructType([*kept.schema.fields]).add("n_sentences", LongType()).add("n_removed", LongType()))
+    fields = [StructField(n, f.dataType) for n, f in zip(names, kept.schema.fields, strict=True)]
+    cut = joined.mapInArrow(_removed(names), StructType(fields).add("n_sentences", LongType()).add("n_removed", LongType()))
+    return cut.toDF(*kept.columns, "n_sentences", "n_removed")

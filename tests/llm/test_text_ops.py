@@ -173,6 +173,21 @@ def test_passages_of_51_words_lose_words_wherever_they_are_cut(spark):
             assert before[:20] == after[:20] and before[-40:] == after[-40:]
 
 
+def test_spans_with_clashing_names_null_ids_and_repeated_rows(spark):
+    names = ["in_doc", "in_print", "print", "covered", "h1", "c0", "start", "text", "doc_id", "n_removed"]
+    rows = [(1, 2, 3, 4, 5, 6, 7, t, d, 9) for d, t in [(2, PASSAGE), (2, PASSAGE), (1, "Own words. " + PASSAGE), (None, PASSAGE + " And more."), (None, "Nothing that repeats here."), (5, None), (6, "x " * 200000)]]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    found = remove_repeats(frame)
+    got = sorted(found.collect(), key=lambda r: (r.doc_id or 0, r.text or ""))
+    assert found.columns == [*names[:-1], "n_sentences", "n_removed"] and all(tuple(r)[:7] == (1, 2, 3, 4, 5, 6, 7) for r in got)
+    texts = {(r.doc_id, r.n_removed > 0): r.text for r in got}
+    assert texts[None, False].startswith(PASSAGE) or texts[None, False] == "Nothing that repeats here."
+    assert {r.text for r in got if r.doc_id is None} == {PASSAGE + " And more.", "Nothing that repeats here."}  # the null id is first
+    assert texts[1, True].strip() == "Own words." and [r.text.strip() for r in got if r.doc_id == 2] == ["", ""]
+    assert texts[5, False] is None
+    assert remove_repeats(frame.limit(0)).count() == 0
+
+
 def words(count):
     return " ".join(["w"] * count)
 
