@@ -5,10 +5,13 @@ so Spark's text writer lays down valid WARC/1.1 files in any store.  Its reader
 splits them at ``WARC/1.1 CRLF WARC-Type: ``, and blocks are cut by
 Content-Length.  No start of that separator is the end of a record, so a read
 buffer that ends anywhere misses none.  Records that hold it a second time go to
-archives of their own, which are parsed by Content-Length.
+archives of their own, whose pieces are put together again by Content-Length, one
+after another.
 
 Only headers are shuffled by payload digest: per digest the record with the
-largest id stays a response, the others become revisits of it.
+largest id stays a response, the others become revisits of it.  The revisits' ids
+are written, so that Spark knows their size: where it is below the broadcast
+threshold no payload is shuffled, else each is, once, to learn what it becomes.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthbook.llm._store import Scratch
+
 END, MARK = "\r\n\r\n", "WARC/1.1\r\nWARC-Type: "
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,14 +37,15 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*(c for k in range(8) for c in letters(k)))
 
 
-def resolve(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+def resolve(records: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
     """records (id, digest, bytes, ...) plus refers_to: the id of the equal payload's response, null for responses.
 
     Payloads below least_bytes are never revisits.  A null id is below all
     others; rows that share the largest id are all responses.
     """
     groups = records.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("copies")).where("copies > 1")
-    groups = groups.select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "response")
+    # written, so that the join is a plain one, which adaptive execution can split at a very common payload
+    groups = scratch.keep("groups", groups.select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "response"))
     joined = records.join(groups, (F.col("digest") == F.col("of_digest")) & (F.col("bytes") == F.col("of_bytes")), "left")
     return joined.select(*records.columns, F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
@@ -56,7 +62,10 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("target"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    decided = resolve(rows.select("id", "digest", "bytes"), least_bytes).where("refers_to is not null").select(F.col("id").alias("revisit"), F.col("digest").alias("of_digest"), "refers_to").distinct()
+    scratch = Scratch(pages.sparkSession, "resolve")
+    headers = scratch.keep("headers", rows.select("id", "digest", "bytes"))
+    decided = resolve(headers, scratch, least_bytes).where("refers_to is not null").select(F.col("id").alias("revisit"), F.col("digest").alias("of_digest"), "refers_to").distinct()
+    decided = scratch.keep("revisits", decided)
     full = rows.join(decided, F.col("id").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("of_digest")), "left")
     again = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:hearthbook:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -78,39 +87,48 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     written.write.mode("overwrite").partitionBy("part").option("lineSep", END).option("compression", compression).text(path)
 
 
-def records_of(archive: bytes):
-    """(headers as text, block) of every record of an uncompressed archive, by Content-Length."""
-    at = 0
-    while (at := archive.find(b"WARC/1.", at)) >= 0:
-        stop = archive.index(b"\r\n\r\n", at)
-        head = archive[at:stop].decode("utf-8", "replace")
-        size = next(int(v) for k, _, v in (line.partition(":") for line in head.split("\r\n")) if k.lower() == "content-length")
-        yield head, archive[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
-
-
-def _parsed(batches):
-    import gzip
+def _joined(batches):
+    """Pieces between separators, in a file's order, as whole records: (head, block).
 
+    A record's block may hold the separator, so pieces are added until the block
+    has its Content-Length.
+    """
+    held, file = b"", None
     for batch in batches:
         heads, blocks = [], []
-        for content in batch.column("content").to_pylist():
-            for head, block in records_of(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                heads.append(head)
-                blocks.append(block)
+        for path, piece in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if path != file:
+                held, file = b"", path
+            elif not held and not piece:
+                continue  # before a file's first record
+            held = (held + MARK.encode() if held else MARK.encode()[len("WARC/1.1\r\n") :]) + piece.encode()
+            head, found, rest = held.partition(END.encode())
+            if not found:
+                held = b"" if not piece else held
+                continue
+            size = next((int(v) for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")) if k.lower() == "content-length"), 0)
+            if len(rest) >= size:
+                heads.append(head.decode("utf-8", "replace"))
+                blocks.append(rest[:size])
+                held = b""
         yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.array(blocks, pa.binary())], ["head", "block"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, target, digest, refers_to, http, payload) of the archives that write_archives left."""
-    text = spark.read.schema("value string, part string").option("lineSep", MARK).text(path).where(F.col("part") == PARTS[0]).where("value <> ''").select("value")  # nothing stands before a file's first record
+    pieces = spark.read.option("lineSep", MARK).text(path)
+    if "part" not in pieces.columns:  # an empty table left no files
+        pieces = pieces.withColumn("part", F.lit(PARTS[0]))
+    text = pieces.where(F.col("part") == PARTS[0]).where("value <> ''").select("value")  # nothing stands before a file's first record
     whole = F.concat(F.lit("WARC-Type: "), "value")
     head = F.substring_index("value", END, 1)
     size = F.regexp_extract("head", r"(?m)^Content-Length: (\d+)", 1).cast("int")
     plain = text.select(whole.alias("value")).withColumn("head", head)
     plain = plain.select("head", F.substring(F.col("value").cast("binary"), F.octet_length("head") + 5, size).alias("block"))
-    nested = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.contains("path", F.lit(f"/part={PARTS[1]}/"))).select("content").mapInArrow(_parsed, "head string, block binary")
-    both = plain.unionAll(nested)
+    # the pieces of a file in its order, streamed past one record at a time
+    order = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")]
+    nested = pieces.where(F.col("part") == PARTS[1]).select("value", *order).repartition("file").sortWithinPartitions("file", "start", "n").select("file", "value")
+    both = plain.unionAll(nested.mapInArrow(_joined, "head string, block binary"))
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r]*)", 1), F.lit(""))
     http = F.substring_index(F.col("block").cast("string"), END, 1)
     cut = both.select("head", "block", http.alias("http"))

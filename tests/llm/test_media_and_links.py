@@ -67,7 +67,8 @@ def test_archives_resolve_revisits(spark, tmp_path):
             if not later:
                 assert bytes(rows[k].payload) == raw
     warc.write_archives(frame.limit(0), f"{tmp_path}/empty")
-    sizes = warc.resolve(spark.createDataFrame([(1, "d", 3), (2, "d", 3), (None, "d", 3)], "id long, digest string, bytes long"), least_bytes=4)
+    assert warc.read_archives(spark, f"{tmp_path}/empty").count() == 0
+    sizes = warc.resolve(spark.createDataFrame([(1, "d", 3), (2, "d", 3), (None, "d", 3)], "id long, digest string, bytes long"), Scratch(spark, "test"), least_bytes=4)
     assert sizes.where("refers_to is not null").count() == 0
 
 
@@ -81,9 +82,26 @@ def test_many_short_revisits_come_back_whole(spark, tmp_path):
 
 def test_a_payload_that_holds_the_separator_comes_back_whole(spark, tmp_path):
     texts = [warc.MARK, f"x{warc.MARK}y\r\n\r\n", warc.MARK[:-1], f"{warc.MARK[:10]}{warc.MARK}", f"a\r\n\r\n{warc.MARK[:10]}b", "WARC/1.1\r\n"]
-    warc.write_archives(spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "page_id long, url string, html string"), f"{tmp_path}/held")
-    rows = {int(r.record_id[:-1].rpartition(":")[2]): bytes(r.payload).decode() for r in warc.read_archives(spark, f"{tmp_path}/held").collect()}
-    assert rows == dict(enumerate(texts))
+    frame = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    for packed in ("gzip", "none"):
+        warc.write_archives(frame, f"{tmp_path}/{packed}", compression=packed)
+        rows = {int(r.record_id[:-1].rpartition(":")[2]): bytes(r.payload).decode() for r in warc.read_archives(spark, f"{tmp_path}/{packed}").collect()}
+        assert rows == dict(enumerate(texts))
+
+
+def test_large_archives_of_payloads_that_hold_the_separator(spark, tmp_path):
+    """Files that are read in several splits."""
+    held = f"x{warc.MARK}y"
+    pages = spark.range(3000).selectExpr("id as page_id", "'u' as url", f"concat(id, repeat('{held}', 5), repeat('z', cast(id % 300 as int) * 5)) as html").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        warc.write_archives(pages, f"{tmp_path}/large", compression="none")
+        found = warc.read_archives(spark, f"{tmp_path}/large")
+        got = found.selectExpr("record_id", "sha1(payload) as s").collect()
+        want = {f"<urn:hearthbook:page:{r.page_id}>": r.s for r in pages.selectExpr("page_id", "sha1(html) as s").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 3000 and {r.record_id: r.s for r in got} == want
 
 
 def test_components_match_union_find(spark):
