@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_STEPS = {"up": BASE, "down": np.uint64(pow(int(BASE), -1, 1 << 64)), "up2": OTHER, "down2": np.uint64(pow(int(OTHER), -1, 1 << 64))}
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,10 +24,10 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(size: int, kind: str) -> np.ndarray:
-    """base**i (kind "up") or base**-i (kind "down") for i below size."""
+    """base**i (kind "up") or base**-i (kind "down") for i below size; "up2" and "down2" have another base."""
     have = _powers.get(kind)
     if have is None or len(have) < size:
-        steps = np.full(max(size, PASS_BYTES + 64), BASE if kind == "up" else _BASE_INVERSE, dtype=np.uint64)
+        steps = np.full(max(size, PASS_BYTES + 64), _STEPS[kind], dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
         if size <= 16 << 20:  # keep the usual size only, so that one huge text leaves nothing behind
@@ -83,11 +83,11 @@ def spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: str = "") -> np.ndarray:
+    """64-bit hash of each byte span; base "2" gives an independent one."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), "up")[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(len(data), "down")[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), "up" + base)[: len(data)], dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(len(data), "down" + base)[starts] + (ends - starts).astype(np.uint64))
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,8 +12,10 @@ is linear in pos, so the minimum over the last 2048 tokens is the head of a
 monotone queue; the exempt lengths 256, 512 and 1024 are direct transitions.
 What is left at a partition's end is cut at powers of two, without padding.
 
-No row is shuffled: a partition packs its own documents, holding about a million
-tokens at a time, and its number makes the sequence ids distinct.
+No row is shuffled: a partition packs its own documents, and its number makes the
+sequence ids distinct.  About every million tokens the windows are given out up to
+the last cut on which the best ways to all open candidates agree, so whatever
+follows, the cuts are those of the whole stream.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import itertools
 import json
 import zlib
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ class ChunkTokenizer:
     The byte-level pre-tokeniser always ends a token before a space that follows
     visible ASCII or is followed by it, so a text's ids are its chunks' ids in turn.
     Texts that hold an added token's content are encoded whole by the tokenizer.
+    Chunks are known by a 64-bit hash; a second one, of another base, tells chunks
+    apart that share it, and texts with such a chunk are encoded whole too.
     """
 
     MOST = 1_000_000
@@ -85,7 +90,7 @@ class ChunkTokenizer:
     def _clear(self):
         self.known: dict[int, int] = {}
         self.pool, self.held = np.zeros(1 << 16, np.uint32), 0
-        self.sizes, self.begins = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sizes, self.begins, self.checks = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         visible = (data > 0x20) & (data < 0x7F)
@@ -117,11 +122,20 @@ class ChunkTokenizer:
         """(ids, offsets) of the texts in a byte buffer."""
         whole = self._whole(data, at)
         if not whole:
-            return self._chunked(data, at)
+            ids, bounds, doubted = self._chunked(data, at)
+            if not doubted:
+                return ids, bounds
+            whole = doubted
+        return self._mixed(data, at, whole)
+
+    def _mixed(self, data: np.ndarray, at: np.ndarray, whole: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with some texts encoded whole."""
         ids = self.tokenizer.encode_batch([data[at[k] : at[k + 1]].tobytes().decode() for k in whole], add_special_tokens=False)
         parts, sizes, after = [], [], 0
         for k, encoded in zip([*whole, len(at) - 1], [*ids, None], strict=True):
-            some, bounds = self._chunked(data[at[after] : at[k]], at[after : k + 1] - at[after])
+            some, bounds, doubted = self._chunked(data[at[after] : at[k]], at[after : k + 1] - at[after])
+            if doubted:
+                return self._mixed(data, at, sorted({*whole, *(after + d for d in doubted)}))
             parts.append(some)
             sizes.append(np.diff(bounds))
             if encoded is not None:
@@ -130,13 +144,13 @@ class ChunkTokenizer:
             after = k + 1
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
-    def _chunked(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts without added tokens."""
+    def _chunked(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(ids, offsets) for texts without added tokens, and the texts whose ids may be another chunk's."""
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64), []
         starts = self._cuts(data, at)
         stops = np.append(starts[1:], len(data))
-        hashes = _text.span_hashes(data, starts, stops)
+        hashes, checks = _text.span_hashes(data, starts, stops), _text.span_hashes(data, starts, stops, "2")
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
             self._clear()
@@ -155,16 +169,22 @@ class ChunkTokenizer:
             self.pool[self.held : self.held + len(flat)] = flat
             self.begins = np.concatenate([self.begins, self.held + np.cumsum(lengths) - lengths])
             self.sizes = np.concatenate([self.sizes, lengths])
+            self.checks = np.concatenate([self.checks, checks[first[new]]])
             self.held += len(flat)
         slot = np.array(slots, dtype=np.int64)[which]
+        other = np.flatnonzero(self.checks[slot] != checks)
+        doubted = np.unique(np.searchsorted(at, starts[other], "right") - 1).tolist()
         lengths = self.sizes[slot]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.begins[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, at)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, at)], doubted
 
 
-def cut_windows(pos: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Indices of the chosen cuts; pos ascends from 0 by steps of at most 2048, cost is each cut's penalty."""
+def cut_windows(pos: np.ndarray, cost: np.ndarray, last: bool = True) -> np.ndarray:
+    """Indices of the chosen cuts; pos ascends from 0 by steps of at most 2048, cost is each cut's penalty.
+
+    Unless last, only those that stay chosen whatever candidates follow.
+    """
     exempt: dict[int, list[int]] = defaultdict(list)
     for length in EXEMPT:
         j = np.searchsorted(pos, pos - length)
@@ -188,7 +208,20 @@ def cut_windows(pos: np.ndarray, cost: np.ndarray) -> np.ndarray:
         while len(queue) > head and value[queue[-1]] >= now:
             queue.pop()
         queue.append(i)
-    out = [len(p) - 1]
+    end = len(p) - 1
+    if not last:
+        # what follows starts from a candidate of the last 2048 positions; the ways to all of them meet at the end's root
+        open_ = set(range(int(np.searchsorted(pos, p[-1] - WINDOW + 1)), len(p)))
+        latest = [-k for k in open_]
+        heapify(latest)
+        while len(open_) > 1:
+            k = -heappop(latest)
+            open_.discard(k)
+            if back[k] not in open_:
+                open_.add(back[k])
+                heappush(latest, -back[k])
+        end = open_.pop()
+    out = [end]
     while out[-1]:
         out.append(back[out[-1]])
     return np.array(out[::-1])
@@ -228,7 +261,7 @@ class _Stream:
         ids = np.concatenate([d[1] for d in self.docs])
         doc_ends = np.cumsum([len(d[1]) for d in self.docs])
         pos, cost = _candidates(ids, self.tokenizer.ends, doc_ends)
-        chosen = pos[cut_windows(pos, cost)]
+        chosen = pos[cut_windows(pos, cost, last)]
         if last:  # the rest at powers of two
             rest, at = int(chosen[-1] - chosen[-2]), int(chosen[-2])
             tail = []
@@ -237,8 +270,6 @@ class _Stream:
                 at, rest = at + size, rest - size
                 tail.append(at)
             chosen = np.concatenate([chosen[:-1], tail]) if chosen[-1] - chosen[-2] < WINDOW else chosen
-        else:
-            chosen = chosen[: max(1, len(chosen) - 4)]  # the end of the stream still sways the last windows
         stop = int(chosen[-1])
         starts = np.union1d(np.concatenate([[0], doc_ends[:-1]]), chosen[:-1])
         starts = starts[starts < stop]
@@ -261,13 +292,15 @@ class _Stream:
         return keys, rows
 
 
-def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1, segment: int = SEGMENT_TOKENS) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     vocabulary is a tokenizer file's content; every text's ids are followed by
     end_id.  Null and empty texts are the one id end_id.  Repeated rows and
     doc_ids are packed as often as they occur, in their stored order; a text of
-    any length is cut into several windows.  Other columns are ignored.
+    any length is cut into several windows.  Other columns are ignored.  segment is
+    about how many tokens a task gathers before it gives windows out; results do not
+    depend on it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -282,7 +315,7 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1) -> DataFrame:
             _workers[key] = ChunkTokenizer(shared.value)
         stream = _Stream(TaskContext.get().partitionId(), _workers[key])
         doc_kind = None
-        end = np.array([end_id], dtype=np.uint32)
+        end, due = np.array([end_id], dtype=np.uint32), segment
 
         def out(last: bool) -> pa.RecordBatch:
             keys, rows = stream.solve(last)
@@ -294,8 +327,9 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1) -> DataFrame:
                 ids, at = stream.tokenizer.encode(*_text.utf8(batch.column("text")))
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     stream.add(doc_id, np.concatenate([ids[a:b], end]))
-                if stream.tokens > SEGMENT_TOKENS:
+                if stream.tokens > due:
                     yield out(False)
+                    due = stream.tokens + segment
         if doc_kind is not None and stream.docs:
             yield out(True)
 

@@ -15,7 +15,6 @@ from hearthbook.llm.span_dedup import remove_repeats
 
 VOCABULARY = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
 TOKENIZER = Tokenizer.from_buffer(VOCABULARY)
-TOKENIZER.encode_special_tokens = True
 FAST = packing.ChunkTokenizer(VOCABULARY)
 
 
@@ -79,6 +78,35 @@ def test_cuts_have_the_least_cost():
         assert total == reference_cost(pos.tolist(), cost.tolist())
 
 
+def test_chunks_that_share_a_hash_are_told_apart(monkeypatch):
+    tokenizer, hashes = packing.ChunkTokenizer(VOCABULARY), _text.span_hashes
+    # first hashes of two bits: nearly all chunks collide
+    monkeypatch.setattr(_text, "span_hashes", lambda data, starts, ends, base="": hashes(data, starts, ends, base) >> np.uint64(0 if base else 62))
+    texts = ["one two three four five", "", "six seven", "<|endoftext|> one", "eight nine ten one two"] * 3
+    for _ in range(2):
+        ids, at = tokenizer.encode(*table(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_windows_do_not_depend_on_segments(spark):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["one", "two.", "three\n", "naïve", "x"]) for _ in range(draw.choice([1, 40, 300, 2500]))) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    found = []
+    try:
+        for tokens in (1 << 20, 5000, 1):
+            found.append(sorted(map(tuple, packing.pack(frame, VOCABULARY, segment=tokens).collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2]
+
+
+def test_packing_repeated_and_null_ids(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "one two", 5), (1, "one two", 5), (None, "three", 5), (None, None, 5)], "doc_id long, text string, length int").coalesce(1), VOCABULARY).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (0, len(TOKENIZER.encode("three").ids) + 1), (1, 3), (1, 3)] or sum(r.length for r in rows) == 3 + 3 + 1 + len(TOKENIZER.encode("three").ids) + 1
+
+
 def test_packing_places_every_id_once(spark):
     draw = random.Random(4)
     texts = [" ".join(draw.choice(["one", "two.", "three\n", "naïve", "x"]) for _ in range(draw.choice([0, 1, 5, 300, 9000]))) for _ in range(60)] + [None, "", "word" * 20000, "same", "same"]
