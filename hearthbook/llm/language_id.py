@@ -9,8 +9,8 @@ closer than ``gap`` is flagged as ambiguous.
 
 Up to six languages get the exhaustive code of 2**(k-1) - 1 bits; more get 15
 bits per doubling, drawn with a fixed seed for the largest distance found.  The
-training sample is bounded by ``per_language`` rows of each; every whole text is
-scored.
+training sample is bounded by ``per_language`` rows of each and ``sampled`` rows
+in all; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -27,19 +27,28 @@ BITS, SIZES, STEPS = 13, (2, 3, 4), 150
 
 
 def codewords(count: int) -> np.ndarray:
-    """(count, bits) of -1 and 1; columns are distinct splits of the languages."""
+    """(count, bits) of -1 and 1; columns are distinct splits of the languages, rows are distinct."""
     if count <= 1:
         return np.ones((count, 1))
     if count <= 6:
         splits = np.arange(1, 1 << (count - 1))
         return np.array([[1.0 if k < count - 1 and s >> k & 1 else -1.0 for s in splits] for k in range(count)])
-    draw, best, far = np.random.default_rng(7), None, -1
-    for _ in range(50):
-        code = draw.choice([-1.0, 1.0], size=(count, 15 * int(np.ceil(np.log2(count)))))
-        apart = min(int((code[i] != code[j]).sum()) for i in range(count) for j in range(i))
-        if apart > far and not (np.abs(code.sum(axis=0)) == count).any():
+    draw, best, far = np.random.default_rng(7), None, 0
+    bits = 15 * int(np.ceil(np.log2(count)))
+    turn = 0
+    while best is None or turn < 50:
+        turn += 1
+        splits: dict[bytes, np.ndarray] = {}
+        while len(splits) < bits:  # there are 2**(count - 1) - 1 splits, more than the bits
+            split = draw.choice([-1.0, 1.0], size=count) if count > 8 else 1.0 - 2.0 * (draw.integers(1, 1 << (count - 1)) >> np.arange(count) & 1)
+            split *= split[-1]
+            if (split < 0).any():
+                splits[split.tobytes()] = split
+        code = np.stack(list(splits.values()), axis=1)
+        apart = int((bits - (code @ code.T - 2 * bits * np.eye(count)).max()) // 2)  # of the two nearest words
+        if apart > far:
             best, far = code, apart
-    return best if best is not None else code
+    return best
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -78,7 +87,10 @@ def _sampled(batches):
     for whole in batches:
         for batch in _text.passes(whole, "text", rows=512):
             rows = shares(*_text.utf8(batch.column("text"))).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "shares"])
+            used = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("lang"), pa.array([u.tobytes() for u in used], pa.binary()), pa.array([r[u].tobytes() for r, u in zip(rows, used, strict=True)], pa.binary()),
+            ], ["lang", "buckets", "shares"])
 
 
 def fit(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,22 +114,33 @@ def fit(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.
     return w, b, np.maximum(2 * right - 1, 0.01)
 
 
-def train(docs: DataFrame, per_language: int = 300) -> dict:
-    """Fits on docs (doc_id, text, lang); rows without a language or text are left out."""
+def train(docs: DataFrame, per_language: int = 300, sampled: int = 6000, most: int = 1000) -> dict:
+    """Fits on docs (doc_id, text, lang); rows without a language or text are left out.
+
+    Rows are drawn by a hash of doc_id and text, about ``per_language`` of each
+    language, fewer where those were more than ``sampled`` in all.  More than
+    ``most`` languages are an error: then the column holds something else.
+    """
     known = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    names = sorted(counts)
-    if not names:
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.limit(most + 1).count()
+    if languages > most:
+        raise ValueError(f"more than {most} languages")
+    if not languages:
         return {"names": []}
-    drawn = F.lit(False)
-    for name in names:
-        drawn = drawn | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, per_language / counts[name]))))
-    rows = known.where(drawn).select("lang", "text").mapInArrow(_sampled, "lang string, shares binary").collect()
+    each = min(per_language, sampled // languages)
+    # a row a language, of which there are few, as was just counted
+    rates = F.broadcast(counts.select("lang", (F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(each) / F.col("n"))).alias("rate")))
+    drawn = known.join(rates, "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1_000_000)) < F.col("rate"))
+    rows = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, buckets binary, shares binary").collect()
+    names = sorted({r["lang"] for r in rows})
     if not rows:
         return {"names": []}
-    x = np.stack([np.frombuffer(r["shares"], np.float16) for r in rows]).astype(np.float32)
-    code = codewords(len(names))
-    w, b, trust = fit(x, np.array([names.index(r["lang"]) for r in rows]), code)
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["buckets"], np.uint16)] = np.frombuffer(r["shares"], np.float16)
+    code, place = codewords(len(names)), {name: k for k, name in enumerate(names)}
+    w, b, trust = fit(x, np.array([place[r["lang"]] for r in rows]), code)
     return {"names": names, "code": code, "w": w, "b": b, "trust": trust}
 
 
@@ -125,12 +148,13 @@ def predict(docs: DataFrame, model: dict, gap: float = 0.1) -> DataFrame:
     """docs plus lang_pred, score (0 to 1: the decoded language's share) and ambiguous.
 
     A text that is null or has no letter, and any text if nothing was learned, is
-    ``und`` with score 0.  Columns of these three names are replaced.
+    ``und`` with score 0.  Columns of these three names are replaced, others are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score", "ambiguous", "has_letter")
-    names = kept.columns
-    lettered = kept.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    kept = docs.drop("lang_pred", "score", "ambiguous")
+    # inside, columns stand under their places, so that no name clashes
+    names = ["text" if c == "text" else f"c{k}" for k, c in enumerate(kept.columns)]
+    lettered = kept.toDF(*names).withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         m = shared.value
@@ -152,5 +176,5 @@ def predict(docs: DataFrame, model: dict, gap: float = 0.1) -> DataFrame:
                     called, sure, near = ["und"] * rows, np.zeros(rows), np.ones(rows, bool)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(called, pa.string()), pa.array(sure), pa.array(near | ~letter)], [*names, "lang_pred", "score", "ambiguous"])
 
-    schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
-    return lettered.mapInArrow(run, schema)
+    schema = StructType([*lettered.drop("has_letter").schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
+    return lettered.mapInArrow(run, schema).toDF(*kept.columns, "lang_pred", "score", "ambiguous")

@@ -12,8 +12,9 @@ first four to eight bytes, each counted once per text; those are kept whose
 rates in P and U make a text toxic with probability one half or more.
 
 The two samples are bounded by ``positives`` and ``unlabelled`` rows (by a hash
-of doc_id, so reruns agree); prior and counts come from all labels, and every
-whole text is scored.
+of doc_id, so reruns agree).  The class prior is the share of toxic labels among
+all labels given for training, so labelled harmless texts count there and nowhere
+else; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -76,6 +77,21 @@ def _chosen(chosen: np.ndarray):
     return run
 
 
+def step(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, bool]:
+    """(risk, gradient by weights and bias, whether it descends) for tables of texts by features.
+
+    Where the estimate of the negative texts' risk is below 0, the gradient is
+    that of its size, which the step takes back up.
+    """
+    sp, su = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) for x in (xp, xu))
+    # sigmoid loss: l(+1) = 1 - s, l(-1) = s, both with slope s * (1 - s)
+    dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+    negative = float(su.mean() - prior * sp.mean())
+    to_p, to_u = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
+    gradient = np.append(to_p.astype(w.dtype) @ xp + to_u.astype(w.dtype) @ xu + DECAY * w, to_p.sum() + to_u.sum())
+    return float(prior * (1 - sp).mean() + max(0.0, negative)), gradient, negative >= 0
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int) -> tuple[np.ndarray, float]:
     """(weights of size features, bias) from the features that the texts of both samples have."""
     bias = float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
@@ -91,15 +107,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
     xp, xu = table(positive), table(unlabelled)
     first, second = np.zeros(size + 1), np.zeros(size + 1)
-    for step in range(1, STEPS + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) for x in (xp, xu))
-        # sigmoid loss: l(+1) = 1 - s, l(-1) = s, both with slope s * (1 - s)
-        dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-        negative = su.mean() - prior * sp.mean()
-        to_p, to_u = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
-        gradient = np.append(to_p.astype(np.float32) @ xp + to_u.astype(np.float32) @ xu + DECAY * w, to_p.sum() + to_u.sum())
+    for turn in range(1, STEPS + 1):
+        _, gradient, _ = step(xp, xu, w, b, prior)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        move = RATE * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
         w, b = w - move[:-1].astype(np.float32), b - move[-1]
     return w, float(b)
 
@@ -141,8 +152,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     repeat are scored alike; a column named score is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score")
-    names = kept.columns
+    before = docs.drop("score")
+    # inside, columns stand under their places, so that no name clashes
+    names = ["text" if c == "text" else f"c{k}" for k, c in enumerate(before.columns)]
+    kept = before.toDF(*names)
 
     def run(batches):
         chosen, learned, bias = shared.value
@@ -156,4 +169,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 total = bias + np.bincount(once >> BITS, weights=weights[once & ((1 << BITS) - 1)], minlength=batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*names, "score"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("score", DoubleType()))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("score", DoubleType())).toDF(*before.columns, "score")

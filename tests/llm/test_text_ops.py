@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -307,6 +308,47 @@ def test_toxicity_finds_planted_words_in_unseen_texts(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[5000] == got[5001] < 0.3
 
 
+def test_the_risk_and_its_gradient():
+    """Against the risk written out text by text and its finite differences, on both sides of the bound."""
+    draw = np.random.default_rng(12)
+    xp, xu = ((draw.random((n, 6)) < 0.4).astype(float) for n in (9, 14))
+
+    def parts(w, b, prior):
+        loss = lambda x, sign: 1 / (1 + np.exp(sign * (sum(a * c for a, c in zip(x, w, strict=True)) + b)))
+        mean = lambda rows, sign: sum(loss(x, sign) for x in rows) / len(rows)
+        return prior * mean(xp, 1), mean(xu, -1) - prior * mean(xp, -1)
+
+    sides = set()
+    for prior in (0.1, 0.4, 0.95):
+        for _ in range(4):
+            w, b = draw.normal(size=6), float(draw.normal())
+            risk, gradient, descends = toxicity.step(xp, xu, w, b, prior)
+            positive, negative = parts(w, b, prior)
+            assert abs(risk - (positive + max(0.0, negative))) < 1e-12 and descends == (negative >= 0)
+            sides.add(bool(descends))
+            goal = (lambda w, b: sum(parts(w, b, prior))) if descends else (lambda w, b: -parts(w, b, prior)[1])  # noqa: B023
+            for k in range(7):
+                d = np.eye(7)[k] * 1e-6
+                slope = (goal(w + d[:6], b + d[6]) - goal(w - d[:6], b - d[6])) / 2e-6
+                assert abs(slope + (toxicity.DECAY * w[k] if k < 6 else 0) - gradient[k]) < 1e-6
+    assert sides == {True, False}
+
+
+def test_scores_are_those_of_a_plain_loop(spark):
+    texts = ["Grumpfel snarkzig and more", "naïve GRUMPFELS 12", None, "", "x" * 30]
+    known = [1, 5, 9, *(int(h) for h in toxicity.features(*table(["grumpfel"]))[0])]
+    chosen = np.array(sorted(set(known)), dtype=np.int32)
+    model = chosen, np.linspace(-1, 2, len(chosen)).astype(np.float32), -0.5
+    frame = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, c0 int")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    for k, text in enumerate(texts):
+        mine = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
+            mine |= {int(h) for h in toxicity.features(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0]}
+        total = -0.5 + sum(float(v) for f, v in zip(chosen, model[1], strict=True) if f in mine)
+        assert abs(got[k] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -315,9 +357,11 @@ def test_toxicity_without_labels(spark):
 
 
 def test_language_codes_and_prediction(spark):
-    for count in (1, 2, 4, 9):
+    for count in (1, 2, 4, 7, 8, 9, 40):
         code = language_id.codewords(count)
         assert all((code[a] != code[b]).any() for a in range(count) for b in range(a))
+        splits = {tuple(c * c[-1]) for c in code.T}
+        assert len(splits) == code.shape[1] and (count == 1 or all(min(s) < 0 for s in splits))
     draw = random.Random(8)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "uvwxyz"}
     make = lambda lang: " ".join("".join(draw.choice(letters[lang]) for _ in range(5)) for _ in range(30))
@@ -327,6 +371,26 @@ def test_language_codes_and_prediction(spark):
     got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
     assert all(got[k].lang_pred == lang and 0 <= got[k].score <= 1 for k, _, lang in rows)
     assert [got[k].lang_pred for k in (900, 901, 902)] == ["und"] * 3 and got[900].ambiguous
+    # a naive decoding of the same model: n-grams counted one by one, losses added bit by bit
+    for k, text, _ in rows[:10]:
+        low, held = re.sub(r"\s", " ", text.lower()).encode(), {}
+        for size in language_id.SIZES:
+            for i in range(len(low) - size + 1):
+                code = int.from_bytes(low[i : i + size], "big") ^ (size * 0x1F123BB5 & 0xFFFFFFFF)
+                bucket = (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language_id.BITS)
+                held[bucket] = held.get(bucket, 0) + 1
+        root = sum(held.values()) ** 0.5
+        losses = []
+        for word in model["code"]:
+            margins = [sum((n**0.5 / root) * float(model["w"][b, j]) for b, n in held.items()) + float(model["b"][j]) for j in range(len(word))]
+            losses.append(sum(float(t) * np.log1p(np.exp(-m * s)) for m, s, t in zip(margins, word, model["trust"], strict=True)))
+        odds = np.exp(min(losses) - np.array(losses))
+        assert got[k].lang_pred == model["names"][int(np.argmin(losses))] and abs(got[k].score - odds.max() / odds.sum()) < 1e-3
+    held = language_id.predict(docs.selectExpr("doc_id", "text", "1 as has_letter", "'x' as c0", "2 as score"), model)
+    assert held.columns == ["doc_id", "text", "has_letter", "c0", "lang_pred", "score", "ambiguous"] and {(r.has_letter, r.c0) for r in held.collect()} == {(1, "x")}
+    many = spark.range(30).selectExpr("id as doc_id", "concat('text ', id) as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError):
+        language_id.train(many, most=20)
     nothing = language_id.train(docs.where("doc_id < 0"))
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
