@@ -1,20 +1,25 @@
-"""MPEG audio media columns: MPEG-1 Layer III streams that carry bytes, and a reader of such streams.
+"""MPEG audio media columns: MPEG-1 Layer III streams that carry bytes, and a reader of MPEG audio.
 
 The writer makes an ID3v2.4 tag (with the payload's length), a Xing frame with
 frame count, byte count and seek table, and CRC-protected 48 kHz mono frames of
 silence whose ancillary bytes hold the payload; the last frame has the smallest
 bitrate that fits, so the stream is variable-bitrate.
 
-The reader parses the tag, resynchronises on frame headers (a header counts if
-another of the same kind, or the end, follows it), reads the Xing table, checks
-every CRC, and gives the exact duration as samples over rate and each frame's
-byte offset for seeking.
+The reader knows MPEG-1, 2 and 2.5 in Layers I, II and III.  It parses ID3v2 and
+ID3v1 tags, resynchronises on frame headers (a header counts if another of the
+same kind, or the end, follows it), reads Xing, Info and VBRI tables with their
+seek points, verifies the CRCs of Layers I and III (Layer II's covers a part
+whose length depends on its allocation tables; those are not checked), and gives
+the exact duration as samples over rate and each frame's byte offset for seeking.
+A Layer III frame whose CRC fails gives zeros in place of its payload.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +28,19 @@ from pyspark.sql import functions as F
 
 from hearthbook.llm import _text
 
-# Fixed values of MPEG-1 Layer III: kbit/s by header index, Hz by header index, samples a frame, bytes of mono and stereo side information.
-BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
-RATES = (44100, 48000, 32000)
-SAMPLES, SIDE_MONO, SIDE_STEREO = 1152, 17, 32
+# Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by header index for each version and layer (2 and 2.5 share theirs), Hz by header index.
+KBITS = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
+# Versions by header bits, samples a frame by layer (version 1; Layer III has half as many in 2 and 2.5), bytes of Layer III's side information (mono, stereo).
+VERSIONS, SAMPLES_OF, SIDE = {3: 1, 2: 2, 0: 2.5}, {1: 384, 2: 1152, 3: 1152}, {1: (17, 32), 2: (9, 17), 2.5: (9, 17)}
+BITRATES, SAMPLES, SIDE_MONO = KBITS[1, 3], 1152, 17
 BLOCK = 64
 _CRC = []
 for _byte in range(256):
@@ -89,42 +103,106 @@ def encode(payload: bytes) -> bytes:
     return b"ID3\x04\0\0" + _syncsafe(len(tag)) + tag + xing.ljust(192, b"\0") + audio
 
 
-def _header(data: bytes, at: int) -> tuple[int, int, int, bool] | None:
-    """(frame bytes, Hz, side information bytes, protected) of a Layer III header at a position."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
-        return None
-    index, rate = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-    if index in (0, 15) or rate == 3:
+class Frame(NamedTuple):
+    """What a frame's header says; side is the length of what the CRC covers after it (0: not known), body where the rest starts."""
+
+    version: float
+    layer: int
+    size: int
+    rate: int
+    samples: int
+    protected: bool
+    side: int
+    body: int
+
+
+@lru_cache(maxsize=4096)
+def _described(head: bytes) -> Frame | None:
+    """The frame of a header's four bytes, None if they are none."""
+    version, layer = VERSIONS.get(head[1] >> 3 & 3), 4 - (head[1] >> 1 & 3)
+    index, rate = head[2] >> 4, head[2] >> 2 & 3
+    if head[0] != 0xFF or head[1] < 0xE0 or version is None or layer == 4 or index in (0, 15) or rate == 3:
         return None
-    size = 144 * BITRATES[index] * 1000 // RATES[rate] + (data[at + 2] >> 1 & 1)
-    return size, RATES[rate], SIDE_MONO if data[at + 3] >> 6 == 3 else SIDE_STEREO, data[at + 1] & 1 == 0
+    kbits, hertz, padding = KBITS[min(2, int(version)), layer][index], RATES[version][rate], head[2] >> 1 & 1
+    samples = SAMPLES_OF[layer] // (2 if layer == 3 and version > 1 else 1)
+    size = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padding
+    mono, protected = head[3] >> 6 == 3, head[1] & 1 == 0
+    if layer == 3:
+        side = SIDE[version][not mono]
+    elif layer == 1:  # four bits an allocation: of one channel, of both, or of both up to the bound and then shared
+        bound = 4 * ((head[3] >> 4 & 3) + 1) if head[3] >> 6 == 1 else 32
+        side = 16 if mono else (32 + bound) // 2
+    else:
+        side = 0
+    return Frame(version, layer, size, hertz, samples, protected, side, 4 + 2 * protected + side)
+
+
+def _frame(data: bytes, at: int) -> Frame | None:
+    return _described(data[at : at + 4]) if at + 4 <= len(data) and data[at] == 0xFF else None
+
+
+def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
+    """(texts by name, start, end) of what stands between an ID3v2 and an ID3v1 tag."""
+    tags, start, end = {}, 0, len(data)
+    length = lambda b, by: sum(x << by * (3 - k) for k, x in enumerate(b))
+    if data[:3] == b"ID3" and len(data) >= 10:
+        start = min(len(data), 10 + length(data[6:10], 7))
+        k = 10
+        while k + 10 <= start and data[k : k + 4].strip(b"\0"):
+            size = length(data[k + 4 : k + 8], 7 if data[3] >= 4 else 8)
+            name, coding, text = data[k : k + 4], data[k + 10 : k + 11], data[k + 11 : min(start, k + 10 + size)]
+            if name[:1] == b"T":
+                text = text.decode({b"\0": "latin-1", b"\1": "utf-16", b"\2": "utf-16-be"}.get(coding, "utf-8"), "replace")
+                name, text = (text.partition("\0")[::2] if name == b"TXXX" else (name.decode("latin-1"), text))
+                tags[name] = text.rstrip("\0")
+            k += 10 + size
+    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
+        end -= 128
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+            if text := data[end + a : end + b].rstrip(b" \0").decode("latin-1"):
+                tags.setdefault(name, text)
+    return tags, start, end
+
+
+def _table(data: bytes, at: int, frame: Frame) -> dict | None:
+    """A Xing, Info or VBRI table in a frame: its kind, frames, bytes and the byte offsets of its seek points."""
+    number = lambda k, size=4: int.from_bytes(data[k : k + size], "big")
+    k = at + 4 + frame.side
+    if data[k : k + 4] in (b"Xing", b"Info"):
+        flags, out = number(k + 4), {"kind": data[k : k + 4].decode().lower(), "frames": None, "bytes": None, "seek": None}
+        k += 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name], k = number(k), k + 4
+        if flags & 4 and out["bytes"] is not None and k + 100 <= at + frame.size:
+            out["seek"] = [b * out["bytes"] // 256 for b in data[k : k + 100]]
+        return out
+    k = at + 36
+    if data[k : k + 4] == b"VBRI":
+        entries, scale, width = number(k + 18, 2), number(k + 20, 2), number(k + 22, 2)
+        steps = [scale * number(k + 26 + width * e, width) for e in range(entries) if k + 26 + width * (e + 1) <= at + frame.size]
+        return {"kind": "vbri", "frames": number(k + 14), "bytes": number(k + 10), "seek": [0, *np.cumsum(steps).tolist()]}
+    return None
 
 
 def decode(data: bytes) -> dict:
     """What a stream holds; bytes that are no stream give no frames.
 
-    Keys: payload, sample_rate, frames, samples, offsets (of the audio frames),
-    crc_checked, crc_failed, resyncs (gaps skipped), xing_frames, xing_bytes, tags.
+    Keys: payload, version, layer, sample_rate, frames, samples, offsets (of the
+    audio frames), crc_checked, crc_failed, resyncs (gaps skipped), table (of the
+    first frame: kind, frames, bytes, seek) and tags.
     """
-    out = {"payload": b"", "sample_rate": 0, "frames": 0, "samples": 0, "offsets": [], "crc_checked": 0, "crc_failed": 0, "resyncs": 0, "xing_frames": None, "xing_bytes": None, "tags": {}}
-    at = 0
-    if data[:3] == b"ID3" and len(data) >= 10:
-        end = 10 + sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-        k = 10
-        while k + 10 <= min(end, len(data)) and data[k : k + 4].strip(b"\0"):
-            size = sum(b << s for b, s in zip(data[k + 4 : k + 8], (21, 14, 7, 0), strict=True))
-            name, _, value = data[k + 11 : k + 10 + size].partition(b"\0") if data[k : k + 4] == b"TXXX" else (data[k : k + 4], b"", data[k + 11 : k + 10 + size])
-            out["tags"][name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-            k += 10 + size
-        at = end
+    tags, at, stop = _tags(data)
+    out = {"payload": b"", "version": None, "layer": None, "sample_rate": 0, "frames": 0, "samples": 0, "offsets": [], "crc_checked": 0, "crc_failed": 0, "resyncs": 0, "table": None, "tags": tags}
+    data = data[:stop]
     parts, seen, lost = [], {}, False
-    while at < len(data):
-        head = _header(data, at)
-        # a header is believed if a header of the same rate, or the end, follows its frame
-        if head and at + head[0] < len(data):
-            after = _header(data, at + head[0])
-            head = head if after and after[1] == head[1] else None
-        if head is None or at + head[0] > len(data):
+    while at < stop:
+        frame = _frame(data, at)
+        # a header is believed if a header of the same kind, or the end, follows its frame
+        if frame and at + frame.size < stop:
+            after = _frame(data, at + frame.size)
+            frame = frame if after and (after.version, after.layer, after.rate) == (frame.version, frame.layer, frame.rate) else None
+        if frame is None or at + frame.size > stop:
             at = data.find(b"\xff", at + 1)
             lost = True
             if at < 0:
@@ -132,30 +210,26 @@ def decode(data: bytes) -> dict:
             continue
         out["resyncs"] += lost
         lost = False
-        size, rate, side, protected = head
-        body = at + 4 + 2 * protected + side
-        if not protected and data[body : body + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[body + 4 : body + 8], "big")
-            if flags & 1:
-                out["xing_frames"] = int.from_bytes(data[body + 8 : body + 12], "big")
-            if flags & 3 == 3:
-                out["xing_bytes"] = int.from_bytes(data[body + 12 : body + 16], "big")
+        if not out["frames"] and out["table"] is None and frame.layer == 3 and (table := _table(data, at, frame)):
+            out["table"] = table
         else:
-            if protected:
-                lead = data[at + 2 : body]
-                ok = seen.get(lead)
-                if ok is None:
-                    ok = seen[lead] = crc16(lead[:2] + lead[4:]) == int.from_bytes(lead[2:4], "big")
+            sound = True
+            if frame.protected and frame.side:
+                lead = data[at + 2 : at + frame.body]
+                sound = seen.get(lead)
+                if sound is None:
+                    sound = seen[lead] = crc16(lead[:2] + lead[4:]) == int.from_bytes(lead[2:4], "big")
                 out["crc_checked"] += 1
-                out["crc_failed"] += not ok
+                out["crc_failed"] += not sound
             out["offsets"].append(at)
-            out["sample_rate"] = rate
-            parts.append(data[body : at + size])
-        at += size
-    out["frames"] = len(parts)
-    out["samples"] = SAMPLES * len(parts)
+            out["frames"] += 1
+            out["samples"] += frame.samples
+            out["version"], out["layer"], out["sample_rate"] = frame.version, frame.layer, frame.rate
+            if frame.layer == 3:
+                parts.append(data[at + frame.body : at + frame.size] if sound else bytes(max(0, frame.size - frame.body)))
+        at += frame.size
     out["payload"] = b"".join(parts)
-    if (length := out["tags"].get("payload_bytes", "")).isdigit():
+    if (length := tags.get("payload_bytes", "")).isdigit():
         out["payload"] = out["payload"][: int(length)]
     return out
 
@@ -175,14 +249,22 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def inspect(stored: DataFrame, payload: bool = False) -> DataFrame:
-    """stored (media, ...) plus what decode finds: duration as samples and sample_rate, frame_offsets, checks, payload digests.
+    """stored (media, ...) plus what decode finds: format, duration as samples and sample_rate (in seconds too), frame_offsets, checks, tables, tags, payload digests.
 
-    Null media is an empty stream.  With payload, the carried bytes come too.
+    Null media is an empty stream, whose duration is 0.  With payload, the carried
+    bytes come too.  Columns of the names added are replaced, others are kept.
     """
-    names = [c for c in stored.columns if c != "media"]
+    found = (
+        "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, version double, layer int, frames long, samples long, sample_rate int, duration double, "
+        "crc_checked long, crc_failed long, resyncs long, table_kind string, table_frames long, table_bytes long, seek_offsets array<long>, frame_offsets array<long>, tags map<string,string>"
+    )
+    added = [f.split()[0] for f in found.split(", ")]
+    names = [c for c in stored.columns if c not in ("media", "payload", *added)]
     kinds = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in names)
-    found = "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, frames long, samples long, sample_rate int, crc_checked long, crc_failed long, resyncs long, xing_frames long, xing_bytes long, frame_offsets array<long>"
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+    types = [
+        pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64(),
+        pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()),
+    ]
 
     def run(batches):
         for batch in batches:
@@ -194,10 +276,14 @@ def inspect(stored: DataFrame, payload: bool = False) -> DataFrame:
                     d = decode(media)
                     p = d["payload"]
                     held.append(p)
-                    rows.append((len(media), hashlib.sha256(media).hexdigest(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), d["frames"], d["samples"], d["sample_rate"], d["crc_checked"], d["crc_failed"], d["resyncs"], d["xing_frames"], d["xing_bytes"], d["offsets"]))
+                    table = d["table"] or dict.fromkeys(("kind", "frames", "bytes", "seek"))
+                    rows.append((
+                        len(media), hashlib.sha256(media).hexdigest(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), d["version"], d["layer"], d["frames"], d["samples"], d["sample_rate"],
+                        d["samples"] / d["sample_rate"] if d["sample_rate"] else 0.0, d["crc_checked"], d["crc_failed"], d["resyncs"], *table.values(), d["offsets"], list(d["tags"].items()),
+                    ))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 more = [pa.array(held, pa.binary())] if payload else []
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns, *more], [*names, *(f.split()[0] for f in found.split(", ")), *["payload"] * payload])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns, *more], [*names, *added, *["payload"] * payload])
 
     return stored.mapInArrow(run, f"{kinds}, {found}" + ", payload binary" * payload)
 
@@ -206,6 +292,6 @@ def feature():
     """One string of what the stream's reader found."""
     return F.concat_ws(
         ";", F.lit("mpeg1-layer3"), F.concat(F.col("sample_rate"), F.lit("Hz")), F.concat(F.lit("samples="), F.col("samples")), F.concat(F.lit("frames="), F.col("frames")),
-        F.concat(F.lit("vbr="), F.coalesce(F.col("xing_frames").cast("string"), F.lit("none"))), F.concat(F.lit("crc="), F.col("crc_checked") - F.col("crc_failed"), F.lit("/"), F.col("crc_checked")),
+        F.concat(F.lit("vbr="), F.coalesce(F.col("table_frames").cast("string"), F.lit("none"))), F.concat(F.lit("crc="), F.col("crc_checked") - F.col("crc_failed"), F.lit("/"), F.col("crc_checked")),
         F.concat(F.lit("last="), F.coalesce(F.element_at(F.col("frame_offsets"), F.lit(-1)).cast("string"), F.lit("none"))),
     )

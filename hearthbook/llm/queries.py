@@ -34,7 +34,7 @@ def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mpeg_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = Scratch(spark, "audio").keep("media", mpeg_audio.store(_table(spark, sf_dir, "documents")))
     found = mpeg_audio.inspect(media).withColumn("feature", mpeg_audio.feature())
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frame_offsets")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "sample_rate", "duration", "frame_offsets")
 
 
 def op4_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

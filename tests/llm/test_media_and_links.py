@@ -22,7 +22,7 @@ def test_streams_carry_any_payload(payload):
     full = mpeg_audio.padded(payload)
     found = mpeg_audio.decode(mpeg_audio.encode(full))
     assert found["payload"] == full and found["crc_failed"] == 0 and found["resyncs"] == 0
-    assert found["xing_frames"] == found["frames"] == len(found["offsets"]) and found["samples"] == 1152 * found["frames"]
+    assert found["table"]["frames"] == found["frames"] == len(found["offsets"]) and found["samples"] == 1152 * found["frames"]
 
 
 def test_reader_resynchronises_and_counts_bad_checksums():
@@ -34,11 +34,87 @@ def test_reader_resynchronises_and_counts_bad_checksums():
     assert found["resyncs"] == 1 and found["payload"][: len(payload)] == payload
     broken = bytearray(media)
     broken[mpeg_audio.decode(media)["offsets"][2] + 12] ^= 1
-    assert mpeg_audio.decode(bytes(broken))["crc_failed"] == 1
+    failed = mpeg_audio.decode(bytes(broken))
+    assert failed["crc_failed"] == 1 and failed["frames"] == mpeg_audio.decode(media)["frames"] 
+    room = mpeg_audio._ROOM
+    assert failed["payload"] == payload[: 2 * room] + bytes(room) + payload[3 * room :]  # zeros where the frame failed
     assert mpeg_audio.decode(b"")["frames"] == mpeg_audio.decode(b"ID3\xff\xfa")["frames"] == 0
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7  # published check value of this CRC
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.binary(min_size=1, max_size=9000))
+def test_an_independent_walk_finds_the_same_frames(payload):
+    """Frames, durations, CRCs and seek points worked out from the bytes by a walk that knows only these streams."""
+    media = mpeg_audio.encode(mpeg_audio.padded(payload))
+    found = mpeg_audio.decode(media)
+    at = 10 + int("".join(f"{b:07b}" for b in media[6:10]), 2)
+    bits = lambda k: "".join(f"{b:08b}" for b in media[k : k + 4])
+    kbits = lambda k: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320][int(bits(k)[16:20], 2)]
+    first, offsets, carried = at, [], b""
+    while at < len(media):
+        assert bits(at)[:15] == "1" * 11 + "1101" and bits(at)[20:22] == "01" and bits(at)[24:26] == "11"
+        size = 3 * kbits(at)
+        if at > first:
+            offsets.append(at)
+            register = 0xFFFF
+            for bit in "".join(f"{b:08b}" for b in media[at + 2 : at + 4] + media[at + 6 : at + 23]):
+                top = register >> 15 ^ int(bit)
+                register = (register << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+            assert register == int.from_bytes(media[at + 4 : at + 6], "big")
+            carried += media[at + 23 : at + size]
+        at += size
+    assert at == len(media) and offsets == found["offsets"] and carried.startswith(found["payload"]) and found["payload"].startswith(payload)
+    assert found["sample_rate"] == 48000 and found["version"] == 1 and found["layer"] == 3 and found["crc_checked"] == len(offsets)
+    table = found["table"]
+    assert table["kind"] == "xing" and table["bytes"] == len(media) - first and len(table["seek"]) == 100 and table["seek"] == sorted(table["seek"])
+    for percent, place in enumerate(table["seek"]):
+        true = offsets[percent * len(offsets) // 100] - first
+        assert 0 <= true - place <= table["bytes"] / 256 + 1
+
+
+def header(version, layer, index, rate, protected=False, padding=0, mode=3):
+    return bytes([0xFF, 0xE0 | {1: 3, 2: 2, 2.5: 0}[version] << 3 | (4 - layer) << 1 | (not protected), index << 4 | rate << 2 | padding << 1, mode << 6])
+
+
+def test_frames_of_other_versions_and_layers():
+    """Sizes and durations by hand."""
+    for version, layer, index, rate, padding, size, samples, hertz in [
+        (1, 3, 9, 0, 0, 417, 1152, 44100), (1, 3, 9, 0, 1, 418, 1152, 44100), (1, 2, 14, 1, 0, 1152, 1152, 48000), (1, 1, 14, 2, 0, 672, 384, 32000), (1, 1, 1, 0, 1, 36, 384, 44100),
+        (2, 3, 8, 0, 0, 208, 576, 22050), (2, 2, 14, 2, 0, 1440, 1152, 16000), (2, 1, 6, 1, 0, 192, 384, 24000), (2.5, 3, 1, 2, 0, 72, 576, 8000), (2.5, 3, 14, 0, 0, 1044, 576, 11025),
+    ]:
+        stream = header(version, layer, index, rate, padding=padding).ljust(size, b"\0") * 5
+        found = mpeg_audio.decode(stream)
+        assert found["offsets"] == [k * size for k in range(5)] and found["samples"] == 5 * samples and found["sample_rate"] == hertz and (found["version"], found["layer"]) == (version, layer)
+    one = bytearray(header(1, 1, 14, 2, protected=True) + b"\0\0" + bytes(16)).ljust(672, b"\0")
+    one[4:6] = mpeg_audio.crc16(bytes(one[2:4]) + bytes(16)).to_bytes(2, "big")
+    found = mpeg_audio.decode(bytes(one) * 3)
+    assert (found["crc_checked"], found["crc_failed"]) == (3, 0)
+    one[10] = 1
+    assert mpeg_audio.decode(bytes(one) * 3)["crc_failed"] == 3
+
+
+def test_tags_and_tables():
+    frame = header(1, 3, 9, 0).ljust(417, b"\0")
+    vbri = header(1, 3, 9, 0) + bytes(32) + b"VBRI" + b"".join(n.to_bytes(w, "big") for n, w in ((1, 2), (0, 2), (75, 2), (2502, 4), (5, 4), (2, 2), (3, 2), (2, 2), (3, 2), (139, 2), (417, 2)))
+    tag = b"TIT2" + (7).to_bytes(4, "big") + b"\0\0" + b"\x01" + "été".encode("utf-16-le")
+    id3 = b"ID3\x03\0\0" + bytes([0, 0, 0, len(tag)]) + tag
+    old = b"TAG" + b"Song".ljust(30, b"\0") + b"Singer".ljust(30) + b"Album".ljust(30) + b"1999" + bytes(31)
+    found = mpeg_audio.decode(id3 + vbri.ljust(417, b"\0") + 5 * frame + old)
+    assert found["table"] == {"kind": "vbri", "frames": 5, "bytes": 2502, "seek": [0, 417, 1668]} and found["frames"] == 5 and found["resyncs"] == 0
+    assert found["tags"] == {"TIT2": "été", "title": "Song", "artist": "Singer", "album": "Album", "year": "1999"}
+    info = header(1, 3, 9, 0) + bytes(17) + b"Info" + (1).to_bytes(4, "big") + (7).to_bytes(4, "big")
+    assert mpeg_audio.decode(info.ljust(417, b"\0") + 2 * frame)["table"] == {"kind": "info", "frames": 7, "bytes": None, "seek": None}
+
+
+def test_media_with_nulls_and_clashing_names(spark):
+    rows = [(1, mpeg_audio.encode(bytes(64)), 5, "x"), (2, None, 6, None), (2, b"no stream", 7, "y")]
+    got = mpeg_audio.inspect(spark.createDataFrame(rows, "doc_id long, media binary, frames int, a string"))
+    assert got.columns[:2] == ["doc_id", "a"] and got.columns.count("frames") == 1
+    held = {(r.doc_id, r.a): r for r in got.collect()}
+    assert held[1, "x"].duration == held[1, "x"].samples / 48000 > 0 and held[2, None].media_bytes == 0 and held[2, "y"].frames == 0 and held[2, "y"].table_kind is None
+
+
 def test_media_table_round_trip(spark):
     texts = ["", None, "abc", "é" * 70000, "abc", "\x00" * 64]
     stored = mpeg_audio.store(spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, media int"))
