@@ -54,7 +54,14 @@ def _node(url: str) -> str:
 def _absolute(base: str, link: str) -> str:
     root = f"regexp_extract({base}, '(?s)^(.*?://)', 1) || {_host(base)}"
     return f"""case when regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {link} when starts_with({link}, '//') then 'http:' || {link} when starts_with({link}, '/') then {root} || {link}
-      when regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') then null else {root} || regexp_replace('/' || ltrim({_path(base)}, '/'), '[^/]*$', '') || {link} end"""
+      when regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with({link}, '?') then {root} || '/' || ltrim({_path(base)}, '/') || {link} when starts_with({link}, '#') then {base} else {root} || regexp_replace('/' || ltrim({_path(base)}, '/'), '[^/]*$', '') || {link} end"""
+
+
+def _steps(url: str) -> str:
+    """The url without steps . and .. in its path."""
+    parts = f"string_split({_path(url)}, '/')"
+    walked = f"list_reduce(list_prepend(cast([] as varchar[]), list_transform({parts}, lambda p: [p])), lambda held, p: case p[1] when '.' then held when '..' then case when len(held) > 1 then held[:len(held) - 1] else held end else held || p end)"
+    return f"""case when regexp_matches({_path(url)}, '(^|/)\\.\\.?(/|$)') then regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1) || array_to_string({walked}, '/') || case when {parts}[-1] in ('.', '..') then '/' else '' end || regexp_extract({url}, '(?s)^[^?#]*(.*)$', 1) else {url} end"""
 
 
 def url_filter(rules: list[tuple[str, str, str]]) -> str:
@@ -65,10 +72,11 @@ def url_filter(rules: list[tuple[str, str, str]]) -> str:
     return f"""
 with recursive rules as ({table}),
 rows as (select page_id, coalesce({_host("url")}, '') as host, coalesce({_path("url")}, '') as path, {_node("url")} as at from pages),
-tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) as tag from pages),
+tags as (select url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>', '', 'g'), '(?is)<(?:link|meta)\\b[^>]*>')) as tag from pages),
 found as (select url, case when regexp_matches(tag, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') then regexp_extract(tag, '(?is)\\bhref{value}', 1)
   when regexp_matches(tag, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') then regexp_extract(tag, '(?is)\\burl\\s*=\\s*''?([^"''>\\s]+)', 1) end as target from tags),
-whole as (select url, {_absolute("url", "target")} as link from found where target <> ''),
+joined as (select url, {_absolute("url", "replace(target, '&amp;', '&')")} as link from found where target <> ''),
+whole as (select url, {_steps("link")} as link from joined),
 links as (select a, b from (select {_node("url")} as a, {_node("link")} as b from whole) x where a is not null and b is not null and a <> b),
 reach as ({_reach("links")}),
 roots as (select id, least(id, min(root)) as root from reach group by 1),

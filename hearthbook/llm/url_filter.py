@@ -35,17 +35,30 @@ def node(url: Column) -> Column:
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """A link of the page at base as a whole url."""
+    """A link of the page at base as a whole url; of steps . and .. see ``steps``."""
     root = F.concat(F.regexp_extract(base, r"(?s)^(.*?://)", 1), host(base))
+    own = F.concat(F.lit("/"), F.ltrim(path(base), F.lit("/")))
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(F.lit("http:"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(root, link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .otherwise(F.concat(root, F.regexp_replace(F.concat(F.lit("/"), F.ltrim(path(base), F.lit("/"))), r"[^/]*$", ""), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, own, link))
+        .when(F.startswith(link, F.lit("#")), base)
+        .otherwise(F.concat(root, F.regexp_replace(own, r"[^/]*$", ""), link))
     )
 
 
+def steps(url: Column) -> Column:
+    """The url without steps . and .. in its path, which end where they lead."""
+    parts = F.split(path(url), "/")
+    up = lambda held: F.when(F.size(held) > 1, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(held)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when(p == ".", held).when(p == "..", up(held)).otherwise(F.concat(held, F.array(p))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    front, rest = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    return F.when(path(url).rlike(r"(^|/)\.\.?(/|$)"), F.concat(front, F.array_join(walked, "/"), ends, rest)).otherwise(url)
+
+
 def matched(host_of: Column, path_of: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (verdict, rule) of the longest rule that fits, null if none does; allow wins between equals.
 
@@ -62,13 +75,14 @@ def matched(host_of: Column, path_of: Column, rules: list[tuple[str, str, str]])
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, target): the pages' canonical links and meta refreshes as written."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(url, target): the pages' canonical links and meta refreshes as written, those in comments and scripts left out, &amp; read as &."""
+    seen = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
+    tags = F.regexp_extract_all(F.when(F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("refresh")), seen), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     value = r"""\s*=\s*["']?([^"'>\s]+)"""
     each = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag")).where(r"tag rlike '(?is)canonical|refresh'")
     canonical = F.when(F.col("tag").rlike(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", "(?is)\\bhref" + value, 1))
     refresh = F.when(F.col("tag").rlike(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*'?([^"'>\s]+)""", 1))
-    return each.select("url", F.coalesce(canonical, refresh).alias("target"))
+    return each.select("url", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("target"))
 
 
 def edges(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -78,7 +92,8 @@ def edges(found: DataFrame, scratch: Scratch) -> DataFrame:
     expressions into the next makes code that no compiler takes.
     """
     named = scratch.keep("links", found.where("url is not null and target is not null")).where("target <> ''")
-    whole = scratch.keep("absolute", named.select("url", absolute(F.col("url"), F.col("target")).alias("link")))
+    joined = scratch.keep("joined", named.select("url", absolute(F.col("url"), F.col("target")).alias("link")))
+    whole = scratch.keep("absolute", joined.select("url", steps(F.col("link")).alias("link")))
     return scratch.keep("edges", whole.select(node(F.col("url")).alias("a"), node(F.col("link")).alias("b"))).where("a is not null and b is not null")
 
 

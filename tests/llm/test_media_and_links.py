@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hearthbook.llm import mpeg_audio, permutation_index, url_filter, warc
+from hearthbook.llm import mpeg_audio, oracles, permutation_index, url_filter, warc
 from hearthbook.llm._graph import components
 from hearthbook.llm._store import Scratch
 
@@ -205,6 +205,11 @@ def test_url_rules_and_propagation(spark):
         (6, "nohost", None), (7, None, "<link rel=canonical href=/z>"), (8, "http://b.io/d/y", '<meta http-equiv="refresh" content="0; url=../k">'), (9, "http://c.io/", "<p>canonical</p>"),
         (10, "http://m.io/", '<link rel="canonical" href="http://bad.net/1">'), (11, "http://n.org/fr/1", '<link rel="canonical" href="//m.io/">'), (12, "http://net/", None), (13, "http://mynet/", None),
     ]
+    more = [
+        (14, "http://e.io/a/b?q", "<link rel=canonical href='?x=1&amp;y=2'>"), (15, "http://e.io/a/b?x=1&y=2", '<meta http-equiv=refresh content="1; url=../../../c/./d/..">'), (16, "http://e.io/c/", '<link rel=canonical href="http://bad.net/2">'),
+        (17, "http://f.io/", '<!-- <link rel="canonical" href="http://bad.net/3"> --><script>"<link rel=canonical href=http://bad.net/4>"</script>'), (18, "http://g.io/x", '<link rel="canonical" href="#top">'),
+    ]
+    pages = [*pages, *more, *(more * 2)]
     frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, rule string")
     redirects = spark.createDataFrame([("http://b.io/d/y", "http://q.example.com/de/"), (None, "http://z/"), ("http://c.io/", None)], "from_url string, to_url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(frame, RULES, redirects).collect()}
@@ -214,10 +219,37 @@ def test_url_rules_and_propagation(spark):
     assert got[6] == got[7] == ("", "", None, "allow")
     assert got[8][2:] == (None, "block") and got[9][2:] == (None, "allow")
     assert got[10][2:] == (None, "allow") and got[11][2:] == ("org/fr/", "allow")  # an explicit allow outranks the block
+    assert got[14][2:] == got[15][2:] == got[16][2:] == (None, "block") and got[17][2:] == got[18][2:] == (None, "allow")
+    assert url_filter.judge(frame, RULES, redirects).count() == len(pages)  # repeated rows come back as often
     assert got[12][2:] == ("net/", "block") and got[13][2:] == (None, "allow")
     assert url_filter.judge(frame.limit(0), RULES).count() == 0
 
 
+def test_url_verdicts_match_sql_where_pages_link(spark, tmp_path):
+    """The oracle's SQL over pages of which most have links: chains, hubs, cycles, repeated rows, relative and broken targets."""
+    draw = random.Random(13)
+    hosts = ["a.io", "x.net", "example.com", "s.example.net", "n.org", "b.io", "C.io"]
+    paths = ["/", "/en/", "/de/1", "/fr/2", "", "/k/l/m?x=1", "/k", "/very/hot"]
+    rows = []
+    for k in range(300):
+        url = draw.choice([None, "nohost"] + [f"http://{draw.choice(hosts)}{draw.choice(paths)}{draw.choice(['', '', k])}"] * 8)
+        target = draw.choice(["http://hub.io/", f"//{draw.choice(hosts)}{draw.choice(paths)}", "../z", "./", "?x=1&amp;y", "#a", "mailto:me", "/k/../en/", "", f"https://{draw.choice(hosts)}{draw.choice(paths)}"])
+        html = draw.choice([None, "", f'<LINK href="{target}" rel=canonical>', f'<meta http-equiv="refresh" content="0; url={target}">', f"<!-- <link rel=canonical href={target}> -->", f'<link rel="canonical" href="{target}"><link rel=icon href=/i>'])
+        rows.append((k, url, html))
+    rows += rows[:20]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    found = url_filter.judge(frame, RULES)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    # repeated rows make the oracle's joins repeat too; compare distinct rows
+    want = {tuple(r) for r in con.execute(f"select page_id, host, path, rule, verdict, component from ({oracles.url_filter(RULES)})").fetchall()}
+    got = found.select("page_id", "host", "path", "rule", "verdict", "component").collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want and sum(r.component is not None for r in got) > 100
+
+
 def nearest(spark, rows, kind="float", every=20):
     usable = permutation_index.usable(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, vector int"), "vec_id", "embedding")
     got = {}
