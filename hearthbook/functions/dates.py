@@ -13,7 +13,7 @@ def iso_date(text: Column) -> Column:
 
 def parse_date(text: Column, order: str) -> Column:
     """ISO, or day and month in the given order (MDY or DMY) with / . or -; invalid dates are null."""
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), _assembled(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)))
+    iso = _assembled(text, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", (1, 2, 3))
     places = (3, 1, 2) if order == "MDY" else (3, 2, 1)
     return F.coalesce(iso, _assembled(text, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", places))
 
@@ -27,6 +27,15 @@ def month_index(date: Column) -> Column:
     return F.year(date) * 12 + F.month(date) - 1
 
 
+def add_months(date: Column, months: Column | int) -> Column:
+    """The same day so many months on, or the month's last."""
+    return F.add_months(date, months)
+
+
+def month_end(date: Column) -> Column:
+    return F.last_day(date)
+
+
 def month_label(index: Column) -> Column:
     return F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"))
 

@@ -25,6 +25,17 @@ def _compatible(text: Column) -> Column:
     return F.pandas_udf(_nfkc, "string")(text)
 
 
+def normalized(names: pd.Series) -> pd.Series:
+    """normalize_name over a batch of texts, for engines that take functions instead of expressions."""
+    import re
+
+    def one(text: str | None) -> str:
+        text = re.sub(STORE_NOISE, " ", unicodedata.normalize("NFKC", text or "").upper())
+        return " ".join(re.sub(LEGAL_WORDS, " ", text).split())
+
+    return names.map(one)
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

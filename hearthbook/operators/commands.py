@@ -49,14 +49,6 @@ def review_links(links: DataFrame, commands: DataFrame) -> DataFrame:
     return joined.select("link_id", F.coalesce("decided", "review_status").alias("review_status"), F.coalesce((F.col("decided") == "rejected") & (F.col("review_status") != "rejected"), F.lit(False)).alias("restores"))
 
 
-def resolve_issues(issues: DataFrame, choices: DataFrame) -> DataFrame:
-    """issues (receipt_id, candidates) with the user's choice: linked, left_unmatched, invalid for no candidate, or open."""
-    last = latest(choices, "receipt_id", "seq").select("receipt_id", F.col("posting_id").alias("chosen"), F.lit(True).alias("answered"))
-    joined = issues.join(last, "receipt_id", "left")
-    outcome = F.when(F.col("answered").isNull(), "open").when(F.col("chosen").isNull(), "left_unmatched").when(F.array_contains("candidates", F.col("chosen")), "linked").otherwise("invalid")
-    return joined.select("receipt_id", outcome.alias("outcome"), F.when(outcome == "linked", F.col("chosen")).alias("posting_id"))
-
-
 def answer(kind: Column, today: Column, bought_on: Column) -> Column:
     """Struct (event, day, precision) of a one-tap answer; a day never lies before the purchase."""
     table = F.create_map(*(x for k, (event, days, precision) in ANSWERS.items() for x in (F.lit(k), F.struct(F.lit(event).alias("event"), F.lit(days).alias("days"), F.lit(precision).alias("precision")))))
@@ -72,6 +64,25 @@ def stage_answers(answers: DataFrame, lots: DataFrame) -> DataFrame:
     return joined.select("lot_id", "seq", reason.alias("reason"))
 
 
+def apply_answers(answers: DataFrame, lots: DataFrame, applied: DataFrame, today: str) -> DataFrame:
+    """Each named lot's state after its first valid answer (lot_id, seq, kind), save the lots that an earlier run applied.
+
+    lots (lot_id, status, bought_on) are those before it.
+    """
+    staged = stage_answers(answers, lots).where("reason = 'ok'").join(answers, ["lot_id", "seq"]).join(applied, "lot_id", "left_anti")
+    day = F.lit(today).cast("date")
+    said = staged.join(lots.select("lot_id", "bought_on"), "lot_id").withColumn("a", answer(F.col("kind"), day, F.col("bought_on")))
+    closes = F.col("a.event").isin("finished", "thrown_out")
+    return said.select("lot_id", F.when(closes, F.col("a.event")).otherwise("in_stock").alias("status"), F.when(closes, F.col("a.day")).alias("closed_on"), F.col("a.precision").alias("closed_precision"))
+
+
+def created(accounts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """accounts with one more for each wanted (institution, account_type, currency) that there is none of, under the least wanted id."""
+    key = ["institution", "account_type", "currency"]
+    missing = wanted.join(accounts, key, "left_anti").groupBy(*key).agg(F.min("account_id").alias("account_id"))
+    return accounts.select(*key, "account_id").unionByName(missing)
+
+
 def next_checks(lots: DataFrame, today: str) -> DataFrame:
     """Lots in stock that a later purchase of the same product supersedes are asked about at once."""
     newer = F.max("bought_on").over(W.partitionBy("product_id"))

@@ -32,10 +32,16 @@ def matching(lots: DataFrame, query: str = "") -> DataFrame:
     return kept
 
 
+def sized(lots: DataFrame) -> DataFrame:
+    """Lots plus size, null where the text is unreadable; each distinct text is read once."""
+    texts = lots.select("size_text").distinct().withColumn("size", parse_size(F.col("size_text")))
+    return lots.join(texts, "size_text", "left")
+
+
 def priced(lots: DataFrame) -> DataFrame:
-    """Lots with a readable size plus dimension, milli (quantity), assumed and price (millionths of a minor unit)."""
-    sized = lots.withColumn("size", parse_size(F.col("size_text"))).where("size is not null").withColumn("q", quantity(F.col("units")))
-    return sized.select(*lots.columns, F.col("size.dimension").alias("dimension"), F.col("q.assumed").alias("assumed"), unit_price_micro(F.col("cost_minor"), F.col("size"), F.col("q.milli")).alias("price"))
+    """Lots with a readable size plus dimension, assumed and price (millionths of a minor unit)."""
+    rows = sized(lots).where("size is not null").withColumn("q", quantity(F.col("units")))
+    return rows.select(*lots.columns, F.col("size.dimension").alias("dimension"), F.col("q.assumed").alias("assumed"), unit_price_micro(F.col("cost_minor"), F.col("size"), F.col("q.milli")).alias("price"))
 
 
 def shown(price: Column) -> Column:
@@ -110,21 +116,50 @@ def usual_days(lots: DataFrame) -> DataFrame:
     return per.select("product_id", "category", F.when(F.col("finished") >= 2, F.greatest(F.lit(1), F.bround("m").cast("int"))).otherwise(default).alias("days"))
 
 
+def policy_of(lots: DataFrame, policies: DataFrame) -> DataFrame:
+    """(merchant, policy_id, days) of each merchant's policy: the longest pattern whose words all stand in its name.
+
+    They meet on the pattern's first word, so no merchant is compared with every policy.
+    """
+    said = lots.select("merchant").distinct().withColumn("words", F.split("merchant", " "))
+    asked = policies.withColumn("needs", F.split("pattern", " ")).withColumn("word", F.col("needs")[0])
+    fits = said.withColumn("word", F.explode(F.array_distinct("words"))).join(asked, "word").where("size(array_except(needs, words)) = 0")
+    best = fits.groupBy("merchant").agg(F.max_by(F.struct("policy_id", "days"), F.struct(F.length("pattern"), -F.col("policy_id"))).alias("best"))
+    return best.select("merchant", "best.policy_id", "best.days")
+
+
 def returnable(lots: DataFrame, policies: DataFrame, today: str) -> DataFrame:
-    """Lots in stock with the return window of the merchant's policy: the longest pattern whose words all stand in the name.
+    """Lots in stock that are not food, with their return window: printed on the receipt, else the merchant's policy.
 
-    policies (policy_id, pattern, days); days null is no fixed limit.  Food has no window.
+    policies (policy_id, pattern, days); days null is no fixed limit.  Lots may carry
+    return_days_printed and opened_on; an opened lot is not returnable.
     """
-    merchants = lots.select("merchant").distinct()
-    fits = F.size(F.array_except(F.split("pattern", " "), F.split("merchant", " "))) == 0
-    place = W.partitionBy("merchant").orderBy(F.length("pattern").desc(), "policy_id")
-    # policies are a handful that a user typed; merchants are distinct names, not lots
-    chosen = merchants.join(F.broadcast(policies), fits).withColumn("k", F.row_number().over(place)).where("k = 1").select("merchant", "days", F.lit(True).alias("has_policy"))
-    held = lots.where("status = 'in_stock'").where(~F.col("category").isin(*FOOD)).join(chosen, "merchant", "left")
-    until = F.expr("date_add(bought_on, days)")
-    return held.select("lot_id", "merchant", "bought_on", until.alias("return_by"), (F.coalesce("has_policy", F.lit(False)) & (F.col("days").isNull() | (until >= F.lit(today).cast("date")))).alias("returnable"))
+    own = lambda c, kind: F.col(c) if c in lots.columns else F.lit(None).cast(kind)
+    held = lots.withColumns({"printed": own("return_days_printed", "int"), "opened": own("opened_on", "date")}).where("status = 'in_stock' and bought_on is not null").where(~F.col("category").isin(*FOOD))
+    joined = held.join(policy_of(lots, policies), "merchant", "left")
+    days = F.coalesce("printed", "days")
+    until = F.expr("date_add(bought_on, coalesce(printed, days))")
+    unlimited = F.col("printed").isNull() & F.col("policy_id").isNotNull() & F.col("days").isNull()
+    open_ = unlimited | F.coalesce((days > 0) & (until >= F.lit(today).cast("date")), F.lit(False))
+    return joined.select("lot_id", "merchant", "bought_on", until.alias("return_by"), (open_ & F.col("opened").isNull()).alias("returnable"))
+
+
+def set_policies(policies: DataFrame, entries: DataFrame) -> DataFrame:
+    """policies (pattern, days) after entries (seq, pattern, days, deleted): the last one of each pattern counts, of 0 to 730 days or none."""
+    fine = entries.where("pattern <> '' and (days is null or days between 0 and 730)")
+    last = fine.groupBy("pattern").agg(F.max_by(F.struct(F.col("days").alias("now"), "deleted"), "seq").alias("said"))
+    joined = policies.withColumn("here", F.lit(True)).join(last, "pattern", "full_outer").where("said is null or not said.deleted")
+    return joined.select("pattern", F.when(F.col("said").isNull(), F.col("days")).otherwise(F.col("said.now")).alias("days"))
+
+
+def inventory(lots: DataFrame, query: str = "", include_closed: bool = False) -> DataFrame:
+    """Lots in stock, or all, whose name, brand or category has every word of the query (eight at most), by name, purchase and id."""
+    kept = lots if include_closed else lots.where("status = 'in_stock'")
+    for word in query.upper().split()[:8]:
+        kept = kept.where(F.contains(normalize_text(F.col("name")), F.lit(word)) | F.contains(F.upper(F.coalesce("brand", F.lit(""))), F.lit(word)) | F.contains(F.upper("category"), F.lit(word)))
+    return kept.orderBy("name", "bought_on", "lot_id")
 
 
 def returns_closing(lots: DataFrame, policies: DataFrame, today: str, within: int = CLOSING_DAYS) -> DataFrame:
     day = F.lit(today).cast("date")
-    return returnable(lots, policies, today).where(F.col("return_by").between(day, F.date_add(day, within))).select("lot_id", "return_by")
+    return returnable(lots, policies, today).where(F.col("returnable") & F.col("return_by").between(day, F.date_add(day, within))).select("lot_id", "return_by")

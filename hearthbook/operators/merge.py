@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hearthbook.operators.written import folder, kept
+
 
 def fingerprints(rows: DataFrame, source: str = "source", order: str = "source_row") -> DataFrame:
     """rows plus ordinal and fingerprint.
@@ -56,10 +58,22 @@ def latest_corrections(changes: DataFrame, keys: list[str], field: str, value: s
     return changes.groupBy(*keys).agg(*(F.max_by(F.when(F.col(field) == f, F.col(value)), F.when(F.col(field) == f, F.col(order))).alias(f) for f in fields))
 
 
-def closure(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(id) of everything reachable from roots (id) over edges (parent, child), roots included: a recursive query."""
+def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of everything reachable from roots (id) over edges (parent, child), roots included, each once.
+
+    One round a level, until a round finds nothing new; each round's finds are
+    written beside the earlier ones, so plans stay small and cycles end.
+    """
     spark = roots.sparkSession
-    return spark.sql(
-        f"with recursive reach(id, depth) as (select id, 0 from {{roots}} union all select e.child, r.depth + 1 from reach r join {{edges}} e on e.parent = r.id where r.depth < {most}) select distinct id from reach",
-        roots=roots, edges=edges,
-    )
+    place = folder(spark)
+    shape = roots.select("id").schema
+    edges = kept(edges.select("parent", "child").where("parent is not null and child is not null").distinct())
+    roots.select("id").where("id is not null").distinct().write.parquet(f"{place}/level=0")
+    level = 0
+    while True:
+        front, seen = spark.read.schema(shape).parquet(f"{place}/level={level}"), spark.read.schema(shape).parquet(*(f"{place}/level={k}" for k in range(level + 1)))
+        if front.isEmpty():
+            return seen
+        found = edges.join(front, edges["parent"] == front["id"], "left_semi").select(F.col("child").alias("id")).distinct()
+        level += 1
+        found.join(seen, "id", "left_anti").write.parquet(f"{place}/level={level}")

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from hearthbook.functions import predicates as P
 from hearthbook.functions.text import first_words, name_tokens, normalize_name
+from hearthbook.operators.review import latest
+from hearthbook.operators.rules import apply_rules
+from hearthbook.operators.written import kept
 
 # Days between a purchase, its posting, a transfer's two sides and a refund; cadences in days.
 POSTING_DAYS, TRANSFER_DAYS, REFUND_DAYS, BILL_EARLY_DAYS, BILL_LATE_DAYS = 5, 5, 120, 45, 7
 CADENCES = (("weekly", 6, 8, 0), ("monthly", 26, 35, 1), ("quarterly", 85, 95, 3), ("annual", 360, 370, 12))
 SURE, LEAD = 80, 20
+OBLIGATION, OBLIGATION_DECISIONS = ["account_id", "merchant_key", "currency", "frequency"], ("verified", "rejected", "ended")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -26,17 +30,33 @@ def overlap(a: Column, b: Column) -> Column:
     return F.arrays_overlap(name_tokens(a, ascii_only=True), name_tokens(b, ascii_only=True))
 
 
-def receipt_candidates(receipts: DataFrame, postings: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+def _days(first: Column, last: Column) -> Column:
+    """A row for every day of a window, so that dates can be part of a join's key."""
+    return F.explode(F.sequence(first, last))
+
+
+def _day_of(rows: DataFrame) -> Column:
+    """The day a purchase was made where the bank prints it, else the day it was posted."""
+    return F.coalesce("transaction_date", "posted_date") if "transaction_date" in rows.columns else F.col("posted_date")
+
+
+def receipt_candidates(receipts: DataFrame, postings: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Pairs (receipt_id, posting_id, score, method): a receipt's total as an outflow on the day or up to five days later.
 
-    rejected (receipt_id, posting_id) are never proposed again.
+    links (receipt_id, posting_id, review_status) are those there are: neither side
+    of one that stands is offered again, nor a rejected pair.
     """
     r = receipts.where("review_status <> 'rejected' and total_minor is not null and purchase_date is not null")
-    r = r.select("receipt_id", "merchant", "purchase_date", "currency", (-F.col("total_minor")).alias("amount_minor"))
-    t = postings.where("review_status <> 'rejected'").select("posting_id", "posted_date", "description_raw", "currency", "amount_minor")
-    pairs = r.join(t, ["currency", "amount_minor"]).where(F.col("posted_date").between(F.col("purchase_date"), F.date_add("purchase_date", POSTING_DAYS)))
-    if rejected is not None:
-        pairs = pairs.join(rejected, ["receipt_id", "posting_id"], "left_anti")
+    t = postings.where("review_status <> 'rejected'")
+    if links is not None:
+        stands = links.where("review_status <> 'rejected'")
+        r, t = r.join(stands, "receipt_id", "left_anti"), t.join(stands, "posting_id", "left_anti")
+    r = r.select("receipt_id", "merchant", "purchase_date", "currency", (-F.col("total_minor")).alias("amount_minor"), _days(F.col("purchase_date"), F.date_add("purchase_date", POSTING_DAYS)).alias("day"))
+    t = t.select("posting_id", _day_of(t).alias("day"), "description_raw", "currency", "amount_minor")
+    # the day is part of the key: a round amount does not meet its whole history
+    pairs = r.join(t, ["currency", "amount_minor", "day"]).withColumnRenamed("day", "posted_date")
+    if links is not None:
+        pairs = pairs.join(links.where("review_status = 'rejected'"), ["receipt_id", "posting_id"], "left_anti")
     lag = F.datediff("posted_date", "purchase_date")
     same, near, named = lag == 0, (lag > 0) & (lag <= 2), F.coalesce(overlap(F.col("merchant"), F.col("description_raw")), F.lit(False))
     score = 60 + F.when(same, 20).when(near, 10).otherwise(0) + F.when(named, 20).otherwise(0)
@@ -95,21 +115,32 @@ def _best_receipt(free: list[dict]):
     return None, ranked
 
 
-def link_receipts(receipts: DataFrame, postings: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+def link_receipts(receipts: DataFrame, postings: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(receipt_id, posting_id, score, method, status): links, and the candidates of receipts that stay open."""
-    pairs = receipt_candidates(receipts, postings, rejected)
+    pairs = receipt_candidates(receipts, postings, links)
     kinds = "receipt_id long, posting_id long, currency string, amount_minor long, score int, method string, status string"
     return _in_turn(pairs, "receipt_id", "posting_id", _best_receipt, kinds).drop("currency", "amount_minor")
 
 
-def transfer_candidates(rows: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Pairs (out_id, in_id, score): equal and opposite amounts of two accounts within five days, one side of which says or is a card that money moves."""
-    kept = rows.where("review_status <> 'rejected'").join(accounts.select("account_id", "account_type"), "account_id")
-    out = kept.where("amount_minor < 0 and transaction_type in ('transfer', 'payment', 'purchase', 'withdrawal')")
-    out = out.select(F.col("posting_id").alias("out_id"), F.col("account_id").alias("out_account"), F.col("posted_date").alias("out_date"), F.col("transaction_type").alias("out_type"), "currency", (-F.col("amount_minor")).alias("amount_minor"))
-    into = kept.where("amount_minor > 0").select(F.col("posting_id").alias("in_id"), F.col("account_id").alias("in_account"), F.col("posted_date").alias("in_date"), F.col("transaction_type").alias("in_type"), F.col("account_type").alias("in_account_type"), "currency", "amount_minor")
+def transfer_candidates(rows: DataFrame, accounts: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Pairs (out_id, in_id, score): equal and opposite amounts of two accounts within five days, one side of which says or is a card that money moves.
+
+    links (out_id, in_id, review_status) are those there are, as in ``receipt_candidates``.
+    """
+    live = rows.where("review_status <> 'rejected'").join(accounts.select("account_id", "account_type"), "account_id")
+    out = live.where("amount_minor < 0 and transaction_type in ('transfer', 'payment', 'purchase', 'withdrawal')")
+    out = out.select(
+        F.col("posting_id").alias("out_id"), F.col("account_id").alias("out_account"), F.col("posted_date").alias("out_date"), F.col("transaction_type").alias("out_type"), "currency", (-F.col("amount_minor")).alias("amount_minor"),
+        _days(F.date_sub("posted_date", TRANSFER_DAYS), F.date_add("posted_date", TRANSFER_DAYS)).alias("in_date"),
+    )
+    into = live.where("amount_minor > 0").select(F.col("posting_id").alias("in_id"), F.col("account_id").alias("in_account"), F.col("posted_date").alias("in_date"), F.col("transaction_type").alias("in_type"), F.col("account_type").alias("in_account_type"), "currency", "amount_minor")
+    if links is not None:
+        stands = links.where("review_status <> 'rejected'")
+        out, into = out.join(stands, "out_id", "left_anti"), into.join(stands, "in_id", "left_anti")
     moving = lambda c: F.col(c).isin(*P.MOVING_TYPES)
-    pairs = out.join(into, ["currency", "amount_minor"]).where((F.col("out_account") != F.col("in_account")) & (F.abs(F.datediff("out_date", "in_date")) <= TRANSFER_DAYS))
+    pairs = out.join(into, ["currency", "amount_minor", "in_date"]).where(F.col("out_account") != F.col("in_account"))
+    if links is not None:
+        pairs = pairs.join(links.where("review_status = 'rejected'"), ["out_id", "in_id"], "left_anti")
     pairs = pairs.where(moving("out_type") | moving("in_type") | (F.col("in_account_type") == "credit_card"))
     score = 70 + F.when(F.col("out_date") == F.col("in_date"), 10).otherwise(0) + F.when(moving("out_type") & moving("in_type"), 20).otherwise(0)
     return pairs.select("out_id", "in_id", "currency", "amount_minor", score.alias("score"), moving("out_type").alias("says_so"))
@@ -122,19 +153,31 @@ def _only_transfer(free: list[dict]):
     return None, free if free[0]["says_so"] else []
 
 
-def link_transfers(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+def link_transfers(rows: DataFrame, accounts: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(out_id, in_id, score, status)."""
     kinds = "out_id long, in_id long, currency string, amount_minor long, score int, says_so boolean, status string"
-    return _in_turn(transfer_candidates(rows, accounts), "out_id", "in_id", _only_transfer, kinds).select("out_id", "in_id", "score", "status")
+    return _in_turn(transfer_candidates(rows, accounts, links), "out_id", "in_id", _only_transfer, kinds).select("out_id", "in_id", "score", "status")
+
 
+def link_refunds(rows: DataFrame, id_column: str = "transaction_id", links: DataFrame | None = None) -> DataFrame:
+    """(credit_id, purchase_id, score, method, status) of refunds and the purchases of up to 120 days before that they may return.
 
-def link_refunds(rows: DataFrame, id_column: str = "transaction_id") -> DataFrame:
-    """(credit_id, purchase_id, score, method, status) of refunds and the purchases of up to 120 days before that they may return."""
-    kept = rows.where("review_status <> 'rejected'")
-    credit = kept.where("amount_minor > 0 and transaction_type = 'refund'").select(F.col(id_column).alias("credit_id"), "account_id", "currency", F.col("amount_minor").alias("credit"), F.col("posted_date").alias("credit_date"), name_tokens(F.col("description_raw"), True).alias("words"))
-    bought = kept.where("amount_minor < 0 and transaction_type = 'purchase'").select(F.col(id_column).alias("purchase_id"), "account_id", "currency", (-F.col("amount_minor")).alias("paid"), "posted_date", name_tokens(F.col("description_raw"), True).alias("bought_words"))
-    pairs = credit.join(bought, ["account_id", "currency"]).where(
-        (F.col("paid") >= F.col("credit")) & F.col("posted_date").between(F.date_sub("credit_date", REFUND_DAYS), F.col("credit_date")) & F.arrays_overlap("words", "bought_words"))
+    links (credit_id, purchase_id, review_status) are those there are: a credit that
+    has one that stands is done, and a rejected pair is not offered again.
+    """
+    live = rows.where("review_status <> 'rejected'")
+    credit = live.where("amount_minor > 0 and transaction_type = 'refund'").select(F.col(id_column).alias("credit_id"), "account_id", "currency", F.col("amount_minor").alias("credit"), F.col("posted_date").alias("credit_date"), name_tokens(F.col("description_raw"), True).alias("words"))
+    if links is not None:
+        credit = credit.join(links.where("review_status <> 'rejected'"), "credit_id", "left_anti")
+    bought = live.where("amount_minor < 0 and transaction_type = 'purchase'").select(F.col(id_column).alias("purchase_id"), "account_id", "currency", (-F.col("amount_minor")).alias("paid"), "posted_date", name_tokens(F.col("description_raw"), True).alias("bought_words"))
+    # they meet on a word and a span of 120 days, a credit in its own and the one before; of the words that they share the first counts
+    span = lambda c: F.floor(F.unix_date(c) / REFUND_DAYS)
+    asks = credit.withColumn("span", F.explode(F.array(span(F.col("credit_date")), span(F.date_sub("credit_date", REFUND_DAYS))))).withColumn("word", F.explode("words"))
+    has = bought.withColumn("span", span(F.col("posted_date"))).withColumn("word", F.explode("bought_words"))
+    pairs = asks.join(has, ["account_id", "currency", "span", "word"]).where(
+        (F.col("paid") >= F.col("credit")) & F.col("posted_date").between(F.date_sub("credit_date", REFUND_DAYS), F.col("credit_date")) & (F.array_intersect("words", "bought_words")[0] == F.col("word")))
+    if links is not None:
+        pairs = pairs.join(links.where("review_status = 'rejected'"), ["credit_id", "purchase_id"], "left_anti")
     mine = W.partitionBy("credit_id")
     exact = F.col("paid") == F.col("credit")
     counted = pairs.withColumn("exact", exact).withColumn("n_exact", F.sum(exact.cast("int")).over(mine)).withColumn("n", F.count("*").over(mine))
@@ -144,10 +187,98 @@ def link_refunds(rows: DataFrame, id_column: str = "transaction_id") -> DataFram
     return counted.where(chosen | ~settled).select("credit_id", "purchase_id", score.alias("score"), method.alias("method"), F.when(settled, "link").otherwise("open").alias("status"))
 
 
+def retyped(rows: DataFrame, transfers: DataFrame, accounts: DataFrame, id_column: str = "posting_id") -> DataFrame:
+    """rows whose transfer links (out_id, in_id) make them payments, where the money reaches a card, or transfers.
+
+    Verified rows and rows that already say so keep their type.
+    """
+    kind = accounts.select("account_id", F.when(F.col("account_type") == "credit_card", "payment").otherwise("transfer").alias("moves"))
+    reached = transfers.join(rows.select(F.col(id_column).alias("in_id"), "account_id"), "in_id").join(kind, "account_id")
+    each = reached.select(F.explode(F.array("out_id", "in_id")).alias(id_column), "moves").groupBy(id_column).agg(F.min("moves").alias("moves"))
+    joined = rows.join(each, id_column, "left")
+    stays = F.col("moves").isNull() | F.col("transaction_type").isin(*P.MOVING_TYPES) | (F.col("review_status") == "verified")
+    return joined.withColumn("transaction_type", F.when(stays, F.col("transaction_type")).otherwise(F.col("moves"))).select(rows.columns)
+
+
+def run(receipts: DataFrame, rows: DataFrame, accounts: DataFrame, rules: DataFrame, receipt_links: DataFrame | None = None, transfer_links: DataFrame | None = None, refund_links: DataFrame | None = None, answered: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One whole pass, in the order that matters: receipts, transfers, refunds of rows that no transfer took, recurring payments, rules.
+
+    Gives receipt_links, transfers, rows (retyped, with the merchant of their
+    receipt), refunds, recurring, issues (issue_type, record_id, candidates) without
+    questions that the user answered (issue_type, record_id), categories, and counts.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    matched = kept(link_receipts(receipts, rows, receipt_links))
+    moved = kept(link_transfers(rows, accounts, transfer_links))
+    typed = retyped(rows, moved.where("status = 'link'"), accounts)
+    named = matched.where("status = 'link'").join(receipts.select("receipt_id", F.col("merchant").alias("bought_at")), "receipt_id").select("posting_id", "bought_at")
+    typed = typed.join(named, "posting_id", "left").withColumn("merchant", F.coalesce("merchant", "bought_at") if "merchant" in kinds else F.col("bought_at")).drop("bought_at")
+    typed = kept(typed)
+    returned = kept(link_refunds(typed, "posting_id", refund_links))
+    steady = kept(recurring(typed.withColumnRenamed("posting_id", "transaction_id")))
+    open_ = lambda frame, kind, record, candidate: frame.where("status = 'open'").groupBy(F.lit(kind).alias("issue_type"), F.col(record).alias("record_id")).agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
+    issues = open_(matched, "ambiguous_receipt_match", "receipt_id", "posting_id").unionByName(open_(moved, "ambiguous_transfer", "out_id", "in_id")).unionByName(open_(returned, "ambiguous_refund", "credit_id", "purchase_id"))
+    if answered is not None:
+        issues = issues.join(answered, ["issue_type", "record_id"], "left_anti")
+    # a rule may name what the bank printed or the merchant that a receipt gave
+    described = typed.withColumn("description_raw", F.concat_ws(" ", "description_raw", "merchant"))
+    links = lambda frame: frame.where("status = 'link'").drop("status")
+    found = {"receipt_links": links(matched), "transfers": links(moved), "refunds": links(returned), "recurring": steady}
+    counts = None
+    for name, frame in (*found.items(), ("open_issues", issues)):
+        one = frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("pass"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return {**found, "rows": typed, "issues": issues, "categories": apply_rules(described, rules, "posting_id"), "counts": counts}
+
+
+def resolve_issues(issues: DataFrame, choices: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """issues (issue_type, record_id, candidates, status) with the last choice (issue_type, record_id, seq, chosen or null) on each: outcome and chosen.
+
+    linked needs a candidate that is not rejected and, for a receipt, that no other
+    receipt has (taken: posting_id, receipt_id); without a choice the record is
+    left_unmatched; what is not open or not allowed is refused.
+    """
+    last = latest(choices, ["issue_type", "record_id"], "seq").select("issue_type", "record_id", "chosen", F.lit(True).alias("answered"))
+    alive = rows.where("review_status <> 'rejected'").select(F.col("posting_id").alias("chosen"), F.lit(True).alias("alive"))
+    held = taken.groupBy(F.col("posting_id").alias("chosen")).agg(F.min("receipt_id").alias("by"))
+    joined = issues.join(last, ["issue_type", "record_id"], "left").join(alive, "chosen", "left").join(held, "chosen", "left")
+    other = (F.col("issue_type") == "ambiguous_receipt_match") & F.col("by").isNotNull() & (F.col("by") != F.col("record_id"))
+    good = F.array_contains("candidates", F.col("chosen")) & F.coalesce("alive", F.lit(False)) & ~other
+    outcome = (
+        F.when(F.col("answered").isNull(), F.col("status")).when(F.col("status") != "open", "refused").when(F.col("chosen").isNull(), "left_unmatched")
+        .when(F.coalesce(good, F.lit(False)), "linked").otherwise("refused")
+    )
+    return joined.select("issue_type", "record_id", outcome.alias("outcome"), F.when(outcome == "linked", F.col("chosen")).alias("chosen"))
+
+
+def choice_links(resolved: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(record_id, posting_id, score, method, review_status) of the linked choices: verified, over what was proposed or rejected before."""
+    found = candidates.select(F.col("receipt_id").alias("record_id"), F.col("posting_id").alias("chosen"), "score", "method")
+    linked = resolved.where("outcome = 'linked' and issue_type = 'ambiguous_receipt_match'").join(found, ["record_id", "chosen"])
+    return linked.select("record_id", F.col("chosen").alias("posting_id"), "score", F.concat("method", F.lit("+user_choice")).alias("method"), F.lit("verified").alias("review_status"))
+
+
+def review_obligations(obligations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """obligations with the last known decision on each: confirmed, rejected or ended."""
+    last = latest(decisions.where(F.col("decision").isin(*OBLIGATION_DECISIONS)), OBLIGATION, "seq").select(*OBLIGATION, "decision")
+    return obligations.join(last, OBLIGATION, "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")
+
+
+def merge_obligations(old: DataFrame, found: DataFrame) -> DataFrame:
+    """Obligations after another pass: rejected and ended ones stay as they are, confirmed ones keep their amount, all others take the new one."""
+    o = old.select(*OBLIGATION, F.col("expected_minor").alias("had"), F.col("next_due_date").alias("due"), "status")
+    joined = o.join(found.select(*OBLIGATION, "expected_minor", "next_due_date"), OBLIGATION, "full_outer")
+    closed, same = F.col("status").isin("rejected", "ended"), F.col("status") != "proposed"
+    return joined.select(
+        *OBLIGATION, F.when(F.coalesce(same, F.lit(False)) | F.col("expected_minor").isNull(), F.col("had")).otherwise(F.col("expected_minor")).alias("expected_minor"),
+        F.when(F.coalesce(closed, F.lit(False)) | F.col("next_due_date").isNull(), F.col("due")).otherwise(F.col("next_due_date")).alias("next_due_date"), F.coalesce("status", F.lit("proposed")).alias("status"),
+    )
+
+
 def recurring(rows: DataFrame) -> DataFrame:
     """Equal payments of one account and merchant key at a steady cadence, three or more; the newest group of a cadence sets the price."""
-    kept = rows.where(P.countable() & (F.col("amount_minor") < 0) & F.col("transaction_type").isin("purchase", "fee"))
-    keyed = kept.withColumn("merchant_key", first_words(normalize_name(F.col("description_raw"), ascii_only=True))).where("merchant_key <> ''")
+    live = rows.where(P.countable() & (F.col("amount_minor") < 0) & F.col("transaction_type").isin("purchase", "fee"))
+    keyed = live.withColumn("merchant_key", first_words(normalize_name(F.col("description_raw"), ascii_only=True))).where("merchant_key <> ''")
     group = ["account_id", "merchant_key", "amount_minor", "currency"]
     inside = W.partitionBy(*group).orderBy("posted_date", "transaction_id")
     gaps = keyed.withColumn("gap", F.datediff("posted_date", F.lag("posted_date").over(inside)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 RANK = {"rejected": 0, "proposed": 1, "needs_review": 1, "verified": 2}
 
 
-def latest(commands: DataFrame, key: str, order: str) -> DataFrame:
+def latest(commands: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """The last command of each record."""
     place = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
     return commands.withColumn("k", place).where("k = 1").drop("k")

@@ -14,14 +14,18 @@ def apply_rules(rows: DataFrame, rules: DataFrame, id_column: str = "transaction
 
     rules (rule_id, pattern, category, account_id or null).  Rules meet rows on
     their first word, so neither side is paired with the whole other side.
+    Descriptions that normalise alike are matched once.
     """
-    words = F.split(normalize_name(F.col("description_raw"), ascii_only=True), " ")
-    said = rows.select(id_column, F.col("account_id").alias("of_account"), words.alias("said"))
-    each = said.select(id_column, "of_account", "said", F.explode(F.array_distinct("said")).alias("word"))
+    named = rows.select(id_column, F.col("account_id").alias("of_account"), normalize_name(F.col("description_raw"), ascii_only=True).alias("name"))
+    said = named.select("name").distinct().withColumn("said", F.split("name", " "))
     split = rules.withColumn("words", F.split("pattern", " ")).withColumn("word", F.col("words")[0])
-    fits = each.join(split, "word").where("size(array_except(words, said)) = 0 and (account_id is null or account_id = of_account)")
-    best = F.row_number().over(W.partitionBy(id_column).orderBy(F.size("words").desc(), F.desc("rule_id")))
-    return fits.withColumn("k", best).where("k = 1").select(id_column, "rule_id", "category")
+    each = said.select("name", "said", F.explode(F.array_distinct("said")).alias("word"))
+    fits = each.join(split, "word").where("size(array_except(words, said)) = 0")
+    rank = F.struct(F.size("words").alias("size"), "rule_id", "category")
+    anyone = fits.where("account_id is null").groupBy("name").agg(F.max(rank).alias("anyone"))
+    own = fits.where("account_id is not null").groupBy("name", F.col("account_id").alias("of_account")).agg(F.max(rank).alias("own"))
+    best = named.join(anyone, "name", "left").join(own, ["name", "of_account"], "left").select(id_column, F.array_max(F.array("anyone", "own")).alias("best"))
+    return best.where("best is not null").select(id_column, "best.rule_id", "best.category")
 
 
 def similar(lines: DataFrame, known: DataFrame, count: int = 5) -> DataFrame:

@@ -6,10 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EXPIRING_DAYS, WARRANTY_MAJOR = 60, 100
-# The folder of each document type, and the words that name a product's category.
-FOLDERS = {"receipt": "Receipts", "statement": "Statements", "bill": "Bills", "income_record": "Income"}
-CATEGORY_WORDS = (("milk", "dairy & eggs"), ("egg", "dairy & eggs"), ("bread", "bakery"), ("frozen", "frozen"), ("drink", "beverages"), ("snack", "snacks"), ("clean", "household cleaning"), ("paper", "paper & disposables"))
+from hearthbook.functions.money import decimal_text
+from hearthbook.operators.review import latest
+
+EXPIRING_DAYS, WARRANTY_MAJOR, MOST_WARRANTY = 60, 100, 600
+# The folder of each document type, and the words of barcode tags that name a category, the first class that has one.
+FOLDERS = {
+    "receipt": "Receipts", "bank_statement": "Bank_Statements", "credit_card_statement": "Credit_Card_Statements", "bill": "Bills", "income": "Income",
+    "investment_statement": "Investments", "loan_document": "Loans", "insurance_document": "Insurance", "housing_document": "Housing", "tax_document": "Taxes",
+}
+CATEGORY_WORDS = {
+    "dairy & eggs": ("dairy", "milk", "egg", "cheese", "yogurt"), "produce": ("fruit", "vegetable", "produce"), "meat & seafood": ("meat", "fish", "seafood", "poultry"),
+    "bakery": ("bread", "bakery"), "frozen": ("frozen",), "snacks": ("snack", "chip", "biscuit", "cookie", "candy", "chocolate"),
+    "beverages": ("beverage", "drink", "juice", "water", "coffee", "tea"),
+}
+WARRANTY_KINDS = ("manufacturer", "store", "extended")
 
 
 def warranties(rows: DataFrame) -> DataFrame:
@@ -22,9 +33,86 @@ def expiring(rows: DataFrame, today: str, within: int = EXPIRING_DAYS) -> DataFr
     return warranties(rows).where(F.col("expires_on").between(day, F.date_add(day, within)) & (F.col("status") == "in_stock"))
 
 
-def warranty_suggested(category_is_food: Column, cost_minor: Column, places: Column) -> Column:
-    """Durable and at least 100 major units."""
-    return ~category_is_food & (cost_minor >= WARRANTY_MAJOR * F.pow(F.lit(10), places).cast("bigint"))
+def warranty_suggested(consumable: Column, cost_minor: Column, places: Column) -> Column:
+    """Of a product that lasts, at 100 major units or more."""
+    return F.coalesce(~consumable & (cost_minor >= WARRANTY_MAJOR * F.pow(F.lit(10), places).cast("bigint")), F.lit(False))
+
+
+def warranty_error(kind: Column, months: Column, lifetime: Column, consumable: Column, bought_on: Column) -> Column:
+    """Why a warranty cannot be kept, else null."""
+    return (
+        F.when(F.coalesce(consumable, F.lit(False)), "consumable").when(bought_on.isNull(), "no purchase date").when(~F.coalesce(kind.isin(*WARRANTY_KINDS), F.lit(False)), "kind")
+        .when(lifetime & months.isNotNull(), "months and lifetime").when(~lifetime & ~F.coalesce(months.between(1, MOST_WARRANTY), F.lit(False)), "months")
+    )
+
+
+def add_warranties(old: DataFrame, new: DataFrame, lots: DataFrame) -> DataFrame:
+    """old and new (lot_id, kind, months, lifetime, source, review_status, seq) -> the warranties that stand, with expires_on.
+
+    Per lot and kind the last valid user's entry replaces what there is; a looked-up
+    proposal replaces anything but a verified one.  Entries that break a rule are left out.
+    """
+    facts = lots.select("lot_id", "consumable", "bought_on")
+    error = warranty_error(F.col("kind"), F.col("months"), F.col("lifetime"), F.col("consumable"), F.col("bought_on"))
+    fine = new.join(facts, "lot_id").where(error.isNull()).select(new.columns)
+    both = old.withColumn("age", F.lit(0)).unionByName(fine.withColumn("age", F.lit(1)))
+    mine = W.partitionBy("lot_id", "kind")
+    # a verified entry holds against proposals that come after it
+    held = F.max(F.when(F.col("review_status") == "verified", F.struct("age", "seq"))).over(mine)
+    standing = both.where("true").withColumn("held", held).where((F.col("review_status") == "verified") | F.col("held").isNull() | (F.struct("age", "seq") < F.col("held")))
+    last = F.row_number().over(mine.orderBy((F.col("review_status") == "verified").desc(), F.desc("age"), F.desc("seq")))
+    return standing.withColumn("k", last).where("k = 1").drop("k", "age", "held").join(facts.select("lot_id", "bought_on"), "lot_id").withColumn("expires_on", F.expr("case when not lifetime then add_months(bought_on, months) end")).drop("bought_on")
+
+
+def review_warranties(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """rows with the last decision on each looked-up warranty; a user's own counts already and takes none."""
+    last = latest(decisions, "warranty_id", "seq").select("warranty_id", F.col("status").alias("decided"))
+    joined = rows.join(last, "warranty_id", "left")
+    return joined.withColumn("review_status", F.when((F.col("source") == "lookup") & F.col("decided").isin("verified", "rejected"), F.col("decided")).otherwise(F.col("review_status"))).drop("decided")
+
+
+# Kinds of assets, and the yearly rate of a vehicle, in hundredths of a percent, where none is given (of others 0).
+ASSET_KINDS, VEHICLE_RATE = ("investment", "retirement", "bond", "real_estate", "vehicle", "other_asset", "loan"), -1500
+
+
+def asset_error(kind: Column, value_minor: Column, rate_percent: Column, payment_minor: Column) -> Column:
+    """Why an asset cannot be kept, else null; the rate is text with at most two decimals between -100 and 100."""
+    rate = rate_percent.try_cast("decimal(20,6)")
+    return (
+        F.when(~F.coalesce(kind.isin(*ASSET_KINDS), F.lit(False)), "kind").when(~F.coalesce(value_minor >= 0, F.lit(False)), "value")
+        .when(payment_minor.isNotNull() & (kind != "loan"), "payment of no loan").when(payment_minor < 0, "payment")
+        .when(rate_percent.isNotNull() & ~F.coalesce((F.abs(rate) <= 100) & (rate * 100 == F.floor(rate * 100)), F.lit(False)), "rate")
+    )
+
+
+def write_assets(assets_: DataFrame, commands: DataFrame) -> DataFrame:
+    """assets (asset_id, kind, value_minor, annual_rate_bp, source, review_status, archived) after commands, in order of seq.
+
+    commands (seq, asset_id, action, kind, value_minor, rate_percent, payment_minor,
+    status): add and update write valid values, archive hides, review decides on a
+    value read from a statement.  The last of each action counts.
+    """
+    error = asset_error(F.col("kind"), F.col("value_minor"), F.col("rate_percent"), F.col("payment_minor"))
+    writes = latest(commands.where("action in ('add', 'update')").where(error.isNull()), "asset_id", "seq")
+    rate = F.coalesce((F.col("rate_percent").try_cast("decimal(20,6)") * 100).cast("bigint"), F.when(F.col("kind") == "vehicle", VEHICLE_RATE).otherwise(0).cast("bigint"))
+    w = writes.select("asset_id", F.col("action"), F.col("kind").alias("new_kind"), F.col("value_minor").alias("new_value"), rate.alias("new_rate"))
+    gone = commands.where("action = 'archive'").select("asset_id").distinct().withColumn("gone", F.lit(True))
+    said = latest(commands.where("action = 'review' and status in ('verified', 'rejected', 'proposed')"), "asset_id", "seq").select("asset_id", F.col("status").alias("decided"))
+    old = assets_.withColumn("here", F.lit(True))
+    joined = old.join(w, "asset_id", "full_outer").where("here or action = 'add'").join(gone, "asset_id", "left").join(said, "asset_id", "left")
+    added = F.col("here").isNull()
+    return joined.select(
+        "asset_id", F.coalesce("new_kind", "kind").alias("kind"), F.coalesce("new_value", "value_minor").alias("value_minor"), F.coalesce("new_rate", "annual_rate_bp").alias("annual_rate_bp"),
+        F.when(added, "manual").otherwise(F.col("source")).alias("source"),
+        F.when(added, "verified").when((F.col("source") == "statement") & F.col("decided").isNotNull(), F.col("decided")).otherwise(F.col("review_status")).alias("review_status"),
+        (F.coalesce("archived", F.lit(False)) | F.coalesce("gone", F.lit(False))).alias("archived"),
+    )
+
+
+def asset_view(rows: DataFrame) -> DataFrame:
+    """Assets as shown: value as money text, and the rate as a percentage without trailing zeros."""
+    rate = F.regexp_replace(F.regexp_replace((F.col("annual_rate_bp").cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return rows.select("asset_id", decimal_text(F.col("value_minor"), F.col("currency")).alias("value"), rate.alias("annual_rate_percent"))
 
 
 def assets(rows: DataFrame) -> DataFrame:
@@ -32,16 +120,25 @@ def assets(rows: DataFrame) -> DataFrame:
     return rows.where("archived_at is null").orderBy(F.col("kind") == "loan", "name", "asset_id")
 
 
-def filing_path(kind: Column, date: Column, merchant: Column) -> Column:
-    """Folder/yyyy/mm/label: the type's folder, or Other; undated documents have no year."""
+def filing_path(kind: Column, date: Column, merchant: Column, document_id: Column, digest: Column, extension: Column) -> Column:
+    """Where a classified document is filed: Folder/yyyy/mm/date__label__Folder__digest__dN.ext.
+
+    A known type, a merchant and a date are needed; anything else goes to Unfiled
+    without a label.  Labels hold letters only, so no account number can stand in one.
+    """
     table = F.create_map(*(F.lit(x) for pair in FOLDERS.items() for x in pair))
-    label = F.coalesce(F.nullif(F.trim(F.regexp_replace(merchant, r"[^A-Za-z0-9 &-]+", " ")), F.lit("")), F.lit("document"))
-    return F.concat_ws("/", F.coalesce(F.try_element_at(table, kind), F.lit("Other")), F.date_format(date, "yyyy/MM"), label)
+    folder = F.when(merchant.isNotNull() & (merchant != "") & date.isNotNull(), F.try_element_at(table, kind))
+    words = F.regexp_replace(F.trim(F.regexp_replace(merchant, r"(?U)[^\p{L} _-]+", " ")), r"(?U)\s+", "_")
+    label = F.nullif(F.substring(F.regexp_replace(words, "^[_-]+|[_-]+$", ""), 1, 36), F.lit(""))
+    end = F.concat(F.substring(digest, 1, 16), F.lit("__d"), document_id.cast("string"), F.lower(extension))
+    filed = F.concat(folder, F.date_format(date, "/yyyy/MM/"), F.concat_ws("__", F.date_format(date, "yyyy-MM-dd"), label, folder, end))
+    return F.coalesce(filed, F.concat(F.lit("Unfiled/Document__"), end))
 
 
 def word_category(tags: Column) -> Column:
-    low = F.lower(tags)
-    return F.coalesce(*(F.when(F.contains(low, F.lit(word)), name) for word, name in CATEGORY_WORDS), F.lit("other"))
+    """The category that a barcode's tags name; pantry for other tags, other without any."""
+    classes = (F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(tags, w)), name) for name, words in CATEGORY_WORDS.items())
+    return F.coalesce(*classes, F.when(F.coalesce(tags, F.lit("")) != "", "pantry").otherwise("other"))
 
 
 def reuse(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -172,12 +172,15 @@ def op_review_link(ledger):
 
 
 @query("op_resolve_issue", f"""
-select receipt_id, case when receipt_id % 4 = 0 then 'open' when receipt_id % 4 = 1 then 'left_unmatched' when receipt_id % 4 = 2 then 'linked' else 'invalid' end as outcome, case when receipt_id % 4 = 2 then first_one end as posting_id
+select receipt_id, case receipt_id % 4 when 0 then 'open' when 1 then 'left_unmatched' when 2 then 'linked' else 'refused' end as outcome, case when receipt_id % 4 = 2 then first_one end as posting_id
 from (select receipt_id, min(posting_id) as first_one from ({PAIRS}) p group by 1) s""", "receipts", "postings")
 def op_resolve_issue(ledger):
-    issues = R.receipt_candidates(ledger.receipts, ledger.postings).groupBy("receipt_id").agg(F.collect_list("posting_id").alias("candidates"))
-    chosen = issues.where("receipt_id % 4 > 0").select("receipt_id", F.lit(1).alias("seq"), F.when(F.col("receipt_id") % 4 == 2, F.array_min("candidates")).when(F.col("receipt_id") % 4 == 3, F.lit(-1)).alias("posting_id"))
-    return O.resolve_issues(issues, chosen)
+    found = R.receipt_candidates(ledger.receipts, ledger.postings)
+    issues = found.groupBy(F.lit("ambiguous_receipt_match").alias("issue_type"), F.col("receipt_id").alias("record_id")).agg(F.array_sort(F.collect_list("posting_id")).alias("candidates")).withColumn("status", F.lit("open"))
+    chosen = F.when(F.col("record_id") % 4 == 2, F.col("candidates")[0]).when(F.col("record_id") % 4 == 3, F.lit(-1))
+    choices = issues.where("record_id % 4 > 0").select("issue_type", "record_id", F.lit(1).alias("seq"), chosen.alias("chosen"))
+    done = R.resolve_issues(issues, choices, ledger.postings, ledger.receipt_links.select("posting_id", "receipt_id").limit(0))
+    return done.select(F.col("record_id").alias("receipt_id"), "outcome", F.col("chosen").alias("posting_id"))
 
 
 @query("op_answer", "select lot_id, case when product_id % 2 = 0 then 'finished' else 'still_have' end as event, greatest(bought_on, case when product_id % 2 = 0 then date '1998-06-30' - 3 else date '1998-06-30' end) as day from lots where status = 'in_stock'", "lots")
@@ -198,23 +201,13 @@ def op_add_lot(ledger):
     return O.next_checks(ledger.lots, "2000-06-30")
 
 
-@query("snk_cascade_delete", "with recursive edges as (select o_orderkey as child, o_orderkey // 2 as parent from orders where o_orderkey > 1), reach as (select o_orderkey as id, 0 as depth from orders where o_orderkey in (3, 10) union all select e.child, r.depth + 1 from reach r join edges e on e.parent = r.id where r.depth < 64) select o_orderkey from orders where o_orderkey not in (select id from reach)")
+@query("snk_cascade_delete", "with recursive edges as (select o_orderkey as child, o_orderkey // 2 as parent from orders where o_orderkey > 1), reach as (select o_orderkey as id from orders where o_orderkey in (3, 10) union select e.child from reach r join edges e on e.parent = r.id) select o_orderkey from orders where o_orderkey not in (select id from reach)")
 def snk_cascade_delete(ledger):
     orders = ledger.table("orders").select("o_orderkey")
     edges = orders.where("o_orderkey > 1").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"))
     return O.cascade(orders, "o_orderkey", M.closure(orders.where("o_orderkey in (3, 10)").select(F.col("o_orderkey").alias("id")), edges))
 
 
-@query("op_reconcile_run")
-def op_reconcile_run(ledger):
-    """How many links and open questions each pass gives."""
-    receipts = R.link_receipts(ledger.receipts, ledger.postings).select(F.lit("receipts").alias("pass"), "status")
-    transfers = R.link_transfers(ledger.postings, ledger.accounts).select(F.lit("transfers").alias("pass"), "status")
-    refunds = R.link_refunds(ledger.transactions).select(F.lit("refunds").alias("pass"), "status")
-    recurring = R.recurring(ledger.transactions).select(F.lit("recurring").alias("pass"), F.lit("link").alias("status"))
-    return receipts.unionByName(transfers).unionByName(refunds).unionByName(recurring).groupBy("pass", "status").agg(F.count("*").alias("rows"))
-
-
 @query("win_latest_correction", "select account_id, source_row from (select *, row_number() over (partition by account_id, source_row % 3 order by source_row desc) as k from entries) s where k = 1", "entries")
 def win_latest_correction(ledger):
     place = F.row_number().over(W.partitionBy("account_id", F.col("source_row") % 3).orderBy(F.desc("source_row")))

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from hearthbook.functions.sizes import parse_size, quantity, unit_price_micro
 from hearthbook.operators import items as I
 from hearthbook.operators import upkeep as U
+from hearthbook.plans import tools
 from hearthbook.plans.items import PRICED
 from hearthbook.plans.registry import query
 from hearthbook.plans.tables import RUNS, _runs
 
-COVERED = "select lot_id as warranty_id, bought_on, case when product_id % 5 = 0 then null else cast(product_id % 36 as int) end as months, status from lots where product_id % 4 = 0"
+COVERED = "select lot_id as warranty_id, bought_on, case when product_id % 5 = 0 then null else cast(product_id % 36 as int) end as months, status from lots"
 
 
 def _warranties(ledger):
     months = F.when(F.col("product_id") % 5 != 0, (F.col("product_id") % 36).cast("int"))
-    return ledger.lots.where("product_id % 4 = 0").select(F.col("lot_id").alias("warranty_id"), "bought_on", months.alias("months"), "status")
+    return ledger.lots.select(F.col("lot_id").alias("warranty_id"), "bought_on", months.alias("months"), "status")
 
 
-@query("warranties_list", f"select warranty_id, cast(bought_on + to_months(months) as date) as expires_on from ({COVERED}) w order by expires_on nulls last, warranty_id limit 300", "lots")
+@query("warranties_list", f"select warranty_id, cast(bought_on + to_months(months) as date) as expires_on from ({COVERED}) w order by expires_on nulls last, warranty_id", "lots")
 def warranties_list(ledger):
-    return U.warranties(_warranties(ledger)).limit(300).select("warranty_id", "expires_on")
+    return U.warranties(_warranties(ledger)).select("warranty_id", "expires_on")
 
 
 @query("warranties_expiring", f"select warranty_id, cast(bought_on + to_months(months) as date) as expires_on from ({COVERED}) w where status = 'in_stock' and cast(bought_on + to_months(months) as date) between date '2000-06-30' and date '2000-08-29'", "lots")
@@ -29,32 +30,46 @@ def warranties_expiring(ledger):
     return U.expiring(_warranties(ledger), "2000-06-30").select("warranty_id", "expires_on")
 
 
-@query("srt_nulls_last", f"select warranty_id from ({COVERED}) w order by months nulls last, warranty_id limit 500", "lots")
+@query("srt_nulls_last", f"select warranty_id from ({COVERED}) w order by months nulls last, warranty_id", "lots")
 def srt_nulls_last(ledger):
-    return _warranties(ledger).orderBy(F.asc_nulls_last("months"), "warranty_id").limit(500).select("warranty_id")
+    return _warranties(ledger).orderBy(F.asc_nulls_last("months"), "warranty_id").select("warranty_id")
 
 
-@query("assets_list", "select account_id, account_type from accounts where account_id % 6 > 0 order by account_type = 'loan', display_name, account_id limit 200", "accounts")
+@query("assets_list", "select account_id, account_type from accounts where account_id % 6 > 0 order by account_type = 'loan', display_name, account_id", "accounts")
 def assets_list(ledger):
     rows = ledger.accounts.select(F.col("account_id").alias("asset_id"), F.col("account_type").alias("kind"), F.col("display_name").alias("name"), F.when(F.col("account_id") % 6 == 0, "gone").alias("archived_at"))
-    return U.assets(rows).limit(200).select(F.col("asset_id").alias("account_id"), F.col("kind").alias("account_type"))
+    return U.assets(rows).select(F.col("asset_id").alias("account_id"), F.col("kind").alias("account_type"))
 
 
-@query("fn_warranty_suggested", "select lot_id, cost_minor >= 100 * (case currency when 'JPY' then 1 else 100 end) as suggested from lots", "lots")
+@query("fn_warranty_suggested", "select lot_id, not consumable and cost_minor >= 100 * (case currency when 'JPY' then 1 else 100 end) as suggested from lots", "lots")
 def fn_warranty_suggested(ledger):
     places = F.when(F.col("currency") == "JPY", 0).otherwise(2)
-    return ledger.lots.select("lot_id", U.warranty_suggested(F.col("category").isin(*I.FOOD), F.col("cost_minor"), places).alias("suggested"))
+    return ledger.lots.select("lot_id", U.warranty_suggested(F.col("consumable"), F.col("cost_minor"), places).alias("suggested"))
 
 
-@query("fn_filing", "select bill_id, case bill_id % 3 when 0 then 'Bills' when 1 then 'Other' else 'Receipts' end || '/' || strftime(due_date, '%Y/%m') || '/' || replace(provider, '_', ' ') as path from bills", "bills")
+KINDS = ("receipt", "bank_statement", "credit_card_statement", "bill", "income", "investment_statement", "loan_document", "insurance_document", "housing_document", "tax_document", "letter")
+NAMED = ("Receipts", "Bank_Statements", "Credit_Card_Statements", "Bills", "Income", "Investments", "Loans", "Insurance", "Housing", "Taxes")
+
+
+@query("fn_filing", f"""
+select bill_id, case when folder is null or merchant is null or day is null then 'Unfiled/Document__' || tail
+  else folder || strftime(day, '/%Y/%m/%Y-%m-%d__') || trim(regexp_replace(merchant, '[^A-Z]+', '_', 'g'), '_') || '__' || folder || '__' || tail end as path from (
+  select bill_id, list_extract({list(NAMED)}, cast(bill_id % 11 as int) + 1) as folder, case when bill_id % 5 > 0 then trim(provider) end as merchant,
+    case when bill_id % 7 > 0 then due_date end as day, substr(sha256(cast(bill_id as varchar)), 1, 16) || '__d' || cast(bill_id as varchar) || '.pdf' as tail from bills) b""", "bills")
 def fn_filing(ledger):
-    kind = F.when(F.col("bill_id") % 3 == 0, "bill").when(F.col("bill_id") % 3 == 1, "letter").otherwise("receipt")
-    return ledger.bills.select("bill_id", U.filing_path(kind, F.col("due_date"), F.col("provider")).alias("path"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("bill_id") % 11 + 1).cast("int"))
+    merchant, day = F.when(F.col("bill_id") % 5 > 0, F.concat("provider", F.lit(" #7"))), F.when(F.col("bill_id") % 7 > 0, F.col("due_date"))
+    digest = F.sha2(F.col("bill_id").cast("string"), 256)
+    return ledger.bills.select("bill_id", U.filing_path(kind, day, merchant, F.col("bill_id"), digest, F.lit(".PDF")).alias("path"))
+
 
+#: A word of each class after one that names none, a class that comes later, other tags, and none.
+TAGS = [("en:dairies en:milk-drinks", "dairy & eggs"), ("en:fruits", "produce"), ("en:seafood", "meat & seafood"), ("en:breads en:frozen", "bakery"), ("en:frozen-desserts", "frozen"), ("en:cookies en:tea", "snacks"), ("en:juices", "beverages"), ("en:tools", "pantry"), ("", "other")]
 
-@query("fn_barcode_category", "select p_partkey, case when p_size % 3 = 0 then 'dairy & eggs' when p_size % 3 = 1 then 'frozen' else 'other' end as category from part")
+
+@query("fn_barcode_category", "select p_partkey, case p_size % 9 " + " ".join(f"when {k} then '{category}'" for k, (_, category) in enumerate(TAGS)) + " end as category from part")
 def fn_barcode_category(ledger):
-    tags = F.when(F.col("p_size") % 3 == 0, "en:Milks").when(F.col("p_size") % 3 == 1, "en:Frozen-foods,en:Drinks").otherwise("en:tools")
+    tags = F.element_at(F.array(*(F.lit(t) for t, _ in TAGS)), (F.col("p_size") % 9 + 1).cast("int"))
     return ledger.table("part").select("p_partkey", U.word_category(tags).alias("category"))
 
 
@@ -139,12 +154,42 @@ def set_except(ledger):
     return ledger.table("orders").where("o_orderkey <> 17").select("o_orderkey", F.concat_ws(" ", unsupported(answer, proof)).alias("unsupported"))
 
 
-@query("find_receipt", "select receipt_id, purchase_date, total_minor from receipts where review_status <> 'rejected' and contains(lower(merchant), 'n') and total_minor between 1000000 and 5000000 order by purchase_date desc, receipt_id limit 100", "receipts")
+@query("find_receipt", """
+select r.receipt_id, purchase_date, total_minor, l.posting_id from receipts r left join (select receipt_id, arg_min(posting_id, link_id) as posting_id from receipt_links where review_status <> 'rejected' group by 1) l on l.receipt_id = r.receipt_id
+where review_status <> 'rejected' and purchase_date >= date '1998-01-01' and list_contains(string_split(merchant, ' '), 'FRANCE') order by purchase_date desc, r.receipt_id limit 100""", "receipts", "receipt_links")
 def find_receipt(ledger):
-    kept = ledger.receipts.where("review_status <> 'rejected'").where(F.contains(F.lower("merchant"), F.lit("n")) & F.col("total_minor").between(1000000, 5000000))
-    return kept.orderBy(F.desc("purchase_date"), "receipt_id").limit(100).select("receipt_id", "purchase_date", "total_minor")
+    return tools.call(ledger, "find_receipt", start="1998-01-01", merchant="France").select("receipt_id", "purchase_date", "total_minor", "posting_id")
 
 
-@query("get_statement", "select statement_id, period_end, closing_balance_minor from statements where account_id % 100 = 7 and review_status <> 'rejected' order by period_end desc, statement_id desc", "statements")
+@query("get_statement", "select statement_id, account_id, period_end, closing_balance_minor from statements where statement_id = 70", "statements")
 def get_statement(ledger):
-    return ledger.statements.where("account_id % 100 = 7 and review_status <> 'rejected'").select("statement_id", "period_end", "closing_balance_minor")
+    return tools.call(ledger, "get_statement", record_id=70).select("statement_id", "account_id", "period_end", "closing_balance_minor")
+
+
+@query("find_purchase", "select transaction_id, amount_minor from transactions where posted_date >= date '1998-06-01' and transaction_type = 'purchase' and review_status <> 'rejected' and (origin <> 'extraction' or review_status = 'verified') order by abs(amount_minor) desc, transaction_id limit 50", "transactions")
+def find_purchase(ledger):
+    return tools.call(ledger, "find_purchase", start="1998-06-01", types=("purchase",), statuses=("counted",), order="largest", limit=50).select("transaction_id", "amount_minor")
+
+
+@query("match_receipt_to_transaction", """
+select l.posting_id, 'link' as kind, score from receipt_links l where receipt_id = 12 union all
+select p.posting_id, 'candidate', 60 + case p.posted_date - r.purchase_date when 0 then 20 when 1 then 10 when 2 then 10 else 0 end + case when contains(p.description_raw, r.merchant) then 20 else 0 end
+from receipts r join postings p on p.currency = r.currency and p.amount_minor = -r.total_minor and p.posted_date between r.purchase_date and r.purchase_date + 5
+where r.receipt_id = 12 and r.review_status <> 'rejected' and p.review_status <> 'rejected'""", "receipts", "postings", "receipt_links")
+def match_receipt_to_transaction(ledger):
+    return tools.call(ledger, "match_receipt_to_transaction", record_id=12).select("posting_id", "kind", "score")
+
+
+@query("get_unmatched_receipts", """
+select receipt_id, merchant, purchase_date, total_minor, currency, case when n > 1 then 'several_possible_charges' else 'no_matching_charge' end as reason from (
+  select r.receipt_id, r.merchant, r.purchase_date, r.total_minor, r.currency, count(p.posting_id) as n from receipts r
+  left join postings p on p.currency = r.currency and p.amount_minor = -r.total_minor and p.posted_date between r.purchase_date and r.purchase_date + 5 and p.review_status <> 'rejected'
+  where r.review_status <> 'rejected' and r.purchase_date between date '1998-01-01' and date '1998-12-31' and not exists (select 1 from receipt_links l where l.receipt_id = r.receipt_id and l.review_status <> 'rejected')
+  group by all) x""", "receipts", "postings", "receipt_links")
+def get_unmatched_receipts(ledger):
+    return tools.call(ledger, "get_unmatched_receipts", start="1998-01-01", end="1998-12-31")
+
+
+@query("inventory", "select lot_id, name, bought_on from lots where status = 'in_stock' and (contains(upper(name), 'RED') or contains(upper(coalesce(brand, '')), 'RED') or contains(upper(category), 'RED')) order by name, bought_on, lot_id", "lots")
+def inventory(ledger):
+    return I.inventory(ledger.lots, "red").select("lot_id", "name", "bought_on")

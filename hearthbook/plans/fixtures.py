@@ -15,6 +15,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _CURRENCY = "case c_nationkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'JPY' end"
 _BUCKET = "(cast(round(o_totalprice * 100) as bigint) - cast(round(o_totalprice * 100) as bigint) % 100000)"
 
+#: An eight-digit code of a part, and its check digit.
+_BASE = "substr(cast(10000000 + p_partkey % 9999999 as string), 2)"
+_CHECK = "cast((10 - (" + " + ".join(f"{3 if k % 2 else 1} * cast(substr({_BASE}, {k}, 1) as int)" for k in range(1, 8)) + ") % 10) % 10 as string)"
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "accounts": ((), f"""
         select c_custkey as account_id, n_name as institution,
@@ -41,7 +45,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "receipts": ((), f"""
         select o_orderkey as receipt_id, upper(n_name) as merchant, cast(o_orderdate as date) as purchase_date, {_CURRENCY} as currency,
                {_BUCKET} as total_minor, case when o_orderkey % 5 = 0 then 'rejected' else 'proposed' end as review_status
-        from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderkey % 3 = 0"""),
+        from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"""),
     "postings": ((), f"""
         select o_orderkey as posting_id, o_custkey as account_id, cast(o_orderdate as date) + cast(o_orderkey % 7 as int) as posted_date, {_CURRENCY} as currency,
                upper(n_name) || ' STORE #' || cast(o_orderkey as string) as description_raw,
@@ -51,13 +55,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"""),
     "receipt_links": ((), """
         select o_orderkey * 2 + k as link_id, o_orderkey as receipt_id, o_orderkey + k as posting_id, 60 + cast(o_orderkey % 5 as int) * 10 as score, 'amount+merchant' as match_method,
-               case (o_orderkey + k) % 7 when 0 then 'rejected' when 1 then 'verified' else 'proposed' end as review_status
-        from orders cross join (select 0 as k union all select 1) steps where o_orderkey % 3 = 0 and o_orderkey % 4 <> 1"""),
+               case when o_orderkey % 4 = 1 then 'rejected' when (o_orderkey + k) % 7 = 0 then 'rejected' when (o_orderkey + k) % 7 = 1 then 'verified' else 'proposed' end as review_status
+        from orders cross join (select 0 as k union all select 1) steps"""),
     "bills": ((), f"""
         select o_orderkey as bill_id, upper(n_name) as provider, cast(o_orderdate as date) as issue_date, cast(o_orderdate as date) + 30 as due_date, {_CURRENCY} as currency,
                {_BUCKET} as amount_due_minor, case o_orderkey % 4 when 1 then 'paid' when 2 then 'unpaid' else 'unknown' end as payment_status,
                case when o_orderkey % 13 = 0 then 'rejected' else 'proposed' end as review_status
-        from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderkey % 11 = 0"""),
+        from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"""),
     "statements": ((), f"""
         select c_custkey * 10 + k as statement_id, c_custkey as account_id, date '2000-01-31' + cast(30 * (k - k % 2) as int) as period_end, {_CURRENCY} as currency,
                cast(round(c_acctbal * 100) as bigint) + 1000 * k as closing_balance_minor, case when (c_custkey + k) % 6 = 0 then 'rejected' else 'verified' end as review_status
@@ -69,11 +73,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                l_partkey as product_id, p_name as name, case when p_partkey % 10 = 0 then null else p_brand end as brand,
                case p_size % 5 when 0 then 'assorted' when 1 then cast(p_size as string) || ' oz' when 2 then '6 x ' || cast(p_size as string) || ' fl oz' when 3 then cast(p_size as string) || ' ct' else cast(p_size as string) || '.5 kg' end as size_text,
                lower(p_type) as category, upper(n_name) as merchant, {_CURRENCY} as currency, cast(round(l_extendedprice * 100) as bigint) as cost_minor,
-               case when l_linenumber = 3 then null else cast(cast(l_quantity as int) as string) end as units, cast(l_shipdate as date) as bought_on,
+               p_size % 3 <> 0 as consumable, case when l_linenumber = 3 then null else cast(cast(l_quantity as int) as string) end as units, cast(l_shipdate as date) as bought_on,
                case when l_linestatus = 'F' then cast(l_shipdate as date) + cast(l_quantity as int) end as closed_on,
                case when l_linestatus <> 'F' then 'in_stock' when l_returnflag = 'R' then 'thrown_out' else 'finished' end as status
         from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey
              join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey"""),
+    "lines": ((), f"""
+        select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), cast(cast(round(l_extendedprice * 100) as bigint) as string), cast(cast(l_shipdate as date) as string)) as line_id,
+               l_orderkey as receipt_id, l_linenumber as position, upper(n_name) as merchant, p_name || ' ' || p_type as description,
+               case p_partkey % 3 when 0 then cast(p_partkey % 500 as string) when 1 then {_BASE} || {_CHECK} end as product_code,
+               p_name as name, p_brand as brand, cast(p_size as string) || ' oz' as size_text, lower(p_type) as category, p_size % 3 <> 0 as consumable, cast(round(l_extendedprice * 100) as bigint) as cost_minor,
+               case l_suppkey % 4 when 0 then 'proposed' when 1 then 'verified' when 2 then 'rejected' else 'none' end as resolution
+        from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey"""),
+    "aliases": ((), f"""
+        select p_partkey as alias_id, upper(n_name) as merchant, upper(p_name || ' ' || p_type) as text, cast(p_partkey % 500 as string) as code, p_partkey as product, {_BASE} || {_CHECK} as barcode
+        from part join nation on n_nationkey = p_partkey % 25"""),
     "entries": ((), """
         select event_id as source_row, user_id as account_id, cast(ts as date) as posted_date, event_type || ' ' || cast(user_id as string) as description_raw,
                cast(floor(value) as int) * case when event_type = 'purchase' then -1 else 1 end as amount_minor, 'USD' as currency, cast(event_id % 2 as int) as source

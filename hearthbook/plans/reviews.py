@@ -15,9 +15,9 @@ from hearthbook.plans.spending import COUNTED
 LIVE = "review_status <> 'rejected'"
 
 
-@query("flt_period", "select transaction_id from transactions where posted_date between date '1998-02-01' and date '1998-06-30' and account_id % 10 = 7", "transactions")
+@query("flt_period", "select transaction_id from transactions where posted_date between date '1998-02-01' and date '1998-06-30'", "transactions")
 def flt_period(ledger):
-    return ledger.transactions.where(P.in_period("1998-02-01", "1998-06-30") & (F.col("account_id") % 10 == 7)).select("transaction_id")
+    return ledger.transactions.where(P.in_period("1998-02-01", "1998-06-30")).select("transaction_id")
 
 
 @query("flt_optional", "select transaction_id from transactions where posted_date >= date '2001-06-01'", "transactions")

@@ -208,8 +208,8 @@ def flt_types(ledger):
 @query("flt_words", "select transaction_id from transactions where list_contains(string_split(merchant, ' '), split_part((select min(merchant) from transactions), ' ', 1))", "transactions")
 def flt_words(ledger):
     rows = ledger.transactions
-    word = rows.agg(F.min("merchant").alias("m")).select(F.split("m", " ")[0].alias("word"))
-    return rows.join(F.broadcast(word), F.array_contains(F.split("merchant", " "), F.col("word")), "left_semi").select("transaction_id")
+    first = rows.agg(F.min("merchant").alias("m")).first()["m"] or ""
+    return rows.where(P.has_words(F.col("merchant"), first.split(" ")[0])).select("transaction_id")
 
 
 @query("srt_transactions", "select transaction_id, amount_minor from transactions order by abs(amount_minor) desc, transaction_id limit 100", "transactions")

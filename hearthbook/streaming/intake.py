@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthbook.functions.checks import extension
 from hearthbook.operators.merge import insert_ignore
+from hearthbook.operators.written import exists
+
+# The file endings that the library takes in, those of downloads under way, and its largest file.
+SUPPORTED, UNDER_WAY, MOST_BYTES = (".png", ".jpg", ".jpeg", ".pdf", ".csv", ".xlsx"), (".tmp", ".part", ".crdownload", ".download"), 256 << 20
 
 
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,22 +24,54 @@ def first_of_content(files: DataFrame, key: str = "hash") -> DataFrame:
     return files.dropDuplicates([key])
 
 
+#: Parts of an import table; a batch reads those of its own accounts.
+PARTS = 64
+
+
 def import_batch(spark: SparkSession, target: str):
-    """A foreachBatch sink that appends entries whose fingerprint target does not have; replays add nothing."""
+    """A foreachBatch sink that appends entries whose fingerprint target does not have; replays add nothing.
+
+    target is partitioned by a hash of the account, and only the parts that the
+    batch's accounts fall in are read, of them the two key columns.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(["account_id", "fingerprint"])
+        rows = batch.dropDuplicates(["account_id", "fingerprint"]).withColumn("part", F.pmod(F.xxhash64("account_id"), F.lit(PARTS)).cast("int"))
+        rows = rows.persist()
         try:
-            have = spark.read.parquet(target).select("account_id", "fingerprint")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            have = rows.select("account_id", "fingerprint").limit(0)
-        insert_ignore(have, rows, ["account_id", "fingerprint"]).where("outcome = 'inserted'").drop("outcome").write.mode("append").parquet(target)
+            named = [r["part"] for r in rows.select("part").distinct().collect()]  # PARTS at most
+            have = spark.read.parquet(target).where(F.col("part").isin(named)).select("account_id", "fingerprint") if exists(spark, target) else rows.select("account_id", "fingerprint").limit(0)
+            insert_ignore(have, rows, ["account_id", "fingerprint"]).where("outcome = 'inserted'").drop("outcome").write.mode("append").partitionBy("part").parquet(target)
+        finally:
+            rows.unpersist()
 
     return write
 
 
+def settled(spark: SparkSession, folder_: str, seen: DataFrame | None, least: int = 2) -> DataFrame:
+    """One look at a flat folder: (path, size, modified, sightings, status) against the last look.
+
+    A file is ready once ``least`` looks in a row found it with the same size and
+    time; until then it is pending.  Lock files and downloads under way are ignored,
+    other kinds unsupported, oversized ones rejected; Spark does not list empty ones.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder_).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if seen is not None:
+        before = seen.select("path", F.col("size").alias("had"), F.col("modified").alias("had_at"), F.col("sightings").alias("times"))
+        files = files.join(before, "path", "left")
+    else:
+        files = files.withColumns({"had": F.lit(None).cast("long"), "had_at": F.lit(None).cast("timestamp"), "times": F.lit(None).cast("int")})
+    same = F.coalesce((F.col("had") == F.col("size")) & (F.col("had_at") == F.col("modified")), F.lit(False))
+    times = F.when(same, F.col("times") + 1).otherwise(1)
+    name = F.lower(F.substring_index("path", "/", -1))
+    passing = name.startswith("~$") | F.exists(F.array(*map(F.lit, UNDER_WAY)), lambda e: F.endswith(name, e))
+    status = (
+        F.when(passing, "ignored").when(~extension(F.col("path")).isin(*SUPPORTED), "unsupported").when(~F.col("size").between(1, MOST_BYTES), "rejected")
+        .when(times >= least, "ready").otherwise("pending")
+    )
+    return files.select("path", "size", "modified", times.cast("int").alias("sightings"), status.alias("status"))
+
+
 def current_version(history: DataFrame) -> DataFrame:
     """(file, hash, captured): late captures join the history, the newest stays current."""
     return history.groupBy("file").agg(F.max_by("hash", "captured").alias("hash"), F.count("*").alias("versions"))

@@ -1,35 +1,81 @@
 """The life of a lot: a keyed state machine over commands, as a batch fold and as a stream.
 
 Commands are rows (lot_id, seq, day, event): still_have, finished, thrown_out,
-opened, reopened, undo.  still_have puts the next question off by an interval
-that doubles from 7 to 182 days; undo takes back the last event once.
+opened, reopened, undo.  They may carry today (else the command's day), precision
+(days give or take, else 0), and facts of the lot: bought_on, consumable and
+openable (else unknown, true, true).
+
+A command that breaks a rule changes nothing: a day in the future or before the
+purchase, an event of a closed lot but reopened, a reopening of an open one,
+opening food or an opened lot.  still_have puts the next question off by 7 days,
+then twice as long each time up to 182.  undo takes back the last event once.
 """
 
 from __future__ import annotations
 
 import datetime
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# Days to the question after a first still_have or a reopening, and at most.
 FIRST_INTERVAL, MOST_INTERVAL = 7, 182
-STATE = "status string, next_check_on date, interval int, opened_on date, closed_on date"
-NEW = ("in_stock", None, FIRST_INTERVAL, None, None)
+STATE = "status string, closed_on date, closed_precision int, next_check_on date, interval int, opened_on date"
+FIELDS = [f.split()[0] for f in STATE.split(", ")]
+
+
+class State(NamedTuple):
+    status: str = "in_stock"
+    closed_on: datetime.date | None = None
+    closed_precision: int = 0
+    next_check_on: datetime.date | None = None
+    interval: int | None = None
+    opened_on: datetime.date | None = None
 
 
-def step(state: tuple, before: tuple | None, event: str, day: datetime.date) -> tuple[tuple, tuple | None]:
-    """(state, state to return to by undo) after an event; events that do not apply change nothing."""
-    status, check, interval, opened, closed = state
-    if event == "undo":
+class Command(NamedTuple):
+    event: str
+    day: datetime.date
+    today: datetime.date | None = None
+    precision: int = 0
+    bought_on: datetime.date | None = None
+    consumable: bool = True
+    openable: bool = True
+
+
+def step(state: State, before: State | None, command: Command) -> tuple[State, State | None]:
+    """(state, state to return to by undo) after a command."""
+    if command.event == "undo":
         return (before, None) if before else (state, None)
-    if event == "still_have" and status == "in_stock":
-        return ("in_stock", day + datetime.timedelta(days=interval), min(MOST_INTERVAL, 2 * interval), opened, None), state
-    if event in ("finished", "thrown_out") and status == "in_stock":
-        return (event, None, interval, opened, day), state
-    if event == "opened" and status == "in_stock" and opened is None:
-        return (status, check, interval, day, None), state
-    if event == "reopened" and status != "in_stock":
-        return ("in_stock", day + datetime.timedelta(days=FIRST_INTERVAL), FIRST_INTERVAL, opened, None), state
+    today, day = command.today or command.day, command.day
+    in_stock = state.status == "in_stock"
+    if day > today or (command.bought_on and day < command.bought_on) or in_stock == (command.event == "reopened"):
+        return state, before
+    later = lambda start, days: start + datetime.timedelta(days=days)
+    if command.event == "still_have":
+        interval = min(MOST_INTERVAL, 2 * state.interval) if state.interval else FIRST_INTERVAL
+        return state._replace(interval=interval, next_check_on=later(day, interval)), state
+    if command.event in ("finished", "thrown_out"):
+        return state._replace(status=command.event, closed_on=day, closed_precision=command.precision, next_check_on=None), state
+    if command.event == "opened" and command.openable and state.opened_on is None:
+        return state._replace(opened_on=day), state
+    if command.event == "reopened":
+        return state._replace(status="in_stock", closed_on=None, closed_precision=0, interval=None, next_check_on=later(today, FIRST_INTERVAL) if command.consumable else None), state
+    return state, before
+
+
+def _commands(frame: DataFrame) -> DataFrame:
+    """With the optional columns filled in."""
+    given = set(frame.columns)
+    fill = {"today": F.col("day"), "precision": F.lit(0), "bought_on": F.lit(None).cast("date"), "consumable": F.lit(True), "openable": F.lit(True)}
+    return frame.select("lot_id", "seq", "event", "day", *(F.coalesce(F.col(c), v).alias(c) if c in given else v.alias(c) for c, v in fill.items()))
+
+
+def _folded(rows: pd.DataFrame, state: State, before: State | None) -> tuple[State, State | None]:
+    for values in rows.sort_values("seq")[list(Command._fields)].itertuples(index=False):
+        state, before = step(state, before, Command(*(None if x is None or x is pd.NaT else x for x in values)))
     return state, before
 
 
@@ -37,26 +83,24 @@ def fold(commands: DataFrame) -> DataFrame:
     """Each lot's state after all its commands, in order of seq."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, before = NEW, None
-        for event, day in rows.sort_values("seq")[["event", "day"]].itertuples(index=False):
-            state, before = step(state, before, event, day)
-        return pd.DataFrame([(int(rows["lot_id"].iloc[0]), *state)], columns=["lot_id", "status", "next_check_on", "interval", "opened_on", "closed_on"])
+        state, _ = _folded(rows, State(), None)
+        return pd.DataFrame([(int(rows["lot_id"].iloc[0]), *state)], columns=["lot_id", *FIELDS])
 
-    return commands.groupBy("lot_id").applyInPandas(run, "lot_id long, " + STATE)
+    return _commands(commands).groupBy("lot_id").applyInPandas(run, "lot_id long, " + STATE)
 
 
 def stream(commands: DataFrame) -> DataFrame:
     """The same over a stream: each batch gives the new state of the lots it names."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    width = len(FIELDS)
+
     def run(key, batches, held):
         saved = held.get if held.exists else None
-        state, before = (tuple(saved[:5]), tuple(saved[5:10]) if saved[10] else None) if saved else (NEW, None)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for event, day in rows[["event", "day"]].itertuples(index=False):
-            state, before = step(state, before, event, day)
-        held.update((*state, *(before or (None,) * 5), before is not None))
-        yield pd.DataFrame([(key[0], *state)], columns=["lot_id", "status", "next_check_on", "interval", "opened_on", "closed_on"])
+        state, before = (State(*saved[:width]), State(*saved[width : 2 * width]) if saved[-1] else None) if saved else (State(), None)
+        state, before = _folded(pd.concat(list(batches)), state, before)
+        held.update((*state, *(before or (None,) * width), before is not None))
+        yield pd.DataFrame([(key[0], *state)], columns=["lot_id", *FIELDS])
 
     kept = STATE + ", " + ", ".join(f"was_{f}" for f in STATE.split(", ")) + ", has_was boolean"
-    return commands.groupBy("lot_id").applyInPandasWithState(run, "lot_id long, " + STATE, kept, "update", GroupStateTimeout.NoTimeout)
+    return _commands(commands).groupBy("lot_id").applyInPandasWithState(run, "lot_id long, " + STATE, kept, "update", GroupStateTimeout.NoTimeout)

@@ -116,8 +116,8 @@ def test_greedy_receipts_links_and_open_questions(spark):
     postings = spark.createDataFrame([(10, D("2026-08-01"), "MART 12", "USD", -4510, "proposed"), (11, D("2026-08-04"), "OTHER", "USD", -4510, "proposed"), (12, D("2026-08-03"), "SHOP", "USD", -500, "proposed"), (13, D("2026-08-04"), "SHOP", "USD", -500, "proposed"), (14, D("2026-08-01"), "X", "USD", -900, "proposed")], "posting_id long, posted_date date, description_raw string, currency string, amount_minor long, review_status string")
     got = {(r.receipt_id, r.posting_id): (r.score, r.method, r.status) for r in reconcile.link_receipts(receipts, postings).collect()}
     assert got == {(1, 10): (100, "amount+same_day+merchant", "link"), (2, 11): (60, "amount", "link"), (3, 12): (70, "amount+date", "open"), (3, 13): (70, "amount+date", "open")}
-    rejected = spark.createDataFrame([(3, 12)], "receipt_id long, posting_id long")
-    assert (3, 13, "link") in {(r.receipt_id, r.posting_id, r.status) for r in reconcile.link_receipts(receipts, postings, rejected).collect()}
+    known = spark.createDataFrame([(3, 12, "rejected"), (1, 10, "verified")], "receipt_id long, posting_id long, review_status string")
+    assert {(r.receipt_id, r.posting_id, r.status) for r in reconcile.link_receipts(receipts, postings, known).collect()} == {(3, 13, "link"), (2, 11, "link")}
     assert reconcile.link_receipts(receipts.limit(0), postings).count() == 0
 
 
@@ -188,13 +188,29 @@ def test_lot_states_back_off_and_undo_once(spark):
     got = {r.lot_id: r for r in lots.fold(spark.createDataFrame(commands, "lot_id long, seq long, day date, event string")).collect()}
     assert got[1].next_check_on == day + datetime.timedelta(days=182) and got[1].interval == 182
     assert got[2].status == "in_stock" and got[2].closed_on is None
-    state, before, waits = lots.NEW, None, []
+    state, before, waits = lots.State(), None, []
     for _ in range(7):
-        state, before = lots.step(state, before, "still_have", day)
-        waits.append((state[1] - day).days)
+        state, before = lots.step(state, before, lots.Command("still_have", day))
+        waits.append((state.next_check_on - day).days)
     assert waits == [7, 14, 28, 56, 112, 182, 182]
 
 
+def test_lot_rules():
+    day, late = D("2026-01-10"), D("2026-01-20")
+    new = lots.State()
+    refused = [
+        lots.Command("finished", late, today=day), lots.Command("finished", day, bought_on=late), lots.Command("reopened", day), lots.Command("opened", day, openable=False), lots.Command("eaten", day),
+    ]
+    assert all(lots.step(new, None, c) == (new, None) for c in refused)
+    done, before = lots.step(new, None, lots.Command("thrown_out", day, today=late, precision=3))
+    assert done == lots.State("thrown_out", day, 3) and before == new
+    assert lots.step(done, before, lots.Command("still_have", late)) == (done, before)
+    again, _ = lots.step(done, before, lots.Command("reopened", day, today=late))
+    assert again == lots.State("in_stock", None, 0, late + datetime.timedelta(days=7)) and lots.step(done, before, lots.Command("reopened", day, consumable=False))[0].next_check_on is None
+    opened, was = lots.step(new, None, lots.Command("opened", day))
+    assert opened.opened_on == day and lots.step(opened, was, lots.Command("opened", late)) == (opened, was) and lots.step(opened, was, lots.Command("undo", late)) == (new, None)
+
+
 def test_lot_stream_equals_batch(spark, tmp_path):
     day = D("2026-01-01")
     rows = [(k % 5, k, day + datetime.timedelta(days=k), ("still_have", "opened", "finished", "undo", "reopened")[k % 4 + k % 2]) for k in range(40)]
