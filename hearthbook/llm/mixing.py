@@ -97,7 +97,9 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     plan, copies = _copies(rows.select("row", "source_key", "hashed", "again", "size"), weights, share, most, scratch)
     taken = copies.groupBy("row").agg(F.sum("copy_words").alias("taken"))
     joined = rows.join(taken, "row", "left").join(plan, "source_key")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    decided = scratch.keep("decided", joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+    scratch.only("decided")
+    return decided
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -112,6 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     held = scratch.keep("docs", docs.select(F.struct(*own).alias("doc"), *_rows(docs), F.monotonically_increasing_id().alias("row")))
     _, copies = _copies(held.select("row", "source_key", "hashed", "again", "size"), weights, share, most, scratch)
     copies = scratch.keep("copies", copies.select("row", F.col("pass").alias("mix_pass"), F.col("copy_words").alias("mix_words"), F.col("virtual_finish").alias("mix_finish")))
+    scratch.only("docs", "copies")
     full = held.select("row", "doc", F.col("size").alias("mix_size")).join(copies, "row")
     ordered = full.repartitionByRange("mix_finish", "row", "mix_pass").sortWithinPartitions("mix_finish", "row", "mix_pass")
     return ordered.select("doc.*", "mix_size", "mix_pass", "mix_words", "mix_finish")

@@ -166,9 +166,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     named = classes.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     lowest = named.join(names, "root").select("key", "component_id")
-    return plain.join(lowest, "key", "left").select(
+    found = plain.join(lowest, "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = scratch.keep("found", found)
+    scratch.only("found")
+    return found
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -177,14 +180,15 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool
     Of rows that share the smallest doc_id one stays; a null doc_id stays only where
     all of its component are null.  Null and wordless texts all stay.
     """
-    scratch = Scratch(docs.sparkSession, "one")
-    row = "row" + "_" * max((len(c) for c in docs.columns), default=0)  # no column's name
-    # written, so that the numbers stay when executors are lost
-    kept = scratch.keep("docs", docs.withColumn(row, F.monotonically_increasing_id()))
-    # rows are told apart by their number, and a component's smallest name starts with its smallest doc_id
-    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(row).alias("row"))
-    stay = near_duplicates(kept.select(name.alias("doc_id"), "text"), width, percent, lower).where("kept").select(F.col("doc_id.row").alias(row))
-    return kept.join(stay, row, "left_semi").select(*docs.columns)
+    # documents are told apart by 128 bits of their id and text; a component's smallest name starts with its smallest doc_id
+    marks = [F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(7)).alias("b")]
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).select(F.struct(*docs.columns).alias("doc"), *marks)
+    name = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), "a", "b")
+    stay = near_duplicates(rows.select(name.alias("doc_id"), F.col("doc.text").alias("text")), width, percent, lower).where("kept").select("doc_id.a", "doc_id.b").distinct()
+    # rows alike in id and text are combined before the shuffle and after it
+    one = rows.join(stay, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("doc").alias("doc")).select("doc.*")
+    return one.unionByName(docs.where(~worded))
 
 
 def _print():
