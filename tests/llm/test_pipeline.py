@@ -1,5 +1,6 @@
 """Every stage of the pipeline on a small table with planted cases, and the whole run."""
 
+import hashlib
 import random
 import re
 
@@ -74,3 +75,63 @@ def test_run_and_empty_documents(spark, folder):
 def test_stage_list():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "span_dedup", "mixing", "packing"]
     assert re.fullmatch(r"(?s)Documents through.*", corpus_pipeline.__doc__)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Against components by comparing all pairs, with ids that repeat or are missing and columns that differ."""
+    draw = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    base = [[draw.choice(words) for _ in range(40)] for _ in range(12)]
+    texts = []
+    for text in base:
+        for edits in (0, 0, 1, 1, 2):
+            copy = list(text)
+            for _ in range(edits):
+                copy[draw.randrange(40)] = draw.choice(words)
+            texts.append(" ".join(copy))
+    texts += [None, None, "", " "]
+    rows = [(draw.choice([None, 1, 2, 3, k, k]), t, "en", "s", k) for k, t in enumerate(texts)]
+    shingled = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) if t and t.split() else frozenset() for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if shingled[a] and 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    left = [r.n_chars for r in kept]
+    assert sorted(group[k] for k in left) == sorted({group[k] for k in range(len(rows))})
+    least = lambda k: min((rows[m][0] for m in range(len(rows)) if group[m] == group[k] and rows[m][0] is not None), default=None)
+    assert all(rows[k][0] == least(k) for k in left if shingled[k])
+
+
+def test_mixing_matches_a_queue_worked_through_by_hand(spark):
+    """Copies served one after another by virtual finish time, each source its target's share, until the budget ends."""
+    draw = random.Random(22)
+    rows = [(k, " ".join(["w"] * draw.randrange(0, 30)), "en", draw.choice(["a", "a", "a", "b", None]), 0) for k in range(120)]
+    sizes = {k: len(t.split()) for k, t, *_ in rows}
+    sources = sorted({r[3] for r in rows if r[3]}) + [None]
+    total = {s: sum(sizes[r[0]] for r in rows if r[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    goal, left, budget = {}, set(sources), 1.5 * sum(total.values())
+    while left:
+        level = (budget - sum(goal.values())) / sum(weight[s] for s in left)
+        full = {s for s in left if level * weight[s] > 2 * total[s]}
+        goal |= {s: 2.0 * total[s] for s in full} if full else {s: level * weight[s] for s in left}
+        left = left - full if full else set()
+    queue = []
+    for s in sources:
+        mine, at = sorted((r for r in rows if r[3] == s and sizes[r[0]]), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()), 0
+        for _ in range(2):
+            for r in mine:
+                served = max(0, min(sizes[r[0]], int(goal[s]) - at))
+                queue += [((at + served) / goal[s], r[0], served)] if served else []
+                queue += [((at + sizes[r[0]]) / goal[s], r[0], sizes[r[0]] - served)] if served < sizes[r[0]] else []
+                at += sizes[r[0]]
+    want, rest = [], sum(int(g) for g in goal.values())
+    for _, k, words in sorted(queue):
+        taken = min(words, rest)
+        rest -= taken
+        want += [k] if 2 * taken >= sizes[k] and taken else []
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
