@@ -187,7 +187,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool
     name = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), "a", "b")
     stay = near_duplicates(rows.select(name.alias("doc_id"), F.col("doc.text").alias("text")), width, percent, lower).where("kept").select("doc_id.a", "doc_id.b").distinct()
     # rows alike in id and text are combined before the shuffle and after it
-    one = rows.join(stay, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("doc").alias("doc")).select("doc.*")
+    one = rows.join(stay.hint("merge"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("doc").alias("doc")).select("doc.*")
     return one.unionByName(docs.where(~worded))
 
 
@@ -207,7 +207,8 @@ def _links(docs, classes, scratch, width, percent, lower, miss) -> DataFrame:
     needed = scratch.keep("needed", classes.join(member.select("key").distinct(), "key", "left_semi").select("key", F.col("place.doc_id").alias("of_doc"), F.col("place.print").alias("of_print")))
     text = docs.select("doc_id", _print(), "text").where("text is not null")
     same = (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
-    sets = scratch.keep("sets", text.join(needed, same).select("key", "text").mapInArrow(_sets_of(width, lower), "key binary, members binary").dropDuplicates(["key"]))
+    # both sides grow with the documents, so neither is broadcast
+    sets = scratch.keep("sets", text.join(needed.hint("merge"), same).select("key", "text").mapInArrow(_sets_of(width, lower), "key binary, members binary").dropDuplicates(["key"]))
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) distinct -> those that pass the posterior test."""
