@@ -9,9 +9,9 @@ archives of their own, whose pieces are put together again by Content-Length, on
 after another.
 
 Only headers are shuffled by payload digest: per digest the record with the
-largest id stays a response, the others become revisits of it.  The revisits' ids
-are written, so that Spark knows their size: where it is below the broadcast
-threshold no payload is shuffled, else each is, once, to learn what it becomes.
+largest id stays a response, the others become revisits of it.  A filter of the
+revisits' ids, ``BITS`` bits whatever their number, then tells most responses
+apart where they stand; only rows that hit it are shuffled to learn what they are.
 """
 
 from __future__ import annotations
@@ -50,6 +50,24 @@ def resolve(records: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataF
     return joined.select(*records.columns, F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
 
+#: Bits of the filter, which every task holds (8 MB); with far more revisits than bits it lets all rows through to the join.
+BITS = 1 << 26
+_WORD = 1 << 15  # bits of one row of it
+
+
+def _hits(pages: DataFrame, revisits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages that are surely no revisit, all others): pages (page_id, ...) by a filter of revisits (revisit)."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    word, bit = F.expr(f"cast(place div {_WORD} as int)"), F.expr(f"cast(place % {_WORD} as bigint)")
+    bits = revisits.select(place("revisit").alias("place")).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # BITS / _WORD rows of 4 KB at most, so small enough for every executor
+    kept = pages.columns
+    seen = pages.withColumn("place", place("page_id")).withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.bit_get(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    return seen.where(~hit).select(kept), seen.where(hit).select(kept)
+
+
 def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
 
@@ -60,13 +78,17 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     Null html is an empty payload, a null url an empty target; line breaks in a
     url are percent-encoded.  Empty tables give empty archives.
     """
+    pages = pages.select("page_id", "url", "html")
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("target"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    described = lambda some: some.select(F.col("page_id").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("target"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     scratch = Scratch(pages.sparkSession, "resolve")
-    headers = scratch.keep("headers", rows.select("id", "digest", "bytes"))
+    headers = scratch.keep("headers", described(pages).select("id", "digest", "bytes"))
     decided = resolve(headers, scratch, least_bytes).where("refers_to is not null").select(F.col("id").alias("revisit"), F.col("digest").alias("of_digest"), "refers_to").distinct()
     decided = scratch.keep("revisits", decided)
-    full = rows.join(decided, F.col("id").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("of_digest")), "left")
+    apart, asked = _hits(pages, decided.select("revisit"))
+    # both sides grow with the pages, so neither is broadcast
+    asked = described(asked).join(decided.hint("merge"), F.col("id").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("of_digest")), "left").drop("revisit", "of_digest")
+    full = described(apart).withColumn("refers_to", F.lit(None).cast(decided.schema["refers_to"].dataType)).unionByName(asked)
     again = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:hearthbook:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
