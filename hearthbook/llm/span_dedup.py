@@ -179,7 +179,8 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 24, alone:
     covered = later.select("doc_id", "print", "start", "stop").distinct().groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
     covered = scratch.keep("covered", covered.select(F.col("doc_id").alias("in_doc"), F.col("print").alias("in_print"), "covered"))
     scratch.only("covered")
-    joined = marked.join(covered, (F.col("print") == F.col("in_print")) & F.col("doc_id").eqNullSafe(F.col("in_doc")), "left").select(*names, "covered")
+    # covered grows with the documents, so it is never broadcast
+    joined = marked.join(covered.hint("merge"), (F.col("print") == F.col("in_print")) & F.col("doc_id").eqNullSafe(F.col("in_doc")), "left").select(*names, "covered")
     fields = [StructField(n, f.dataType) for n, f in zip(names, kept.schema.fields, strict=True)]
     cut = joined.mapInArrow(_removed(names), StructType(fields).add("n_sentences", LongType()).add("n_removed", LongType()))
     return cut.toDF(*kept.columns, "n_sentences", "n_removed")
