@@ -53,21 +53,17 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.n
 
 
 class InvertedFile:
-    """Per pivot the vectors that list it, and its place in their lists."""
+    """Per pivot one row: how early each vector lists it, the length less its place, and 0 where it does not."""
 
     def __init__(self, lists: np.ndarray, pivots: int):
         self.count, self.length = lists.shape
-        by_pivot = np.argsort(lists.ravel(), kind="stable")
-        self.posted, self.places = by_pivot // self.length, by_pivot % self.length
-        self.cuts = np.searchsorted(lists.ravel()[by_pivot], np.arange(pivots + 1))
+        self.early = np.zeros((pivots, self.count), dtype=np.uint8)
+        self.early[lists, np.arange(self.count)[:, None]] = self.length - np.arange(self.length)
 
     def shared(self, own: np.ndarray) -> np.ndarray:
         """What each vector's footrule distance from a query's list falls short of the largest, halved."""
-        total = np.zeros(self.count, dtype=np.int64)
-        for place, pivot in enumerate(own):
-            at = slice(self.cuts[pivot], self.cuts[pivot + 1])
-            total[self.posted[at]] += self.length - np.maximum(self.places[at], place)
-        return total
+        mine = (self.length - np.arange(len(own))).astype(np.uint8)[:, None]
+        return np.minimum(self.early[own], mine).sum(axis=0, dtype=np.uint16).astype(np.int64)
 
 
 def best_of(vectors: np.ndarray, shared: np.ndarray, query: np.ndarray, besides: int, k: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
