@@ -7,7 +7,6 @@ currency, cost_minor, units, bought_on, closed_on, status).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthbook.functions.ratio import percent, round_half_even
