@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthbook.llm import language_id, mpeg_audio, oracles, permutation_index, toxicity, warc
+from hearthbook.llm import conversation_repair, language_id, merkle, mpeg_audio, oracles, permutation_index, quality, toxicity, warc
 from hearthbook.llm._store import Scratch
 from hearthbook.llm.mixing import decide
 from hearthbook.llm.near_dedup import near_duplicates
@@ -89,6 +89,25 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pack(_table(spark, sf_dir, "documents"), vocabulary.read())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(rows)).withColumnRenamed("conv_id", "of")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    joined = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return joined.select("conv_id", *(F.coalesce(c, empty.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "of"))
+
+
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunks", "verdict")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.documents_manifest(_table(spark, sf_dir, "documents"))
+    folded = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentence_span_dedup": op2_sentence_span_dedup,
@@ -100,11 +119,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nnpu_toxicity": op8_nnpu_toxicity,
     "op9_ecoc_language_id": op9_ecoc_language_id,
     "op10_dp_packing": op10_dp_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_compression_bands": op12_compression_bands,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-#: The others have none: trained models, token ids, audio frames and an approximate index are not SQL, and substring spans hash runs of sentences; tests hold them against brute force.
+#: The others have none: trained models, token ids, audio frames, zstandard ratios and an approximate index are not SQL, and substring spans hash runs of sentences; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
     "op4_fair_queue_mixing": oracles.MIXING,
     "op5_warc_revisits": oracles.REVISITS,
     "op6_redirect_url_filter": oracles.url_filter(URL_RULES),
+    "op11_conversation_repair": oracles.REPAIR,
+    "op13_merkle_manifest": oracles.MERKLE,
 }
