@@ -89,8 +89,3 @@ def next_checks(lots: DataFrame, today: str) -> DataFrame:
     kept = lots.withColumn("newest", newer).where("status = 'in_stock'")
     usual = F.date_add("bought_on", 28)
     return kept.select("lot_id", F.when(F.col("bought_on") < F.col("newest"), F.least(usual, F.lit(today).cast("date"))).otherwise(usual).alias("next_check_on"))
-
-
-def cascade(rows: DataFrame, key: str, removed: DataFrame) -> DataFrame:
-    """What a deletion leaves: rows whose key the closure (id) does not name."""
-    return rows.join(removed.select(F.col("id").alias(key)), key, "left_anti")

@@ -201,13 +201,6 @@ def op_add_lot(ledger):
     return O.next_checks(ledger.lots, "2000-06-30")
 
 
-@query("snk_cascade_delete", "with recursive edges as (select o_orderkey as child, o_orderkey // 2 as parent from orders where o_orderkey > 1), reach as (select o_orderkey as id from orders where o_orderkey in (3, 10) union select e.child from reach r join edges e on e.parent = r.id) select o_orderkey from orders where o_orderkey not in (select id from reach)")
-def snk_cascade_delete(ledger):
-    orders = ledger.table("orders").select("o_orderkey")
-    edges = orders.where("o_orderkey > 1").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"))
-    return O.cascade(orders, "o_orderkey", M.closure(orders.where("o_orderkey in (3, 10)").select(F.col("o_orderkey").alias("id")), edges))
-
-
 @query("win_latest_correction", "select account_id, source_row from (select *, row_number() over (partition by account_id, source_row % 3 order by source_row desc) as k from entries) s where k = 1", "entries")
 def win_latest_correction(ledger):
     place = F.row_number().over(W.partitionBy("account_id", F.col("source_row") % 3).orderBy(F.desc("source_row")))

@@ -7,6 +7,7 @@ and the checking engine both accept; ``Ledger`` gives it as a DataFrame,
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +124,11 @@ class Ledger:
             raise AttributeError(name)
         return self.sql(VIEWS[name][1])
 
+    def related(self, name: str, body: str) -> DataFrame:
+        """A further view over the views that body reads."""
+        used = [v for v in VIEWS if re.search(rf"\b(from|join) {v}\b", body)]
+        return self.sql(with_views(body, *used))
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the folder's tables, which are named in it without registering anything for good."""
         used = {}
@@ -135,6 +141,4 @@ class Ledger:
 
 
 def _marked(text: str, table: str) -> str:
-    import re
-
     return re.sub(rf"(?<=\bfrom )\b{table}\b|(?<=\bjoin )\b{table}\b", "{" + table + "}", text)

@@ -39,6 +39,6 @@ def percent_sql(part: str, base: str) -> str:
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from hearthbook.plans import commands, extras, items, lifecycle, papers, reconciliation, reviews, scalars, spending, states, tables  # noqa: F401
+    from hearthbook.plans import commands, extras, items, lifecycle, papers, reconciliation, reviews, scalars, spending, states, tables, trash  # noqa: F401
 
 
