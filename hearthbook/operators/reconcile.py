@@ -1,8 +1,9 @@
 """Matching receipts, transfers, refunds, bills and recurring payments.
 
 Candidates are joins on currency and exact amount with a date window.  Where one
-link takes a candidate away from later ones, the groups of one currency and
-amount are independent, so each is resolved in id order by itself.
+link takes a candidate away from later ones, rows are resolved in id order.  Rows of
+one currency and amount fall into islands: where no window reaches the next one's
+start, no candidate is shared, so each island is resolved by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from hearthbook.operators.written import kept
 POSTING_DAYS, TRANSFER_DAYS, REFUND_DAYS, BILL_EARLY_DAYS, BILL_LATE_DAYS = 5, 5, 120, 45, 7
 CADENCES = (("weekly", 6, 8, 0), ("monthly", 26, 35, 1), ("quarterly", 85, 95, 3), ("annual", 360, 370, 12))
 SURE, LEAD = 80, 20
+#: Days of a span by which bills and postings meet: about a usual bill's window.
+BILL_SPAN_DAYS = 40
 OBLIGATION, OBLIGATION_DECISIONS = ["account_id", "merchant_key", "currency", "frequency"], ("verified", "rejected", "ended")
 
 
@@ -64,15 +67,31 @@ def receipt_candidates(receipts: DataFrame, postings: DataFrame, links: DataFram
     return pairs.select("receipt_id", "posting_id", "currency", "amount_minor", score.alias("score"), method.alias("method"))
 
 
-def _in_turn(pairs: DataFrame, left: str, right: str, decide, schema: str) -> DataFrame:
-    """Resolves candidates one left row after another, in id order inside each currency and amount.
+def with_islands(pairs: DataFrame, since: str, until: str) -> DataFrame:
+    """pairs (currency, amount_minor, ...) plus island: windows from since to until that overlap, or are joined by such, share one.
+
+    Of every amount only its distinct windows are ordered, at most some per day.
+    """
+    key = ["currency", "amount_minor"]
+    spans = pairs.groupBy(*key, since).agg(F.max(until).alias("reach"))
+    inside = W.partitionBy(*key).orderBy(since)
+    reached = F.max("reach").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    opens = spans.withColumn("opens", F.coalesce((F.col(since) > reached).cast("int"), F.lit(1)))
+    numbered = opens.withColumn("island", F.sum("opens").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))).select(*key, since, "island")
+    return pairs.join(numbered, [*key, since])
+
+
+def _in_turn(pairs: DataFrame, left: str, right: str, decide, schema: str, window: tuple[str, str]) -> DataFrame:
+    """Resolves candidates one left row after another, in id order inside each island of a currency and amount.
 
     decide (a left row's remaining candidates) gives (chosen candidate or None,
     candidates that stay open); a chosen right row is gone for later left rows.
-    Rows stream through in sorted order, so a task holds one left row's
-    candidates and the ids taken in its current group.
+    window names the columns of a left row's first and last day.  Rows stream through
+    in sorted order, so a task holds one left row's candidates and the ids taken in
+    its current island.
     """
-    columns = pairs.columns
+    pairs = with_islands(pairs, *window).drop(*window)
+    columns = [c for c in pairs.columns if c != "island"]
 
     def run(batches):
         group, current, taken, held, out = None, None, set(), [], []
@@ -87,7 +106,7 @@ def _in_turn(pairs: DataFrame, left: str, right: str, decide, schema: str) -> Da
 
         for batch in batches:
             for row in batch.to_dict("records"):
-                key = (row["currency"], row["amount_minor"])
+                key = (row["currency"], row["amount_minor"], row.pop("island"))
                 if held and (key != group or row[left] != current):
                     close()
                     held = []
@@ -103,7 +122,8 @@ def _in_turn(pairs: DataFrame, left: str, right: str, decide, schema: str) -> Da
         if out:
             yield pd.DataFrame(out)[[*columns, "status"]]
 
-    dealt = pairs.repartition("currency", "amount_minor").sortWithinPartitions("currency", "amount_minor", left, right)
+    place = ["currency", "amount_minor", "island"]
+    dealt = pairs.repartition(*place).sortWithinPartitions(*place, left, right)
     return dealt.mapInPandas(run, schema)
 
 
@@ -117,9 +137,10 @@ def _best_receipt(free: list[dict]):
 
 def link_receipts(receipts: DataFrame, postings: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(receipt_id, posting_id, score, method, status): links, and the candidates of receipts that stay open."""
-    pairs = receipt_candidates(receipts, postings, links)
+    bought = receipts.select("receipt_id", F.col("purchase_date").alias("since"), F.date_add("purchase_date", POSTING_DAYS).alias("until"))
+    pairs = receipt_candidates(receipts, postings, links).join(bought, "receipt_id")
     kinds = "receipt_id long, posting_id long, currency string, amount_minor long, score int, method string, status string"
-    return _in_turn(pairs, "receipt_id", "posting_id", _best_receipt, kinds).drop("currency", "amount_minor")
+    return _in_turn(pairs, "receipt_id", "posting_id", _best_receipt, kinds, ("since", "until")).drop("currency", "amount_minor")
 
 
 def transfer_candidates(rows: DataFrame, accounts: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -156,7 +177,9 @@ def _only_transfer(free: list[dict]):
 def link_transfers(rows: DataFrame, accounts: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(out_id, in_id, score, status)."""
     kinds = "out_id long, in_id long, currency string, amount_minor long, score int, says_so boolean, status string"
-    return _in_turn(transfer_candidates(rows, accounts, links), "out_id", "in_id", _only_transfer, kinds).select("out_id", "in_id", "score", "status")
+    sent = rows.select(F.col("posting_id").alias("out_id"), F.date_sub("posted_date", TRANSFER_DAYS).alias("since"), F.date_add("posted_date", TRANSFER_DAYS).alias("until"))
+    pairs = transfer_candidates(rows, accounts, links).join(sent, "out_id")
+    return _in_turn(pairs, "out_id", "in_id", _only_transfer, kinds, ("since", "until")).select("out_id", "in_id", "score", "status")
 
 
 def link_refunds(rows: DataFrame, id_column: str = "transaction_id", links: DataFrame | None = None) -> DataFrame:
@@ -235,14 +258,14 @@ def resolve_issues(issues: DataFrame, choices: DataFrame, rows: DataFrame, taken
     """issues (issue_type, record_id, candidates, status) with the last choice (issue_type, record_id, seq, chosen or null) on each: outcome and chosen.
 
     linked needs a candidate that is not rejected and, for a receipt, that no other
-    receipt has (taken: posting_id, receipt_id); without a choice the record is
-    left_unmatched; what is not open or not allowed is refused.
+    receipt holds (taken: posting_id, receipt_id of all links that are not rejected);
+    without a choice the record is left_unmatched; what is not open or not allowed is refused.
     """
     last = latest(choices, ["issue_type", "record_id"], "seq").select("issue_type", "record_id", "chosen", F.lit(True).alias("answered"))
     alive = rows.where("review_status <> 'rejected'").select(F.col("posting_id").alias("chosen"), F.lit(True).alias("alive"))
-    held = taken.groupBy(F.col("posting_id").alias("chosen")).agg(F.min("receipt_id").alias("by"))
+    held = taken.groupBy(F.col("posting_id").alias("chosen")).agg(F.min("receipt_id").alias("first"), F.max("receipt_id").alias("last"))
     joined = issues.join(last, ["issue_type", "record_id"], "left").join(alive, "chosen", "left").join(held, "chosen", "left")
-    other = (F.col("issue_type") == "ambiguous_receipt_match") & F.col("by").isNotNull() & (F.col("by") != F.col("record_id"))
+    other = (F.col("issue_type") == "ambiguous_receipt_match") & F.coalesce((F.col("first") != F.col("record_id")) | (F.col("last") != F.col("record_id")), F.lit(False))
     good = F.array_contains("candidates", F.col("chosen")) & F.coalesce("alive", F.lit(False)) & ~other
     outcome = (
         F.when(F.col("answered").isNull(), F.col("status")).when(F.col("status") != "open", "refused").when(F.col("chosen").isNull(), "left_unmatched")
@@ -296,7 +319,10 @@ def bill_payments(bills: DataFrame, postings: DataFrame) -> DataFrame:
     b = bills.where("amount_due_minor is not null and due_date is not null").select(
         "bill_id", "provider", "currency", (-F.col("amount_due_minor")).alias("amount_minor"), F.coalesce("issue_date", F.date_sub("due_date", BILL_EARLY_DAYS)).alias("since"), F.date_add("due_date", BILL_LATE_DAYS).alias("until"))
     t = postings.where("review_status <> 'rejected'").select("posting_id", "posted_date", "description_raw", "currency", "amount_minor")
-    pairs = b.join(t, ["currency", "amount_minor"]).where(F.col("posted_date").between(F.col("since"), F.col("until")))
+    # a bill meets the spans of days that its window touches, so a common amount does not meet its whole history
+    span = lambda c: F.floor(F.unix_date(c) / BILL_SPAN_DAYS)
+    asks = b.where("since <= until").withColumn("span", F.explode(F.sequence(span(F.col("since")), span(F.col("until")))))
+    pairs = asks.join(t.withColumn("span", span(F.col("posted_date"))), ["currency", "amount_minor", "span"]).where(F.col("posted_date").between(F.col("since"), F.col("until")))
     named = F.col("provider").isNull() | overlap(F.col("provider"), F.col("description_raw"))
     return pairs.where(named).groupBy("bill_id").agg(F.count("*").alias("n"), F.min("posting_id").alias("payment_id")).where("n = 1").select("bill_id", "payment_id")
 

@@ -171,15 +171,18 @@ def op_review_link(ledger):
     return O.review_links(links, links.where("link_id % 4 = 0").select("link_id", F.lit("rejected").alias("status"), F.lit(1).alias("seq")))
 
 
+HELD = "exists (select 1 from receipt_links l where l.posting_id = s.first_one and l.receipt_id <> s.receipt_id and l.review_status <> 'rejected')"
+
+
 @query("op_resolve_issue", f"""
-select receipt_id, case receipt_id % 4 when 0 then 'open' when 1 then 'left_unmatched' when 2 then 'linked' else 'refused' end as outcome, case when receipt_id % 4 = 2 then first_one end as posting_id
-from (select receipt_id, min(posting_id) as first_one from ({PAIRS}) p group by 1) s""", "receipts", "postings")
+select receipt_id, case receipt_id % 4 when 0 then 'open' when 1 then 'left_unmatched' when 2 then case when {HELD} then 'refused' else 'linked' end else 'refused' end as outcome, case when receipt_id % 4 = 2 and not {HELD} then first_one end as posting_id
+from (select receipt_id, min(posting_id) as first_one from ({PAIRS}) p group by 1) s""", "receipts", "postings", "receipt_links")
 def op_resolve_issue(ledger):
     found = R.receipt_candidates(ledger.receipts, ledger.postings)
     issues = found.groupBy(F.lit("ambiguous_receipt_match").alias("issue_type"), F.col("receipt_id").alias("record_id")).agg(F.array_sort(F.collect_list("posting_id")).alias("candidates")).withColumn("status", F.lit("open"))
     chosen = F.when(F.col("record_id") % 4 == 2, F.col("candidates")[0]).when(F.col("record_id") % 4 == 3, F.lit(-1))
     choices = issues.where("record_id % 4 > 0").select("issue_type", "record_id", F.lit(1).alias("seq"), chosen.alias("chosen"))
-    done = R.resolve_issues(issues, choices, ledger.postings, ledger.receipt_links.select("posting_id", "receipt_id").limit(0))
+    done = R.resolve_issues(issues, choices, ledger.postings, ledger.receipt_links.where("review_status <> 'rejected'").select("posting_id", "receipt_id"))
     return done.select(F.col("record_id").alias("receipt_id"), "outcome", F.col("chosen").alias("posting_id"))
 
 

@@ -280,33 +280,38 @@ def checkin_apply(ledger):
 
 @query("op_reconcile_run")
 def op_reconcile_run(ledger):
-    """How many links, recurring payments and open questions one whole pass gives, each pass over what the ones before it left."""
+    """Every link that one whole pass makes, each step over what the ones before it left, and the questions it leaves open."""
     rules = ledger.sql(RULES)
     rows = ledger.postings.withColumn("origin", F.lit("import"))
-    return R.run(ledger.receipts, rows, ledger.accounts, rules, ledger.receipt_links)["counts"]
+    done = R.run(ledger.receipts, rows, ledger.accounts, rules, ledger.receipt_links)
+    linked = lambda name, left, right: done[name].select(F.lit(name).alias("pass"), F.col(left).alias("left_id"), F.col(right).alias("right_id"), "score")
+    links = linked("receipt_links", "receipt_id", "posting_id").unionByName(linked("transfers", "out_id", "in_id")).unionByName(linked("refunds", "credit_id", "purchase_id"))
+    asked = done["issues"].select(F.col("issue_type").alias("pass"), F.col("record_id").alias("left_id"), F.explode("candidates").alias("right_id"), F.lit(None).cast("int").alias("score"))
+    return links.unionByName(asked)
 
 
 @query("op_link_choice", f"""
 select receipt_id as record_id, posting_id, score, method || '+user_choice' as method, 'verified' as review_status from (
   select *, row_number() over (partition by receipt_id order by posting_id) as k from ({PAIRS}) p) s where k = 1 and receipt_id % 4 = 2
-  and posting_id not in (select posting_id from receipt_links l where l.receipt_id <> s.receipt_id and l.review_status = 'verified')""", "receipts", "postings", "receipt_links")
+  and posting_id not in (select posting_id from receipt_links l where l.receipt_id <> s.receipt_id and l.review_status <> 'rejected')""", "receipts", "postings", "receipt_links")
 def op_link_choice(ledger):
     found = R.receipt_candidates(ledger.receipts, ledger.postings)
     issues = found.groupBy(F.lit("ambiguous_receipt_match").alias("issue_type"), F.col("receipt_id").alias("record_id")).agg(F.array_sort(F.collect_list("posting_id")).alias("candidates")).withColumn("status", F.lit("open"))
     chosen = F.when(F.col("record_id") % 4 == 2, F.col("candidates")[0]).when(F.col("record_id") % 4 == 3, F.lit(-1))
     choices = issues.where("record_id % 4 > 0").select("issue_type", "record_id", F.lit(1).alias("seq"), chosen.alias("chosen"))
-    taken = ledger.receipt_links.where("review_status = 'verified'").select("posting_id", "receipt_id")
-    # a posting that several receipts have is refused to all but the first; the query asks for those that no other has
-    alone = taken.join(issues.select(F.col("record_id").alias("receipt_id"), F.col("candidates")[0].alias("posting_id")), ["receipt_id", "posting_id"], "left_anti")
-    return R.choice_links(R.resolve_issues(issues, choices, ledger.postings, alone), found)
+    taken = ledger.receipt_links.where("review_status <> 'rejected'").select("posting_id", "receipt_id")
+    return R.choice_links(R.resolve_issues(issues, choices, ledger.postings, taken), found)
 
 
-@query("recon_resolve", f"select receipt_id, case receipt_id % 4 when 0 then 'open' when 1 then 'left_unmatched' else 'refused' end as outcome from (select distinct receipt_id from ({PAIRS}) p) s", "receipts", "postings")
+@query("recon_resolve", f"""
+select receipt_id, case receipt_id % 4 when 0 then 'open' when 1 then 'left_unmatched' when 2 then case when exists (select 1 from receipt_links l where l.posting_id = s.last_one and l.receipt_id <> s.receipt_id and l.review_status <> 'rejected') then 'refused' else 'linked' end else 'refused' end as outcome
+from (select receipt_id, max(posting_id) as last_one from ({PAIRS}) p group by 1) s""", "receipts", "postings", "receipt_links")
 def recon_resolve(ledger):
+    """Choices of a receipt's last candidate; issues that are closed already refuse any."""
     found = R.receipt_candidates(ledger.receipts, ledger.postings)
-    issues = found.select(F.lit("ambiguous_receipt_match").alias("issue_type"), F.col("receipt_id").alias("record_id")).distinct().withColumns({"candidates": F.array(F.lit(-1).cast("bigint")), "status": F.when(F.col("record_id") % 4 == 3, "resolved").otherwise("open")})
-    choices = issues.where("record_id % 4 > 0").select("issue_type", "record_id", F.lit(1).alias("seq"), F.when(F.col("record_id") % 4 > 1, F.lit(-2).cast("bigint")).alias("chosen"))
-    return R.resolve_issues(issues, choices, ledger.postings, ledger.receipt_links.select("posting_id", "receipt_id").limit(0)).select(F.col("record_id").alias("receipt_id"), "outcome")
+    issues = found.groupBy(F.lit("ambiguous_receipt_match").alias("issue_type"), F.col("receipt_id").alias("record_id")).agg(F.array_sort(F.collect_list("posting_id")).alias("candidates")).withColumn("status", F.when(F.col("record_id") % 4 == 3, "resolved").otherwise("open"))
+    choices = issues.where("record_id % 4 > 0").select("issue_type", "record_id", F.lit(1).alias("seq"), F.when(F.col("record_id") % 4 > 1, F.element_at("candidates", -1)).alias("chosen"))
+    return R.resolve_issues(issues, choices, ledger.postings, ledger.receipt_links.where("review_status <> 'rejected'").select("posting_id", "receipt_id")).select(F.col("record_id").alias("receipt_id"), "outcome")
 
 
 @query("recon_txn", "select p.posting_id, a.account_type from postings p join accounts a on a.account_id = p.account_id", "postings", "accounts")
