@@ -15,7 +15,11 @@ What is left at a partition's end is cut at powers of two, without padding.
 No row is shuffled: a partition packs its own documents, and its number makes the
 sequence ids distinct.  About every million tokens the windows are given out up to
 the last cut on which the best ways to all open candidates agree, so whatever
-follows, the cuts are those of the whole stream.
+follows, the cuts are those of the whole stream.  Of ways of equal cost the one with
+the shortest last window counts, so that ways meet; where they still stay apart for
+half a million tokens, as periodic documents can make them, the best way so far is
+taken.  So a task holds at most some million and a half tokens beside the text it
+reads, and its time grows with its tokens.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 import itertools
 import json
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -36,6 +40,8 @@ from hearthbook.llm import _text
 WINDOW, OPEN_COST, SENTENCE_COST, INSIDE_COST, INSIDE_STEP = 2048, 24, 16, 64, 512
 EXEMPT = (256, 512, 1024)
 SEGMENT_TOKENS = 1 << 20
+#: Tokens solved at once, and those after which ways that stay apart are decided.
+MOST_TOKENS, APART_TOKENS = 1 << 20, 1 << 19
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _workers: dict[int, ChunkTokenizer] = {}
 
@@ -183,7 +189,8 @@ class ChunkTokenizer:
 def cut_windows(pos: np.ndarray, cost: np.ndarray, last: bool = True) -> np.ndarray:
     """Indices of the chosen cuts; pos ascends from 0 by steps of at most 2048, cost is each cut's penalty.
 
-    Unless last, only those that stay chosen whatever candidates follow.
+    Unless last, only those that stay chosen whatever candidates follow, or, where more
+    than APART_TOKENS would wait for that, those of the best way to the last candidate.
     """
     exempt: dict[int, list[int]] = defaultdict(list)
     for length in EXEMPT:
@@ -201,7 +208,7 @@ def cut_windows(pos: np.ndarray, cost: np.ndarray, last: bool = True) -> np.ndar
         best = value[j] + WINDOW - at
         if i in exempt:
             for k in exempt[i]:
-                if value[k] - p[k] < best:
+                if (value[k] - p[k], -k) < (best, -j):
                     best, j = value[k] - p[k], k
         back[i] = j
         now = value[i] = best + OPEN_COST + extra[i] + at
@@ -221,6 +228,8 @@ def cut_windows(pos: np.ndarray, cost: np.ndarray, last: bool = True) -> np.ndar
                 open_.add(back[k])
                 heappush(latest, -back[k])
         end = open_.pop()
+        if p[-1] - p[end] > APART_TOKENS:
+            end = back[-1]
     out = [end]
     while out[-1]:
         out.append(back[out[-1]])
@@ -228,12 +237,12 @@ def cut_windows(pos: np.ndarray, cost: np.ndarray, last: bool = True) -> np.ndar
 
 
 def _candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, costs) of the cuts that the stream allows, 0 and its end included."""
+    """(positions, costs) of the cuts that the stream allows, 0 included; its end only where it is one of theirs."""
     sentence = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
     known = np.union1d(np.concatenate([[0], sentence]), doc_ends)
-    gaps = np.diff(known)
-    wide = np.flatnonzero(gaps > INSIDE_STEP)
-    inside = [np.arange(known[k] + INSIDE_STEP, known[k + 1], INSIDE_STEP) for k in wide]
+    stops = np.append(known[1:], len(ids))
+    wide = np.flatnonzero(stops - known > INSIDE_STEP)
+    inside = [np.arange(known[k] + INSIDE_STEP, stops[k], INSIDE_STEP) for k in wide]
     pos = np.union1d(known, np.concatenate(inside)) if inside else known
     cost = np.full(len(pos), INSIDE_COST, dtype=np.int64)
     cost[np.searchsorted(pos, known)] = SENTENCE_COST
@@ -247,48 +256,62 @@ class _Stream:
 
     def __init__(self, shard: int, tokenizer: ChunkTokenizer):
         self.next, self.tokenizer = shard << 33, tokenizer
-        self.docs: list[list] = []  # index into keys, ids still to place, ids already placed, all ids
+        self.docs: deque[list] = deque()  # key, ids still to place, ids already placed, all ids
         self.tokens = 0
+        self.open = 0  # of those, solved before without a sure window
 
     def add(self, key, ids: np.ndarray) -> None:
         self.docs.append([key, ids, 0, len(ids)])
         self.tokens += len(ids)
 
+    def ready(self, segment: int, last: bool = False):
+        """Solves while so many new tokens wait, or, if last, all; yields (keys, rows of the PIECES)."""
+        while self.tokens - self.open > (MOST_TOKENS if last else segment):
+            yield self.solve(False)
+        if last and self.docs:
+            yield self.solve(True)
+
     def solve(self, last: bool):
-        """(keys, rows of the PIECES); keeps the tokens after the last sure window unless last."""
-        if not self.docs:
-            return [], np.zeros((6, 0), np.int64)
-        ids = np.concatenate([d[1] for d in self.docs])
-        doc_ends = np.cumsum([len(d[1]) for d in self.docs])
-        pos, cost = _candidates(ids, self.tokenizer.ends, doc_ends)
+        """(keys, rows of the PIECES) of the first tokens that wait; the tokens after the last sure window stay unless last."""
+        taken, size = [], 0
+        for doc in self.docs:
+            taken.append(doc)
+            size += len(doc[1])
+            if size >= MOST_TOKENS and not last:
+                break
+        doc_ends = np.cumsum([len(d[1]) for d in taken])
+        size = size if last else min(size, MOST_TOKENS)  # of a long document only its beginning
+        begin = np.concatenate([[0], doc_ends[:-1]])
+        ids = np.concatenate([d[1][: size - b] for d, b in zip(taken, begin.tolist(), strict=True)])
+        pos, cost = _candidates(ids, self.tokenizer.ends, doc_ends[doc_ends <= size])
         chosen = pos[cut_windows(pos, cost, last)]
         if last:  # the rest at powers of two
             rest, at = int(chosen[-1] - chosen[-2]), int(chosen[-2])
             tail = []
             while rest:
-                size = 1 << (rest.bit_length() - 1)
-                at, rest = at + size, rest - size
+                power = 1 << (rest.bit_length() - 1)
+                at, rest = at + power, rest - power
                 tail.append(at)
             chosen = np.concatenate([chosen[:-1], tail]) if chosen[-1] - chosen[-2] < WINDOW else chosen
         stop = int(chosen[-1])
-        starts = np.union1d(np.concatenate([[0], doc_ends[:-1]]), chosen[:-1])
+        starts = np.union1d(begin, chosen[:-1])
         starts = starts[starts < stop]
         lengths = np.diff(np.append(starts, stop))
         doc = np.searchsorted(doc_ends, starts, "right")
         window = np.searchsorted(chosen, starts, "right") - 1
-        begin = doc_ends - np.array([len(d[1]) for d in self.docs])
-        placed, total = np.array([d[2] for d in self.docs]), np.array([d[3] for d in self.docs])
+        placed, total = np.array([d[2] for d in taken]), np.array([d[3] for d in taken])
         raw = ids.astype("<u4", copy=False)
         crc = np.array([zlib.crc32(raw[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], dtype=np.int64)
         rows = np.stack([starts - begin[doc] + placed[doc], lengths, crc, total[doc], self.next + window, starts - chosen[window]]) if len(starts) else np.zeros((6, 0), np.int64)
-        keys = [self.docs[k][0] for k in doc.tolist()]
+        keys = [taken[k][0] for k in doc.tolist()]
         self.next += len(chosen) - 1
-        kept = []
-        for d, b, e in zip(self.docs, begin.tolist(), doc_ends.tolist(), strict=True):
-            if e > stop:
-                gone = max(0, stop - b)
-                kept.append([d[0], d[1][gone:], d[2] + gone, d[3]])
-        self.docs, self.tokens = kept, int(doc_ends[-1]) - stop
+        for d, b, e in zip(taken, begin.tolist(), doc_ends.tolist(), strict=True):
+            if e <= stop:
+                self.docs.popleft()
+            elif b < stop:
+                d[1], d[2] = d[1][stop - b :], d[2] + stop - b
+        self.tokens -= stop
+        self.open = size - stop
         return keys, rows
 
 
@@ -300,7 +323,7 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1, segment: int = SEG
     doc_ids are packed as often as they occur, in their stored order; a text of
     any length is cut into several windows.  Other columns are ignored.  segment is
     about how many tokens a task gathers before it gives windows out; results do not
-    depend on it.
+    depend on it, save where equal documents keep ways apart (see above).
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -315,10 +338,10 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1, segment: int = SEG
             _workers[key] = ChunkTokenizer(shared.value)
         stream = _Stream(TaskContext.get().partitionId(), _workers[key])
         doc_kind = None
-        end, due = np.array([end_id], dtype=np.uint32), segment
+        end = np.array([end_id], dtype=np.uint32)
 
-        def out(last: bool) -> pa.RecordBatch:
-            keys, rows = stream.solve(last)
+        def out(pieces) -> pa.RecordBatch:
+            keys, rows = pieces
             return pa.RecordBatch.from_arrays([pa.array(keys, doc_kind), *map(pa.array, rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for whole in batches:
@@ -327,10 +350,8 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int = 1, segment: int = SEG
                 ids, at = stream.tokenizer.encode(*_text.utf8(batch.column("text")))
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     stream.add(doc_id, np.concatenate([ids[a:b], end]))
-                if stream.tokens > due:
-                    yield out(False)
-                    due = stream.tokens + segment
-        if doc_kind is not None and stream.docs:
-            yield out(True)
+                yield from map(out, stream.ready(segment))
+        if doc_kind is not None:
+            yield from map(out, stream.ready(segment, last=True))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}")

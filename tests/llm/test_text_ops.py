@@ -394,3 +394,43 @@ def test_language_codes_and_prediction(spark):
     nothing = language_id.train(docs.where("doc_id < 0"))
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+class PlainTokens:
+    """Stands for a tokenizer of 1000 ids, of which 7 ends a sentence."""
+
+    ends = np.arange(1001) == 7
+
+
+def same_documents(kind, total):
+    body = {"empty": np.zeros(0), "of 700": np.full(699, 5), "of 700 with sentences": np.where(np.arange(699) % 23 == 22, 7, 5), "of 1024": np.full(1023, 5), "one long": np.full(total - 1, 5)}[kind]
+    document = np.append(body, 1).astype(np.uint32)
+    return [document] * (total // len(document))
+
+
+@pytest.mark.parametrize("kind, total", [("empty", 2_500_000), ("of 700", 10_000_000), ("of 700 with sentences", 10_000_000), ("of 1024", 10_000_000), ("one long", 10_000_000)])
+def test_equal_documents_do_not_pile_up(kind, total):
+    """Tokens that wait stay bounded, and no token is solved over and over."""
+    stream, placed, solved = packing._Stream(0, PlainTokens), 0, 0
+    for k, document in enumerate(same_documents(kind, total)):
+        stream.add(k, document)
+        for _, rows in stream.ready(1 << 20):
+            placed += int(rows[1].sum())
+            solved += int(rows[1].sum()) + stream.open
+            assert kind == "one long" or stream.tokens <= packing.MOST_TOKENS
+            assert stream.open <= packing.APART_TOKENS + packing.WINDOW
+    placed += sum(int(rows[1].sum()) for _, rows in stream.ready(1 << 20, last=True))
+    assert placed == total // len(same_documents(kind, total)[0]) * len(same_documents(kind, total)[0]) and not stream.docs
+    assert solved <= 2 * total
+
+
+def test_ways_that_stay_apart_are_decided(monkeypatch):
+    monkeypatch.setattr(packing, "APART_TOKENS", 0)
+    stream = packing._Stream(0, PlainTokens)
+    pieces = []
+    for k in range(60):
+        stream.add(k, np.append(np.full(699, 5), 1).astype(np.uint32))
+        pieces += [rows for _, rows in stream.ready(5000)]
+    pieces += [rows for _, rows in stream.ready(5000, last=True)]
+    rows = np.concatenate(pieces, axis=1)
+    assert rows[1].sum() == 60 * 700 and (np.bincount(rows[4].astype(int), rows[1]) <= packing.WINDOW).all()
