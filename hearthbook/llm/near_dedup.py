@@ -16,8 +16,9 @@
 
 Bands are chosen by the threshold: as many rows each as let a pair that just
 reaches it share no band with probability ``UNSEEN`` at most (at 0.85 21 bands of
-6 rows, at 0.8 25 of 5, both 5e-5).  A false drop by the posterior has at most
-``miss`` per batch.
+6 rows, at 0.8 25 of 5, both 5e-5).  The posterior drops a pair at the threshold
+with nearly twice ``miss`` per batch (at 0.85 and a miss of 1e-5 with 1.9e-5 in the
+first and 1.8e-5 in the last), over all eight batches with up to 1e-4.
 """
 
 from __future__ import annotations
@@ -257,8 +258,8 @@ def _private(sets: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep("private", held.select("key", (F.octet_length("members") / 8).cast("long").alias("n")).join(private, "key", "left").na.fill(0, ["private"]))
 
 
-#: Most classes, about, on either side of a block: those of a bucket, and the outsiders they are compared with.
-BLOCK = 512
+#: Most classes, about, on either side of a block, and bytes of their sets: those of a bucket, and the outsiders they are compared with.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 
 
 def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, sized: DataFrame, scratch: Scratch, percent: int, rows: int, miss: float) -> DataFrame:
@@ -271,10 +272,11 @@ def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, sized: DataFr
     in the first band that it shares.
     """
     alive = scratch.keep("apart", mixed.join(sized.where(f"100 * (n - private) >= {percent} * n"), "key"))
-    tally = alive.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    main = tally.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("roots")).where("roots > 1")
-    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = scratch.keep("main", main.select("bucket", F.col("top.root").alias("main"), blocks_of(F.col("size")).alias("rows"), blocks_of(F.col("size") - F.col("top.c")).alias("columns")))
+    tally = alive.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum(8 * F.col("n")).alias("bytes"))
+    main = tally.groupBy("bucket").agg(F.max(F.struct("c", "root", "bytes")).alias("top"), F.sum("c").alias("size"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots")).where("roots > 1")
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    outsiders = blocks_of(F.col("size") - F.col("top.c"), F.col("bytes") - F.col("top.bytes"))
+    main = scratch.keep("main", main.select("bucket", F.col("top.root").alias("main"), blocks_of(F.col("size"), F.col("bytes")).alias("rows"), outsiders.alias("columns")))
     full = alive.join(main, "bucket").join(classes.select("key", "sig").join(sets, "key"), "key")
     full = full.withColumn("outside", F.col("root") != F.col("main"))
     columns = ["bucket", "block", "asks", "band", "key", "root", "n", "private", "outside", "sig", "members"]
