@@ -38,6 +38,17 @@ def test_query_without_sql_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).columns
 
 
+def test_ledger_queries_stay_where_the_corpus_part_lacks_a_library(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith(("hearthbook.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(__spark_entry__.queries()) == set(registry.QUERIES) and set(__spark_entry__.oracle_sql()) == set(registry.ORACLES)
+
+
 def test_every_view_has_rows(spark):
     ledger = Ledger(spark, FOLDER)
     assert all(getattr(ledger, v).limit(1).count() == 1 for v in VIEWS)
