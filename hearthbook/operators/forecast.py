@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from hearthbook.functions import predicates as P
 from hearthbook.functions.ratio import round_half_even
 
+# Fixed value: the months that a scenario may have.
 MOST_MONTHS = 1200
 
 
@@ -67,8 +69,11 @@ def project_one(scenario: dict):
     Prices and pay rise every month by the twelfth root of their yearly factors,
     at 34 digits.  Months count from 1; income_steps (month, amount) and one_offs
     (month, amount) apply from and in theirs, spending_changes (category,
-    percent_bp) to all of a category.  Debts leave cash by their payments.
+    percent_bp) to all of a category.  Debts leave cash by their payments.  More than
+    1200 months are refused.
     """
+    if int(scenario["months"]) > MOST_MONTHS:
+        raise ValueError(f"a scenario may have {MOST_MONTHS} months, not {scenario['months']}")
     with localcontext() as context:
         context.prec = 34
         inflation, growth = (_monthly(Decimal(int(scenario[k])) / 10000) for k in ("inflation_bp", "income_growth_bp"))
@@ -78,7 +83,7 @@ def project_one(scenario: dict):
         extras = [(o["month"], int(o["amount"])) for o in _each(scenario, "one_offs")]
         holdings = [_Holding(a) for a in _each(scenario, "assets")]
         cash, price, pay = int(scenario["cash"]), Decimal(1), Decimal(1)
-        for month in range(1, min(MOST_MONTHS, int(scenario["months"])) + 1):
+        for month in range(1, int(scenario["months"]) + 1):
             price, pay = price * inflation, pay * growth
             income = _rounded((int(scenario["monthly_income"]) + sum(amount for since, amount in steps if since <= month)) * pay)
             spending = sum(_rounded(amount * price) for amount in categories)
@@ -105,6 +110,19 @@ def project(scenarios: DataFrame) -> DataFrame:
     return scenarios.mapInPandas(run, PROJECTED)
 
 
+@udtf(returnType=PROJECTED.partition(", ")[2])
+class ProjectTable:
+    """``project`` as a table function of one scenario, a struct with the fields of ``project_one``."""
+
+    def eval(self, scenario):
+        yield from project_one(scenario.asDict(recursive=True))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Lets SQL say: select scenario_id, p.* from (select scenario_id, struct(*) as scenario from scenarios) s, lateral project(scenario) p"""
+    spark.udtf.register("project", ProjectTable)
+
+
 def yearly(projected: DataFrame) -> DataFrame:
     """Twelve-month chunks: sums of the flows, and the levels at each chunk's end."""
     year = F.floor((F.col("month") - 1) / 12) + 1

@@ -6,6 +6,10 @@ currency, cost_minor, units, bought_on, closed_on, status).
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ FOOD = ("produce", "dairy & eggs", "meat & seafood", "bakery", "pantry", "frozen
 FRESH_DAYS, OTHER_DAYS, CLOSING_DAYS = 7, 28, 14
 FRESH = ("produce", "dairy & eggs", "meat & seafood", "bakery")
 MICRO = 1_000_000
+# Fixed value: the words of a question that count.
+MOST_WORDS = 8
 
 
 def normalize_text(text: Column) -> Column:
@@ -23,12 +29,22 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"(?U)[^\p{Alnum}&]+", " "))
 
 
+def asked_words(query: str | None) -> list[str]:
+    """The words of a question as ``normalize_text`` gives them, eight at most."""
+    return re.sub(r"[^\w&]+|_", " ", (query or "").upper()).split()[:MOST_WORDS]
+
+
+def _with_words(lots: DataFrame, query: str | None) -> DataFrame:
+    """Lots whose name, brand or category contains every word of the query."""
+    texts = (normalize_text(F.col("name")), F.upper(F.coalesce("brand", F.lit(""))), F.upper("category"))
+    for word in asked_words(query):
+        lots = lots.where(reduce(or_, (F.contains(t, F.lit(word)) for t in texts)))
+    return lots
+
+
 def matching(lots: DataFrame, query: str = "") -> DataFrame:
     """Priced lots whose name, brand or category contains every word of the query (eight at most)."""
-    kept = lots.where("cost_minor is not null and currency is not null")
-    for word in query.upper().split()[:8]:
-        kept = kept.where(F.contains(normalize_text(F.col("name")), F.lit(word)) | F.contains(F.upper(F.coalesce("brand", F.lit(""))), F.lit(word)) | F.contains(F.upper("category"), F.lit(word)))
-    return kept
+    return _with_words(lots.where("cost_minor is not null and currency is not null"), query)
 
 
 def sized(lots: DataFrame) -> DataFrame:
@@ -68,8 +84,10 @@ def price_changes(lots: DataFrame, count: int = 20) -> DataFrame:
     """Largest rises between a product's first and last purchase, across its package sizes."""
     when = F.struct("bought_on", "lot_id")
     row = F.struct("price", "size_text", "bought_on")
-    group = priced(lots).groupBy(normalize_text(F.col("name")).alias("product"), "brand", "currency", "dimension")
-    ends = group.agg(F.count("*").alias("n"), F.min_by(row, when).alias("a"), F.max_by(row, when).alias("b")).where("n >= 2 and b.price > a.price")
+    # by the name as it is written first, so that each distinct name is normalised once
+    written = priced(lots).groupBy("name", "brand", "currency", "dimension").agg(F.count("*").alias("n"), F.min_by(row, when).alias("a"), F.min(when).alias("a_when"), F.max_by(row, when).alias("b"), F.max(when).alias("b_when"))
+    group = written.groupBy(normalize_text(F.col("name")).alias("product"), "brand", "currency", "dimension")
+    ends = group.agg(F.sum("n").alias("n"), F.min_by("a", "a_when").alias("a"), F.max_by("b", "b_when").alias("b")).where("n >= 2 and b.price > a.price")
     rise = F.col("b.price") - F.col("a.price")
     tenths = round_half_even(rise * 1000, F.col("a.price"))
     ranked = ends.orderBy(tenths.desc(), "product", "brand", "currency", "dimension").limit(count)
@@ -154,9 +172,7 @@ def set_policies(policies: DataFrame, entries: DataFrame) -> DataFrame:
 def inventory(lots: DataFrame, query: str = "", include_closed: bool = False) -> DataFrame:
     """Lots in stock, or all, whose name, brand or category has every word of the query (eight at most), by name, purchase and id."""
     kept = lots if include_closed else lots.where("status = 'in_stock'")
-    for word in query.upper().split()[:8]:
-        kept = kept.where(F.contains(normalize_text(F.col("name")), F.lit(word)) | F.contains(F.upper(F.coalesce("brand", F.lit(""))), F.lit(word)) | F.contains(F.upper("category"), F.lit(word)))
-    return kept.orderBy("name", "bought_on", "lot_id")
+    return _with_words(kept, query).orderBy("name", "bought_on", "lot_id")
 
 
 def returns_closing(lots: DataFrame, policies: DataFrame, today: str, within: int = CLOSING_DAYS) -> DataFrame:

@@ -45,12 +45,26 @@ def upsert_guarded(old: DataFrame, new: DataFrame, keys: list[str], keep: Column
     return joined.select(*(F.when(stays, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in old.columns))
 
 
-def versions(seen: DataFrame, keys: list[str], content: str, order: str) -> DataFrame:
-    """seen plus status: new, unchanged, new_version, or recovered_version for content seen earlier."""
-    w = W.partitionBy(*keys).orderBy(order)
-    again = F.row_number().over(W.partitionBy(*keys, content).orderBy(order)) > 1
-    status = F.when(F.row_number().over(w) == 1, "new").when(F.col(content) == F.lag(content).over(w), "unchanged").when(again, "recovered_version").otherwise("new_version")
-    return seen.withColumn("status", status)
+def versions(seen: DataFrame, keys: list[str], content: str, order: str, job: str | None = None) -> DataFrame:
+    """seen, publications of files in order, plus status.
+
+    Of a file that is not known yet: captured, or duplicate where its bytes are known from
+    another file.  Of a known one: recovered_version where its job is older than the
+    newest so far, which leaves the current version as it is; else unchanged or
+    new_version against that one.  Without a job column none is ever older.
+    """
+    own = W.partitionBy(*keys).orderBy(order)
+    before = own.rowsBetween(W.unboundedPreceding, -1)
+    late = F.coalesce(F.col(job) < F.max(job).over(before), F.lit(False)) if job else F.lit(False)
+    first = seen.groupBy(F.col(content).alias("_bytes")).agg(F.min(order).alias("_first"))
+    marked = seen.withColumns({"_late": late, "_k": F.row_number().over(own)})
+    current = F.last(F.when(~F.col("_late"), F.struct(F.col(content).alias("c"))), ignorenulls=True).over(before)
+    joined = marked.withColumn("_current", current).join(first, F.col(content).eqNullSafe(F.col("_bytes")))
+    status = (
+        F.when(F.col("_k") == 1, F.when(F.col("_first") < F.col(order), "duplicate").otherwise("captured"))
+        .when(F.col("_late"), "recovered_version").when(F.col("_current.c").eqNullSafe(F.col(content)), "unchanged").otherwise("new_version")
+    )
+    return joined.select(*seen.columns, status.alias("status"))
 
 
 def latest_corrections(changes: DataFrame, keys: list[str], field: str, value: str, order: str, fields: list[str]) -> DataFrame:

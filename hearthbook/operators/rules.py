@@ -7,19 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthbook.functions.text import normalize_name
+from hearthbook.operators.written import kept
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame, id_column: str = "transaction_id") -> DataFrame:
     """rows' ids with rule_id and category of the fitting rule with most words, the newest of equals; rows without one are left out.
 
-    rules (rule_id, pattern, category, account_id or null).  Rules meet rows on
-    their first word, so neither side is paired with the whole other side.
-    Descriptions that normalise alike are matched once.
+    rules (rule_id, pattern, category, account_id or null).  A rule meets rows on
+    that of its words which the fewest descriptions hold, so a word that stands
+    everywhere pairs nothing.  Descriptions that normalise alike are matched once.
     """
     named = rows.select(id_column, F.col("account_id").alias("of_account"), normalize_name(F.col("description_raw"), ascii_only=True).alias("name"))
     said = named.select("name").distinct().withColumn("said", F.split("name", " "))
-    split = rules.withColumn("words", F.split("pattern", " ")).withColumn("word", F.col("words")[0])
     each = said.select("name", "said", F.explode(F.array_distinct("said")).alias("word"))
+    spelled = rules.withColumn("words", F.split("pattern", " "))
+    asked = spelled.select("rule_id", F.explode(F.array_distinct("words")).alias("word"))
+    often = each.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "word", "left").groupBy("rule_id").agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+    split = spelled.join(rarest, "rule_id")
     fits = each.join(split, "word").where("size(array_except(words, said)) = 0")
     rank = F.struct(F.size("words").alias("size"), "rule_id", "category")
     anyone = fits.where("account_id is null").groupBy("name").agg(F.max(rank).alias("anyone"))
@@ -28,10 +33,64 @@ def apply_rules(rows: DataFrame, rules: DataFrame, id_column: str = "transaction
     return best.where("best is not null").select(id_column, "best.rule_id", "best.category")
 
 
+def _word_sets(rows: DataFrame, id_column: str) -> DataFrame:
+    """rows' id and merchant with the sorted set of their words of more than two letters, and its key; rows without words are left out."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(normalize_name(F.col("description"), True), " "), lambda t: F.length(t) > 2)))
+    return rows.select(F.col(id_column).alias("id"), "merchant", words.alias("words")).where("size(words) > 0").withColumn("set", F.md5(F.array_join("words", " ")))
+
+
+def _least_ids(rows: DataFrame, group: list[str], count: int) -> DataFrame:
+    """The rows of the least ids of each group; all with the same key are one after another, and only so many leave a task."""
+    w = W.partitionBy(*group).orderBy("known_id")
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= count).drop("n")
+
+
 def similar(lines: DataFrame, known: DataFrame, count: int = 5) -> DataFrame:
-    """(line_id, known_id, shared): known lines that share most words of more than two letters, the same merchant first."""
-    tokens = lambda f, i: f.select(F.col(i), "merchant", F.explode(F.array_distinct(F.filter(F.split(normalize_name(F.col("description"), True), " "), lambda t: F.length(t) > 2))).alias("word"))
-    a, b = tokens(lines, "line_id"), tokens(known, "known_id").withColumnRenamed("merchant", "known_merchant")
-    shared = a.join(b, "word").groupBy("line_id", "known_id").agg(F.count("*").alias("shared"), F.max((F.col("merchant") == F.col("known_merchant")).cast("int")).alias("same"))
+    """(line_id, known_id, shared, k): known lines that share most words of more than two letters, the same merchant first, then the least id.
+
+    A set join by prefixes: lines with equal words are one set, of a known set only its
+    ``count`` best rows can be wanted, and a set's words meet others rarest first.  Once
+    ``count`` rows found share more words than are still unread, the rest cannot matter,
+    so words that stand nearly everywhere are joined for no line that has better ones.
+    The commonest word of a set is never joined: for those that share only it, the
+    least ids of that word are enough.
+    """
+    a, b = kept(_word_sets(lines, "line_id")), kept(_word_sets(known, "known_id"))
+    held = kept(b.groupBy("set").agg(F.first("words").alias("words")))
+    posted = held.select(F.col("set").alias("other"), F.explode("words").alias("word"))
+    often = posted.groupBy("word").agg(F.count("*").alias("often"))
+    asked = a.groupBy("set").agg(F.first("words").alias("words")).select("set", "words", F.explode("words").alias("word")).join(often, "word")  # words that no known line has match nothing
+    rare = asked.groupBy("set", "words").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    open_ = kept(rare.select("set", "words", F.transform("ranked", lambda r: r["word"]).alias("ranked")))
+    counts = b.groupBy(F.col("set").alias("other")).agg(F.least(F.count("*"), F.lit(count)).alias("rows"))
+    read, upto, found, width = 0, 1, None, (open_.agg(F.max(F.size("ranked"))).first()[0] or 0)
+    while read < width - 1:
+        prefix = open_.select("set", "words", F.explode(F.slice("ranked", read + 1, F.least(F.lit(upto - read), F.greatest(F.lit(0), F.size("ranked") - 1 - read)))).alias("word"))
+        pairs = prefix.join(posted, "word").select("set", "words", "other").distinct().join(held.select(F.col("set").alias("other"), F.col("words").alias("theirs")), "other")
+        pairs = pairs.select("set", "other", F.size(F.array_intersect("words", "theirs")).alias("shared"))
+        found = kept(pairs if found is None else found.unionAll(pairs).distinct())
+        # shared of the row that is count-th best so far, a known set counting for as many rows as can be wanted
+        w = W.partitionBy("set").orderBy(F.desc("shared"), "other").rowsBetween(W.unboundedPreceding, W.currentRow)
+        sure = found.join(counts, "other").withColumn("so_far", F.sum("rows").over(w)).where(F.col("so_far") >= count).groupBy("set").agg(F.max("shared").alias("sure"))
+        rest = open_.join(sure, "set", "left").where(F.coalesce(F.col("sure"), F.lit(0)) <= F.greatest(F.size("ranked") - upto, F.lit(1)))
+        open_, read, upto = kept(rest.select("set", "words", "ranked")), upto, min(2 * upto, max(width - 1, 1))
+        if open_.isEmpty():
+            break
+    line = a.select(F.col("id").alias("line_id"), "set", F.col("merchant").alias("here"))
+    member = b.select(F.col("set").alias("other"), "merchant", F.col("id").alias("known_id"))
+
+    def rows_of(met: DataFrame, group: str, listed: DataFrame, most: int) -> DataFrame:
+        """Known rows of what a line has met: the least ids of the group, and of the line's own merchant in it."""
+        own = met.join(_least_ids(listed, [group, "merchant"], most).withColumnRenamed("merchant", "here"), [group, "here"]).select("line_id", "known_id", "shared", F.lit(True).alias("same"))
+        anyone = met.join(_least_ids(listed, [group], most), group)
+        return own.unionAll(anyone.select("line_id", "known_id", "shared", F.coalesce(F.col("here") == F.col("merchant"), F.lit(False)).alias("same")))
+
+    # sets that are still open may want rows that share their commonest word only; fewer than count of those of that word were met before
+    tails = line.join(open_.select("set", F.element_at("ranked", -1).alias("word")), "set").withColumn("shared", F.lit(1))
+    listed = b.select("merchant", F.col("id").alias("known_id"), F.explode("words").alias("word")).join(tails.select("word").distinct(), "word", "left_semi")
+    rows = rows_of(tails, "word", listed, 2 * count)
+    if found is not None:
+        rows = rows.unionAll(rows_of(line.join(found, "set"), "other", member, count))
+    pairs = rows.groupBy("line_id", "known_id").agg(F.max("shared").cast("long").alias("shared"), F.max("same").alias("same"))
     place = F.row_number().over(W.partitionBy("line_id").orderBy(F.desc("shared"), F.desc("same"), "known_id"))
-    return shared.withColumn("k", place).where(F.col("k") <= count).select("line_id", "known_id", "shared", "k")
+    return pairs.withColumn("k", place).where(F.col("k") <= count).select("line_id", "known_id", "shared", "k")

@@ -128,8 +128,8 @@ def dashboard_groups(rows: DataFrame, currency: str, named: int = 5) -> DataFram
     ranked = sums.withColumn("plain", F.col("category") != "uncategorized").withColumn("place", place)
     label = F.when(~F.col("plain") | (F.col("place") <= named), F.col("category")).otherwise("Other")
     grouped = ranked.groupBy(label.alias("category")).agg(F.sum("spending").cast("bigint").alias("spending"), F.sum("transactions").alias("transactions"))
-    whole = F.sum("spending").over(W.partitionBy())
-    return grouped.withColumn("share", F.coalesce(percent(F.col("spending"), whole.cast("bigint")), F.lit("0.0")))
+    whole = sums.agg(F.sum("spending").cast("bigint").alias("whole"))  # one row
+    return grouped.join(F.broadcast(whole)).withColumn("share", F.coalesce(percent(F.col("spending"), F.col("whole")), F.lit("0.0"))).drop("whole")
 
 
 def anomalies(rows: DataFrame, start: str, end: str, minimum: int = 20, count: int = 20) -> DataFrame:

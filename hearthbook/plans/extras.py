@@ -156,9 +156,9 @@ def set_except(ledger):
 
 @query("find_receipt", """
 select r.receipt_id, purchase_date, total_minor, l.posting_id from receipts r left join (select receipt_id, arg_min(posting_id, link_id) as posting_id from receipt_links where review_status <> 'rejected' group by 1) l on l.receipt_id = r.receipt_id
-where review_status <> 'rejected' and purchase_date >= date '1998-01-01' and list_contains(string_split(merchant, ' '), 'FRANCE') order by purchase_date desc, r.receipt_id limit 100""", "receipts", "receipt_links")
+where review_status <> 'rejected' and purchase_date >= date '1998-01-01' and list_contains(string_split(merchant, ' '), 'NATION_7') order by purchase_date desc, r.receipt_id limit 100""", "receipts", "receipt_links")
 def find_receipt(ledger):
-    return tools.call(ledger, "find_receipt", start="1998-01-01", merchant="France").select("receipt_id", "purchase_date", "total_minor", "posting_id")
+    return tools.call(ledger, "find_receipt", start="1998-01-01", merchant="Nation_7 Inc.").select("receipt_id", "purchase_date", "total_minor", "posting_id")
 
 
 @query("get_statement", "select statement_id, account_id, period_end, closing_balance_minor from statements where statement_id = 70", "statements")

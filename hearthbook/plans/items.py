@@ -32,7 +32,7 @@ def lim_topk(ledger):
 
 @query("flt_like_words", "select count(*) as lots from lots where (contains(upper(name), 'RED') or contains(upper(coalesce(brand, '')), 'RED') or contains(upper(category), 'RED')) and (contains(upper(name), 'BRAND') or contains(upper(coalesce(brand, '')), 'BRAND') or contains(upper(category), 'BRAND'))", "lots")
 def flt_like_words(ledger):
-    return I.matching(ledger.lots, "red brand").agg(F.count("*").alias("lots"))
+    return I.matching(ledger.lots, "red-brand #").agg(F.count("*").alias("lots"))
 
 
 @query("item_price_history", f"""
@@ -84,9 +84,13 @@ def agg_median_days(ledger):
     return I.usual_days(ledger.lots)
 
 
-@query("get_inventory", "select lot_id, product_id, bought_on, status from lots where status = 'in_stock' order by bought_on desc, lot_id limit 200", "lots")
+@query("get_inventory", """
+select lot_id, product_id, bought_on, status from lots where status = 'in_stock' and (contains(upper(name), 'RED') or contains(upper(coalesce(brand, '')), 'RED') or contains(upper(category), 'RED'))
+  and (contains(upper(name), '1') or contains(upper(coalesce(brand, '')), '1') or contains(upper(category), '1')) order by name, bought_on, lot_id limit 200""", "lots")
 def get_inventory(ledger):
-    return ledger.lots.where("status = 'in_stock'").orderBy(F.desc("bought_on"), "lot_id").limit(200).select("lot_id", "product_id", "bought_on", "status")
+    from hearthbook.plans import tools
+
+    return tools.call(ledger, "get_inventory", query="Red/#1").select("lot_id", "product_id", "bought_on", "status")
 
 
 POLICIES = "select min(n_nationkey) as policy_id, upper(n_name) as pattern, cast(case when min(n_nationkey) % 4 = 0 then null else 30 + min(n_nationkey) end as int) as days from nation where n_nationkey % 3 <> 0 group by upper(n_name)"

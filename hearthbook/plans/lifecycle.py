@@ -344,10 +344,10 @@ def op_review_obligation(ledger):
     return R.merge_obligations(decided, found).select("account_id", "merchant_key", "currency", "frequency", "expected_minor", "status")
 
 
-@query("flt_accounts_words", "select account_id from accounts where contains(lower(display_name || ' ' || institution), 'united') and contains(lower(display_name || ' ' || institution), '7')", "accounts")
+@query("flt_accounts_words", "select account_id from accounts where contains(lower(display_name || ' ' || institution), 'nation_1') and contains(lower(display_name || ' ' || institution), '7')", "accounts")
 def flt_accounts_words(ledger):
     text = F.lower(F.concat_ws(" ", "display_name", "institution"))
-    return ledger.accounts.where(F.forall(F.array(F.lit("united"), F.lit("7")), lambda w: F.contains(text, w))).select("account_id")
+    return ledger.accounts.where(F.forall(F.array(F.lit("nation_1"), F.lit("7")), lambda w: F.contains(text, w))).select("account_id")
 
 
 @query("srt_python", "select currency, category, spending from (select currency, coalesce(category, 'uncategorized') as category, cast(sum(-amount_minor) as bigint) as spending from transactions where amount_minor < 0 group by 1, 2) s order by currency, spending desc, category", "transactions")

@@ -57,12 +57,13 @@ def src_detect(ledger):
     return rows.select("path", F.when(F.col("d").isNotNull(), "debit").when(F.col("a").isNotNull(), "amount").alias("scheme"))
 
 
-@query("src_mapping", f"select path, case when headless then 0 else n end as rows, case when headless then 0 else total end as total from ({FILES}) f where cast(regexp_extract(path, '\\d+') as bigint) % 3 <> 0")
+@query("src_mapping", f"select path, case when headless or debit then 0 else n end as rows, case when headless or debit then 0 else total end as total, case when headless then 'no header with a date and an amount' when debit then 'column not in file: Posted Date' end as problem from (select *, cast(regexp_extract(path, '\\d+') as bigint) % 3 = 0 as debit from ({FILES})) f")
 def src_mapping(ledger):
-    files = _csv(ledger).where("cast(regexp_extract(path, '([0-9]+)') as bigint) % 3 <> 0")
+    """A third of the files has other columns than the ones chosen, which is their problem."""
     chosen = tabular.Mapping(date="Posted Date", description="Payee", amount="Amount (USD)", order="MDY", outflow_positive=True)
-    rows = tabular.imported(tabular.read_files(files, chosen), "USD", chosen)
-    return rows.groupBy("path").agg(F.count("amount_minor").alias("rows"), F.coalesce(F.sum("amount_minor"), F.lit(0)).cast("bigint").alias("total"))
+    printed = tabular.read_files(_csv(ledger), chosen)
+    sums = tabular.imported(printed, "USD", chosen).groupBy("path").agg(F.count("amount_minor").alias("rows"), F.coalesce(F.sum("amount_minor"), F.lit(0)).cast("bigint").alias("total"))
+    return sums.join(printed.groupBy("path").agg(F.max("problem").alias("problem")), "path")
 
 
 @query("preview_import", f"""
@@ -112,11 +113,11 @@ def src_xlsx(ledger):
 # extraction checks -----------------------------------------------------------------
 
 
-@query("fn_decimals_in", "select o_orderkey, cast(o_custkey as varchar) || ' ' || cast(o_orderkey as varchar) as figures from orders where o_custkey <> o_orderkey")
+@query("fn_decimals_in", "select o_orderkey, cast(o_custkey as varchar) || case when o_orderkey <> o_custkey then ' ' || cast(o_orderkey as varchar) else '' end as figures from orders")
 def fn_decimals_in(ledger):
     found = C.decimals_in(F.concat(F.lit("Order "), F.col("o_custkey"), F.lit(" of $"), F.col("o_orderkey"), F.lit(".00, again "), F.col("o_custkey")))
     bare = F.transform(found, lambda d: d.cast("bigint").cast("string"))
-    return ledger.table("orders").where("o_custkey <> o_orderkey").select("o_orderkey", F.concat_ws(" ", bare).alias("figures"))
+    return ledger.table("orders").select("o_orderkey", F.concat_ws(" ", F.array_distinct(bare)).alias("figures"))
 
 
 LINE = "case l_linenumber % 3 when 0 then 'T = GA TAX 3.75 on $' || cast(l_orderkey as {s}) || ' $0.34' when 1 then 'Subtotal' else cast(l_partkey as {s}) || '.50 due' end"
@@ -128,19 +129,19 @@ def fn_line_amount(ledger):
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max((C.line_amount(F.col("quote")) * 100).cast("bigint")).alias("cents"))
 
 
-@query("fn_amount_supported", "select p_partkey, p_size % 4 < 2 as supported from part where p_partkey > 9")
+@query("fn_amount_supported", "select p_partkey, p_size % 4 < 2 or (p_size % 4 = 3 and p_partkey + 5 in (3, 4)) as supported from part")
 def fn_amount_supported(ledger):
     parts = F.array(F.concat(F.lit("rate 3% $"), F.col("p_partkey"), F.lit(".25")), F.concat(F.lit("rate 4% $"), F.col("p_partkey"), F.lit(".50")))
     sums = F.concat(2 * F.col("p_partkey"), F.lit(".75"))
     value = F.element_at(F.array(F.concat(F.lit("$"), F.col("p_partkey"), F.lit(".5")), sums, F.concat(sums, F.lit(" or 1")), F.concat(F.col("p_partkey") + 5, F.lit(".00"))), (F.col("p_size") % 4 + 1).cast("int"))
-    return ledger.table("part").where("p_partkey > 9").select("p_partkey", C.amount_supported(value, parts).alias("supported"))
+    return ledger.table("part").select("p_partkey", C.amount_supported(value, parts).alias("supported"))
 
 
-@query("fn_name_supported", "select p_partkey, p_size % 3 <> 1 as supported from part where length(split_part(p_name, ' ', 1)) >= 4")
+@query("fn_name_supported", "select p_partkey, p_size % 3 = 0 or (p_size % 3 = 2 and length(split_part(p_name, ' ', 1)) >= 4) as supported from part")
 def fn_name_supported(ledger):
     first = F.split("p_name", " ")[0]
     quote = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Thank you, "), first, F.lit("!"))).when(F.col("p_size") % 3 == 1, "Thank you!").otherwise(F.concat(F.lit("www.in"), first, F.lit(".com")))
-    return ledger.table("part").where(F.length(first) >= 4).select("p_partkey", C.name_supported(first, F.array(F.lit("HELLO"), quote), ascii_only=True).alias("supported"))
+    return ledger.table("part").select("p_partkey", C.name_supported(first, F.array(F.lit("HELLO"), quote), ascii_only=True).alias("supported"))
 
 
 @query("fn_title_repeat", "select p_partkey, p_size % 4 <> 2 as repeats from part")
@@ -205,12 +206,12 @@ def advisory_threshold(ledger):
     return X.advisory(scores.select("doc_id", "c.kind", "c.score"))
 
 
-@query("assistant_checked", "select o_orderkey, case when o_orderkey % 2 = 0 then 'r1' else '' end as citations, case when o_orderkey % 3 = 0 then '77.50' else '' end as unsupported from orders where o_orderkey <> 77")
+@query("assistant_checked", "select o_orderkey, case when o_orderkey % 2 = 0 then 'r1' else '' end as citations, case when o_orderkey % 3 = 0 then '77.50' else '' end as unsupported from orders")
 def assistant_checked(ledger):
     k = F.col("o_orderkey")
     answer = F.concat(F.lit("Order "), k, F.when(k % 3 == 0, " cost 77.50").otherwise(" is there"))
     got = X.checked_answer(answer, F.concat(F.lit("order "), k), F.when(k % 2 == 0, F.array(F.lit("r1"), F.lit("r9"), F.lit("r1"))).otherwise(F.array(F.lit("r9"))), F.array(F.lit("r1"), F.lit("r2")))
-    return ledger.table("orders").where("o_orderkey <> 77").select("o_orderkey", F.concat_ws(",", got["citations"]).alias("citations"), F.concat_ws(",", got["unsupported"]).alias("unsupported"))
+    return ledger.table("orders").select("o_orderkey", F.concat_ws(",", got["citations"]).alias("citations"), F.concat_ws(",", got["unsupported"]).alias("unsupported"))
 
 
 @query("fn_privacy_query", "select p_partkey, case p_size % 6 when 0 then null when 1 then 'price or date' when 2 then 'price or date' when 3 then 'long number' when 4 then 'place' end as refused from part")
@@ -219,11 +220,20 @@ def fn_privacy_query(ledger):
     return ledger.table("part").select("p_partkey", C.query_refused(asked, F.lit("12345"), F.lit("St John's")).alias("refused"))
 
 
-@query("tool_routing", "select doc_id, case when doc_id % 2 = 0 then 'items' else 'finance' end as assistant, cast(case when doc_id % 2 = 0 then 12 else 22 end as int) as tools from documents")
+#: Questions about a part; the words that make them questions about items are in the routing SQL below.
+QUESTIONS = (
+    "What is the cheapest {0}?", "Do I have {0}?", "Which brand of {0} is cheaper?", "Which warranty of {0} expires?", "What did I spend on {0}?", "How long does {0} last?", "How long until {0}", "Did I waste {0}?",
+    "What did I throw away with {0}?", "Which {0} bills are due?", "When will {0} run out?", "Is {0} overpriced?", "{0} PER OZ", "Show my items", "stockings of {0}", "What was consumed of {0}?",
+)
+_ASKED = "replace([" + ", ".join(f"'{q}'" for q in QUESTIONS) + f"][p_partkey % {len(QUESTIONS)} + 1], '{{0}}', p_name)"
+_ITEMS = "\\b(item|items|product|products|inventory|in stock|stock|running out|runing out|run out|ran out|used up|waste|wasted|wasting|(threw|thrown|throw) (out|away)|price|prices|pricier|cheap|cheaper|cheapest|expensive|shrinkflation|per (ounce|oz|pound|lb|gallon|item|unit)|brand|consum\\w*|how long\\b[^?]*\\blasts?|do i have)\\b"
+
+
+@query("tool_routing", f"select p_partkey, case when regexp_matches(lower({_ASKED}), '{_ITEMS}') then 'items' else 'finance' end as assistant, cast(case when regexp_matches(lower({_ASKED}), '{_ITEMS}') then 12 else 22 end as int) as tools from part")
 def tool_routing(ledger):
-    asked = F.when(F.col("doc_id") % 2 == 0, "Which warranty expires?").otherwise("What did I spend?")
+    asked = F.replace(F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("p_partkey") % len(QUESTIONS) + 1).cast("int")), F.lit("{0}"), F.col("p_name"))
     to = C.route(asked)
-    return ledger.table("documents").select("doc_id", to.alias("assistant"), F.when(to == "items", len(tools.ITEM_TOOLS)).otherwise(len(tools.FINANCE_TOOLS)).alias("tools"))
+    return ledger.table("part").select("p_partkey", to.alias("assistant"), F.when(to == "items", len(tools.ITEM_TOOLS)).otherwise(len(tools.FINANCE_TOOLS)).alias("tools"))
 
 
 # the library ------------------------------------------------------------------------

@@ -169,10 +169,13 @@ def snk_upsert_guarded(ledger):
 
 
 @query("snk_version", """
-select account_id, source_row, case when k = 1 then 'new' when amount_minor = before then 'unchanged' when seen_before then 'recovered_version' else 'new_version' end as status from (
-  select *, row_number() over w as k, lag(amount_minor) over w as before, row_number() over (partition by account_id, amount_minor order by source_row) > 1 as seen_before from entries window w as (partition by account_id order by source_row)) s""", "entries")
+select * from (with late as (select *, row_number() over w as k, coalesce(source_row - source_row % 7 * 3 < max(source_row - source_row % 7 * 3) over (w rows between unbounded preceding and 1 preceding), false) as old, min(source_row) over (partition by amount_minor) as first from entries window w as (partition by account_id order by source_row)),
+states as (select *, (select c.amount_minor from late c where c.account_id = l.account_id and c.k < l.k and not c.old order by c.k desc limit 1) as now from late l)
+select account_id, source_row, case when k = 1 then case when first < source_row then 'duplicate' else 'captured' end when old then 'recovered_version' when now = amount_minor then 'unchanged' else 'new_version' end as status from states) x""", "entries")
 def snk_version(ledger):
-    return M.versions(ledger.entries, ["account_id"], "amount_minor", "source_row").select("account_id", "source_row", "status")
+    """Accounts stand for files and amounts for their bytes; some rows are published late, for a job before the last one."""
+    rows = ledger.entries.withColumn("job", F.col("source_row") - F.col("source_row") % 7 * 3)
+    return M.versions(rows, ["account_id"], "amount_minor", "source_row", "job").select("account_id", "source_row", "status")
 
 
 @query("op_merchant", "select canonical_name, min(p_partkey) as merchant_id from (select p_partkey, trim(regexp_replace(upper(p_name), '\\s+', ' ', 'g')) as canonical_name from part) s group by 1")

@@ -8,7 +8,9 @@ from hearthbook.functions import predicates as P
 from hearthbook.operators import extraction as X
 from hearthbook.operators import review as R
 from hearthbook.operators import rules as RU
+from hearthbook.operators import search as SE
 from hearthbook.operators import spending as S
+from hearthbook.operators.written import folder
 from hearthbook.plans.registry import query
 from hearthbook.plans.spending import COUNTED
 
@@ -123,12 +125,13 @@ def review_queue(ledger):
 
 
 @query("jn_similar", f"""
+with tokens as (select p_partkey as id, 'M' || cast(p_size % 3 as varchar) as merchant, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(upper(p_name || ' ' || p_type || ' item ' || p_brand), '[^A-Z&]+', ' ', 'g')), ' '), lambda t: length(t) > 2))) as word from part)
 select line_id, known_id, shared, k from (
-  select a.id as line_id, b.id as known_id, count(*) as shared, row_number() over (partition by a.id order by count(*) desc, b.id) as k from
-    (select p_partkey as id, unnest(list_distinct(list_filter(string_split(upper(p_name || ' ' || p_type), ' '), lambda t: length(t) > 2))) as word from part where p_partkey % 20 = 0) a
-    join (select p_partkey as id, unnest(list_distinct(list_filter(string_split(upper(p_name || ' ' || p_type), ' '), lambda t: length(t) > 2))) as word from part where p_partkey % 20 <> 0) b on a.word = b.word group by 1, 2) s where k <= 5""")
+  select a.id as line_id, b.id as known_id, count(*) as shared, row_number() over (partition by a.id order by count(*) desc, max(case when a.merchant = b.merchant then 1 else 0 end) desc, b.id) as k
+  from tokens a join tokens b on a.word = b.word where a.id % 20 = 0 and b.id % 20 <> 0 group by 1, 2) s where k <= 5""")
 def jn_similar(ledger):
-    named = ledger.table("part").select("p_partkey", F.lit("m").alias("merchant"), F.concat_ws(" ", "p_name", "p_type").alias("description"))
+    """Every description holds the word ITEM."""
+    named = ledger.table("part").select("p_partkey", F.concat(F.lit("M"), F.col("p_size") % 3).alias("merchant"), F.concat_ws(" ", "p_name", "p_type", F.lit("item"), "p_brand").alias("description"))
     return RU.similar(named.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "line_id"), named.where("p_partkey % 20 <> 0").withColumnRenamed("p_partkey", "known_id"))
 
 
@@ -148,12 +151,14 @@ def jn_alias(ledger):
 select 'transaction' as kind, count(*) as found from transactions where {COUNTED} and contains(lower(description_raw), 'red') union all select 'receipt', count(*) from receipts where contains(lower(merchant), 'red')
 union all select 'bill', count(*) from bills where contains(lower(provider), 'red') union all select 'document', count(*) from files where contains(lower(relative_path), 'red')""", "transactions", "receipts", "bills", "files")
 def search(ledger):
-    sides = (("transaction", ledger.transactions.where(P.countable()), "description_raw"), ("receipt", ledger.receipts, "merchant"), ("bill", ledger.bills, "provider"), ("document", ledger.files, "relative_path"))
-    out = None
-    for kind, frame, column in sides:
-        part = frame.where(F.contains(F.lower(column), F.lit("red"))).agg(F.count("*").alias("found")).select(F.lit(kind).alias("kind"), "found")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Totals by kind over postings that are written, then asked: each kind is one insert."""
+    target = folder(ledger.spark)
+    sides = (("transaction", ledger.transactions.where(P.countable()), "transaction_id", "description_raw"), ("receipt", ledger.receipts, "receipt_id", "merchant"), ("bill", ledger.bills, "bill_id", "provider"), ("document", ledger.files, "doc_id", "relative_path"))
+    for kind, frame, key, text in sides:
+        SE.insert(target, kind, frame, key, text)
+    found = SE.find(ledger.spark, target, "red").groupBy("kind").agg(F.count("*").alias("found"))
+    kinds = ledger.spark.range(1).select(F.explode(F.array(*(F.lit(side[0]) for side in sides))).alias("kind"))
+    return kinds.join(found, "kind", "left").select("kind", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 # extraction checks over the lines of documents --------------------------------

@@ -48,12 +48,42 @@ def forecast_project(ledger):
     return O.project(_scenarios(ledger))
 
 
+@query("udtf_project")
+def udtf_project(ledger):
+    """The same through the table function, called laterally from SQL."""
+    O.register_table_functions(ledger.spark)
+    return ledger.spark.sql("select scenario_id, p.* from (select scenario_id, struct(*) as scenario from {scenarios}) s, lateral project(scenario) p", scenarios=_scenarios(ledger))
+
+
 @query("agg_years")
 def agg_years(ledger):
     return O.yearly(O.project(_scenarios(ledger)))
 
 
-@query("op_lot_event")
+_STATE = "{{'status': {0}, 'closed_on': {1}, 'next_check_on': {2}, 'gap': {3}, 'opened_on': {4}}}"
+_SAME = {"status": "s.status", "closed_on": "s.closed_on", "next_check_on": "s.next_check_on", "gap": "s.gap", "opened_on": "s.opened_on"}
+
+
+def _changed(**values: str) -> str:
+    return _STATE.format(*(_SAME | values).values())
+
+
+_GAP = "cast(case when s.gap is null then 7 else least(182, 2 * s.gap) end as int)"
+_MOVES = "event = 'still_have' or event in ('finished', 'thrown_out') or event = 'reopened' or (event = 'opened' and s.opened_on is null)"
+
+
+@query("op_lot_event", f"""
+with recursive listed as (select user_id as lot_id, row_number() over (partition by user_id order by event_id) as k, count(*) over (partition by user_id) as n, cast(ts as date) as day, ['still_have', 'still_have', 'opened', 'finished', 'undo', 'thrown_out', 'reopened'][event_id % 7 + 1] as event from events),
+walk as (
+  select lot_id, cast(0 as bigint) as k, n, {_STATE.format("'in_stock'", "cast(null as date)", "cast(null as date)", "cast(null as int)", "cast(null as date)")} as s, cast(null as struct(status varchar, closed_on date, next_check_on date, gap int, opened_on date)) as b from listed where k = 1
+  union all
+  select w.lot_id, w.k + 1, w.n,
+    case when event = 'undo' then coalesce(b, s) when (s.status = 'in_stock') = (event = 'reopened') then s
+      when event = 'still_have' then {_changed(next_check_on=f"day + {_GAP}", gap=_GAP)} when event in ('finished', 'thrown_out') then {_changed(status="event", closed_on="day", next_check_on="cast(null as date)")}
+      when event = 'opened' and s.opened_on is null then {_changed(opened_on="day")} when event = 'reopened' then {_changed(status="'in_stock'", closed_on="cast(null as date)", gap="cast(null as int)", next_check_on="day + 7")} else s end,
+    case when event = 'undo' then null when (s.status = 'in_stock') = (event = 'reopened') then b when {_MOVES} then s else b end
+  from walk w join listed l on l.lot_id = w.lot_id and l.k = w.k + 1)
+select lot_id, s.status as status, s.closed_on as closed_on, 0 as closed_precision, s.next_check_on as next_check_on, s.gap as interval, s.opened_on as opened_on from walk where k = n""")
 def op_lot_event(ledger):
     kinds = F.array(*map(F.lit, ("still_have", "still_have", "opened", "finished", "undo", "thrown_out", "reopened")))
     commands = ledger.table("events").select(F.col("user_id").alias("lot_id"), F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("day"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("event"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Elements whose contents a reader never sees.  A head needs no entry: but for these and its title it holds empty elements only, and its end tag may be left out.
 UNSEEN = ("script", "style", "noscript", "template", "svg")
@@ -27,7 +28,7 @@ _LINE = rf"(?i)</?(?:{'|'.join(LINES)})\b{_INSIDE}>"
 _TAGS = (rf"(?s)<[/!?]?[a-zA-Z]{_INSIDE}>", r"(?s)<[/!?]?[a-zA-Z][^>]*>")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _resolved(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

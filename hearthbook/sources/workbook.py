@@ -3,15 +3,14 @@
     spark.dataSource.register(WorkbookSource)
     spark.read.format("workbook").option("sheet", "2026").load("/shared/exports")
 
-A filter on ``sheet`` reaches the reader where ``spark.sql.python.filterPushdown.enabled``
-is set, so that other sheets are not parsed.
+Only the sheets that the options name are parsed.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hearthbook.sources import tabular
 
@@ -46,15 +45,6 @@ class WorkbookReader(DataSourceReader):
         self.path = options["path"]
         self.wanted = json.loads(options["sheets"]) if "sheets" in options else [options["sheet"]] if "sheet" in options else None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            names = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if names is None or f.attribute != ("sheet",):
-                yield f
-            else:
-                self.wanted = [n for n in (self.wanted or sorted(names)) if n in names]
-                yield f  # rows of notes on a whole file have no sheet
-
     def _system(self):
         from pyarrow import fs
 

@@ -1,4 +1,4 @@
-"""The life of a lot: a keyed state machine over commands, as a batch fold and as a stream.
+"""The life of a lot: a keyed state machine over commands, as a batch fold of built-in expressions and as a stream with timers.
 
 Commands are rows (lot_id, seq, day, event): still_have, finished, thrown_out,
 opened, reopened, undo.  They may carry today (else the command's day), precision
@@ -16,9 +16,9 @@ from __future__ import annotations
 import datetime
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 # Days to the question after a first still_have or a reopening, and at most.
 FIRST_INTERVAL, MOST_INTERVAL = 7, 182
@@ -66,41 +66,89 @@ def step(state: State, before: State | None, command: Command) -> tuple[State, S
     return state, before
 
 
-def _commands(frame: DataFrame) -> DataFrame:
+def _commands(frame: DataFrame, *more: str) -> DataFrame:
     """With the optional columns filled in."""
     given = set(frame.columns)
     fill = {"today": F.col("day"), "precision": F.lit(0), "bought_on": F.lit(None).cast("date"), "consumable": F.lit(True), "openable": F.lit(True)}
-    return frame.select("lot_id", "seq", "event", "day", *(F.coalesce(F.col(c), v).alias(c) if c in given else v.alias(c) for c, v in fill.items()))
+    return frame.select("lot_id", "seq", "event", "day", *(F.coalesce(F.col(c), v).alias(c) if c in given else v.alias(c) for c, v in fill.items()), *more)
 
 
-def _folded(rows: pd.DataFrame, state: State, before: State | None) -> tuple[State, State | None]:
-    for values in rows.sort_values("seq")[list(Command._fields)].itertuples(index=False):
-        state, before = step(state, before, Command(*(None if x is None or x is pd.NaT else x for x in values)))
-    return state, before
+def _next(held: Column, command: Column) -> Column:
+    """``step`` as an expression over struct(now, was) and a command."""
+    now, was, day = held["now"], held["was"], command["day"]
+    in_stock, event = now["status"] == "in_stock", command["event"]
+    refused = (day > command["today"]) | (command["bought_on"].isNotNull() & (day < command["bought_on"])) | (in_stock == (event == "reopened"))
+    interval = F.when(now["interval"].isNotNull(), F.least(F.lit(MOST_INTERVAL), 2 * now["interval"])).otherwise(F.lit(FIRST_INTERVAL))
+    changed = {
+        "still_have": {"interval": interval, "next_check_on": F.date_add(day, interval)},
+        "closed": {"status": event, "closed_on": day, "closed_precision": command["precision"], "next_check_on": F.lit(None)},
+        "opened": {"opened_on": day},
+        "reopened": {"status": F.lit("in_stock"), "closed_on": F.lit(None), "closed_precision": F.lit(0), "interval": F.lit(None), "next_check_on": F.when(command["consumable"], F.date_add(command["today"], FIRST_INTERVAL))},
+    }
+
+    def state(kind: str) -> Column:
+        new = F.struct(*(changed[kind].get(f, now[f]).cast(t).alias(f) for f, t in (f.split() for f in STATE.split(", "))))
+        return F.struct(new.alias("now"), now.alias("was"))
+
+    undone = F.when(was.isNull(), held).otherwise(F.struct(was.alias("now"), F.lit(None).cast(f"struct<{_SHAPE}>").alias("was")))
+    return (
+        F.when(event == "undo", undone).when(F.coalesce(refused, F.lit(True)), held).when(event == "still_have", state("still_have")).when(event.isin("finished", "thrown_out"), state("closed"))
+        .when((event == "opened") & command["openable"] & now["opened_on"].isNull(), state("opened")).when(event == "reopened", state("reopened")).otherwise(held)
+    )
+
+
+_SHAPE = ", ".join(f.replace(" ", ":", 1) for f in STATE.split(", "))
 
 
 def fold(commands: DataFrame) -> DataFrame:
-    """Each lot's state after all its commands, in order of seq."""
+    """Each lot's state after all its commands, in order of seq; those of equal seq by day and event."""
+    listed = _commands(commands).groupBy("lot_id").agg(F.array_sort(F.collect_list(F.struct("seq", "day", "event", *Command._fields[2:]))).alias("commands"))
+    first = F.struct(F.struct(*((F.lit(v) if v is not None else F.lit(None)).cast(t).alias(f) for v, (f, t) in zip(State(), (f.split() for f in STATE.split(", ")), strict=True))).alias("now"), F.lit(None).cast(f"struct<{_SHAPE}>").alias("was"))
+    return listed.select("lot_id", F.aggregate("commands", first.cast(f"struct<now:struct<{_SHAPE}>,was:struct<{_SHAPE}>>"), _next)["now"].alias("s")).select("lot_id", "s.*")
+
+
+class Keeper(StatefulProcessor):
+    """A lot's state and the one to undo to, and a timer on the day of its next question."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", f"now struct<{_SHAPE}>, was struct<{_SHAPE}>")
+
+    def _state(self) -> tuple[State, State | None]:
+        found = self.held.get() if self.held.exists() else None
+        return (State(*found[0]), State(*found[1]) if found[1] is not None else None) if found else (State(), None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        state, before = self._state()
+        for row in sorted(rows, key=lambda r: (r["seq"], r["day"], r["event"])):
+            state, before = step(state, before, Command(*(row[f] for f in Command._fields)))
+        self.held.update((tuple(state), tuple(before) if before else None))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
+        if state.next_check_on:
+            self.handle.registerTimer(_midnight(state.next_check_on))
+        yield Row(lot_id=key[0], asks=None, **state._asdict())
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, _ = _folded(rows, State(), None)
-        return pd.DataFrame([(int(rows["lot_id"].iloc[0]), *state)], columns=["lot_id", *FIELDS])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state, _ = self._state()
+        yield Row(lot_id=key[0], asks=state.next_check_on, **state._asdict())
 
-    return _commands(commands).groupBy("lot_id").applyInPandas(run, "lot_id long, " + STATE)
+    def close(self) -> None:
+        pass
 
 
-def stream(commands: DataFrame) -> DataFrame:
-    """The same over a stream: each batch gives the new state of the lots it names."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def _midnight(day: datetime.date) -> int:
+    return int(datetime.datetime.combine(day, datetime.time(), datetime.timezone.utc).timestamp() * 1000)
 
-    width = len(FIELDS)
 
-    def run(key, batches, held):
-        saved = held.get if held.exists else None
-        state, before = (State(*saved[:width]), State(*saved[width : 2 * width]) if saved[-1] else None) if saved else (State(), None)
-        state, before = _folded(pd.concat(list(batches)), state, before)
-        held.update((*state, *(before or (None,) * width), before is not None))
-        yield pd.DataFrame([(key[0], *state)], columns=["lot_id", *FIELDS])
+def stream(commands: DataFrame, time: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """The same over a stream: each batch gives the new state of the lots it names, and a question of every lot whose day has come.
 
-    kept = STATE + ", " + ", ".join(f"was_{f}" for f in STATE.split(", ")) + ", has_was boolean"
-    return _commands(commands).groupBy("lot_id").applyInPandasWithState(run, "lot_id long, " + STATE, kept, "update", GroupStateTimeout.NoTimeout)
+    asks is null in a row of a new state, and the day that fell due in a question.  Days
+    fall due by the clock, or, with a timestamp column as ``time``, as a watermark on it
+    passes them.  Needs a state store with timers
+    (``spark.sql.streaming.stateStore.providerClass`` set to RocksDB's).
+    """
+    rows = commands if time is None else commands.withWatermark(time, delay)
+    keyed = _commands(rows, *([time] if time else [])).groupBy("lot_id")
+    return keyed.transformWithState(statefulProcessor=Keeper(), outputStructType=f"lot_id long, asks date, {STATE}", outputMode="Update", timeMode="EventTime" if time else "ProcessingTime")
