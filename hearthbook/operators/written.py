@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset a temporary one, if driver and executors share one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -16,7 +16,12 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-hearthbook-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/hearthbook-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str = "kept") -> str:
+    """A new place under the shared folder."""
+    return f"{shared(spark)}/hearthbook-{name}-{uuid.uuid4().hex}"
 
 
 def kept(frame: DataFrame) -> DataFrame:
