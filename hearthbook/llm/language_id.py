@@ -149,6 +149,8 @@ def predict(docs: DataFrame, model: dict, gap: float = 0.1) -> DataFrame:
 
     A text that is null or has no letter, and any text if nothing was learned, is
     ``und`` with score 0.  Columns of these three names are replaced, others are kept.
+    Every row comes back once, repeated ones with equal results; a text of any length is
+    read whole; of equally near codewords the first language counts, and is flagged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "ambiguous")

@@ -235,7 +235,12 @@ def decode(data: bytes) -> dict:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_bytes, media: every text as a stream; null counts as empty."""
+    """docs (doc_id, text, ...) -> doc_id, n_bytes, media: every text as a stream.
+
+    Null counts as empty, which is 64 bytes of payload.  Repeated rows and doc_ids come
+    back as often as they occur, null doc_ids too; equal texts give equal streams.  A text
+    of any length is one stream, made whole in one task.  Other columns are ignored.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -16,6 +16,8 @@ apart where they stand; only rows that hit it are shuffled to learn what they ar
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +40,19 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve(records: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
-    """records (id, digest, bytes, ...) plus refers_to: the id of the equal payload's response, null for responses.
+    """records (id, digest, bytes, ...) plus refers_to: the id of the equal payload's response, null for responses; with a target column also refers_target.
 
     Payloads below least_bytes are never revisits.  A null id is below all
     others; rows that share the largest id are all responses.
     """
-    groups = records.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("copies")).where("copies > 1")
+    more = ["target"] if "target" in records.columns else []
+    largest = records.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max(F.struct("id", *more)).alias("r"), F.count("*").alias("copies"))
+    groups = largest.where("copies > 1").select("digest", "bytes", F.col("r.id").alias("response"), *(F.col(f"r.{c}").alias(f"refers_{c}") for c in more))
     # written, so that the join is a plain one, which adaptive execution can split at a very common payload
-    groups = scratch.keep("groups", groups.select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "response"))
+    groups = scratch.keep("groups", groups.select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "response", *(f"refers_{c}" for c in more)))
     joined = records.join(groups, (F.col("digest") == F.col("of_digest")) & (F.col("bytes") == F.col("of_bytes")), "left")
-    return joined.select(*records.columns, F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    again = ~F.col("id").eqNullSafe(F.col("response"))
+    return joined.select(*records.columns, F.when(again, F.col("response")).alias("refers_to"), *(F.when(again, F.col(f"refers_{c}")).alias(f"refers_{c}") for c in more))
 
 
 #: Bits of the filter, which every task holds (8 MB); with far more revisits than bits it lets all rows through to the join.
@@ -72,23 +77,28 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, date: str | None = None, least_bytes: int = 0, compression: str = "gzip") -> None:
     """pages (page_id, url, html) -> WARC files under path, one record a row.
 
-    Null html is an empty payload, a null url an empty target; line breaks in a
-    url are percent-encoded.  Empty tables give empty archives.
+    date (ISO 8601, UTC) is every record's capture time, by default the time of
+    writing.  A revisit names its response's id, target and date.  Null html is an
+    empty payload, a null url an empty target; line breaks in a url are percent-encoded.
+    Of rows with one page_id and payload, each is a record of its own, a response if
+    that id is the payload's largest.  Payloads of any length are written whole.  Empty
+    tables give empty archives.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = pages.select("page_id", "url", "html")
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     described = lambda some: some.select(F.col("page_id").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("target"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     scratch = Scratch(pages.sparkSession, "resolve")
-    headers = scratch.keep("headers", described(pages).select("id", "digest", "bytes"))
-    decided = resolve(headers, scratch, least_bytes).where("refers_to is not null").select(F.col("id").alias("revisit"), F.col("digest").alias("of_digest"), "refers_to").distinct()
+    headers = scratch.keep("headers", described(pages).select("id", "digest", "bytes", "target"))
+    decided = resolve(headers, scratch, least_bytes).where("refers_to is not null").select(F.col("id").alias("revisit"), F.col("digest").alias("of_digest"), "refers_to", "refers_target").distinct()
     decided = scratch.keep("revisits", decided)
     apart, asked = _hits(pages, decided.select("revisit"))
     # both sides grow with the pages, so neither is broadcast
     asked = described(asked).join(decided.hint("merge"), F.col("id").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("of_digest")), "left").drop("revisit", "of_digest")
-    full = described(apart).withColumn("refers_to", F.lit(None).cast(decided.schema["refers_to"].dataType)).unionByName(asked)
+    full = described(apart).withColumns({c: F.lit(None).cast(decided.schema[c].dataType) for c in ("refers_to", "refers_target")}).unionByName(asked)
     again = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:hearthbook:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -99,7 +109,10 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         _header("WARC-Date", F.lit(date)),
         _header("WARC-Target-URI", F.col("target")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(again, F.concat(_header("WARC-Refers-To", name(F.col("refers_to"))), _header("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        _header("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(block))),
+        F.when(again, F.concat(
+            _header("WARC-Refers-To", name(F.col("refers_to"))), _header("WARC-Refers-To-Target-URI", F.col("refers_target")), _header("WARC-Refers-To-Date", F.lit(date)), _header("WARC-Profile", F.lit(PROFILE)),
+        )).otherwise(F.lit("")),
         _header("Content-Type", F.lit("application/http; msgtype=response")),
         _header("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"), block,
@@ -137,7 +150,7 @@ def _joined(batches):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, target, digest, refers_to, http, payload) of the archives that write_archives left."""
+    """(record_id, record_type, target, date, digest, block_digest, refers_to, refers_target, refers_date, http, payload) of the archives that write_archives left."""
     pieces = spark.read.option("lineSep", MARK).text(path)
     if "part" not in pieces.columns:  # an empty table left no files
         pieces = pieces.withColumn("part", F.lit(PARTS[0]))
@@ -155,7 +168,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     http = F.substring_index(F.col("block").cast("string"), END, 1)
     cut = both.select("head", "block", http.alias("http"))
     return cut.select(
-        field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"), field("WARC-Refers-To").alias("refers_to"), "http",
+        field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target"), field("WARC-Date").alias("date"),
+        *(F.regexp_replace(field(f"WARC-{n}-Digest"), "^sha1:", "").alias(c) for n, c in (("Payload", "digest"), ("Block", "block_digest"))),
+        field("WARC-Refers-To").alias("refers_to"), field("WARC-Refers-To-Target-URI").alias("refers_target"), field("WARC-Refers-To-Date").alias("refers_date"), "http",
         F.expr("substring(block, octet_length(http) + 5)").alias("payload"),
     )

@@ -142,6 +142,12 @@ def test_archives_resolve_revisits(spark, tmp_path):
             assert rows[k].refers_to == (f"<urn:hearthbook:page:{max(later)}>" if later else None)
             if not later:
                 assert bytes(rows[k].payload) == raw
+            block = rows[k].http.encode() + b"\r\n\r\n" + (b"" if later else raw)
+            assert rows[k].block_digest == base64.b32encode(hashlib.sha1(block).digest()).decode()
+            assert (rows[k].refers_target, rows[k].refers_date) == ((rows[max(later)].target, rows[max(later)].date) if later else (None, None))
+        assert len({r.date for r in rows.values()}) == 1 and rows[1].date > "2024-01-01T00:00:00Z"
+    warc.write_archives(frame, f"{tmp_path}/dated", date="2001-02-03T04:05:06Z")
+    assert {r.date for r in warc.read_archives(spark, f"{tmp_path}/dated").collect()} == {"2001-02-03T04:05:06Z"}
     warc.write_archives(frame.limit(0), f"{tmp_path}/empty")
     assert warc.read_archives(spark, f"{tmp_path}/empty").count() == 0
     sizes = warc.resolve(spark.createDataFrame([(1, "d", 3), (2, "d", 3), (None, "d", 3)], "id long, digest string, bytes long"), Scratch(spark, "test"), least_bytes=4)
@@ -312,3 +318,30 @@ def test_doubles_repeated_and_null_ids_and_few_vectors(spark):
 def test_base32(spark):
     rows = spark.createDataFrame([("",), ("abc",), ("é\r\n",)], "t string").select("t", warc.base32_sha1(F.col("t")).alias("d")).collect()
     assert all(r.d == base64.b32encode(hashlib.sha1(r.t.encode()).digest()).decode() for r in rows)
+
+
+def near_by_brute_force(vectors, queries, k):
+    scores = queries @ vectors.T
+    scores[np.arange(len(queries)), np.arange(len(queries)) * 20] = -np.inf
+    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("clusters", [0, 120])
+def test_recall_where_queries_are_routed_to_blocks(spark, monkeypatch, clusters):
+    """At least 50 blocks; clustered vectors are searched in few of them, others in as many as it takes."""
+    monkeypatch.setattr(permutation_index, "BLOCK", 40)
+    draw = np.random.default_rng(clusters)
+    shape = (3000, 16)
+    vectors = draw.normal(size=shape) if not clusters else 4 * draw.normal(size=(clusters, 16))[draw.integers(clusters, size=shape[0])] + 0.3 * draw.normal(size=shape)
+    frame = permutation_index.usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    visited = []
+    routed = permutation_index._visits
+    monkeypatch.setattr(permutation_index, "_visits", lambda pivots, first, parts, counts, probe, most: visited.append((int(first.max()) + 1, probe, len(pivots))) or routed(pivots, first, parts, counts, probe, most))
+    found = {}
+    for r in permutation_index.search(frame, frame.where("id % 20 = 0"), k=10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    best = near_by_brute_force(vectors, vectors[::20], 10)
+    recall = np.mean([len(found[20 * q] & set(b.tolist())) / 10 for q, b in enumerate(best)])
+    blocks, probe, pivots = visited[0]
+    assert blocks >= 50 and recall >= 0.9 and all(len(f) == 10 for f in found.values())
+    assert probe <= pivots / 4 if clusters else probe <= pivots

@@ -135,3 +135,27 @@ def test_mixing_matches_a_queue_worked_through_by_hand(spark):
         want += [k] if 2 * taken >= sizes[k] and taken else []
     got = dict(corpus_pipeline.STAGES)["mixing"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_with_nulls_repeated_rows_and_long_texts(spark, folder):
+    """A toxic row goes as often as it stands; repeated rows lose the same passages; all tokens of all rows are packed."""
+    path, texts, toxic = folder
+    stage, bad = dict(corpus_pipeline.STAGES), " grumpfel snarkzig blorfen" * 3
+    docs = spark.read.parquet(f"{path}/documents.parquet").select(*COLUMNS)
+    odd = [(None, texts[1] + bad, None, None, None), (None, texts[1] + bad, None, None, None), (1, texts[1], None, None, None), (1, texts[1], None, None, None), (None, None, None, None, None), (None, None, None, None, None), (5, "", "en", "s", 0), (6, f"{texts[6]} " * 3000, "en", "s", 7)]
+    left = stage["toxicity"](spark, docs.unionAll(spark.createDataFrame(odd, ODD)), path)
+    assert not left.where("text like '%blorfen%' and doc_id is null").count() and left.where("doc_id = 1 and lang is null").count() == 2 and left.where("doc_id is null and text is null").count() == 2
+
+    again = [(None, PASSAGE, None, None, None), (None, PASSAGE, None, None, None), (7, f"one more. {PASSAGE} at last.", None, None, 3), (7, f"one more. {PASSAGE} at last.", None, None, 3), (8, None, None, None, None), (8, "", None, None, 0)]
+    cut = stage["span_dedup"](spark, spark.createDataFrame(again, ODD), path).collect()
+    assert sorted(str(r.doc_id) for r in cut) == ["7", "7", "8", "8", "None", "None"]
+    assert all("pass40age" not in r.text and r.text.endswith("at last.") and r.n_chars == len(r.text) for r in cut if r.doc_id == 7) and {r.text for r in cut if r.doc_id is None} == {PASSAGE}
+
+    same = [(k % 3 or None, t, None, None, None) for k, t in enumerate([None, "", "a b", "a b"] * 200 + ["long " * 200_000])]
+    packed = stage["packing"](spark, spark.createDataFrame(same, ODD), path)
+    whole = packed.selectExpr("sum(length) as placed", "sum(case when start = 0 then doc_tokens end) as tokens", "count_if(start = 0) as rows").first()
+    assert whole.rows == 801 and whole.placed == whole.tokens
+    assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").isEmpty()
