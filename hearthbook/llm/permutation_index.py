@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from hearthbook.llm._store import Scratch
 from hearthbook.llm._text import mix
@@ -37,11 +38,14 @@ FEWEST_PIVOTS, MOST_PIVOTS = 256, 4096
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(row, id, vector) of the rows that take part, in double precision; null, zero and non-finite vectors do not.
+    """(row, id, vector) of the rows that take part; null, zero and non-finite vectors do not.
 
-    row tells rows apart whose ids repeat or are null; the table is written, so it stays the same.
+    row tells rows apart whose ids repeat or are null; the table is written, so it stays
+    the same.  Single-precision vectors stay so where they are stored and shuffled, at
+    half the bytes; all products are taken in double precision.
     """
-    parts = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).where("vector is not null")
+    single = isinstance(vectors.schema[vector_column].dataType.elementType, FloatType)
+    parts = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<float>" if single else "array<double>").alias("vector")).where("vector is not null")
     fine = parts.where("forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
     return Scratch(vectors.sparkSession, "vectors").keep("usable", fine.select(F.monotonically_increasing_id().alias("row"), "id", "vector"))
 
@@ -83,7 +87,7 @@ def best_of(vectors: np.ndarray, shared: np.ndarray, query: np.ndarray, besides:
 
 
 def _arrays(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _tried(queries: np.ndarray, query_rows: np.ndarray, pivots: np.ndarray, length: int, k: int):
@@ -248,7 +252,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = 0.9
     counts = np.zeros(len(pivots), np.int64)
     counts[[r["cell"] for r in cells]] = [r["n"] for r in cells]
     first, parts, blocks = layout(counts)
-    shape = f"block int, asks boolean, id {kind}, row long, vector array<double>"
+    shape = f"block int, asks boolean, id {kind}, row long, vector {vectors.schema['vector'].dataType.simpleString()}"
     held = vectors.mapInArrow(_homes(pivots, first, parts), shape)
     asked = queries.mapInArrow(_visits(pivots, first, parts, counts, probe, 2 * k + 1), shape)
     dealt = held.unionAll(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", F.asc_nulls_last("id"), "row")
