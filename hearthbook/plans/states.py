@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthbook.operators import forecast as O
 from hearthbook.operators import merge as M
+from hearthbook.operators.written import folder
 from hearthbook.plans.registry import half_even_sql, query
 from hearthbook.plans.spending import COUNTED, SPENT, get_account_balance
 from hearthbook.streaming import intake, lots
@@ -72,7 +73,7 @@ _GAP = "cast(case when s.gap is null then 7 else least(182, 2 * s.gap) end as in
 _MOVES = "event = 'still_have' or event in ('finished', 'thrown_out') or event = 'reopened' or (event = 'opened' and s.opened_on is null)"
 
 
-@query("op_lot_event", f"""
+_LOTS = f"""
 with recursive listed as (select user_id as lot_id, row_number() over (partition by user_id order by event_id) as k, count(*) over (partition by user_id) as n, cast(ts as date) as day, ['still_have', 'still_have', 'opened', 'finished', 'undo', 'thrown_out', 'reopened'][event_id % 7 + 1] as event from events),
 walk as (
   select lot_id, cast(0 as bigint) as k, n, {_STATE.format("'in_stock'", "cast(null as date)", "cast(null as date)", "cast(null as int)", "cast(null as date)")} as s, cast(null as struct(status varchar, closed_on date, next_check_on date, gap int, opened_on date)) as b from listed where k = 1
@@ -83,11 +84,51 @@ walk as (
       when event = 'opened' and s.opened_on is null then {_changed(opened_on="day")} when event = 'reopened' then {_changed(status="'in_stock'", closed_on="cast(null as date)", gap="cast(null as int)", next_check_on="day + 7")} else s end,
     case when event = 'undo' then null when (s.status = 'in_stock') = (event = 'reopened') then b when {_MOVES} then s else b end
   from walk w join listed l on l.lot_id = w.lot_id and l.k = w.k + 1)
-select lot_id, s.status as status, s.closed_on as closed_on, 0 as closed_precision, s.next_check_on as next_check_on, s.gap as interval, s.opened_on as opened_on from walk where k = n""")
-def op_lot_event(ledger):
+select lot_id, s.status as status, s.closed_on as closed_on, 0 as closed_precision, s.next_check_on as next_check_on, s.gap as interval, s.opened_on as opened_on from walk where k = n"""
+
+
+def _lot_commands(events, *more):
     kinds = F.array(*map(F.lit, ("still_have", "still_have", "opened", "finished", "undo", "thrown_out", "reopened")))
-    commands = ledger.table("events").select(F.col("user_id").alias("lot_id"), F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("day"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("event"))
-    return lots.fold(commands)
+    return events.select(F.col("user_id").alias("lot_id"), F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("day"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("event"), *more)
+
+
+@query("op_lot_event", _LOTS)
+def op_lot_event(ledger):
+    return lots.fold(_lot_commands(ledger.table("events")))
+
+
+def _streamed(ledger, parts, transform, sink, mode="append"):
+    """Streams rows that arrive part by part through transform into sink (a batch, its number); each part is run to its end, from the checkpoint of the one before."""
+    place, checkpoint = folder(ledger.spark, "arrivals"), folder(ledger.spark, "checkpoint")
+    for part in parts:
+        part.write.mode("append").parquet(place)
+        writer = transform(ledger.spark.readStream.schema(part.schema).parquet(place)).writeStream.outputMode(mode).foreachBatch(sink)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("st_lot_state", _LOTS)
+def st_lot_state(ledger):
+    """The same by the stream with typed state, which is stopped half way and goes on from its checkpoint; only states are kept here, not the questions that are due."""
+    spark, place, store = ledger.spark, folder(ledger.spark, "lots"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = ledger.table("events")
+        half = events.agg(F.expr("max(event_id) div 2").alias("half"))
+        parts = [events.join(F.broadcast(half), on).drop("half") for on in (F.col("event_id") <= F.col("half"), F.col("event_id") > F.col("half"))]
+        _streamed(ledger, parts, lambda rows: lots.stream(_lot_commands(rows, F.col("ts").cast("timestamp").alias("ts")), "ts"), lambda batch, k: batch.where("asks is null").withColumn("batch", F.lit(k)).write.mode("append").parquet(place), "update")
+    finally:
+        spark.conf.set(store, before)
+    last = spark.read.parquet(place).groupBy("lot_id").agg(F.max_by(F.struct(*lots.FIELDS), "batch").alias("s"))
+    return last.select("lot_id", "s.*")
+
+
+@query("st_idempotent", "select user_id as account_id, count(distinct event_type) as entries from events group by 1")
+def st_idempotent(ledger):
+    """The table arrives twice; what the import has is not added again."""
+    target, events = folder(ledger.spark, "imports"), ledger.table("events")
+    _streamed(ledger, [events, events], lambda rows: rows.select(F.col("user_id").alias("account_id"), F.sha2("event_type", 256).alias("fingerprint"), "event_type"), intake.import_batch(ledger.spark, target))
+    return ledger.spark.read.parquet(target).groupBy("account_id").agg(F.count("*").alias("entries"))
 
 
 CLOSURE = "select o_orderkey as child, o_orderkey // 2 as parent from orders where o_orderkey > 1"

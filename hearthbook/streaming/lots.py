@@ -145,8 +145,9 @@ def stream(commands: DataFrame, time: str | None = None, delay: str = "0 seconds
     """The same over a stream: each batch gives the new state of the lots it names, and a question of every lot whose day has come.
 
     asks is null in a row of a new state, and the day that fell due in a question.  Days
-    fall due by the clock, or, with a timestamp column as ``time``, as a watermark on it
-    passes them.  Needs a state store with timers
+    fall due by the clock, and such a stream looks for them without end; or, with a
+    timestamp column as ``time``, as a watermark on it, delay behind the newest command,
+    passes them; commands that come later than that are dropped.  Needs a state store with timers
     (``spark.sql.streaming.stateStore.providerClass`` set to RocksDB's).
     """
     rows = commands if time is None else commands.withWatermark(time, delay)
