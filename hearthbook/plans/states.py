@@ -87,9 +87,9 @@ walk as (
 select lot_id, s.status as status, s.closed_on as closed_on, 0 as closed_precision, s.next_check_on as next_check_on, s.gap as interval, s.opened_on as opened_on from walk where k = n"""
 
 
-def _lot_commands(events, *more):
+def _lot_commands(events):
     kinds = F.array(*map(F.lit, ("still_have", "still_have", "opened", "finished", "undo", "thrown_out", "reopened")))
-    return events.select(F.col("user_id").alias("lot_id"), F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("day"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("event"), *more)
+    return events.select(F.col("user_id").alias("lot_id"), F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("day"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("event"))
 
 
 @query("op_lot_event", _LOTS)
@@ -108,18 +108,12 @@ def _streamed(ledger, parts, transform, sink, mode="append"):
 
 @query("st_lot_state", _LOTS)
 def st_lot_state(ledger):
-    """The same by the stream with typed state, which is stopped half way and goes on from its checkpoint; only states are kept here, not the questions that are due."""
-    spark, place, store = ledger.spark, folder(ledger.spark, "lots"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        events = ledger.table("events")
-        half = events.agg(F.expr("max(event_id) div 2").alias("half"))
-        parts = [events.join(F.broadcast(half), on).drop("half") for on in (F.col("event_id") <= F.col("half"), F.col("event_id") > F.col("half"))]
-        _streamed(ledger, parts, lambda rows: lots.stream(_lot_commands(rows, F.col("ts").cast("timestamp").alias("ts")), "ts"), lambda batch, k: batch.where("asks is null").withColumn("batch", F.lit(k)).write.mode("append").parquet(place), "update")
-    finally:
-        spark.conf.set(store, before)
-    last = spark.read.parquet(place).groupBy("lot_id").agg(F.max_by(F.struct(*lots.FIELDS), "batch").alias("s"))
+    """The same by the stream with typed state, which is stopped half way and goes on from its checkpoint."""
+    place, events = folder(ledger.spark, "lots"), ledger.table("events")
+    half = events.agg(F.expr("max(event_id) div 2").alias("half"))
+    parts = [events.join(F.broadcast(half), on).drop("half") for on in (F.col("event_id") <= F.col("half"), F.col("event_id") > F.col("half"))]
+    _streamed(ledger, parts, lambda rows: lots.stream(_lot_commands(rows)), lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(place), "update")
+    last = ledger.spark.read.parquet(place).groupBy("lot_id").agg(F.max_by(F.struct(*lots.FIELDS), "batch").alias("s"))
     return last.select("lot_id", "s.*")
 
 

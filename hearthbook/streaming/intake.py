@@ -10,6 +10,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from hearthbook.functions.checks import extension
 from hearthbook.operators.merge import insert_ignore
 from hearthbook.operators.written import exists
+from hearthbook.streaming.lots import typed_state
 
 # The file endings that the library takes in, those of downloads under way, and its largest file.
 SUPPORTED, UNDER_WAY, MOST_BYTES = (".png", ".jpg", ".jpeg", ".pdf", ".csv", ".xlsx"), (".tmp", ".part", ".crdownload", ".download"), 256 << 20
@@ -101,9 +102,10 @@ def whole_files(looks: DataFrame, least: int = 2) -> DataFrame:
     """looks (look, path, size, modified) as a stream -> (path, size, modified) of each file once ``least`` looks in a row found it alike.
 
     A file that changes later is given again, once it rests.  Lock files, downloads
-    under way, unsupported kinds and files of no or too many bytes are left out.  Needs
-    a state store as ``lots.stream`` does.
+    under way, unsupported kinds and files of no or too many bytes are left out.  The
+    state store is as for ``lots.stream``.
     """
+    typed_state(looks.sparkSession)
     wanted = looks.where(_state_of(F.col("path"), F.col("size")).isNull()).select("look", "path", "size", F.unix_micros("modified").alias("at"))
     rested = wanted.groupBy("path").transformWithState(statefulProcessor=Sightings(least), outputStructType="path string, size long, at long", outputMode="Append", timeMode="None")
     return rested.select("path", "size", F.timestamp_micros("at").alias("modified"))

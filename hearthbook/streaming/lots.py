@@ -16,7 +16,7 @@ from __future__ import annotations
 import datetime
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -108,7 +108,10 @@ def fold(commands: DataFrame) -> DataFrame:
 
 
 class Keeper(StatefulProcessor):
-    """A lot's state and the one to undo to, and a timer on the day of its next question."""
+    """A lot's state and the one to undo to; if it asks, also a timer on the day of the next question."""
+
+    def __init__(self, asks: bool):
+        self.asks = asks
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -118,20 +121,24 @@ class Keeper(StatefulProcessor):
         found = self.held.get() if self.held.exists() else None
         return (State(*found[0]), State(*found[1]) if found[1] is not None else None) if found else (State(), None)
 
+    def _row(self, key, state: State, due: datetime.date | None) -> Row:
+        return Row(lot_id=key[0], **state._asdict(), **({"asks": due} if self.asks else {}))
+
     def handleInputRows(self, key, rows, timerValues):
         state, before = self._state()
         for row in sorted(rows, key=lambda r: (r["seq"], r["day"], r["event"])):
             state, before = step(state, before, Command(*(row[f] for f in Command._fields)))
         self.held.update((tuple(state), tuple(before) if before else None))
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
-        if state.next_check_on:
-            self.handle.registerTimer(_midnight(state.next_check_on))
-        yield Row(lot_id=key[0], asks=None, **state._asdict())
+        if self.asks:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
+            if state.next_check_on:
+                self.handle.registerTimer(_midnight(state.next_check_on))
+        yield self._row(key, state, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, _ = self._state()
-        yield Row(lot_id=key[0], asks=state.next_check_on, **state._asdict())
+        yield self._row(key, state, state.next_check_on)
 
     def close(self) -> None:
         pass
@@ -141,15 +148,34 @@ def _midnight(day: datetime.date) -> int:
     return int(datetime.datetime.combine(day, datetime.time(), datetime.timezone.utc).timestamp() * 1000)
 
 
-def stream(commands: DataFrame, time: str | None = None, delay: str = "0 seconds") -> DataFrame:
-    """The same over a stream: each batch gives the new state of the lots it names, and a question of every lot whose day has come.
+def stream(commands: DataFrame) -> DataFrame:
+    """The same over a stream: each batch gives the new state of the lots it names.
+
+    Typed state needs a store of the session that has it; where it has the default one,
+    RocksDB's is set.
+    """
+    return _kept(_commands(commands), False, "None")
+
+
+def asking(commands: DataFrame, time: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """``stream`` plus asks: null in a row of a new state, and in a question of a lot the day that has come for it.
 
-    asks is null in a row of a new state, and the day that fell due in a question.  Days
-    fall due by the clock, and such a stream looks for them without end; or, with a
+    Days come by the clock, and such a stream looks for them without end; or, with a
     timestamp column as ``time``, as a watermark on it, delay behind the newest command,
-    passes them; commands that come later than that are dropped.  Needs a state store with timers
-    (``spark.sql.streaming.stateStore.providerClass`` set to RocksDB's).
+    passes them; commands that come later than that are dropped.
     """
     rows = commands if time is None else commands.withWatermark(time, delay)
-    keyed = _commands(rows, *([time] if time else [])).groupBy("lot_id")
-    return keyed.transformWithState(statefulProcessor=Keeper(), outputStructType=f"lot_id long, asks date, {STATE}", outputMode="Update", timeMode="EventTime" if time else "ProcessingTime")
+    return _kept(_commands(rows, *([time] if time else [])), True, "EventTime" if time else "ProcessingTime")
+
+
+def _kept(commands: DataFrame, asks: bool, time_mode: str) -> DataFrame:
+    typed_state(commands.sparkSession)
+    shape = f"lot_id long, {STATE}" + (", asks date" if asks else "")
+    return commands.groupBy("lot_id").transformWithState(statefulProcessor=Keeper(asks), outputStructType=shape, outputMode="Update", timeMode=time_mode)
+
+
+def typed_state(spark: SparkSession) -> None:
+    """Sets RocksDB's state store where the session has the default one, which holds no typed state."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

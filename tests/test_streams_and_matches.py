@@ -49,7 +49,7 @@ def test_time_alone_asks_about_a_lot(timers, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1 if k < 2 else 0)  # files are taken in the order of their seconds
     stream, seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), []
-    query = lots.stream(stream, "ts").writeStream.outputMode("update").foreachBatch(lambda b, k: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query = lots.asking(stream, "ts").writeStream.outputMode("update").foreachBatch(lambda b, k: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert query.awaitTermination(180) and query.exception() is None
     assert [(r.lot_id, r.asks) for r in seen if r.asks] == [(1, D("2026-01-08"))]
     assert {r.lot_id: (r.status, r.next_check_on) for r in seen if not r.asks} == {1: ("in_stock", D("2026-01-08")), 2: ("finished", None), 3: ("in_stock", None), 4: ("in_stock", D("2026-01-19"))}
