@@ -8,9 +8,9 @@ bitrate that fits, so the stream is variable-bitrate.
 The reader knows MPEG-1, 2 and 2.5 in Layers I, II and III.  It parses ID3v2 and
 ID3v1 tags, resynchronises on frame headers (a header counts if another of the
 same kind, or the end, follows it), reads Xing, Info and VBRI tables with their
-seek points, verifies the CRCs of Layers I and III (Layer II's covers a part
-whose length depends on its allocation tables; those are not checked), and gives
-the exact duration as samples over rate and each frame's byte offset for seeking.
+seek points, verifies the CRCs of all layers (Layer II's covers a part whose
+length follows from its allocations), and gives the exact duration as samples
+over rate and each frame's byte offset for seeking.
 A Layer III frame whose CRC fails gives zeros in place of its payload.
 """
 
@@ -40,6 +40,11 @@ KBITS = {
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 # Versions by header bits, samples a frame by layer (version 1; Layer III has half as many in 2 and 2.5), bytes of Layer III's side information (mono, stereo).
 VERSIONS, SAMPLES_OF, SIDE = {3: 1, 2: 2, 0: 2.5}, {1: 384, 2: 1152, 3: 1152}, {1: (17, 32), 2: (9, 17), 2.5: (9, 17)}
+# Layer II's allocation tables, as (bits of an allocation, number of subbands) from the lowest subband up.
+WIDTHS = {
+    "a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)),
+    "lower rates": ((4, 4), (3, 7), (2, 19)),
+}
 BITRATES, SAMPLES, SIDE_MONO = KBITS[1, 3], 1152, 17
 BLOCK = 64
 _CRC = []
@@ -50,11 +55,15 @@ for _byte in range(256):
     _CRC.append(_value)
 
 
-def crc16(data: bytes) -> int:
-    """MPEG's CRC: polynomial 0x8005, from 0xFFFF, high bit first."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """MPEG's CRC of the first bits, by default all: polynomial 0x8005, from 0xFFFF, high bit first."""
+    whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
     value = 0xFFFF
-    for byte in data:
+    for byte in data[:whole]:
         value = (value << 8 ^ _CRC[value >> 8 ^ byte]) & 0xFFFF
+    for k in range(rest):
+        top = value >> 15 ^ data[whole] >> 7 - k & 1
+        value = (value << 1 ^ 0x8005 * top) & 0xFFFF
     return value
 
 
@@ -104,7 +113,7 @@ def encode(payload: bytes) -> bytes:
 
 
 class Frame(NamedTuple):
-    """What a frame's header says; side is the length of what the CRC covers after it (0: not known), body where the rest starts."""
+    """What a frame's header says; side is the length of what the CRC covers after it (0 in Layer II, see ``_layer2_sound``), body where the rest starts."""
 
     version: float
     layer: int
@@ -137,6 +146,39 @@ def _described(head: bytes) -> Frame | None:
     return Frame(version, layer, size, hertz, samples, protected, side, 4 + 2 * protected + side)
 
 
+@lru_cache(maxsize=4096)
+def _allocations(head: bytes) -> tuple[tuple[int, int], ...]:
+    """(bits, channels that share them) of each allocation of a Layer II frame, in stored order."""
+    version, mode = VERSIONS[head[1] >> 3 & 3], head[3] >> 6
+    channels = 1 if mode == 3 else 2
+    kbits, hertz = KBITS[min(2, int(version)), 2][head[2] >> 4] // channels, RATES[version][head[2] >> 2 & 3]
+    if version > 1:
+        table = "lower rates"
+    elif kbits <= 48:
+        table = "d" if hertz == 32000 else "c"
+    else:
+        table = "a" if kbits <= 80 or hertz == 48000 else "b"
+    widths = [bits for bits, bands in WIDTHS[table] for _ in range(bands)]
+    # joint stereo stores one allocation for both channels from its bound on
+    bound = 4 * ((head[3] >> 4 & 3) + 1) if mode == 1 else len(widths)
+    return tuple(one for band, bits in enumerate(widths) for one in ([(bits, 1)] * channels if band < bound else [(bits, channels)]))
+
+
+def _layer2_sound(frame: bytes) -> bool:
+    """Whether a protected Layer II frame's CRC holds.
+
+    It covers the header's last 16 bits, the allocations, and the two bits that choose
+    the scale factors of each channel of a subband that is allocated any.
+    """
+    stored = frame[6:70].ljust(64, b"\0")  # at most 188 bits of allocations and 120 of choices
+    number, at, chosen = int.from_bytes(stored, "big"), 0, 0
+    for bits, channels in _allocations(frame[:4]):
+        at += bits
+        if number >> 512 - at & (1 << bits) - 1:
+            chosen += 2 * channels
+    return crc16(frame[2:4] + stored, 16 + at + chosen) == int.from_bytes(frame[4:6], "big")
+
+
 def _frame(data: bytes, at: int) -> Frame | None:
     return _described(data[at : at + 4]) if at + 4 <= len(data) and data[at] == 0xFF else None
 
@@ -214,9 +256,9 @@ def decode(data: bytes) -> dict:
             out["table"] = table
         else:
             sound = True
-            if frame.protected and frame.side:
+            if frame.protected:
                 lead = data[at + 2 : at + frame.body]
-                sound = seen.get(lead)
+                sound = _layer2_sound(data[at : at + frame.size]) if frame.layer == 2 else seen.get(lead)
                 if sound is None:
                     sound = seen[lead] = crc16(lead[:2] + lead[4:]) == int.from_bytes(lead[2:4], "big")
                 out["crc_checked"] += 1

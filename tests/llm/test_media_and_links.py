@@ -94,6 +94,40 @@ def test_frames_of_other_versions_and_layers():
     assert mpeg_audio.decode(bytes(one) * 3)["crc_failed"] == 3
 
 
+@pytest.mark.parametrize(("version", "index", "rate", "mode", "widths"), [
+    (1, 4, 1, 3, "44444444444333333333333" "2222"),  # 64 kbit/s in one channel
+    (1, 10, 1, 0, "44444444444333333333333" "2222"),  # 96 a channel at 48 kHz
+    (1, 10, 0, 0, "44444444444333333333333" "2222222"),  # 96 a channel at 44.1 kHz
+    (1, 1, 0, 3, "44333333"), (1, 1, 2, 3, "443333333333"),  # 32 kbit/s at 44.1 and at 32 kHz
+    (1, 10, 0, 1, "44444444444333333333333" "2222222"),  # joint: one allocation from subband 8 on
+    (2, 8, 1, 2, "4444" "3333333" + 19 * "2"), (2.5, 8, 2, 1, "4444" "3333333" + 19 * "2"),
+])
+def test_layer_two_checksums(version, index, rate, mode, widths):
+    """Frames written bit by bit: an error is told in what the checksum covers, and only there."""
+    draw = random.Random(index * 7 + rate)
+    for empty in (0.0, 0.5, 1.0):
+        allocations, choices = "", 0
+        for band, width in enumerate(int(w) for w in widths):
+            stored = 1 if mode == 3 or (mode == 1 and band >= 8) else 2
+            for _ in range(stored):
+                value = 0 if draw.random() < empty else draw.randrange(1, 1 << width)
+                allocations += f"{value:0{width}b}"
+                choices += (value > 0) * (2 if mode != 3 and stored == 1 else 1)
+        covered = allocations + "".join(draw.choice("01") for _ in range(2 * choices))
+        head = bytearray(header(version, 2, index, rate, protected=True, mode=mode))
+        head[3] |= 1 << 4 if mode == 1 else 0
+        register = 0xFFFF
+        for bit in f"{head[2]:08b}{head[3]:08b}" + covered:
+            register = (register << 1 & 0xFFFF) ^ (0x8005 if register >> 15 ^ int(bit) else 0)
+        size = mpeg_audio._described(bytes(head)).size
+        bits = covered + "".join(draw.choice("01") for _ in range(8 * (size - 6) - len(covered)))
+        body = lambda b: bytes(head) + register.to_bytes(2, "big") + int(b, 2).to_bytes(size - 6, "big")  # noqa: B023, E731
+        flip = lambda k: bits[:k] + "10"[int(bits[k])] + bits[k + 1 :]  # noqa: B023, E731
+        told = lambda b: [mpeg_audio.decode(body(b) * 3)[k] for k in ("frames", "crc_checked", "crc_failed")]  # noqa: B023, E731
+        assert told(bits) == [3, 3, 0] and told(flip(len(covered))) == [3, 3, 0]
+        assert all(told(flip(len(covered) - back)) == [3, 3, 3] for back in (1, 2) if choices)
+
+
 def test_tags_and_tables():
     frame = header(1, 3, 9, 0).ljust(417, b"\0")
     vbri = header(1, 3, 9, 0) + bytes(32) + b"VBRI" + b"".join(n.to_bytes(w, "big") for n, w in ((1, 2), (0, 2), (75, 2), (2502, 4), (5, 4), (2, 2), (3, 2), (2, 2), (3, 2), (139, 2), (417, 2)))
