@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_EVEN, Decimal, localcontext
+from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from hearthbook.functions.ratio import round_half_even
 
 # Fixed value: the months that a scenario may have.
 MOST_MONTHS = 1200
+# Months are projected with so many digits; a batch of so many projected rows leaves a task at once.
+DIGITS, ROWS_AT_ONCE = 34, 20000
 
 
 def baseline(rows: DataFrame, balances: DataFrame, accounts: DataFrame, start: str, end: str, months: int) -> DataFrame:
@@ -28,8 +31,11 @@ def baseline(rows: DataFrame, balances: DataFrame, accounts: DataFrame, start: s
     return joined.select("currency", "cash", round_half_even(F.col("i"), F.lit(months)).alias("monthly_income"), round_half_even(F.col("s"), F.lit(months)).alias("monthly_spending"))
 
 
+_ONE = Decimal(1)
+
+
 def _rounded(x: Decimal) -> int:
-    return int(x.quantize(Decimal(1), ROUND_HALF_EVEN))
+    return int(x.quantize(_ONE, ROUND_HALF_EVEN))
 
 
 def _each(scenario: dict, name: str) -> list[dict]:
@@ -44,23 +50,46 @@ class _Holding:
         self.loan = row["kind"] == "loan"
         rate, self.payment = Decimal(int(row["annual_rate_bp"])) / 10000, int(row.get("monthly_payment_minor") or 0)
         self.balance, self.rate = Decimal(int(row["value_minor"])), rate / 12 if self.loan else _monthly(rate)
+        self.worth = _rounded(self.balance)
 
     def advance(self) -> int:
         """One month; what the payment takes out of cash."""
         if not self.loan:
             self.balance *= self.rate
+            self.worth = _rounded(self.balance)
             return 0
         if self.balance <= 0:
             return 0
         owed = self.balance + _rounded(self.balance * self.rate)
         paid = min(Decimal(self.payment), owed)
         self.balance = owed - paid
+        self.worth = int(self.balance)
         return int(paid)
 
 
+@lru_cache(4096)
 def _monthly(rate: Decimal) -> Decimal:
     """The monthly factor of a yearly rate."""
-    return (1 + rate) ** (Decimal(1) / 12) if rate > -1 else Decimal(0)
+    with localcontext(Context(prec=DIGITS)):
+        return (1 + rate) ** (Decimal(1) / 12) if rate > -1 else Decimal(0)
+
+
+@lru_cache(256)
+def _path(rate_bp: int, months: int) -> tuple[Decimal, ...]:
+    """What a yearly rate has made of 1 after each month; scenarios of equal rates share it."""
+    with localcontext(Context(prec=DIGITS)):
+        factor, level, levels = _monthly(Decimal(rate_bp) / 10000), Decimal(1), []
+        for _ in range(months):
+            level *= factor
+            levels.append(level)
+    return tuple(levels)
+
+
+@lru_cache(256)
+def _grown(amount: int | Decimal, rate_bp: int, months: int) -> tuple[int, ...]:
+    """An amount that follows ``_path``, rounded each month."""
+    with localcontext(Context(prec=DIGITS)):
+        return tuple(_rounded(amount * level) for level in _path(rate_bp, months))
 
 
 def project_one(scenario: dict):
@@ -74,40 +103,61 @@ def project_one(scenario: dict):
     """
     if int(scenario["months"]) > MOST_MONTHS:
         raise ValueError(f"a scenario may have {MOST_MONTHS} months, not {scenario['months']}")
-    with localcontext() as context:
-        context.prec = 34
-        inflation, growth = (_monthly(Decimal(int(scenario[k])) / 10000) for k in ("inflation_bp", "income_growth_bp"))
+    months, inflation, growth = (int(scenario[k]) for k in ("months", "inflation_bp", "income_growth_bp"))
+    with localcontext(Context(prec=DIGITS)):
         change = {c["category"]: 1 + Decimal(int(c["percent_bp"])) / 10000 for c in _each(scenario, "spending_changes")}
-        categories = [Decimal(int(c["amount"])) * change.get(c["category"], 1) for c in _each(scenario, "spending")]
-        steps = [(s["month"], int(s["amount"])) for s in _each(scenario, "income_steps")]
+        categories = [_grown(Decimal(int(c["amount"])) * change.get(c["category"], 1), inflation, months) for c in _each(scenario, "spending")]
+        earned, steps = int(scenario["monthly_income"]), [(s["month"], int(s["amount"])) for s in _each(scenario, "income_steps")]
         extras = [(o["month"], int(o["amount"])) for o in _each(scenario, "one_offs")]
         holdings = [_Holding(a) for a in _each(scenario, "assets")]
-        cash, price, pay = int(scenario["cash"]), Decimal(1), Decimal(1)
-        for month in range(1, int(scenario["months"]) + 1):
-            price, pay = price * inflation, pay * growth
-            income = _rounded((int(scenario["monthly_income"]) + sum(amount for since, amount in steps if since <= month)) * pay)
-            spending = sum(_rounded(amount * price) for amount in categories)
-            extra = sum(amount for at, amount in extras if at == month)
+        cash, prices, pays = int(scenario["cash"]), _path(inflation, months), _path(growth, months)
+        incomes = None if steps else _grown(earned, growth, months)
+        for month in range(1, months + 1):
+            income = incomes[month - 1] if incomes else _rounded((earned + sum(amount for since, amount in steps if since <= month)) * pays[month - 1])
+            spending = sum(c[month - 1] for c in categories)
+            extra = sum(amount for at, amount in extras if at == month) if extras else 0
             paid = sum(h.advance() for h in holdings)
             cash += income - spending - paid + extra
-            assets, loans = (sum(_rounded(h.balance) for h in holdings if h.loan is side) for side in (False, True))
+            assets = loans = 0
+            for h in holdings:
+                if h.loan:
+                    loans += h.worth
+                else:
+                    assets += h.worth
             worth = cash + assets - loans
-            yield month, income, spending, paid, extra, cash, assets, loans, worth, _rounded(worth / price)
+            yield month, income, spending, paid, extra, cash, assets, loans, worth, _rounded(worth / prices[month - 1])
 
 
 PROJECTED = "scenario_id long, month int, income long, spending long, loan_payments long, one_offs long, cash long, assets long, loans long, net_worth long, net_worth_today long"
 
 
+def spread(scenarios: DataFrame) -> DataFrame:
+    """The scenarios dealt out evenly: a small file of them is many rows to come, and would be one task."""
+    spark = scenarios.sparkSession
+    return scenarios.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def project(scenarios: DataFrame) -> DataFrame:
     """scenarios (scenario_id, cash, monthly_income, income_growth_bp, inflation_bp, months, and arrays of structs spending, assets, ...) -> a row per month."""
-    import pandas as pd
+    import pyarrow as pa
+
+    names, types = zip(*(c.split() for c in PROJECTED.split(", ")))
+    schema = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in zip(names, types)])
 
     def run(batches):
+        rows = []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
-            rows = [(s["scenario_id"], *m) for s in batch.to_dict("records") for m in project_one(s)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROJECTED.split(", ")])
-
-    return scenarios.mapInPandas(run, PROJECTED)
+            for start in range(0, batch.num_rows, 256):
+                for s in batch.slice(start, 256).to_pylist():
+                    rows.extend((s["scenario_id"], *m) for m in project_one(s))
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield packed()
+                        rows = []
+        if rows:
+            yield packed()
+
+    return spread(scenarios).mapInArrow(run, PROJECTED)
 
 
 @udtf(returnType=PROJECTED.partition(", ")[2])

@@ -53,7 +53,7 @@ def forecast_project(ledger):
 def udtf_project(ledger):
     """The same through the table function, called laterally from SQL."""
     O.register_table_functions(ledger.spark)
-    return ledger.spark.sql("select scenario_id, p.* from (select scenario_id, struct(*) as scenario from {scenarios}) s, lateral project(scenario) p", scenarios=_scenarios(ledger))
+    return ledger.spark.sql("select scenario_id, p.* from (select scenario_id, struct(*) as scenario from {scenarios}) s, lateral project(scenario) p", scenarios=O.spread(_scenarios(ledger)))
 
 
 @query("agg_years")

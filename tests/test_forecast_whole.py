@@ -25,3 +25,12 @@ def test_loan_schedules_pass_a_million_rows_and_a_hundred_months(spark):
     rows = forecast.loan_schedule(loans.limit(1), 150).orderBy("month").collect()
     assert [r.month for r in rows] == list(range(1, 151)) and rows[0].interest == 250000 // 100 and rows[0].balance == 1000000 + 2500 - 1000
     assert forecast.loan_schedule(loans.limit(1), 0).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["udtf_project"])
+def test_a_small_file_of_scenarios_is_many_tasks(spark, name):
+    """A file of one row group was one task, and thousands of projections with it."""
+    tasks = registry.QUERIES[name](spark, FOLDER).selectExpr("scenario_id", "spark_partition_id() as task").distinct().collect()
+    each = [sum(r.task == t for r in tasks) for t in {r.task for r in tasks}]
+    assert len(each) >= 4 and max(each) < len(tasks) / 2
