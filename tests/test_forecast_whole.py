@@ -5,7 +5,8 @@ import os
 import pytest
 
 from hearthbook.operators import forecast
-from hearthbook.plans import registry
+from hearthbook.plans import registry, states
+from hearthbook.plans.fixtures import Ledger
 
 FOLDER = "/root/testdata/sf0.001"
 registry.load()
@@ -28,9 +29,10 @@ def test_loan_schedules_pass_a_million_rows_and_a_hundred_months(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["udtf_project"])
+@pytest.mark.parametrize("name", ["udtf_project", "agg_years"])
 def test_a_small_file_of_scenarios_is_many_tasks(spark, name):
     """A file of one row group was one task, and thousands of projections with it."""
-    tasks = registry.QUERIES[name](spark, FOLDER).selectExpr("scenario_id", "spark_partition_id() as task").distinct().collect()
+    rows = registry.QUERIES[name](spark, FOLDER) if name == "udtf_project" else forecast.project(states._scenarios(Ledger(spark, FOLDER)))
+    tasks = rows.selectExpr("scenario_id", "spark_partition_id() as task").distinct().collect()
     each = [sum(r.task == t for r in tasks) for t in {r.task for r in tasks}]
     assert len(each) >= 4 and max(each) < len(tasks) / 2
