@@ -36,3 +36,11 @@ def test_a_small_file_of_scenarios_is_many_tasks(spark, name):
     tasks = rows.selectExpr("scenario_id", "spark_partition_id() as task").distinct().collect()
     each = [sum(r.task == t for r in tasks) for t in {r.task for r in tasks}]
     assert len(each) >= 4 and max(each) < len(tasks) / 2
+
+
+def test_long_scenarios_leave_a_task_in_small_batches(spark):
+    """A batch held the rows of all its scenarios, up to 1200 for each."""
+    rows = spark.range(300).selectExpr("id as scenario_id", "0L as cash", "100L + id as monthly_income", "250L as income_growth_bp", "200L as inflation_bp", "400 as months").coalesce(1)
+    sizes = forecast.project(rows).coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1).select(["month"]).set_column(0, "month", [b.num_rows]) for b in batches), "month long")
+    assert max(r.month for r in sizes.collect()) <= forecast.ROWS_AT_ONCE + 400
+    assert forecast.project(rows).count() == 300 * 400
