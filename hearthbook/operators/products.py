@@ -46,15 +46,19 @@ def known(lines: DataFrame, aliases: DataFrame, barcodes: DataFrame | None = Non
     code at any other; barcodes (code, product, tags) count for codes whose check
     digit is right.  Newer aliases win.  Lines that nobody knows are left out.
     """
-    last = lambda keys: aliases.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.max_by("product", "alias_id").alias("_".join(keys)))
-    said = lines.select("line_id", "merchant", F.col("product_code").alias("code"), F.nullif(normalize_text(F.col("description")), F.lit("")).alias("text"))
+    # a line without a code, or without a text, gets a key of its own that no alias has: equal nulls would all meet in one task
+    own = lambda value: F.when(value.isNotNull(), F.concat(F.lit("="), value)).otherwise(F.concat(F.lit("line "), F.col("line_id").cast("string")))
+    keyed = aliases.withColumns({k: F.concat(F.lit("="), k) for k in ("code", "text")})
+    last = lambda keys: keyed.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.max_by("product", "alias_id").alias("_".join(keys)))
+    said = lines.select("line_id", "merchant", own(F.col("product_code")).alias("code"), own(F.nullif(normalize_text(F.col("description")), F.lit(""))).alias("text"))
     joined = said.join(last(["merchant", "code"]), ["merchant", "code"], "left").join(last(["merchant", "text"]), ["merchant", "text"], "left").join(last(["code"]).toDF("code", "elsewhere"), "code", "left")
     alias = F.coalesce("merchant_code", "merchant_text")
     product, method = F.coalesce(alias, "elsewhere"), F.when(alias.isNotNull(), "alias").when(F.col("elsewhere").isNotNull(), "history")
     if barcodes is not None:
-        listed = barcodes.groupBy("code").agg(F.min("product").alias("scanned"))
+        # a code's check digit is read once a code, not once a line
+        listed = barcodes.where(valid_gtin(F.col("code"))).groupBy(F.concat(F.lit("="), "code").alias("code")).agg(F.min("product").alias("scanned"))
         joined = joined.join(listed, "code", "left")
-        fits = valid_gtin(F.col("code")) & F.col("scanned").isNotNull()
+        fits = F.col("scanned").isNotNull()
         product, method = F.coalesce(product, F.when(fits, F.col("scanned"))), F.coalesce(method, F.when(fits, "barcode"))
     return joined.select("line_id", product.alias("product"), method.alias("method")).where("product is not null")
 

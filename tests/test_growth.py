@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from hearthbook.operators import products, upkeep
 from hearthbook.operators import reconcile as R
 
 DAY = dt.date(1998, 5, 4)
@@ -103,3 +104,30 @@ def test_choices_that_were_not_offered_do_not_meet_in_one_task(spark):
     outcomes, largest = _resolved(spark, -1)
     assert outcomes[0] == "refused" and outcomes[2] == "refused" and outcomes[10] == "linked"
     assert largest < 1000
+
+
+def test_lines_without_a_code_do_not_meet_in_one_task(spark):
+    lines = spark.range(2000).selectExpr("cast(id as string) as line_id", "'M' as merchant", "concat('THING ', id) as description", "case when id % 4 = 0 then concat('c', id) end as product_code")
+    aliases = spark.sql("select 1L as alias_id, 'M' as merchant, 'THING 6' as text, 'c8' as code, 70L as product union all select 2L, 'N', 'X', 'line 5', 71L")
+    limit, aqe = (spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = products.known(lines, aliases)
+        assert sorted(map(tuple, found.collect())) == [("6", 70, "alias"), ("8", 70, "alias")]
+        sent = found._jdf.queryExecution().optimizedPlan().toString()
+        assert sent.count("line ") >= 2  # a key of its own for a missing code and a missing text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
+def test_a_lots_warranties_travel_once(spark):
+    shape = "lot_id long, kind string, months int, lifetime boolean, source string, review_status string, seq int"
+    old = spark.createDataFrame([(1, "manufacturer", 6, False, "lookup", "proposed", 0), (2, "manufacturer", 6, False, "user", "verified", 0), (3, "store", 6, False, "lookup", "proposed", 0)], shape)
+    new = spark.createDataFrame([(1, "manufacturer", 12, False, "user", "verified", 1), (1, "manufacturer", 9, False, "lookup", "proposed", 2), (2, "manufacturer", 24, False, "lookup", "proposed", 1), (3, "store", 24, False, "user", "verified", 1), (4, "gift", 24, False, "user", "verified", 1)], shape)
+    lots = spark.createDataFrame([(k, k == 3, DAY) for k in range(1, 5)], "lot_id long, consumable boolean, bought_on date")
+    stands = upkeep.add_warranties(old, new, lots)
+    assert sorted((r.lot_id, r.kind, r.months) for r in stands.collect()) == [(1, "manufacturer", 12), (2, "manufacturer", 6), (3, "store", 6)]
+    plan = stands._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
