@@ -52,16 +52,18 @@ def add_warranties(old: DataFrame, new: DataFrame, lots: DataFrame) -> DataFrame
     Per lot and kind the last valid user's entry replaces what there is; a looked-up
     proposal replaces anything but a verified one.  Entries that break a rule are left out.
     """
-    facts = lots.select("lot_id", "consumable", "bought_on")
-    error = warranty_error(F.col("kind"), F.col("months"), F.col("lifetime"), F.col("consumable"), F.col("bought_on"))
-    fine = new.join(facts, "lot_id").where(error.isNull()).select(new.columns)
+    error = lambda consumable, bought_on: warranty_error(F.col("kind"), F.col("months"), F.col("lifetime"), consumable, bought_on)
+    # what the entry alone shows to be wrong is not shuffled; a lot's entries travel once, as one row
+    fine = new.where(error(F.lit(False), F.current_date()).isNull())
     both = old.withColumn("age", F.lit(0)).unionByName(fine.withColumn("age", F.lit(1)))
-    mine = W.partitionBy("lot_id", "kind")
-    # a verified entry holds against proposals that come after it
-    held = F.max(F.when(F.col("review_status") == "verified", F.struct("age", "seq"))).over(mine)
-    standing = both.where("true").withColumn("held", held).where((F.col("review_status") == "verified") | F.col("held").isNull() | (F.struct("age", "seq") < F.col("held")))
-    last = F.row_number().over(mine.orderBy((F.col("review_status") == "verified").desc(), F.desc("age"), F.desc("seq")))
-    return standing.withColumn("k", last).where("k = 1").drop("k", "age", "held").join(facts.select("lot_id", "bought_on"), "lot_id").withColumn("expires_on", F.expr("case when not lifetime then add_months(bought_on, months) end")).drop("bought_on")
+    # a verified entry holds against proposals, also later ones
+    rest = [c for c in old.columns if c not in ("lot_id", "kind", "seq")]
+    entry = F.struct("kind", F.struct((F.col("review_status") == "verified").alias("sure"), "age", "seq", *rest).alias("w"))
+    each = both.groupBy("lot_id").agg(F.collect_list(entry).alias("entries")).join(lots.select("lot_id", "consumable", "bought_on"), "lot_id")
+    stands = ~F.coalesce("consumable", F.lit(False)) & F.col("bought_on").isNotNull()
+    last = each.select("lot_id", "bought_on", stands.alias("stands"), F.inline("entries")).where("stands or w.age = 0").groupBy("lot_id", "bought_on", "kind").agg(F.max("w").alias("w"))
+    columns = [F.col(c) if c in ("lot_id", "kind") else F.col(f"w.{c}") for c in old.columns]
+    return last.select(*columns, "bought_on").withColumn("expires_on", F.expr("case when not lifetime then add_months(bought_on, months) end")).drop("bought_on")
 
 
 def review_warranties(rows: DataFrame, decisions: DataFrame) -> DataFrame:
