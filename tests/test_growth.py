@@ -1,7 +1,9 @@
 """Work that grows with the rows, not with the pairs of equal ones, nor in one task."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthbook.operators import products, upkeep
@@ -131,3 +133,71 @@ def test_a_lots_warranties_travel_once(spark):
     assert sorted((r.lot_id, r.kind, r.months) for r in stands.collect()) == [(1, "manufacturer", 12), (2, "manufacturer", 6), (3, "store", 6)]
     plan = stands._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def _plain_transfers(out, into, rejected):
+    """The rule in words: outflows choose in id order; the only inflow of another account within five days is linked, several stay open if the outflow says so."""
+    taken, found = set(), set()
+    for k, account, day, amount, kind in sorted(out):
+        free = [(i, 70 + 10 * (d == day) + 20 * (kind == "transfer" and said == "transfer")) for i, other, d, a, said, card in into
+                if i not in taken and a == -amount and other != account and abs((d - day).days) <= 5 and ("transfer" in (kind, said) or card) and (k, i) not in rejected]
+        if len(free) == 1:
+            taken.add(free[0][0])
+        if len(free) == 1 or kind == "transfer":
+            found |= {(k, i, score, "link" if len(free) == 1 else "open") for i, score in free}
+    return found
+
+
+@pytest.mark.parametrize("seed,days", [(1, 9), (2, 60), (3, 400)])
+def test_transfers_choose_in_turn(spark, seed, days):
+    draw = random.Random(seed)
+    day = lambda: DAY + dt.timedelta(draw.randrange(days))
+    cards = {k: "credit_card" if k == 3 else "checking" for k in range(6)}
+    out = [(k, draw.randrange(6), day(), -draw.choice([500, 700]), draw.choice(["transfer", "purchase"])) for k in range(60)]
+    into = [(1000 + k, a := draw.randrange(6), day(), draw.choice([500, 700]), draw.choice(["transfer", "deposit", "deposit"]), a == 3) for k in range(70)]
+    rejected = {(draw.randrange(60), 1000 + draw.randrange(70)) for _ in range(600)}
+    rows = spark.createDataFrame([(*r[:4], r[4], "USD", "proposed") for r in [*out, *into]], "posting_id long, account_id long, posted_date date, amount_minor long, transaction_type string, currency string, review_status string")
+    accounts = spark.createDataFrame(list(cards.items()), "account_id long, account_type string")
+    links = spark.createDataFrame([(*p, "rejected") for p in rejected], "out_id long, in_id long, review_status string")
+    for known, no in ((None, set()), (links, rejected)):
+        assert {tuple(r) for r in R.link_transfers(rows, accounts, known).collect()} == _plain_transfers(out, into, no)
+
+
+def _plain_receipts(receipts, postings, rejected):
+    taken, found = set(), set()
+    for k, name, day, amount in sorted(receipts):
+        free = []
+        for p, said, d, a in postings:
+            lag = (d - day).days
+            if p not in taken and a == -amount and 0 <= lag <= 5 and (k, p) not in rejected:
+                same, near, named = lag == 0, 0 < lag <= 2, bool(set(name.split()) & set(said.split()))
+                free.append((-(60 + 20 * same + 10 * near + 20 * named), p, "amount" + "+same_day" * same + "+date" * near + "+merchant" * named))
+        free.sort()
+        link = len(free) == 1 or (len(free) > 1 and -free[0][0] >= 80 and free[1][0] - free[0][0] >= 20)
+        if link:
+            taken.add(free[0][1])
+        found |= {(k, p, -score, method, "link" if link else "open") for score, p, method in (free[:1] if link else free)}
+    return found
+
+
+@pytest.mark.parametrize("seed,days", [(1, 9), (2, 60), (3, 400)])
+def test_receipts_choose_in_turn(spark, seed, days):
+    draw = random.Random(seed)
+    day, name = lambda: DAY + dt.timedelta(draw.randrange(days)), lambda: draw.choice(["RED SHOP", "BLUE SHOP", "GREEN CAFE", "PLAIN"])
+    receipts = [(k, name(), day(), draw.choice([500, 700])) for k in range(60)]
+    postings = [(1000 + k, name(), day(), -draw.choice([500, 700])) for k in range(70)]
+    rejected = {(draw.randrange(60), 1000 + draw.randrange(70)) for _ in range(600)}
+    r = spark.createDataFrame([(*x, "USD", "proposed") for x in receipts], "receipt_id long, merchant string, purchase_date date, total_minor long, currency string, review_status string")
+    p = spark.createDataFrame([(*x, "USD", "proposed") for x in postings], "posting_id long, description_raw string, posted_date date, amount_minor long, currency string, review_status string")
+    links = spark.createDataFrame([(*x, "rejected") for x in rejected], "receipt_id long, posting_id long, review_status string")
+    for known, no in ((None, set()), (links, rejected)):
+        assert {tuple(x) for x in R.link_receipts(r, p, known).collect()} == _plain_receipts(receipts, postings, no)
+
+
+def test_receipts_are_linked_without_pairs(spark):
+    linked = R.link_receipts(_receipts(spark, 200), _postings(spark, 200))
+    assert linked.where("status = 'link'").count() == 0 and linked.count() == 200 * 200
+    unmatched = R.unmatched_receipts(_receipts(spark, 200), linked)
+    assert [tuple(r) for r in unmatched.collect()] == [("USD", 200, 1000000, 0)] and _most_joined(unmatched) <= 200
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" not in plan and "MapInPandas" not in plan  # pairs are joined and given out
