@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +35,31 @@ def coverage(lines: DataFrame, citations: DataFrame) -> DataFrame:
 def chunks(lines: DataFrame, most_lines: int = CHUNK_LINES, most_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, chunk, first_line, last_line): lines packed in order, each chunk within both limits unless one line alone exceeds them."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, held, size = [], [], 0
-        for line, text in rows.sort_values("line")[["line", "text"]].itertuples(index=False):
-            cost = len(text.encode()) + 1
-            if held and (len(held) == most_lines or size + cost > most_bytes):
-                out.append((held[0], held[-1]))
-                held, size = [], 0
-            held.append(line)
-            size += cost
-        out.append((held[0], held[-1]))
-        return pd.DataFrame([(rows["doc_id"].iloc[0], k, a, b) for k, (a, b) in enumerate(out)], columns=["doc_id", "chunk", "first_line", "last_line"])
-
-    return lines.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk int, first_line int, last_line int")
+    import pyarrow as pa
+
+    schema = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int32()), ("first_line", pa.int32()), ("last_line", pa.int32())])
+
+    def run(batches):
+        current, chunk, first, last, held, size = None, 0, None, None, 0, 0
+        for batch in batches:
+            out = []
+            for doc, line, cost in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line", "cost"))):
+                if held and (doc != current or held == most_lines or size + cost > most_bytes):
+                    out.append((current, chunk, first, last))
+                    chunk, held, size = chunk + 1, 0, 0
+                if doc != current:
+                    current, chunk = doc, 0
+                if not held:
+                    first = line
+                last, held, size = line, held + 1, size + cost
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((current, chunk, first, last), schema)], schema=schema)
+
+    # only a line's bytes are sent, not its text; documents stream through one after another
+    costs = lines.select("doc_id", "line", (F.octet_length("text") + 1).alias("cost"))
+    return costs.repartition("doc_id").sortWithinPartitions("doc_id", "line").mapInArrow(run, "doc_id long, chunk int, first_line int, last_line int")
 
 
 # Words that say nothing of their own in a title, those that only say that something was bought, and the form of a label.
