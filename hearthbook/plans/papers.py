@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import zipfile
 
@@ -83,7 +84,8 @@ def _workbook(cells) -> bytes:
     space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     rows = ['<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="s"><v>2</v></c></row>']
     for k, c in enumerate(cells, 2):
-        serial = (pd.to_datetime(c["date"], format="%m/%d/%Y") - pd.Timestamp("1899-12-30")).days
+        month, day, year = map(int, c["date"].split("/"))
+        serial = (dt.date(year, month, day) - dt.date(1899, 12, 30)).days
         rows.append(f'<row><c r="A{k}" s="1"><v>{serial}</v></c><c r="B{k}" t="inlineStr"><is><t>{c["said"]}</t></is></c><c r="D{k}"><f>1+1</f><v>{c["amount"]}</v></c></row>')
     parts = {
         "xl/workbook.xml": f'<workbook {space}><sheets><sheet name="x" sheetId="1" r:id="r2"/><sheet name="y" sheetId="2" r:id="r1"/></sheets></workbook>',
