@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hearthbook.operators import products, upkeep
+from hearthbook.operators import extraction, products, upkeep
 from hearthbook.operators import reconcile as R
+from hearthbook.sources import tabular
 
 DAY = dt.date(1998, 5, 4)
 
@@ -201,3 +202,21 @@ def test_receipts_are_linked_without_pairs(spark):
     assert [tuple(r) for r in unmatched.collect()] == [("USD", 200, 1000000, 0)] and _most_joined(unmatched) <= 200
     plan = linked._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "MapInArrow" not in plan and "MapInPandas" not in plan  # pairs are joined and given out
+
+
+def test_only_the_bytes_of_lines_are_sent(spark):
+    texts = {1: ["a" * 9] * 7, 2: ["é" * 20, "b" * 100, "c"], None: ["d"], 3: ["e" * 5] * 3}
+    lines = spark.createDataFrame([(k, n, t) for k, each in texts.items() for n, t in enumerate(each)], "doc_id long, line int, text string").repartition(3)
+    found = extraction.chunks(lines, 3, 50)
+    assert {tuple(r) for r in found.collect()} == {(1, 0, 0, 2), (1, 1, 3, 5), (1, 2, 6, 6), (2, 0, 0, 0), (2, 1, 1, 1), (2, 2, 2, 2), (None, 0, 0, 0), (3, 0, 0, 2)}
+    sent = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in sent and "FlatMapGroups" not in sent
+
+
+def test_no_file_is_parsed_twice(spark):
+    files = spark.createDataFrame([("a.csv", b"Date,Payee,Amount\n1/13/2026,x,-5.00\n1/2/2026,y,7.00"), ("b.csv", b"Date,Payee,Amount\n1/2/2026,x,-5.00"), ("c.csv", b"nothing"), ("d.csv", b"Date,Payee,Amount\n2026-01-02,x,-5.00")], "path string, content binary")
+    shown = tabular.preview(files, "USD")
+    assert {(r.path, r.outcome, r.question, r.parsed, r.inflow, r.outflow) for r in shown.collect()} == {
+        ("a.csv", "preview", None, 2, 700, 500), ("b.csv", "question", "choose the date order", 0, 0, 0), ("c.csv", "question", "no header with a date and an amount", 0, 0, 0), ("d.csv", "preview", None, 1, 0, 500)}
+    for frame in (shown, tabular.imported(tabular.read_files(files), "USD")):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
