@@ -16,6 +16,8 @@ from hearthbook.functions.ratio import round_half_even
 MOST_MONTHS = 1200
 # Months are projected with so many digits; a batch of so many projected rows leaves a task at once.
 DIGITS, ROWS_AT_ONCE = 34, 20000
+# Scenarios whose figures stay below this, and that have no more of them, are projected together.
+FIGURES, ITEMS = 2**40, 1000
 
 
 def baseline(rows: DataFrame, balances: DataFrame, accounts: DataFrame, start: str, end: str, months: int) -> DataFrame:
@@ -128,6 +130,104 @@ def project_one(scenario: dict):
             yield month, income, spending, paid, extra, cash, assets, loans, worth, _rounded(worth / prices[month - 1])
 
 
+@lru_cache(256)
+def _levels(rate_bp: int, months: int):
+    """``_path`` in doubles."""
+    import numpy as np
+
+    return np.array([float(level) for level in _path(rate_bp, months)])
+
+
+def _nearest(values):
+    """Doubles rounded to whole numbers, and where that may be wrong: near a half, from FIGURES on, and what is not finite."""
+    import numpy as np
+
+    with np.errstate(invalid="ignore"):
+        whole = np.rint(values)
+        return whole.astype("int64"), ~(np.abs(np.abs(values - whole) - 0.5) > np.abs(values) / FIGURES)
+
+
+def project_many(scenarios: list[dict], months: int) -> list:
+    """What ``project_one`` gives for scenarios that all have so many months: its columns but month, a row a scenario and a column a month.
+
+    All are projected together in doubles, which are right to 50 bits.  A value that
+    lies too near a half to be rounded by them is computed at 34 digits; a scenario
+    with figures too large for them, or with an asset's value near a half, which
+    carries the digits of all months before, is projected by itself.
+    """
+    with localcontext(Context(prec=DIGITS)):
+        return _together(scenarios, months)
+
+
+def _together(scenarios: list[dict], months: int) -> list:
+    import numpy as np
+
+    size, alone = (len(scenarios), months), np.zeros(len(scenarios), bool)
+    cash, earned, extra = np.zeros((len(scenarios), 1), "int64"), np.zeros(size, "int64"), np.zeros(size, "int64")
+    spent, owned, owing = [], [], []
+    for i, s in enumerate(scenarios):
+        spending, assets, steps, extras = (_each(s, k) for k in ("spending", "assets", "income_steps", "one_offs"))
+        figures = [int(s["cash"]), int(s["monthly_income"]), *(int(x["amount"]) for part in (spending, steps, extras) for x in part), *(int(x["value_minor"]) for x in assets), *(int(x.get("monthly_payment_minor") or 0) for x in assets)]
+        if len(figures) > ITEMS or max(figures) >= FIGURES or min(figures) <= -FIGURES:
+            alone[i] = True
+            continue
+        cash[i], earned[i] = figures[:2]
+        change = {c["category"]: 1 + Decimal(int(c["percent_bp"])) / 10000 for c in _each(s, "spending_changes")}
+        spent += [(i, int(s["inflation_bp"]), Decimal(int(c["amount"])) * change.get(c["category"], 1)) for c in spending]
+        for x in steps:
+            earned[i, max(x["month"] - 1, 0):] += int(x["amount"])
+        for x in extras:
+            if 1 <= x["month"] <= months:
+                extra[i, x["month"] - 1] += int(x["amount"])
+        for x in assets:
+            held = (i, int(x["value_minor"]), int(x["annual_rate_bp"]), int(x.get("monthly_payment_minor") or 0))
+            (owing if x["kind"] == "loan" else owned).append(held)
+
+    def levels(rates):
+        return np.stack([_levels(r, months) for r in rates]) if rates else np.zeros((0, months))
+
+    def summed(at, parts):
+        total = np.zeros(size, "int64")
+        np.add.at(total, at, parts)
+        return total
+
+    def rounded(values, at, exact=None):
+        """values rounded; those that doubles do not tell by exact(row, column), or their scenario is left alone."""
+        whole, unsure = _nearest(values)
+        told = unsure & (np.abs(values) < FIGURES) if exact else np.zeros_like(unsure)
+        alone[at[(unsure & ~told).any(axis=1)]] = True
+        for k, m in np.argwhere(told).tolist():
+            whole[k, m] = _rounded(exact(k, m))
+        return whole
+
+    each, column = np.arange(len(scenarios)), lambda rows, k, kind="int64": np.array([r[k] for r in rows], kind)
+    growth, inflation = ([int(s[k]) for s in scenarios] for k in ("income_growth_bp", "inflation_bp"))
+    prices = levels(inflation)
+    with np.errstate(all="ignore"):
+        income = rounded(earned * levels(growth), each, lambda k, m: int(earned[k, m]) * _path(growth[k], months)[m])
+        at = column(spent, 0)
+        spending = summed(at, rounded(column(spent, 2, "double")[:, None] * prices[at], at, lambda k, m: spent[k][2] * _path(spent[k][1], months)[m]))
+        at = column(owned, 0)
+        assets = summed(at, rounded(column(owned, 1)[:, None] * levels([h[2] for h in owned]), at))
+        at, balance, rate, payment = (column(owing, k) for k in range(4))
+        paid, left = np.zeros((2, len(owing), months), "int64")
+        for month in range(months):
+            owed = np.maximum(balance, 0)
+            interest = rounded((owed * (rate / 120000))[:, None], at, lambda k, _, owed=owed: int(owed[k]) * (Decimal(int(rate[k])) / 10000 / 12))[:, 0]
+            paid[:, month] = np.where(balance > 0, np.minimum(payment, owed + interest), 0)
+            balance = balance + interest - paid[:, month]
+            left[:, month] = balance
+        paid, loans = summed(at, paid), summed(at, left)
+        cash = cash + np.cumsum(income - spending - paid + extra, axis=1)
+        worth = cash + assets - loans
+        today = rounded(worth / prices, each, lambda k, m: int(worth[k, m]) / _path(inflation[k], months)[m])
+        out = [income, spending, paid, extra, cash, assets, loans, worth, today]
+    for i in np.flatnonzero(alone):
+        for values, exact in zip(out, list(zip(*project_one(scenarios[i])))[1:]):
+            values[i] = exact
+    return out
+
+
 PROJECTED = "scenario_id long, month int, income long, spending long, loan_payments long, one_offs long, cash long, assets long, loans long, net_worth long, net_worth_today long"
 
 
@@ -139,23 +239,26 @@ def spread(scenarios: DataFrame) -> DataFrame:
 
 def project(scenarios: DataFrame) -> DataFrame:
     """scenarios (scenario_id, cash, monthly_income, income_growth_bp, inflation_bp, months, and arrays of structs spending, assets, ...) -> a row per month."""
+    import numpy as np
     import pyarrow as pa
 
     names, types = zip(*(c.split() for c in PROJECTED.split(", ")))
     schema = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in zip(names, types)])
 
     def run(batches):
-        rows = []
-        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for s in batch.slice(start, 256).to_pylist():
-                    rows.extend((s["scenario_id"], *m) for m in project_one(s))
-                    if len(rows) >= ROWS_AT_ONCE:
-                        yield packed()
-                        rows = []
-        if rows:
-            yield packed()
+            for start in range(0, batch.num_rows, 512):
+                alike = {}
+                for s in batch.slice(start, 512).to_pylist():
+                    alike.setdefault(int(s["months"]), []).append(s)
+                for months, group in alike.items():
+                    if months > MOST_MONTHS:
+                        raise ValueError(f"a scenario may have {MOST_MONTHS} months, not {months}")
+                    step = max(1, ROWS_AT_ONCE // max(1, months))
+                    for part in (group[k:k + step] for k in range(0, len(group) if months > 0 else 0, step)):
+                        ids = pa.array([s["scenario_id"] for s in part], schema[0].type).take(pa.array(np.repeat(np.arange(len(part)), months)))
+                        month = pa.array(np.tile(np.arange(1, months + 1, dtype="int32"), len(part)))
+                        yield pa.RecordBatch.from_arrays([ids, month, *(pa.array(c.reshape(-1)) for c in project_many(part, months))], schema=schema)
 
     return spread(scenarios).mapInArrow(run, PROJECTED)
 
