@@ -183,6 +183,22 @@ def test_similar_lines_match_brute_force(spark, seed):
     assert rules.similar(frame(lines, "line_id"), frame([], "known_id")).count() == 0 and rules.similar(frame([], "line_id"), frame(known, "known_id")).count() == 0
 
 
+def test_copies_of_lines_are_sorted_and_ranked_once(spark, monkeypatch):
+    """All known rows went on to each later step, in as many tasks as their file had, and each line ranked what it met by itself."""
+    draw, written, sorted_ = random.Random(3), [], []
+    texts, merchant = ["ITEM RED BOLT LARGE", "ITEM RED RING", "ITEM OLD RING SMALL"], lambda: draw.choice(["M", "N", None])
+    lines, known = [(k, merchant(), draw.choice([*texts, "ITEM BOLT", ""])) for k in range(300)], [(k, merchant(), draw.choice(texts)) for k in range(1500)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, merchant string, description string").coalesce(1)
+    kept, least = rules.kept, rules._least_ids
+    monkeypatch.setattr(rules, "kept", lambda f: written.append(kept(f)) or written[-1])
+    monkeypatch.setattr(rules, "_least_ids", lambda rows, *a: sorted_.append(rows) or least(rows, *a))
+    got = {(r.line_id, r.known_id): (r.shared, r.k) for r in rules.similar(frame(lines, "line_id"), frame(known, "known_id"), 5).collect()}
+    assert got == plain_similar(lines, known, 5)
+    assert [f.count() for f in written if "known_id" in f.columns or "id" in f.columns and f is not written[0]] == [len(texts) * 3 * 10]
+    large = [f for f in sorted_ if f.count() > 500]
+    assert len(large) == 1 and large[0].selectExpr("spark_partition_id() as task").distinct().count() >= 4
+
+
 def test_search_by_postings(spark, tmp_path):
     target = str(tmp_path / "index")
     texts = spark.createDataFrame([(1, "Red milk", None), (2, "Shredded RED cheese", "x"), (3, None, None), (4, "blue", "milk red")], "id long, a string, b string")
