@@ -199,6 +199,12 @@ def test_copies_of_lines_are_sorted_and_ranked_once(spark, monkeypatch):
     assert len(large) == 1 and large[0].selectExpr("spark_partition_id() as task").distinct().count() >= 4
 
 
+def test_a_line_given_twice_is_one(spark):
+    known = spark.createDataFrame([(k, "M", "ITEM RED") for k in range(8)], "known_id long, merchant string, description string")
+    lines = spark.createDataFrame([(1, None, "ITEM RED"), (1, None, "ITEM RED")], "line_id long, merchant string, description string")
+    assert sorted((r.known_id, r.shared, r.k) for r in rules.similar(lines, known).collect()) == [(k, 2, k + 1) for k in range(5)]
+
+
 def test_search_by_postings(spark, tmp_path):
     target = str(tmp_path / "index")
     texts = spark.createDataFrame([(1, "Red milk", None), (2, "Shredded RED cheese", "x"), (3, None, None), (4, "blue", "milk red")], "id long, a string, b string")
