@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,17 @@ def project_one(scenario: dict):
             yield month, income, spending, paid, extra, cash, assets, loans, worth, _rounded(worth / prices[month - 1])
 
 
+@lru_cache(256)
+def _held(value: int, rate_bp: int, months: int) -> tuple[Decimal, ...]:
+    """An asset's value after each month, not rounded, as ``_Holding`` has it."""
+    with localcontext(Context(prec=DIGITS)):
+        asset, balances = _Holding({"kind": "asset", "value_minor": value, "annual_rate_bp": rate_bp}), []
+        for _ in range(months):
+            asset.advance()
+            balances.append(asset.balance)
+    return tuple(balances)
+
+
 @lru_cache(256)
 def _levels(rate_bp: int, months: int):
     """``_path`` in doubles."""
@@ -151,9 +163,9 @@ def project_many(scenarios: list[dict], months: int) -> list:
     """What ``project_one`` gives for scenarios that all have so many months: its columns but month, a row a scenario and a column a month.
 
     All are projected together in doubles, which are right to 50 bits.  A value that
-    lies too near a half to be rounded by them is computed at 34 digits; a scenario
-    with figures too large for them, or with an asset's value near a half, which
-    carries the digits of all months before, is projected by itself.
+    lies too near a half to be rounded by them is computed at 34 digits, an asset's
+    with all months before, whose digits it carries; a scenario with figures too
+    large for doubles is projected by itself.
     """
     with localcontext(Context(prec=DIGITS)):
         return _together(scenarios, months)
@@ -191,10 +203,10 @@ def _together(scenarios: list[dict], months: int) -> list:
         np.add.at(total, at, parts)
         return total
 
-    def rounded(values, at, exact=None):
-        """values rounded; those that doubles do not tell by exact(row, column), or their scenario is left alone."""
+    def rounded(values, at, exact):
+        """values rounded; those that doubles do not tell by exact(row, column), or where too large their scenario is left alone."""
         whole, unsure = _nearest(values)
-        told = unsure & (np.abs(values) < FIGURES) if exact else np.zeros_like(unsure)
+        told = unsure & (np.abs(values) < FIGURES)
         alone[at[(unsure & ~told).any(axis=1)]] = True
         for k, m in np.argwhere(told).tolist():
             whole[k, m] = _rounded(exact(k, m))
@@ -208,7 +220,7 @@ def _together(scenarios: list[dict], months: int) -> list:
         at = column(spent, 0)
         spending = summed(at, rounded(column(spent, 2, "double")[:, None] * prices[at], at, lambda k, m: spent[k][2] * _path(spent[k][1], months)[m]))
         at = column(owned, 0)
-        assets = summed(at, rounded(column(owned, 1)[:, None] * levels([h[2] for h in owned]), at))
+        assets = summed(at, rounded(column(owned, 1)[:, None] * levels([h[2] for h in owned]), at, lambda k, m: _held(*owned[k][1:3], months)[m]))
         at, balance, rate, payment = (column(owing, k) for k in range(4))
         paid, left = np.zeros((2, len(owing), months), "int64")
         for month in range(months):
@@ -237,6 +249,26 @@ def spread(scenarios: DataFrame) -> DataFrame:
     return scenarios.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
+def _listed(array) -> list:
+    """array.to_pylist(), by whole columns: that makes an object of every value first, which took longer than the projection."""
+    import pyarrow as pa
+
+    kind = array.type
+    if pa.types.is_integer(kind):
+        values = array.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_struct(kind) and kind.num_fields:
+        names = [kind.field(i).name for i in range(kind.num_fields)]
+        values = [dict(zip(names, row)) for row in zip(*map(_listed, array.flatten()))]
+    elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        items = iter(_listed(array.flatten()))
+        values = [list(islice(items, n)) for n in _listed(array.value_lengths().fill_null(0))]
+    elif pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return array.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return array.to_pylist()
+    return [v if held else None for v, held in zip(values, array.is_valid().to_numpy(zero_copy_only=False))] if array.null_count else values
+
+
 def project(scenarios: DataFrame) -> DataFrame:
     """scenarios (scenario_id, cash, monthly_income, income_growth_bp, inflation_bp, months, and arrays of structs spending, assets, ...) -> a row per month."""
     import numpy as np
@@ -249,7 +281,7 @@ def project(scenarios: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 alike = {}
-                for s in batch.slice(start, 512).to_pylist():
+                for s in _listed(batch.slice(start, 512).to_struct_array()):
                     alike.setdefault(int(s["months"]), []).append(s)
                 for months, group in alike.items():
                     if months > MOST_MONTHS:
