@@ -18,6 +18,8 @@ from hearthbook.operators.review import latest
 from hearthbook.operators.upkeep import word_category
 
 OPEN = "review_status in ('proposed', 'verified')"
+#: What a row is to ``outcomes``, in the order in which a line's rows are read; a bit each.
+LINE, SETTLED, REFUSED, OFFERED = 1, 2, 4, 8
 
 
 def product_key(name: Column, brand: Column, size_text: Column) -> Column:
@@ -70,14 +72,33 @@ def barcode_products(found: DataFrame) -> DataFrame:
 
 def propose(lines: DataFrame, resolutions: DataFrame, proposals: DataFrame) -> DataFrame:
     """proposals (line_id, name, seq, ...) plus outcome: proposed, unknown_line, settled, rejected_before, or repeated after another of the batch."""
-    have = lines.select("line_id", F.lit(True).alias("there"))
-    open_ = resolutions.where(OPEN).select("line_id").distinct().withColumn("open", F.lit(True))
-    refused = resolutions.where("review_status = 'rejected'").select("line_id", normalize_text(F.col("name")).alias("key"), F.lit(True).alias("refused")).distinct()
-    joined = proposals.withColumn("key", normalize_text(F.col("name"))).join(have, "line_id", "left").join(open_, "line_id", "left").join(refused, ["line_id", "key"], "left")
-    why = F.when(F.col("there").isNull(), "unknown_line").when(F.col("open"), "settled").when(F.col("refused"), "rejected_before")
-    first = F.row_number().over(W.partitionBy("line_id", F.col("why").isNull()).orderBy("seq"))
-    told = joined.withColumn("why", why).withColumn("turn", first)
-    return told.withColumn("outcome", F.coalesce("why", F.when(F.col("turn") > 1, "repeated").otherwise("proposed"))).select(*proposals.columns, "outcome")
+    said = resolutions.select("line_id", resolution_part(F.col("review_status")).alias("part"), "name").where("part is not null")
+    rows = lines.select("line_id", F.lit(LINE).alias("part")).unionByName(said, allowMissingColumns=True).where("line_id is not null")
+    return outcomes(proposals.withColumn("part", F.lit(OFFERED)).unionByName(rows, allowMissingColumns=True)).select(*proposals.columns, "outcome")
+
+
+def resolution_part(status: Column) -> Column:
+    """What a resolution is to ``outcomes``; null for one that decides nothing."""
+    return F.when(status.isin("proposed", "verified"), SETTLED).when(status == "rejected", REFUSED)
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """The OFFERED rows plus outcome, of lines, resolutions and proposals as rows (line_id, part, name, seq, ...) of one table.
+
+    They are dealt out once, by line, and sorted once: of a line's rows those without a key come first, then
+    by key the refused before the offered.  Rows of a line that stand together add little to a shuffle.
+    """
+    keyed = rows.withColumn("key", F.when(F.col("part").isin(REFUSED, OFFERED), normalize_text(F.col("name"))))
+    line, key = (w.rowsBetween(W.unboundedPreceding, W.currentRow) for w in (W.partitionBy("line_id").orderBy("key", "part"), W.partitionBy("line_id", "key").orderBy("part")))
+    known = keyed.withColumn("of_line", F.bit_or("part").over(line)).withColumn("of_key", F.bit_or("part").over(key))
+    has = lambda met, kind: F.col(met).bitwiseAND(kind) > 0
+    why = F.when(~has("of_line", LINE), "unknown_line").when(has("of_line", SETTLED), "settled").when(has("of_key", REFUSED), "rejected_before")
+    told = known.where(F.col("part") == OFFERED).withColumn("why", why)
+    # of those that nothing speaks against one row of the least seq is proposed; null is the least
+    left = F.when(F.col("why").isNull(), F.struct("seq"))
+    told = told.withColumn("least", F.coalesce(left == F.min(left).over(W.partitionBy("line_id")), F.lit(False)).cast("int"))
+    first = (F.col("least") == 1) & (F.sum("least").over(line) == 1)
+    return told.withColumn("outcome", F.coalesce("why", F.when(first, "proposed").otherwise("repeated"))).drop("part", "key", "of_line", "of_key", "why", "least")
 
 
 def review(resolutions: DataFrame, decisions: DataFrame) -> DataFrame:
